@@ -3,7 +3,7 @@
 Seeds are winnowed anchors: of every ``window - k + 1`` neighbouring k-grams the one with the smallest hash, so
 each window of ``window`` words has exactly one anchor of its own, the same in every document.  Anchors that two
 documents share are the seeds; from a seed the match is extended both ways as far as the windows it anchors go, by
-comparing the windows themselves (128-bit hashes).  Overlapping repeated windows join into maximal repeats.
+comparing the windows themselves (96 bits of hash).  Overlapping repeated windows join into maximal repeats.
 
 Nothing is done per pair.  A worker sorts the anchors of the documents it has read: documents that share an anchor
 there know it at once and send one row on for all of them, so a passage in a third of all documents costs one row a
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import Buffer, batch_of, column, longs, prepared, starts_of, texts
-from .words import PLAIN, Rule, blocks, cover, kgrams, texts_of, winnow
+from .words import PLAIN, Rule, blocks, kgrams, texts_of, winnow
 
 WINDOW, K = 13, 7
 ROWS = 1_000_000  # anchors or windows that a worker sorts at once
@@ -88,21 +88,35 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from done(h, d)
 
 
+LOW = (1 << 32) - 1
+
+
 def _windows(rule: Rule, window: int, k: int):
-    """Windows whose anchor is shared; those that a smaller document of the same block has are known to go."""
-    names = ["h1", "h2", "doc", "start", "known"]
+    """Windows whose anchor is shared: hash, and 32 more bits of hash beside the first word.
+
+    Those that a smaller document of the same block has are known to go; they are sent as runs, with the length of the
+    run in place of the further bits.
+    """
+    names = ["hash", "at", "doc", "known"]
 
     def flush(buffer: Buffer) -> Iterator[pa.RecordBatch]:
-        a, b, d, s = buffer.take()
-        order = np.lexsort((d, b, a))
-        a, b, d, s = a[order], b[order], d[order], s[order]
-        start = starts_of(a, b)
+        h, at, d = buffer.take()
+        order = np.lexsort((d, at >> 32, h))
+        h, at, d = h[order], at[order], d[order]
+        start = starts_of(h, at >> 32)
         known = d > np.repeat(d[start], np.diff(np.append(start, len(d))))
-        yield from _cut(names, [a, b, d, s, known])
+        yield from _cut(names, [h[~known], at[~known], d[~known], np.zeros(int((~known).sum()), bool)])
+        d, at = d[known], at[known] & LOW
+        order = np.lexsort((at, d))
+        d, at = d[order], at[order]
+        start = starts_of(d, at - np.arange(len(at)))
+        runs = np.diff(np.append(start, len(at)))
+        yield from _cut(names, [d[start], runs << 32 | at[start], d[start], np.ones(len(start), bool)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buffer = Buffer(4, ROWS)
+        buffer = Buffer(3, ROWS)
         for batch in batches:
+            batch = batch.filter(batch.column("seeds").is_valid())
             ids, seeds = column(batch, "doc_id"), batch.column("seeds")
             for block in blocks(batch.column("text"), rule):
                 h = block.hashes
@@ -115,8 +129,10 @@ def _windows(rule: Rule, window: int, k: int):
                     mine = seeds[block.rows.start + i].values.to_numpy(zero_copy_only=False)
                     keep.append(places[np.isin(grams[own[places]].view(np.int64), mine)])
                 at = np.concatenate(keep)
-                full = [kgrams(h, window, second=x)[at].view(np.int64) for x in (False, True)]
-                if buffer.add(*full, ids[block.rows][owner[at]], at - block.first[owner[at]]):
+                full = kgrams(h, window)[at].view(np.int64)
+                more = kgrams(h, window, second=True)[at] & ~np.uint64(LOW)
+                place = (at - block.first[owner[at]]).astype(np.uint64)
+                if buffer.add(full, (more | place).view(np.int64), ids[block.rows][owner[at]]):
                     yield from flush(buffer)
         yield from flush(buffer)
 
@@ -124,22 +140,30 @@ def _windows(rule: Rule, window: int, k: int):
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by window and document: those that are not of the window's smallest document."""
+    """Rows sorted by window and document: runs of windows that are not of the window's smallest document."""
     last: tuple[int, int, int] | None = None
     for batch in batches:
         known = batch.column("known").to_numpy(zero_copy_only=False)
-        a, b, d, s = (column(batch, c) for c in ("h1", "h2", "doc", "start"))
-        gone = known.copy()
-        at = np.flatnonzero(~known)
-        if len(at):
-            x, y, z = a[at], b[at], d[at]
-            start = starts_of(x, y)
-            least = z[start]
-            if last is not None and (x[0], y[0]) == last[:2]:
+        h, at, d = (column(batch, c) for c in ("hash", "at", "doc"))
+        yield from _cut(["doc", "run"], [d[known], at[known]])
+        h, at, d = h[~known], at[~known], d[~known]
+        if len(h):
+            start = starts_of(h, at >> 32)
+            least = d[start]
+            if last is not None and (h[0], at[0] >> 32) == last[:2]:
                 least[0] = last[2]
-            gone[at] = z > np.repeat(least, np.diff(np.append(start, len(z))))
-            last = (int(x[-1]), int(y[-1]), int(least[-1]))
-        yield from _cut(["doc", "start"], [d[gone], s[gone]])
+            gone = d > np.repeat(least, np.diff(np.append(start, len(d))))
+            last = (int(h[-1]), int(at[-1] >> 32), int(least[-1]))
+            yield from _cut(["doc", "run"], [d[gone], 1 << 32 | at[gone] & LOW])
+
+
+def _staying(runs: np.ndarray, window: int, n: int) -> np.ndarray:
+    """Which of n words no window of the runs covers."""
+    edge = np.zeros(n + 1, np.int64)
+    start = runs & LOW
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + (runs >> 32) - 1 + window, -1)
+    return np.cumsum(edge[:-1]) == 0
 
 
 def _keep(rule: Rule, window: int):
@@ -148,12 +172,12 @@ def _keep(rule: Rule, window: int):
             sizes: list[int] = []
             removed: list[int] = []
             kept: list[bytes] = []
-            for text, places in zip(texts_of(batch.column("text")), batch.column("starts"), strict=True):
+            for text, places in zip(texts_of(batch.column("text")), batch.column("runs"), strict=True):
                 words = text.as_py().translate(rule.table).split()
                 gone = 0
                 sizes.append(len(words))
                 if places.is_valid and len(places.values):
-                    stay = ~cover(np.unique(places.values.to_numpy(zero_copy_only=False)), window, len(words))
+                    stay = _staying(places.values.to_numpy(zero_copy_only=False), window, len(words))
                     gone = len(words) - int(stay.sum())
                     words = [w for w, x in zip(words, stay.tolist(), strict=True) if x]
                 removed.append(gone)
@@ -173,28 +197,32 @@ def _keep(rule: Rule, window: int):
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = K, rule: Rule = PLAIN) -> DataFrame:
-    """doc, starts: first words of the windows that a document with a smaller id has too; docs: doc_id, text."""
+    """doc, runs: windows that a document with a smaller id has too, as length << 32 | first word; docs: doc_id, text.
+
+    Texts are dealt out by id once: this join and the one of ``dedup_substrings`` have the same left side, which is
+    why it keeps all rows here and rows without seeds are left out by the worker.
+    """
     prepared(docs.sparkSession)
-    known = docs.where("doc_id is not null")
     spread = F.when(F.col("known"), F.xxhash64("doc", "hash")).otherwise(F.col("hash"))
     seeds = (
-        known.mapInArrow(_anchors(rule, window, k), "hash long, doc long, known boolean")
+        docs.where("doc_id is not null")
+        .mapInArrow(_anchors(rule, window, k), "hash long, doc long, known boolean")
         .repartition(spread)
         .sortWithinPartitions("hash")
         .mapInArrow(_shared, "doc long, hash long")
         .groupBy("doc")
         .agg(F.collect_list("hash").alias("seeds"))
     )
-    spread = F.when(F.col("known"), F.xxhash64("doc", "start")).otherwise(F.col("h1"))
+    spread = F.when(F.col("known"), F.xxhash64("doc", "at")).otherwise(F.col("hash"))
     return (
-        known.join(seeds, known["doc_id"] == seeds["doc"])
+        docs.join(seeds, docs["doc_id"] == seeds["doc"], "left")
         .select("doc_id", "text", "seeds")
-        .mapInArrow(_windows(rule, window, k), "h1 long, h2 long, doc long, start long, known boolean")
+        .mapInArrow(_windows(rule, window, k), "hash long, at long, doc long, known boolean")
         .repartition(spread)
-        .sortWithinPartitions("h1", "h2", "doc")
-        .mapInArrow(_repeated, "doc long, start long")
+        .sortWithinPartitions("hash", F.shiftright("at", 32), "doc")
+        .mapInArrow(_repeated, "doc long, run long")
         .groupBy("doc")
-        .agg(F.collect_list("start").alias("starts"))
+        .agg(F.collect_list("run").alias("runs"))
     )
 
 
@@ -209,6 +237,6 @@ def dedup_substrings(
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     return (
         docs.join(found, docs["doc_id"] == found["doc"], "left")
-        .select("doc_id", "text", "starts")
+        .select("doc_id", "text", "runs")
         .mapInArrow(_keep(rule, window), schema)
     )
