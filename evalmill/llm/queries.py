@@ -7,18 +7,48 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate as dc
+from . import language_id as li
+from . import licenses as lc
+from . import packing as pk
+from . import quality as qu
+from . import secrets as se
 from . import substring_dedup as sd
 from .base import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = se.digests(se.scan_secrets(table(spark, sf_dir, "documents"), need=["doc_id"]))
+    return scanned.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "n_entropy", "spans")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lc.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = dc.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), need=["doc_id"])
     return dc.verdict(judged).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pk.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sd.dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return li.identify(table(spark, sf_dir, "documents"), keys=["doc_id", "lang", "source"])
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return qu.judge_quality(docs, labels, need=["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_decontaminate, op7_substring_dedup)}
+    every = (
+        op1_secret_scan, op4_license_scan, op5_decontaminate, op6_packing, op7_substring_dedup, op8_language_id, op9_quality_rules,
+    )
+    return {f.__name__: f for f in every}
