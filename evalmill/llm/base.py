@@ -26,6 +26,12 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names; in a session without one, the folder that ``prepared`` has set."""
+    prepared(spark)
+    return spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows in the shared checkpoint folder, so that later jobs start from there."""
     prepared(df.sparkSession)

@@ -5,8 +5,8 @@ declared language), the declared markup language, and a prior of the host.  The
 hierarchically: counts of a host are filled up with the distribution of its address suffix, and those with the
 distribution over everything; all three come from grouped aggregation.  The posterior is the product, normalised.
 
-Scores of a document are a short row; only these meet the host's prior, so texts are never shuffled and a host with a
-third of all documents is a join that Spark can split.  A document is rejected when it has no words made of letters, or
+Priors of up to ``SMALL_HOSTS`` hosts go to every worker.  Beyond that documents are joined with them by host: unless
+the caller wants texts back these are short rows, and a host with a third of all documents is a join Spark can split.  A document is rejected when it has no words made of letters, or
 when no language reaches ``least`` of the posterior.  Without any declared language all documents are rejected.
 
 Null texts count as empty, null hosts share one prior, a null declared language gives no evidence.
@@ -33,6 +33,7 @@ DECLARED_RIGHT = 0.9  # how often a declaration is taken to be right
 EVIDENCE_WORDS = 50  # a long text counts as so many words, as words of one text depend on each other
 LEAST = 0.5
 UNKNOWN = "und"
+SMALL_HOSTS = 10_000  # priors of so many hosts (MAX_LANGS values each, 5 MB at most) go to every worker
 
 
 def _counts(docs: DataFrame, langs: list[str]) -> np.ndarray:
@@ -140,9 +141,10 @@ def identify(
         none = own.select("row.*", F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("posterior"), F.lit(True).alias("rejected"))
         return none.withColumn("n_letter_words", F.lit(0).cast("long"))
     langs.sort()
-    # the row itself would pass the workers with its text; it only does when the caller asks for the text
     scored = _log_likelihoods(own, langs)
     priors, share = _priors(own, langs)
+    if priors.limit(SMALL_HOSTS + 1).count() <= SMALL_HOSTS:
+        priors = F.broadcast(priors)
     scored = scored.join(priors.withColumnRenamed("host", "of_host"), F.col("host").eqNullSafe(F.col("of_host")), "left")
     overall = F.array(*(F.log(F.lit(max(x, 1e-9))) for x in share))
     names = F.array(*(F.lit(x) for x in langs))

@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat_format as cf
 from . import decontaminate as dc
+from . import jaccard_join as jj
 from . import language_id as li
 from . import licenses as lc
 from . import packing as pk
 from . import quality as qu
 from . import secrets as se
 from . import substring_dedup as sd
+from . import url_filter as uf
 from .base import table
 
 
@@ -21,6 +24,17 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "n_entropy", "spans")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jj.join_similar(table(spark, sf_dir, "documents"))
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    return cf.read_back(cf.format_chats(turns.unionByName(more)))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lc.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -47,8 +61,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qu.judge_quality(docs, labels, need=["doc_id"])
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uf.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        op1_secret_scan, op4_license_scan, op5_decontaminate, op6_packing, op7_substring_dedup, op8_language_id, op9_quality_rules,
+        op1_secret_scan, op2_jaccard_join, op3_chat_format, op4_license_scan, op5_decontaminate, op6_packing, op7_substring_dedup, op8_language_id, op9_quality_rules,
+        op10_url_filter,
     )
     return {f.__name__: f for f in every}
