@@ -1,0 +1,6 @@
+"""All queries of the library, by name."""
+
+from . import paired
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "paired"]
