@@ -90,7 +90,7 @@ def window_value(config: Column) -> Column:
 def parse_sizes(spec: Column) -> Column:
     """"8k,32768" to numbers, a k being 1024."""
     return F.transform(
-        F.filter(F.transform(F.split(spec, ","), F.trim), lambda x: x != ""),
+        F.filter(F.transform(F.split(spec, ","), lambda x: F.trim(x)), lambda x: x != ""),
         lambda x: F.when(x.endswith("k"), F.regexp_replace(x, "k$", "").cast("long") * 1024).otherwise(F.regexp_replace(x, "k$", "").cast("long")),
     )
 

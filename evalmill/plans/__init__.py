@@ -1,6 +1,6 @@
 """All queries of the library, by name."""
 
-from . import paired
+from . import paired, storing
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "paired"]
+__all__ = ["ORACLES", "QUERIES", "paired", "storing"]
