@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARKER = "####"
 TOLERANCE = 1e-6
@@ -150,7 +151,7 @@ def first_sentence(text: Column) -> Column:
 # ---------------------------------------------------------------- normal forms and matches
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import unicodedata
 
@@ -158,7 +159,7 @@ def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfd(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import unicodedata
 
@@ -188,9 +189,15 @@ def overlap(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
 
 
+def bound(make, **columns: Column) -> Column:
+    """``make`` of a struct of the columns: each is computed once, however often the result names it."""
+    one = F.array(F.struct(*(c.alias(n) for n, c in columns.items())))
+    return F.element_at(F.transform(one, make), 1)
+
+
 def token_f1(pred: Column, gold: Column) -> Column:
     """F1 of two token arrays; both empty is 1, one empty is 0."""
-    common = overlap(pred, gold)
+    common = overlap(gold, pred)
     return (
         F.when((F.size(pred) == 0) & (F.size(gold) == 0), 1.0)
         .when((F.size(pred) == 0) | (F.size(gold) == 0) | (common == 0), 0.0)
@@ -200,27 +207,28 @@ def token_f1(pred: Column, gold: Column) -> Column:
 
 def f1(pred: Column, golds: Column, lang: Column) -> Column:
     """The best F1 over the golds; null without any."""
-    mine = tokenize(pred, lang)
-    return F.array_max(F.transform(golds, lambda g: token_f1(mine, tokenize(g, lang))))
+    tokens = F.transform(golds, lambda g: tokenize(g, lang))
+    return bound(lambda x: F.array_max(F.transform(x["golds"], lambda g: token_f1(x["pred"], g))), pred=tokenize(pred, lang), golds=tokens)
 
 
 def exact_match(pred: Column, golds: Column, lang: Column) -> Column:
-    normal = normalize(pred, lang)
-    return F.exists(golds, lambda g: normalize(g, lang) == normal)
+    return bound(lambda x: F.exists(golds, lambda g: normalize(g, lang) == x["normal"]), normal=normalize(pred, lang))
 
 
 def containment(pred: Column, golds: Column, lang: Column) -> Column:
     """Is a gold inside the prediction, not cut out of a longer word or number?"""
-    normal = normalize(pred, lang)
     bare = lambda c: F.replace(c, F.lit(" "), F.lit(""))
 
-    def inside(gold: Column) -> Column:
-        g = normalize(gold, lang)
+    def inside(normal: Column, g: Column) -> Column:
         whole = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), g, F.lit(r"\E(?![\p{L}\p{N}])"))
         found = F.when(lang.isin(*CHAR_LANGS), F.instr(bare(normal), bare(g)) > 0).otherwise(F.regexp_like(normal, whole))
         return (g != "") & found
 
-    return (normal != "") & F.exists(golds, inside)
+    return bound(
+        lambda x: (x["normal"] != "") & F.exists(x["golds"], lambda g: inside(x["normal"], g)),
+        normal=normalize(pred, lang),
+        golds=F.transform(golds, lambda g: normalize(g, lang)),
+    )
 
 
 def containment_lenient(output: Column, golds: Column, lang: Column) -> Column:
@@ -240,7 +248,7 @@ def span_scores(output: Column, golds: Column, lang: Column) -> Column:
 
 def gold_recall(pred: Column, gold: Column) -> Column:
     """Share of the gold's tokens that the prediction has, as multisets; null for an empty gold."""
-    return F.when(F.size(gold) > 0, overlap(gold, pred) / F.size(gold))
+    return bound(lambda x: F.when(F.size(x["gold"]) > 0, overlap(x["gold"], x["pred"]) / F.size(x["gold"])), pred=pred, gold=gold)
 
 
 # Spellings that count as one.

@@ -1,6 +1,6 @@
 """All queries of the library, by name."""
 
-from . import paired, storing
+from . import paired, scoring, storing
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "paired", "storing"]
+__all__ = ["ORACLES", "QUERIES", "paired", "scoring", "storing"]
