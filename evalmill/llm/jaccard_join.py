@@ -35,7 +35,7 @@ from .base import batch_of, column, longs, prepared, saved, starts_of, texts
 from .words import LOWER, Block, Rule, blocks, kgrams, mix
 
 K, PERCENT = 5, 80
-SKETCH_BITS, CHUNKS = 20, 256
+SKETCH_BITS, CHUNKS = 21, 256
 FILTER_BITS = 1 << 23
 PART = 4096
 LEAF, FANOUT, WIDTH = 16, 4, 1024
@@ -126,19 +126,20 @@ def _chunks(total: np.ndarray) -> pa.RecordBatch:
 
 
 def _rank(docs: DataFrame, rule: Rule, k: int) -> np.ndarray:
-    """For each counter of the sketch how common its shingles are: 0 up to twice the mean, then a step a doubling."""
+    """For each counter of the sketch how common its shingles are: 0 as far as chance fills a counter, then a step a
+    doubling of what lies above the mean."""
     size = 1 << SKETCH_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total = np.zeros(size, np.uint32)
         for batch in batches:
             for block in blocks(batch.column("text"), rule):
-                total += np.bincount((Sets(block, k).value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
+                np.add.at(total, (Sets(block, k).value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
         yield _chunks(total)
 
-    counts = _folded(docs.mapInArrow(run, "chunk long, data binary"), np.add, "<i8", size)
-    mean = max(1.0, counts.mean())
-    return np.maximum(0, np.floor(np.log2(np.maximum(counts, 1) / mean))).astype(np.uint8)
+    counts = _folded(docs.mapInArrow(run, "chunk long, data binary"), np.add, "<u4", size).astype(np.int64)
+    above, noise = counts - counts.mean(), 4 * np.sqrt(counts.mean()) + 4
+    return np.maximum(0, 1 + np.floor(np.log2(np.maximum(above, 1) / noise))).astype(np.uint8)
 
 
 def _filter_bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,7 +252,7 @@ def _lists(part: int):
 
 
 def _all_lists(docs: DataFrame, rule: Rule, k: int, percent: int, part: int) -> DataFrame:
-    """key, members: every list, and every pair of parts of a long one."""
+    """key, lead (the first member), members: every list, and every pair of parts of a long one."""
     rank = docs.sparkSession.sparkContext.broadcast(_rank(docs, rule, k))
     parts = saved(
         docs.mapInArrow(_prefixes(rule, k, percent, rank), "shingle long, set long")
@@ -262,8 +263,8 @@ def _all_lists(docs: DataFrame, rule: Rule, k: int, percent: int, part: int) ->
     later = parts.where("part > 0")
     pairs = parts.alias("a").join(later.alias("b"), F.expr("a.shingle = b.shingle and a.part < b.part"))
     pairs = pairs.select(F.xxhash64("a.key", "b.key").alias("key"), F.concat("a.members", "b.members").alias("members"))
-    every = parts.select("key", "members").unionByName(pairs).withColumn("first", F.element_at("members", 1))
-    return every.dropDuplicates(["key", "first"]).drop("first")
+    every = parts.select("key", "members").unionByName(pairs).withColumn("lead", F.element_at("members", 1))
+    return every.dropDuplicates(["key", "lead"])
 
 
 # ---------------------------------------------------------------- signature trees
@@ -351,12 +352,44 @@ class Tree:
                 stack += [(a, b) for a in x.kids or [x] for b in y.kids or [y]]
 
 
+class Forest:
+    """Union-find over ids."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        root = x
+        while self.parent.setdefault(root, root) != root:
+            root = self.parent[root]
+        while self.parent[x] != root:
+            self.parent[x], x = root, self.parent[x]
+        return root
+
+    def join(self, x: int, y: int) -> None:
+        a, b = self.find(x), self.find(y)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+
+
 def _candidates(percent: int, forest: bool):
-    """a, b of rows sorted by list: key, doc, n, bitmap, component."""
+    """a, b of rows sorted by list: key, doc, n, bitmap, component.
+
+    ``forest``: what one list has connected the worker's next lists take as connected, too; lists with the same first
+    member come to one worker, so lists of one group of near copies do.
+    """
+    joined = Forest()
 
     def one(docs: np.ndarray, n: np.ndarray, maps: list[bytes], comp: np.ndarray) -> np.ndarray:
-        group = np.unique(comp, return_inverse=True)[1]
+        group = np.array([joined.find(x) for x in docs.tolist()]) if forest else comp
+        if (group == group[0]).all():
+            return np.empty((0, 2), np.int64)
         found = list(Tree(n, maps, percent).pairs(group, forest))
+        if forest:
+            if len(joined.parent) > EDGES:
+                joined.parent.clear()
+            for i, j in found:
+                joined.join(int(docs[i]), int(docs[j]))
         return np.sort(docs[np.array(found, np.int64).reshape(-1, 2)], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -445,28 +478,18 @@ def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule, k: int, percent: in
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of a worker as stars around the smallest member of what they connect, EDGES at a time."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        root = x
-        while parent.setdefault(root, root) != root:
-            root = parent[root]
-        while parent[x] != root:
-            parent[x], x = root, parent[x]
-        return root
+    joined = Forest()
 
     def give() -> Iterator[pa.RecordBatch]:
-        rows = [(x, r) for x in list(parent) if (r := find(x)) != x]
-        parent.clear()
+        rows = [(x, r) for x in list(joined.parent) if (r := joined.find(x)) != x]
+        joined.parent.clear()
         if rows:
             yield batch_of(["node", "root"], list(np.array(rows, np.int64).T))
 
     for batch in batches:
         for x, y in zip(column(batch, "node").tolist(), column(batch, "root").tolist(), strict=True):
-            a, b = find(x), find(y)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-        if len(parent) >= EDGES:
+            joined.join(x, y)
+        if len(joined.parent) >= EDGES:
             yield from give()
     yield from give()
 
@@ -520,24 +543,26 @@ def join_similar(
     )
     kinds = saved(kinds)
     lists = _all_lists(real, rule, k, percent, part)
-    members = saved(
-        lists.select("key", F.explode("members").alias("h1")).join(kinds.select("h1", "doc", "n", "bitmap"), "h1").drop("h1")
-    )
+    members = lists.select("key", "lead", F.explode("members").alias("h1")).join(kinds.select("h1", "doc"), "h1")
+    members = saved(members.select("key", "lead", "doc"))
     # rows with one id count as one document
     several = known.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y"))
     several = known.join(several.where("x != y").select("doc_id"), "doc_id", "left_semi")
     links = several.join(kinds.select("h1", "h2", "doc"), ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
     tried = None
     for forest in (True, False):
-        if tried is None:
-            rows = members.withColumn("component", F.col("doc"))
-        else:
+        rows = members.withColumn("component", F.col("doc"))
+        if tried is not None:  # only lists that are not connected yet
             rows = members.join(components(links), F.col("doc") == F.col("node"), "left")
-            rows = rows.select("key", "doc", "n", "bitmap", F.coalesce("root", "doc").alias("component"))
+            rows = rows.select("key", "lead", "doc", F.coalesce("root", "doc").alias("component"))
             open_ = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
             rows = rows.join(open_.select("key"), "key", "left_semi")
         pairs = (
-            rows.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(percent, forest), "a long, b long").distinct()
+            rows.join(kinds.select("doc", "n", "bitmap"), "doc")
+            .repartition("lead")
+            .sortWithinPartitions("lead", "key")
+            .mapInArrow(_candidates(percent, forest), "a long, b long")
+            .distinct()
         )
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
