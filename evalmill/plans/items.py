@@ -125,8 +125,8 @@ _AT = f"CASE {_PLACES} WHEN 'front' THEN 0 WHEN 'middle' THEN len(l) // 2 ELSE l
 
 
 @query(
-    f"""SELECT doc_id, position, md5(array_to_string(list_concat(list_concat(list_slice(l, 1, at), ['GOLD']), list_slice(l, at + 1, len(l))), '|')) AS lines_md5
-FROM (SELECT *, {_AT} AS at, {_PLACES} AS position FROM (SELECT doc_id, {_LINES} AS l FROM documents))"""
+    f"""SELECT doc_id, position, md5(array_to_string(list_concat(list_concat(list_slice(l, 1, cut), ['GOLD']), list_slice(l, cut + 1, len(l))), '|')) AS lines_md5
+FROM (SELECT *, {_AT} AS cut, {_PLACES} AS position FROM (SELECT doc_id, {_LINES} AS l FROM documents))"""
 )
 def insert_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda x: x != "")
