@@ -69,14 +69,14 @@ def suspicious(text: str, window: int, bits: float) -> list[tuple[int, int]]:
     most = window * (math.log2(window) - bits) + 1e-9  # entropy = log2(window) - total / window
     out: list[tuple[int, int]] = []
     for i, c in enumerate(text):
-        n = counts.get(c, 0)
-        counts[c] = n + 1
-        total += log[n + 1] - log[n]
         if i >= window:
             old = text[i - window]
             n = counts[old]
             counts[old] = n - 1
             total += log[n - 1] - log[n]
+        n = counts.get(c, 0)
+        counts[c] = n + 1
+        total += log[n + 1] - log[n]
         if i >= window - 1 and total <= most:
             start = i - window + 1
             if out and start <= out[-1][1]:
