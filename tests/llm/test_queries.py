@@ -1,0 +1,42 @@
+"""Queries of the operators against their SQL, and the pipeline stage by stage."""
+
+from __future__ import annotations
+
+import pytest
+from conftest import assert_same
+
+from evalmill.llm import oracles, queries
+
+
+@pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
+def test_same_as_sql(spark, data, name):
+    assert_same(queries.queries()[name](spark, data), oracles.oracle_sql()[name], data)
+
+
+def test_pipeline(spark, data):
+    import corpus_pipeline as cp
+    from test_operators import components_of, hits
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    source = docs.collect()
+    kept = cp.language(spark, docs, data)
+    assert kept.columns == docs.columns and kept.count() == len(source)
+    groups = components_of([(r.doc_id, r.text) for r in source])
+    kept = cp.near_dups(spark, docs, data)
+    assert {r.doc_id for r in kept.collect()} == {i for i, g in groups.items() if i == g} and kept.columns == docs.columns
+    items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    clean = set()
+    for r in source:
+        n, hit, _ = hits(r.text, items)
+        if not (hit and 20 * hit >= n):
+            clean.add(r.doc_id)
+    kept = cp.benchmark(spark, docs, data)
+    assert {r.doc_id for r in kept.collect()} == clean and kept.columns == docs.columns
+    kept = cp.clean_secrets(spark, docs, data)
+    assert kept.columns == docs.columns and kept.schema.simpleString() == docs.schema.simpleString()
+    from evalmill.llm.secrets import Scanner
+
+    assert not any(Scanner().base(r.text) for r in kept.collect())
+    want = {i for i in clean if i == groups[i]}
+    got = cp.run(spark, data).select("doc_id").distinct().collect()
+    assert {r.doc_id for r in got} <= want and len(got) > 0.9 * len(want)
