@@ -12,9 +12,10 @@ The join is exact:
    their bitmaps, the range of their sizes and the most tokens that share a bit.  A dual traversal from (root, root)
    drops node pairs whose sizes or greatest possible overlap cannot reach the threshold, and pairs that are already
    connected.
-4. Pairs that are left are verified on the whole sets.  The first round verifies a spanning forest of each list's
-   pairs; the second verifies every pair that is left between documents not yet connected.  So a group of near copies
-   costs about one comparison a member, and no link between two components is lost.
+4. Pairs that are left are verified on the whole sets.  A first round verifies a spanning forest of each list's pairs,
+   a second one the same with finer bitmaps in lists that are not connected yet, and a third every pair that is left
+   between documents not yet connected.  So a group of near copies costs about one comparison a member, and no link
+   between two components is lost.
 5. Components: local union-find, then large-star and small-star steps until nothing changes.
 
 Null, empty and blank texts have no shingles and link with nothing.  Fewer than K words make one shingle.  Rows with
@@ -39,6 +40,7 @@ SKETCH_BITS, CHUNKS = 21, 256
 FILTER_BITS = 1 << 23
 PART = 4096
 LEAF, FANOUT, WIDTH = 16, 4, 1024
+COARSE, FINE = 2, 16  # bits of a bitmap for each shingle, in the first round and after it
 HOME = 256  # pairs verified beside one copy of a document's set
 EDGES = 1_000_000
 
@@ -74,9 +76,9 @@ class Sets:
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         return self._sums(mix(self.value)).view(np.int64), self._sums(mix(self.value ^ _H2)).view(np.int64)
 
-    def bitmap(self, i: int) -> bytes:
-        n = int(self.n[i])
-        width = max(WIDTH, 1 << max(0, 2 * n - 1).bit_length())
+    def bitmap(self, i: int, times: int) -> bytes:
+        """At least ``times`` bits a shingle; a power of two, so that larger ones fold onto smaller ones."""
+        width = max(WIDTH, 1 << max(0, times * int(self.n[i]) - 1).bit_length())
         bits = np.zeros(width, np.uint8)
         bits[self.value[self.first[i] : self.first[i + 1]] & np.uint64(width - 1)] = 1
         return np.packbits(bits, bitorder="little").tobytes()
@@ -88,7 +90,7 @@ def _described(rule: Rule, k: int):
             for block in blocks(batch.column("text"), rule):
                 sets = Sets(block, k)
                 h1, h2 = sets.keys()
-                maps = [sets.bitmap(i) if n else b"" for i, n in enumerate(sets.n.tolist())]
+                maps = [sets.bitmap(i, COARSE) if n else b"" for i, n in enumerate(sets.n.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[block.rows], longs(sets.n), longs(h1), longs(h2), pa.array(maps, pa.binary())],
                     ["doc_id", "n", "h1", "h2", "bitmap"],
@@ -160,6 +162,33 @@ def _bloom(ids: DataFrame) -> np.ndarray:
     return _folded(ids.mapInArrow(run, "chunk long, data binary"), np.bitwise_or, "u1", FILTER_BITS // 8)
 
 
+def _sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents that may be among the ids (column doc), found without dealing any text out."""
+    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(bloom.value, bitorder="little")
+        for batch in batches:
+            one, two = _filter_bits(column(batch, "doc_id"))
+            yield batch.filter(pa.array((bits[one] & bits[two]).astype(bool)))
+
+    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, text string")
+
+
+def _fine(docs: DataFrame, ids: DataFrame, rule: Rule, k: int) -> DataFrame:
+    """doc, n and the finer bitmap of the documents with these ids, and perhaps of some more."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column("text"), rule):
+                sets = Sets(block, k)
+                some = np.flatnonzero(sets.n)
+                maps = pa.array([sets.bitmap(i, FINE) for i in some.tolist()], pa.binary())
+                ids = column(batch, "doc_id")[block.rows][some]
+                yield pa.RecordBatch.from_arrays([longs(ids), longs(sets.n[some]), maps], ["doc", "n", "bitmap"])
+
+    return _sieved(docs, ids).mapInArrow(run, "doc long, n long, bitmap binary")
+
+
 # ---------------------------------------------------------------- lists
 
 
@@ -381,7 +410,7 @@ def _candidates(percent: int, forest: bool):
     joined = Forest()
 
     def one(docs: np.ndarray, n: np.ndarray, maps: list[bytes], comp: np.ndarray) -> np.ndarray:
-        group = np.array([joined.find(x) for x in docs.tolist()]) if forest else comp
+        group = np.array([joined.find(x) for x in comp.tolist()]) if forest else comp
         if (group == group[0]).all():
             return np.empty((0, 2), np.int64)
         found = list(Tree(n, maps, percent).pairs(group, forest))
@@ -389,7 +418,7 @@ def _candidates(percent: int, forest: bool):
             if len(joined.parent) > EDGES:
                 joined.parent.clear()
             for i, j in found:
-                joined.join(int(docs[i]), int(docs[j]))
+                joined.join(int(comp[i]), int(comp[j]))
         return np.sort(docs[np.array(found, np.int64).reshape(-1, 2)], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,18 +455,9 @@ def _candidates(percent: int, forest: bool):
 
 def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link.  A document's text goes beside each of its pairs, and once for HOME of them."""
-    spark = docs.sparkSession
     degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / HOME).alias("homes"))
     homes = pairs.join(degree, "a").select("a", F.expr("pmod(xxhash64(b), homes)").alias("home"), "b")
     need = homes.withColumnRenamed("b", "doc").unionByName(homes.select("a", "home", F.col("a").alias("doc"))).distinct()
-    bloom = spark.sparkContext.broadcast(_bloom(need.select("doc")))
-
-    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(bloom.value, bitorder="little")
-        for batch in batches:
-            one, two = _filter_bits(column(batch, "doc_id"))
-            yield batch.filter(pa.array((bits[one] & bits[two]).astype(bool)))
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         home, sets_of_home = None, []
         for batch in batches:
@@ -462,8 +482,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule, k: int, percent: in
                 yield batch_of(["a", "b"], list(np.array(found, np.int64).T))
 
     return (
-        docs.where("doc_id is not null")
-        .mapInArrow(sieve, "doc_id long, text string")
+        _sieved(docs, need.select("doc"))
         .join(need, F.col("doc_id") == F.col("doc"))
         .select("a", "home", "doc", "text")
         .repartition("a", "home")
@@ -538,10 +557,7 @@ def join_similar(
     every = saved(docs.mapInArrow(_described(rule, k), "doc_id long, n long, h1 long, h2 long, bitmap binary"))
     real = docs.where("doc_id is not null")
     known = every.where("doc_id is not null and n > 0")
-    kinds = known.groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")
-    )
-    kinds = saved(kinds)
+    kinds = saved(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc")))
     lists = _all_lists(real, rule, k, percent, part)
     members = lists.select("key", "lead", F.explode("members").alias("h1")).join(kinds.select("h1", "doc"), "h1")
     members = saved(members.select("key", "lead", "doc"))
@@ -550,15 +566,21 @@ def join_similar(
     several = known.join(several.where("x != y").select("doc_id"), "doc_id", "left_semi")
     links = several.join(kinds.select("h1", "h2", "doc"), ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
     tried = None
-    for forest in (True, False):
+    for forest, fine in ((True, False), (True, True), (False, True)):
         rows = members.withColumn("component", F.col("doc"))
         if tried is not None:  # only lists that are not connected yet
             rows = members.join(components(links), F.col("doc") == F.col("node"), "left")
             rows = rows.select("key", "lead", "doc", F.coalesce("root", "doc").alias("component"))
             open_ = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
             rows = rows.join(open_.select("key"), "key", "left_semi")
+        if fine:
+            rows = saved(rows)
+            maps = _fine(docs, rows.select("doc"), rule, k)
+        else:
+            maps = known.select(F.col("doc_id").alias("doc"), "n", "bitmap")
         pairs = (
-            rows.join(kinds.select("doc", "n", "bitmap"), "doc")
+            rows.join(maps, "doc")
+            .select("key", "lead", "doc", "component", "n", "bitmap")
             .repartition("lead")
             .sortWithinPartitions("lead", "key")
             .mapInArrow(_candidates(percent, forest), "a long, b long")
@@ -567,7 +589,7 @@ def join_similar(
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = saved(pairs)
-        tried = pairs
+        tried = pairs if tried is None else tried.unionByName(pairs)
         links = saved(links.unionByName(_verified(docs, pairs, rule, k, percent)))
     roots = components(links)
     found = kinds.select("h1", "h2", "doc").join(roots, F.col("doc") == F.col("node"), "left")
