@@ -15,7 +15,7 @@ def test_same_as_sql(spark, data, name):
 
 def test_pipeline(spark, data):
     import corpus_pipeline as cp
-    from test_operators import components_of, hits
+    from test_llm_operators import components_of, hits
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
     source = docs.collect()
