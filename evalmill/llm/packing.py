@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -48,12 +50,19 @@ def _letters(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c)).startswith(kind))
 
 
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Encoder:
     """Token ids as little-endian 32-bit bytes, with a cache of pre-tokens for plain texts."""
 
     # The rule of this tokenizer file, for characters below U+0180 (fixed value).
     PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_letters('L')}]+|[{_letters('N')}]|[^\s{_letters('L')}{_letters('N')}]+")
-    ODD = re.compile("[^\x00-ſ]|[\x1c-\x1fİ]|<\\|")
+    ODD = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u017f]")  # also separators that not all libraries call space, and İ
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
@@ -76,7 +85,7 @@ class Encoder:
         return steps == ["NFC", "Replace", "Lowercase"] and cuts[0].get("pattern") == {"Regex": rule} and d.get("post_processor") is None
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.plain:
@@ -84,15 +93,16 @@ class Encoder:
         cut: list[list[str] | None] = []
         odd: list[str] = []
         for t in texts:
-            if not t.isascii() and not unicodedata.is_normalized("NFC", t) or self.ODD.search(t):
+            if not t.isascii() and not unicodedata.is_normalized("NFC", t) or self.ODD.search(t) or "<|" in t:
                 odd.append(t)
                 cut.append(None)
             else:
                 cut.append(self.PIECES.findall(t.lower()))
-        new = list({p for x in cut if x for p in x}.difference(self.known))
+        seen = set().union(*(x for x in cut if x))
+        new = list(seen.difference(self.known))
         if len(self.known) + len(new) > CACHE:  # two generations: what is still used comes over from the old one
             self.old, self.known = self.known, {}
-            new = list({p for x in cut if x for p in x})
+            new = list(seen)
         moved = [p for p in new if p in self.old]
         self.known.update((p, self.old[p]) for p in moved)
         if len(moved) < len(new):
