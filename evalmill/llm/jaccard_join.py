@@ -16,7 +16,8 @@ The join is exact:
    a second one the same with finer bitmaps in lists that are not connected yet, and a third every pair that is left
    between documents not yet connected.  So a group of near copies costs about one comparison a member, and no link
    between two components is lost.
-5. Components: local union-find, then large-star and small-star steps until nothing changes.
+5. Components: local union-find; where a worker cannot hold what is left, large-star and small-star steps until
+   nothing changes.
 
 Null, empty and blank texts have no shingles and link with nothing.  Fewer than K words make one shingle.  Rows with
 one id count as one document.  A null id gets its n_shingles and a null component.
@@ -40,7 +41,7 @@ SKETCH_BITS, CHUNKS = 21, 256
 FILTER_BITS = 1 << 23
 PART = 4096
 LEAF, FANOUT, WIDTH = 16, 4, 1024
-COARSE, FINE = 2, 16  # bits of a bitmap for each shingle, in the first round and after it
+COARSE, FINE = 2, 6  # bits of a bitmap for each shingle, in the first round and after it
 HOME = 256  # pairs verified beside one copy of a document's set
 EDGES = 1_000_000
 
@@ -523,6 +524,8 @@ def components(links: DataFrame) -> DataFrame:
     schema = "node long, root long"
     edges = links.select(F.greatest(a, b).alias("node"), F.least(a, b).alias("root")).where("node > root").distinct()
     edges = saved(edges.mapInArrow(_stars, schema).distinct())
+    if edges.count() < EDGES // 2:  # then one worker's union-find holds all of them
+        return saved(edges.coalesce(1).mapInArrow(_stars, schema))
     while True:
         least = edges.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("top"))
         hanging = edges.select(F.col("root").alias("node")).join(least, "node", "left_semi")
@@ -575,6 +578,8 @@ def join_similar(
             rows = rows.join(open_.select("key"), "key", "left_semi")
         if fine:
             rows = saved(rows)
+            if rows.isEmpty():
+                break
             maps = _fine(docs, rows.select("doc"), rule, k)
         else:
             maps = known.select(F.col("doc_id").alias("doc"), "n", "bitmap")
