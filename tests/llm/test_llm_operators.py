@@ -208,7 +208,9 @@ def test_signature_tree_loses_no_pair():
     assert true and true <= found and len(found) < 3 * len(true)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("edges_at_once", [1_000_000, 20])
+def test_components(spark, edges_at_once, monkeypatch):
+    monkeypatch.setattr(jj, "EDGES", edges_at_once)
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(200, 260)] + [(rng.randrange(100), rng.randrange(100)) for _ in range(60)] + [(300, 301), (301, 300)]
     got = {r.node: r.root for r in jj.components(spark.createDataFrame(edges, "a long, b long")).collect()}
