@@ -18,9 +18,13 @@ The join is exact:
    between two components is lost.
 5. Components: local union-find; where a worker cannot hold what is left, large-star and small-star steps until
    nothing changes.
+6. All links: they lie inside components.  The different sets of a component are dealt into parts of about ``UNIT``
+   of similar size; a worker counts the common shingles of all pairs of two parts whose sizes can link, as products
+   of 0/1 matrices.  Only sums for each set leave it, so a group of n near copies makes no n * n rows unless the
+   caller asks for the links themselves (``similar_pairs``).
 
 Null, empty and blank texts have no shingles and link with nothing.  Fewer than K words make one shingle.  Rows with
-one id count as one document.  A null id gets its n_shingles and a null component.
+one id count as one document.  A null id gets its n_shingles and a null component, and no n_links.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import batch_of, column, longs, prepared, saved, starts_of, texts
@@ -44,6 +48,7 @@ LEAF, FANOUT, WIDTH = 16, 4, 1024
 COARSE, FINE = 2, 6  # bits of a bitmap for each shingle, in the first round and after it
 HOME = 256  # pairs verified beside one copy of a document's set
 EDGES = 1_000_000
+UNIT, TOKENS = 512, 4096  # sets in a part of a component; columns of a 0/1 matrix at once
 
 _H2 = np.uint64(0xA5A5F00DCAFE1234)
 
@@ -540,9 +545,149 @@ def components(links: DataFrame) -> DataFrame:
         edges = saved(small.distinct().mapInArrow(_stars, schema).distinct())
 
 
+# ---------------------------------------------------------------- all links
+
+
+_UNIT = ("component", "band", "step", "i", "j")  # a pair of parts: i of a band, j of the same band or of the next one
+
+
+def _units(kinds: DataFrame, percent: int) -> DataFrame:
+    """kinds (h1, h2, component, n and more) once for each pair of parts they belong to; side: which of the two."""
+    step = -np.log(percent / 100) * 1.001 + 1e-9  # sets of sizes that can link are at most one band apart
+    sizes = kinds.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
+    band = F.when(F.col("size") <= UNIT, 0).otherwise(F.floor(F.log("n") / step)).cast("long")
+    kinds = kinds.join(sizes, "component").withColumn("band", band).drop("size")
+    parts = kinds.groupBy("component", "band").agg(F.ceil(F.count("*") / UNIT).alias("parts"))
+    for name, by in (("own", 0), ("after", -1), ("before", 1)):
+        kinds = kinds.join(parts.select("component", (F.col("band") + by).alias("band"), F.col("parts").alias(name)), ["component", "band"], "left")
+    kinds = kinds.withColumn("at", F.pmod(F.xxhash64("h1", "h2"), "own"))
+
+    def each(n: str, unit: str) -> Column:
+        return F.expr(f"transform(if({n} is null, array(), sequence(0L, {n} - 1)), p -> {unit})")
+
+    every = F.concat(
+        each("own", "struct(band, 0 as step, least(at, p) as i, greatest(at, p) as j, at > p as side)"),
+        each("after", "struct(band, 1 as step, at as i, p as j, false as side)"),
+        each("before", "struct(band - 1 as band, 1 as step, p as i, at as j, true as side)"),
+    )
+    kinds = kinds.withColumn("unit", F.explode(every)).drop("band", "own", "after", "before", "at")
+    return kinds.select("*", "unit.*").drop("unit")
+
+
+def _common(owner: np.ndarray, values: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Common values of each set of ``left`` with each of ``right``."""
+    _, token, times = np.unique(values, return_inverse=True, return_counts=True)
+    place = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[token]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    common = np.zeros((len(left), len(right)), np.int64)
+    for t in range(0, int((times > 1).sum()), TOKENS):
+        a, b = np.searchsorted(place, (t, t + TOKENS))
+        m = np.zeros((n, int(place[b - 1]) - t + 1), np.float32)
+        m[owner[a:b], place[a:b] - t] = 1
+        common += (m[left] @ m[right].T).astype(np.int64)
+    return common
+
+
+def _linked(rule: Rule, k: int, percent: int, listed: bool):
+    """h1, h2, other, n of rows sorted by pair of parts: for each set the documents of the sets it links with, other
+    null; and for each of them that is marked its row with the doc in other.  ``listed``: h1 and h2 are the docs of a pair."""
+    names = ["h1", "h2", "other", "n"]
+
+    def pairs(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        side = np.array([r[2] for r in held])
+        size = np.array([len(r[6]) for r in held])
+        one = held[0][0][2] == 0 and held[0][0][3] == held[0][0][4]  # the part with itself
+        left, right = (np.arange(len(held)),) * 2 if one else (np.flatnonzero(~side), np.flatnonzero(side))
+        if not len(left) or not len(right):
+            return
+        common = _common(np.repeat(np.arange(len(held)), size), np.concatenate([r[6] for r in held]), len(held), left, right)
+        link = 100 * common >= percent * (size[left][:, None] + size[right][None] - common)
+        if one:
+            np.fill_diagonal(link, False)
+        keys = np.array([r[1] for r in held], np.int64)
+        doc, weight, marked = (np.array([r[c] for r in held]) for c in (3, 4, 5))
+        if listed:
+            i, j = np.nonzero(np.tril(link) if one else link)
+            ends = np.sort(np.stack([doc[left[i]], doc[right[j]]]), axis=0)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([longs(ends[0]), longs(ends[1]), pa.nulls(len(i), pa.int64()), longs(common[i, j])], names)
+            return
+        for own, its, x in ((left, right, link),) if one else ((left, right, link), (right, left, link.T)):
+            n = x @ weight[its]
+            yield pa.RecordBatch.from_arrays([longs(keys[own, 0]), longs(keys[own, 1]), pa.nulls(len(own), pa.int64()), longs(n)], names)
+            i, j = np.nonzero(x & marked[its][None])
+            if len(i):
+                yield pa.RecordBatch.from_arrays([longs(keys[own[i], 0]), longs(keys[own[i], 1]), longs(keys[its[j], 0]), longs(keys[its[j], 1])], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        seen: set[tuple] = set()
+        for batch in batches:
+            unit = list(zip(*(batch.column(c).to_pylist() for c in _UNIT), strict=True))
+            h1, h2, side, doc, n, marked = (batch.column(c).to_pylist() for c in ("h1", "h2", "side", "doc", "docs", "several"))
+            for block in blocks(batch.column("text"), rule):
+                sets = Sets(block, k)
+                for i, key in enumerate(zip(*(x.tolist() for x in sets.keys()), strict=True)):
+                    row = block.rows.start + i
+                    if held and held[0][0] != unit[row]:
+                        yield from pairs(held)
+                        held, seen = [], set()
+                    # another text of the same id, or the same row again
+                    if key != (h1[row], h2[row]) or key in seen:
+                        continue
+                    seen.add(key)
+                    held.append((unit[row], key, side[row], doc[row], n[row], marked[row], sets.value[sets.first[i] : sets.first[i + 1]].copy()))
+        if held:
+            yield from pairs(held)
+
+    return run
+
+
+def _links(docs: DataFrame, kinds: DataFrame, rule: Rule, k: int, percent: int, listed: bool = False) -> DataFrame:
+    """See ``_linked``; kinds: h1, h2, doc, n, component, docs (documents of one set only), several (are there others?)."""
+    units = saved(_units(kinds, percent))
+    return (
+        _sieved(docs, units.select("doc"))
+        .join(units, F.col("doc_id") == F.col("doc"))
+        .select(*_UNIT, "side", "h1", "h2", "doc", "docs", "several", "text")
+        .repartition(*_UNIT)
+        .sortWithinPartitions(*_UNIT)
+        .mapInArrow(_linked(rule, k, percent, listed), "h1 long, h2 long, other long, n long")
+    )
+
+
+def _counted(docs: DataFrame, known: DataFrame, found: DataFrame, several: DataFrame, rule: Rule, k: int, percent: int) -> DataFrame:
+    """h1, h2, n_links of every set: the other documents with a set that is equal or links with it."""
+    both = several.select("doc_id", "h1", "h2").distinct()  # documents with more than one set
+    alone = known.join(both.select("doc_id").distinct(), "doc_id", "left_anti").groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("docs"))
+    marked = both.select("h1", "h2").distinct().withColumn("several", F.lit(True))
+    kinds = found.join(alone, ["h1", "h2"], "left").join(marked, ["h1", "h2"], "left").fillna({"docs": 0, "several": False})
+    kinds = saved(kinds)
+    rows = saved(_links(docs, kinds, rule, k, percent))
+    sums = rows.where("other is null").groupBy("h1", "h2").agg(F.sum("n").alias("near"))
+    pairs = rows.where("other is not null").select("h1", "h2", F.col("other").alias("o1"), F.col("n").alias("o2"))
+    pairs = pairs.unionByName(marked.select("h1", "h2", F.col("h1").alias("o1"), F.col("h2").alias("o2")))
+    more = pairs.join(both.select("doc_id", F.col("h1").alias("o1"), F.col("h2").alias("o2")), ["o1", "o2"])
+    more = more.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("more"))
+    out = kinds.join(sums, ["h1", "h2"], "left").join(more, ["h1", "h2"], "left").fillna({"near": 0, "more": 0})
+    return out.select("h1", "h2", F.expr("docs + near + more - 1").alias("n_links"))
+
+
 # ---------------------------------------------------------------- join
 
 
+def similar_pairs(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, rule: Rule = LOWER, part: int = PART
+) -> DataFrame:
+    """a, b, n_common of every link between different sets; a set goes by the smallest id that has it."""
+    docs = texts(docs, id_col, text_col)
+    _, _, _, found = _grouped(docs, k, percent, rule, part)
+    kinds = saved(found.withColumns({"docs": F.lit(0), "several": F.lit(False)}))
+    pairs = _links(docs, kinds, rule, k, percent, listed=True)
+    return pairs.select(F.col("h1").alias("a"), F.col("h2").alias("b"), F.col("n").alias("n_common"))
+
+
 def join_similar(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -551,16 +696,36 @@ def join_similar(
     percent: int = PERCENT,
     rule: Rule = LOWER,
     part: int = PART,
+    links: bool = True,
 ) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+    """doc_id, n_shingles, component_id and n_links of every row.
+
+    n_links: the other documents that the row's text links with, copies of its set among them.  ``links`` False: without
+    n_links, for callers that want components alone.
+    """
+    docs = texts(docs, id_col, text_col)
+    every, known, several, found = _grouped(docs, k, percent, rule, part)
+    own = found.select("h1", "h2", F.col("component").alias("component_id"))
+    rest = every.where("doc_id is null or n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    names = ["doc_id", "n", "component_id"]
+    if links:
+        own = own.join(_counted(docs, known, found, several, rule, k, percent), ["h1", "h2"])
+        rest = rest.withColumn("n_links", F.when(F.col("doc_id").isNotNull(), 0).cast("long"))
+        names.append("n_links")
+    known = known.select("doc_id", "n", "h1", "h2").join(own, ["h1", "h2"])
+    return known.select(*names).unionByName(rest).withColumnRenamed("n", "n_shingles")
+
+
+def _grouped(docs: DataFrame, k: int, percent: int, rule: Rule, part: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Every row; those with an id and shingles; those of ids with several sets; and each set (h1, h2, n, doc: its
+    smallest id) with its component."""
     if not 0 < percent <= 100:
         raise ValueError("percent must be between 1 and 100")
-    spark = prepared(docs.sparkSession)
-    docs = texts(docs, id_col, text_col)
+    prepared(docs.sparkSession)
     every = saved(docs.mapInArrow(_described(rule, k), "doc_id long, n long, h1 long, h2 long, bitmap binary"))
     real = docs.where("doc_id is not null")
     known = every.where("doc_id is not null and n > 0")
-    kinds = saved(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc")))
+    kinds = saved(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n")))
     lists = _all_lists(real, rule, k, percent, part)
     members = lists.select("key", "lead", F.explode("members").alias("h1")).join(kinds.select("h1", "doc"), "h1")
     members = saved(members.select("key", "lead", "doc"))
@@ -597,8 +762,5 @@ def join_similar(
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = saved(links.unionByName(_verified(docs, pairs, rule, k, percent)))
     roots = components(links)
-    found = kinds.select("h1", "h2", "doc").join(roots, F.col("doc") == F.col("node"), "left")
-    found = found.select("h1", "h2", F.coalesce("root", "doc").alias("component_id"))
-    known = known.select("doc_id", "n", "h1", "h2").join(found, ["h1", "h2"])
-    rest = every.where("doc_id is null or n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return known.select("doc_id", "n", "component_id").unionByName(rest).withColumnRenamed("n", "n_shingles")
+    found = kinds.join(roots, F.col("doc") == F.col("node"), "left")
+    return every, known, several, found.select("h1", "h2", "n", "doc", F.coalesce("root", "doc").alias("component"))

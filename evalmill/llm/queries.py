@@ -25,6 +25,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole join with its links; its SQL has no n_links, op2_jaccard_links shows them."""
+    return op2_jaccard_links(spark, sf_dir).drop("n_links")
+
+
+def op2_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jj.join_similar(table(spark, sf_dir, "documents"))
 
 
@@ -67,7 +72,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        op1_secret_scan, op2_jaccard_join, op3_chat_format, op4_license_scan, op5_decontaminate, op6_packing, op7_substring_dedup, op8_language_id, op9_quality_rules,
+        op1_secret_scan, op2_jaccard_join, op2_jaccard_links, op3_chat_format, op4_license_scan, op5_decontaminate, op6_packing, op7_substring_dedup, op8_language_id, op9_quality_rules,
         op10_url_filter,
     )
     return {f.__name__: f for f in every}

@@ -187,6 +187,28 @@ def test_jaccard_join(docs, none, part):
         assert jj.join_similar(none).count() == 0
 
 
+def shingles(text: str | None) -> frozenset:
+    w = plain_words(lower(text))
+    return frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+@pytest.mark.parametrize("unit", [512, 4])
+def test_jaccard_join_gives_all_links(docs, unit, monkeypatch):
+    monkeypatch.setattr(jj, "UNIT", unit)
+    rows = [(r.doc_id, shingles(r.text)) for r in docs.collect()]
+    near = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+    want = Counter((i, len(a), len({j for j, b in rows if j is not None and j != i and near(a, b)}) if i is not None else None) for i, a in rows)
+    assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in jj.join_similar(docs).collect()) == want
+    first: dict[frozenset, int] = {}
+    for i, a in rows:
+        if i is not None and a:
+            first[a] = min(i, first.get(a, i))
+    sets = list(first.items())
+    pairs = Counter((*sorted((i, j)), len(a & b)) for n, (a, i) in enumerate(sets) for b, j in sets[:n] if near(a, b))
+    assert len(pairs) > 20 and Counter(map(tuple, jj.similar_pairs(docs).collect())) == pairs
+    assert "n_links" not in jj.join_similar(docs, links=False).columns
+
+
 def test_signature_tree_loses_no_pair():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 1 << 62, rng.integers(1, 1500)).astype(np.uint64)) for _ in range(40)]
