@@ -5,7 +5,7 @@ declared language), the declared markup language, and a prior of the host.  The
 hierarchically: counts of a host are filled up with the distribution of its address suffix, and those with the
 distribution over everything; all three come from grouped aggregation.  The posterior is the product, normalised.
 
-Priors of up to ``SMALL_HOSTS`` hosts go to every worker.  Beyond that documents are joined with them by host: unless
+The model knows every declared language.  Priors of up to ``SMALL_PRIORS`` values go to every worker.  Beyond that documents are joined with them by host: unless
 the caller wants texts back these are short rows, and a host with a third of all documents is a join Spark can split.  A document is rejected when it has no words made of letters, or
 when no language reaches ``least`` of the posterior.  Without any declared language all documents are rejected.
 
@@ -27,33 +27,37 @@ from .words import Rule, blocks, kgrams
 
 LETTERS = Rule(bytes(b for b in range(128) if not (65 <= b <= 90 or 97 <= b <= 122)), lower=True)
 BUCKETS = 1 << 14
-MAX_LANGS = 64  # languages that the model knows: those declared most often
 HOST_WEIGHT, SUFFIX_WEIGHT = 20.0, 20.0
 DECLARED_RIGHT = 0.9  # how often a declaration is taken to be right
 EVIDENCE_WORDS = 50  # a long text counts as so many words, as words of one text depend on each other
 LEAST = 0.5
 UNKNOWN = "und"
-SMALL_HOSTS = 10_000  # priors of so many hosts (MAX_LANGS values each, 5 MB at most) go to every worker
+SMALL_PRIORS = 640_000  # priors of hosts (a value for each language) up to so many values (5 MB) go to every worker
 
 
 def _counts(docs: DataFrame, langs: list[str]) -> np.ndarray:
-    """Word buckets by language, over all documents with a declared language that the model knows."""
+    """Word buckets by language, over all documents with a declared language."""
     place = {x: i for i, x in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(langs) * BUCKETS, np.int64)
+        total: dict[int, np.ndarray] = {}  # of the languages that this worker meets
         for batch in batches:
             own = np.array([place.get(x, -1) for x in batch.column("declared").to_pylist()], np.int64)
             for block in blocks(batch.column("text"), LETTERS):
                 lang = own[block.rows][block.owner()]
-                at = (kgrams(block.hashes, 1) % np.uint64(BUCKETS)).astype(np.int64) + lang * BUCKETS
-                total += np.bincount(at[lang >= 0], minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([longs(at), longs(total[at])], ["at", "n"])
+                bucket = (kgrams(block.hashes, 1) % np.uint64(BUCKETS)).astype(np.int64)
+                order = np.argsort(lang, kind="stable")
+                for x, i in zip(*np.unique(lang[order], return_index=True), strict=True):
+                    if x >= 0:
+                        some = bucket[order[i : i + int((lang == x).sum())]]
+                        total[int(x)] = total.get(int(x), 0) + np.bincount(some, minlength=BUCKETS)
+        for x, n in total.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([longs(at + x * BUCKETS), longs(n[at])], ["at", "n"])
 
     out = np.zeros(len(langs) * BUCKETS)
     rows = docs.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    for r in rows.toLocalIterator():  # at most MAX_LANGS * BUCKETS rows
+    for r in rows.toLocalIterator():  # at most BUCKETS rows a language
         out[r.at] = r.n
     return out.reshape(len(langs), BUCKETS)
 
@@ -63,7 +67,7 @@ def _log_likelihoods(docs: DataFrame, langs: list[str]) -> DataFrame:
     counts = _counts(docs, langs) + 0.5
     logs = np.log(counts / counts.sum(axis=1, keepdims=True))
     # against the mean over languages, in integers, so that sums do not depend on the order of work
-    sent = docs.sparkSession.sparkContext.broadcast(np.rint((logs - logs.mean(axis=0)) * (1 << 20)).astype(np.int64))
+    sent = docs.sparkSession.sparkContext.broadcast(np.rint((logs - logs.mean(axis=0)) * (1 << 20)).astype(np.int32))
     fields = [T.StructField("n_letter_words", T.LongType()), T.StructField("loglik", T.ArrayType(T.DoubleType()))]
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -73,7 +77,7 @@ def _log_likelihoods(docs: DataFrame, langs: list[str]) -> DataFrame:
             n = block.sizes
             total = np.zeros((len(langs), len(n)), np.int64)
             for i, row in enumerate(sent.value):
-                sums = np.concatenate([[0], np.cumsum(row[bucket])])
+                sums = np.concatenate([[0], np.cumsum(row[bucket], dtype=np.int64)])
                 total[i] = sums[block.first[1:]] - sums[block.first[:-1]]
             values.append((total / (1 << 20) * np.minimum(1, EVIDENCE_WORDS / np.maximum(n, 1))).T)
             sizes.append(n)
@@ -96,7 +100,7 @@ def _priors(docs: DataFrame, langs: list[str]) -> tuple[DataFrame, list[float]]:
     known = docs.where(F.col("declared").isin(langs))
     hosts = known.groupBy("host", "declared").agg(F.count("*").alias("n"))
     suffixes = hosts.groupBy(_suffix(F.col("host")).alias("suffix"), "declared").agg(F.sum("n").alias("n"))
-    totals = {r.declared: r.n for r in suffixes.groupBy("declared").agg(F.sum("n").alias("n")).collect()}  # MAX_LANGS rows
+    totals = {r.declared: r.n for r in suffixes.groupBy("declared").agg(F.sum("n").alias("n")).collect()}  # a row a language
     share = [totals.get(x, 0) / max(1, sum(totals.values())) for x in langs]
     each = [F.sum(F.when(F.col("declared") == x, F.col("n")).otherwise(0)).cast("double").alias(f"n{i}") for i, x in enumerate(langs)]
 
@@ -133,17 +137,15 @@ def identify(
         (F.col(declared_col) if declared_col else F.lit(None)).cast("string").alias("declared"),
         (F.col(host_col) if host_col else F.lit(None)).cast("string").alias("host"),
     )
-    langs = [
-        r.declared
-        for r in own.where("declared is not null").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(MAX_LANGS).collect()
-    ]
+    langs = [r.declared for r in own.where("declared is not null").select("declared").distinct().collect()]
     if not langs:
         none = own.select("row.*", F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("posterior"), F.lit(True).alias("rejected"))
         return none.withColumn("n_letter_words", F.lit(0).cast("long"))
     langs.sort()
     scored = _log_likelihoods(own, langs)
     priors, share = _priors(own, langs)
-    if priors.limit(SMALL_HOSTS + 1).count() <= SMALL_HOSTS:
+    small = SMALL_PRIORS // len(langs)
+    if priors.limit(small + 1).count() <= small:
         priors = F.broadcast(priors)
     scored = scored.join(priors.withColumnRenamed("host", "of_host"), F.col("host").eqNullSafe(F.col("of_host")), "left")
     overall = F.array(*(F.log(F.lit(max(x, 1e-9))) for x in share))

@@ -438,6 +438,14 @@ def test_host_prior_decides_when_words_do_not(spark):
     assert (got[500], got[501]) == ("xx", "yy")
 
 
+def test_every_declared_language_takes_part(spark):
+    names = [f"l{i}" for i in range(70)]
+    rows = [(100 * i + j, " ".join(f"{x}{c}".translate(str.maketrans("0123456789", "abcdefghij")) for c in "uvwxyz"), x, None)
+            for i, x in enumerate(names) for j in range(2 if i < 66 else 1)]
+    got = {r.doc_id: r for r in li.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i].language == x and not got[i].rejected for i, _, x, _ in rows)
+
+
 # ---------------------------------------------------------------- 9
 
 
