@@ -505,6 +505,16 @@ def test_url_rules(spark):
     assert uf.judge_urls(df.limit(0)).count() == 0
 
 
+def test_suffix_shares_count_all_labelled_rows(spark):
+    urls = [(f"http://s{i}.net/p", 1.0 if i % 2 else 0.0) for i in range(300)] + [("http://many.net/p", 0.0)] * 400
+    model = uf.train(spark.createDataFrame(urls, "url string, bad double"), sample_rows=50)
+    shares = {r.of_suffix: r.share for r in model.suffixes.collect()}
+    overall = 150 / 700
+    assert len(shares) == 301 and len(model.trees) > 1
+    assert all(shares[f"s{i}.net"] == pytest.approx((i % 2 + 10 * overall) / 11) for i in range(300))
+    assert shares["many.net"] == pytest.approx(10 * overall / 410)
+
+
 def test_boosted_trees_learn(spark):
     rng = random.Random(9)
     good = [f"https://site{rng.randrange(50)}.net/a{rng.randrange(9)}" for _ in range(300)]
