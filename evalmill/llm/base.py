@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -17,11 +18,16 @@ _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Smaller Arrow batches unless the session set its own; a checkpoint folder only where none is set."""
+    """Smaller Arrow batches unless the session set its own; a checkpoint folder where none is set and the master is local.
+
+    On a cluster a folder of one machine would lose rows, so there the session has to name a shared one.
+    """
     if spark.conf.get(_ARROW, "10000") == "10000":
         spark.conf.set(_ARROW, str(ARROW_ROWS))
     sc = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", "") and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return spark
 
@@ -38,6 +44,53 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables written to the shared folder while a job goes on; all of them go at its end."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables: list[DataFrame] = []
+
+    def save(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.tables)}"
+        df.write.parquet(path)
+        self.tables.append(self.spark.read.schema(df.schema).parquet(path))
+        return self.tables[-1]
+
+    def _remove(self, path: str) -> None:
+        sc = self.spark.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+    def drop(self, df: DataFrame) -> None:
+        """Removes a table that the job needs no more."""
+        self._remove(f"{self.folder}/{[x is df for x in self.tables].index(True)}")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self._remove(self.folder)
+
+
+class Seen:
+    """Hashes that a worker has met, at most ``limit`` at a time, as one sorted array."""
+
+    def __init__(self, limit: int = 1_000_000):
+        self.limit, self.have = limit, np.empty(0, np.int64)
+
+    def fresh(self, h: np.ndarray) -> np.ndarray:
+        """Which of them are met for the first time; the first of equal ones."""
+        out = np.zeros(len(h), bool)
+        each, first = np.unique(h, return_index=True)
+        at = np.searchsorted(self.have, each)
+        new = at == len(self.have)
+        new[~new] = self.have[at[~new]] != each[~new]
+        out[first[new]] = True
+        self.have = np.sort(np.concatenate([self.have, each[new]])) if len(self.have) < self.limit else each[new]
+        return out
+
+
 def annotate(
     df: DataFrame, fields: list[T.StructField], make: Callable[[pa.RecordBatch], list[pa.Array]], need: list[str] | None = None
 ) -> DataFrame:

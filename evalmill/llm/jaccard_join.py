@@ -4,53 +4,56 @@ A document is the set of its ``K``-word shingles; two documents link when 100 *
 The join is exact:
 
 1. Equal sets collapse into one (128 bits of hash), so copies cost nothing further.
-2. Shingles get one order for all documents: rare ones first, as far as a counter sketch of fixed size over all
-   documents tells, then by hash.  Two linked sets share a shingle among the first n - ceil(t * n) + 1 of each, so
-   documents that share such a shingle form a list.  Equal lists count once.  A list of more than ``PART`` members
-   is cut into parts, and each pair of parts is a list of its own: no task holds more than two parts.
-3. Every list gets a signature tree: leaves hold the token bitmaps of a few documents of similar size, nodes the OR of
-   their bitmaps, the range of their sizes and the most tokens that share a bit.  A dual traversal from (root, root)
-   drops node pairs whose sizes or greatest possible overlap cannot reach the threshold, and pairs that are already
-   connected.
-4. Pairs that are left are verified on the whole sets.  A first round verifies a spanning forest of each list's pairs,
-   a second one the same with finer bitmaps in lists that are not connected yet, and a third every pair that is left
-   between documents not yet connected.  So a group of near copies costs about one comparison a member, and no link
-   between two components is lost.
-5. Components: local union-find; where a worker cannot hold what is left, large-star and small-star steps until
-   nothing changes.
-6. All links: they lie inside components.  The different sets of a component are dealt into parts of about ``UNIT``
-   of similar size; a worker counts the common shingles of all pairs of two parts whose sizes can link, as products
-   of 0/1 matrices.  Only sums for each set leave it, so a group of n near copies makes no n * n rows unless the
-   caller asks for the links themselves (``similar_pairs``).
+2. Shingles get one order for all documents: rare ones first, as far as a counter sketch over all documents tells, then
+   by hash.  Two linked sets share a shingle among the first n - ceil(t * n) + 1 of each; their sizes, and what follows
+   the first common shingle in that order, bound their overlap.  Sets that share a shingle and are not ruled out by that
+   are in one block; blocks are the components of these pairs.  The pairs of a shingle that few sets have are first
+   tested as the leaves of a tree are (3), so that chance does not join blocks; a shingle of more sets connects those
+   not ruled out without listing their pairs.  Shingles that the sketch calls frequent are dealt out with a salt, and
+   connect all sets of similar size.
+3. A block of more than ``UNIT`` sets is dealt into parts by size and hash, and only parts of sizes that can link meet.
+   Each part gets a signature tree: leaves hold the token bitmaps of a few sets of similar size, nodes the OR of their
+   bitmaps, the range of their sizes and the most tokens that share a bit.  A dual traversal from both roots drops node
+   pairs whose sizes or greatest possible overlap cannot reach the threshold.
+4. Pairs that are left are verified on the whole sets, many at once as a product of 0/1 matrices.  Only sums and a star
+   for each connected group leave the worker, so a group of n near copies makes no n * n rows unless the caller asks for
+   the links themselves (``similar_pairs``).
+5. Components of the links: local union-find; where a worker cannot hold what is left, large-star and small-star steps
+   until nothing changes.
+
+Texts are read three times: for sets and the sketch, for the first shingles, and those of blocks for the links.
 
 Null, empty and blank texts have no shingles and link with nothing.  Fewer than K words make one shingle.  Rows with
-one id count as one document.  A null id gets its n_shingles and a null component, and no n_links.
+one id count as one document.  A null id gets its n_shingles and a null component, and no n_links.  Further columns play
+no part, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import batch_of, column, longs, prepared, saved, starts_of, texts
+from .base import Scratch, Seen, batch_of, column, longs, prepared, saved, starts_of, texts
 from .words import LOWER, Block, Rule, blocks, kgrams, mix
 
 K, PERCENT = 5, 80
-SKETCH_BITS, CHUNKS = 21, 256
+LEAST_BITS, MOST_BITS, SHINGLE_BYTES, CHUNKS = 16, 24, 128, 256  # counters of the sketch: one for so many bytes of text
 FILTER_BITS = 1 << 23
-PART = 4096
-LEAF, FANOUT, WIDTH = 16, 4, 1024
-COARSE, FINE = 2, 6  # bits of a bitmap for each shingle, in the first round and after it
-HOME = 256  # pairs verified beside one copy of a document's set
+LEAF, FANOUT, LEAST_WIDTH, MOST_WIDTH = 16, 4, 256, 1 << 14
+SMALL_LIST, PART = 32, 2048  # sets of a shingle whose pairs are looked at one by one, or in one matrix
 EDGES = 1_000_000
-UNIT, TOKENS = 512, 4096  # sets in a part of a component; columns of a 0/1 matrix at once
+UNIT, UNIT_SHINGLES, TOKENS = 256, 1 << 20, 4096  # sets and shingles in a part of a block; columns of a 0/1 matrix at once
+FEW = 64  # pairs compared one by one
 
 _H2 = np.uint64(0xA5A5F00DCAFE1234)
+_LEVEL, _SALT = np.uint64(58), np.uint64(0xFFFF)
+_REST = np.uint64((1 << 58) - 1)
 
 
 # ---------------------------------------------------------------- sets
@@ -60,18 +63,26 @@ class Sets:
     """The shingle sets of a block, one document after another, each in the order of its hashes."""
 
     def __init__(self, block: Block, k: int):
-        owner = block.owner()
         inside = np.flatnonzero(block.inside(k))
-        own, value = [owner[inside]], [kgrams(block.hashes, k)[inside]]
+        value = kgrams(block.hashes, k)[inside]
+        long_ = np.where(block.sizes >= k, block.sizes - k + 1, 0)
+        short = np.flatnonzero((block.sizes > 0) & (block.sizes < k))
+        number = long_.copy()
+        number[short] = 1
+        first = np.concatenate([[0], np.cumsum(number)])
+        v = np.empty(int(first[-1]), np.uint64)
+        at = np.ones(len(v), bool)
+        at[first[short]] = False
+        v[at] = value
         for n in range(1, k):
-            short = np.flatnonzero(block.sizes == n)
-            own.append(short)
-            value.append(kgrams(block.hashes, n)[block.first[short]] + np.uint64(n) if len(short) else np.empty(0, np.uint64))
-        o, v = np.concatenate(own), np.concatenate(value)
-        order = np.lexsort((v, o))
-        o, v = o[order], v[order]
-        start = starts_of(o, v)
-        self.own, self.value = o[start], v[start]
+            of = short[block.sizes[short] == n]
+            if len(of):
+                v[first[of]] = kgrams(block.hashes, n)[block.first[of]] + np.uint64(n)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            v[a:b].sort()
+        own = np.repeat(np.arange(len(number)), number)
+        start = starts_of(own, v)
+        self.own, self.value = own[start], v[start]
         self.n = np.bincount(self.own, minlength=len(block.sizes))
         self.first = np.concatenate([[0], np.cumsum(self.n)])
 
@@ -82,25 +93,39 @@ class Sets:
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         return self._sums(mix(self.value)).view(np.int64), self._sums(mix(self.value ^ _H2)).view(np.int64)
 
-    def bitmap(self, i: int, times: int) -> bytes:
-        """At least ``times`` bits a shingle; a power of two, so that larger ones fold onto smaller ones."""
-        width = max(WIDTH, 1 << max(0, times * int(self.n[i]) - 1).bit_length())
-        bits = np.zeros(width, np.uint8)
-        bits[self.value[self.first[i] : self.first[i + 1]] & np.uint64(width - 1)] = 1
+    def bitmap(self, i: int) -> bytes:
+        """A bit a shingle or up to two; a power of two, so that larger ones fold onto smaller ones."""
+        bits = np.zeros(max(64, 1 << (int(self.n[i]) - 1).bit_length()), np.uint8)
+        bits[(self.of(i) & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
         return np.packbits(bits, bitorder="little").tobytes()
 
+    def of(self, i: int) -> np.ndarray:
+        return self.value[self.first[i] : self.first[i + 1]]
+
+
+def _described(rule: Rule, k: int, bits: int):
+    """A row for each document, with a bitmap where the worker meets its set for the first time; and the worker's counters
+    of shingles (of different sets) in CHUNKS further rows."""
+    names = ["doc_id", "n", "h1", "h2", "chunk", "data"]  # data: the document's bitmap, or counters
 
-def _described(rule: Rule, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.uint32)
+        seen = Seen()
         for batch in batches:
+            ids = batch.column("doc_id")
+            real = ids.is_valid().to_numpy(zero_copy_only=False)
             for block in blocks(batch.column("text"), rule):
                 sets = Sets(block, k)
                 h1, h2 = sets.keys()
-                maps = [sets.bitmap(i, COARSE) if n else b"" for i, n in enumerate(sets.n.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[block.rows], longs(sets.n), longs(h1), longs(h2), pa.array(maps, pa.binary())],
-                    ["doc_id", "n", "h1", "h2", "bitmap"],
-                )
+                some = np.flatnonzero(real[block.rows] & (sets.n > 0))
+                fresh = np.zeros(len(h1), bool)
+                fresh[some] = seen.fresh(h1[some])
+                np.add.at(total, (sets.value[fresh[sets.own]] >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
+                maps = pa.array([sets.bitmap(i) if new else None for i, new in enumerate(fresh.tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids[block.rows], longs(sets.n), longs(h1), longs(h2), pa.nulls(len(h1), pa.int64()), maps], names)
+        none = pa.nulls(CHUNKS, pa.int64())
+        data = [zlib.compress(x.tobytes(), 1) for x in np.split(total, CHUNKS)]
+        yield pa.RecordBatch.from_arrays([none, none, none, none, longs(np.arange(CHUNKS)), pa.array(data, pa.binary())], names)
 
     return run
 
@@ -108,46 +133,44 @@ def _described(rule: Rule, k: int):
 # ---------------------------------------------------------------- arrays of fixed size
 
 
-def _folded(pieces: DataFrame, how: np.ufunc, dtype: str, size: int) -> np.ndarray:
-    """One array of ``size`` from rows (chunk, data) of several workers; CHUNKS rows reach the driver."""
+def _folded(pieces: DataFrame, how: np.ufunc, dtype: str, size: int, most: int | None = None) -> np.ndarray:
+    """One array of ``size`` from rows (chunk, data) of several workers; CHUNKS rows reach the driver.
+
+    most: larger values become this one, and take its type on their way.
+    """
+    to = np.min_scalar_type(most) if most else np.dtype(dtype)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                part = np.frombuffer(data, dtype)
+            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
+                part = np.frombuffer(zlib.decompress(data.as_buffer()), dtype)
                 held[chunk] = how(held[chunk], part) if chunk in held else part
         if held:
-            data = pa.array([x.tobytes() for x in held.values()], pa.binary())
-            yield pa.RecordBatch.from_arrays([longs(list(held)), data], ["chunk", "data"])
+            data = [zlib.compress((np.minimum(x, most) if most else x).astype(to).tobytes(), 1) for x in held.values()]
+            yield pa.RecordBatch.from_arrays([longs(list(held)), pa.array(data, pa.binary())], ["chunk", "data"])
 
-    out = np.zeros(size, dtype)
+    out = np.zeros(size, to)
     step = size // CHUNKS
-    for r in pieces.repartition(F.col("chunk")).mapInArrow(run, "chunk long, data binary").collect():
-        out[r.chunk * step : (r.chunk + 1) * step] = np.frombuffer(r.data, dtype)
+    for r in pieces.repartition(F.col("chunk")).mapInArrow(run, "chunk long, data binary").toLocalIterator():
+        out[r.chunk * step : (r.chunk + 1) * step] = np.frombuffer(zlib.decompress(r.data), to)
     return out
 
 
-def _chunks(total: np.ndarray) -> pa.RecordBatch:
-    parts = [x.tobytes() for x in np.split(total, CHUNKS)]
-    return pa.RecordBatch.from_arrays([longs(np.arange(CHUNKS)), pa.array(parts, pa.binary())], ["chunk", "data"])
+class Order:
+    """How common the shingles of each counter are: 0 as far as chance fills a counter, then a step a doubling of what
+    lies above the mean; and into how many parts a shingle of each level is dealt."""
 
+    def __init__(self, counts: np.ndarray, mean: float, part: int):
+        noise = 4 * np.sqrt(mean) + 4
+        above = counts.astype(np.float32) - np.float32(mean)
+        self.level = np.minimum(63, np.maximum(0, 1 + np.floor(np.log2(np.maximum(above, 1) / noise)))).astype(np.uint8)
+        self.shift = np.uint64(64 - int(len(counts)).bit_length() + 1)
+        self.salts = np.minimum(1 << 16, np.maximum(1, noise * 2.0 ** np.arange(64) // (2 * part))).astype(np.uint64)
 
-def _rank(docs: DataFrame, rule: Rule, k: int) -> np.ndarray:
-    """For each counter of the sketch how common its shingles are: 0 as far as chance fills a counter, then a step a
-    doubling of what lies above the mean."""
-    size = 1 << SKETCH_BITS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.uint32)
-        for batch in batches:
-            for block in blocks(batch.column("text"), rule):
-                np.add.at(total, (Sets(block, k).value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
-        yield _chunks(total)
-
-    counts = _folded(docs.mapInArrow(run, "chunk long, data binary"), np.add, "<u4", size).astype(np.int64)
-    above, noise = counts - counts.mean(), 4 * np.sqrt(counts.mean()) + 4
-    return np.maximum(0, 1 + np.floor(np.log2(np.maximum(above, 1) / noise))).astype(np.uint8)
+    def of(self, values: np.ndarray) -> np.ndarray:
+        """The values with the level in place of the topmost bits: sorted, they stand in the order."""
+        return self.level[(values >> self.shift).astype(np.int64)].astype(np.uint64) << _LEVEL | values & _REST
 
 
 def _filter_bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +186,8 @@ def _bloom(ids: DataFrame) -> np.ndarray:
         for batch in batches:
             for at in _filter_bits(column(batch, "doc")):
                 bits[at] = 1
-        yield _chunks(np.packbits(bits, bitorder="little"))
+        parts = [zlib.compress(x.tobytes(), 1) for x in np.split(np.packbits(bits, bitorder="little"), CHUNKS)]
+        yield pa.RecordBatch.from_arrays([longs(np.arange(CHUNKS)), pa.array(parts, pa.binary())], ["chunk", "data"])
 
     return _folded(ids.mapInArrow(run, "chunk long, data binary"), np.bitwise_or, "u1", FILTER_BITS // 8)
 
@@ -181,210 +205,133 @@ def _sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, text string")
 
 
-def _fine(docs: DataFrame, ids: DataFrame, rule: Rule, k: int) -> DataFrame:
-    """doc, n and the finer bitmap of the documents with these ids, and perhaps of some more."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in blocks(batch.column("text"), rule):
-                sets = Sets(block, k)
-                some = np.flatnonzero(sets.n)
-                maps = pa.array([sets.bitmap(i, FINE) for i in some.tolist()], pa.binary())
-                ids = column(batch, "doc_id")[block.rows][some]
-                yield pa.RecordBatch.from_arrays([longs(ids), longs(sets.n[some]), maps], ["doc", "n", "bitmap"])
+# ---------------------------------------------------------------- blocks
 
-    return _sieved(docs, ids).mapInArrow(run, "doc long, n long, bitmap binary")
 
+def least_overlap(a, b, percent: int):
+    """Common shingles that sets of sizes a and b need to link."""
+    return -(-percent * (a + b) // (100 + percent))
 
-# ---------------------------------------------------------------- lists
 
+def _prefixes(rule: Rule, k: int, percent: int, order):
+    """shingle, size, set: the first shingles of each set, each set once a worker as far as its memory of sets goes.
 
-def _prefixes(rule: Rule, k: int, percent: int, rank):
-    """shingle, set: the first shingles of each set, each set once a worker as far as its memory of sets goes."""
+    size: the set's size in the upper half, and what follows the shingle in the order, itself included, in the lower
+    one; negative where the shingle carries a salt in its last 16 bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen = Seen()
         for batch in batches:
             for block in blocks(batch.column("text"), rule):
                 sets = Sets(block, k)
                 h1 = sets.keys()[0]
-                fresh = np.zeros(len(h1), bool)
-                for i, h in enumerate(h1.tolist()):
-                    if h not in seen:
-                        if len(seen) >= EDGES:
-                            seen.clear()
-                        seen.add(h)
-                        fresh[i] = True
-                level = rank.value[(sets.value >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                order = np.lexsort((sets.value, level, sets.own))
+                w = order.value.of(sets.value)
+                for a, b in zip(sets.first[:-1].tolist(), sets.first[1:].tolist(), strict=True):
+                    w[a:b].sort()
                 length = sets.n + (-percent * sets.n) // 100 + 1
-                own = sets.own[order]
-                first = np.arange(len(own)) - sets.first[own] < length[own]
-                take = order[first & fresh[own]]
-                yield batch_of(["shingle", "set"], [sets.value[take].view(np.int64), h1[sets.own[take]]])
+                place = np.arange(len(w)) - sets.first[sets.own]
+                take = np.flatnonzero((place < length[sets.own]) & seen.fresh(h1)[sets.own])
+                own, w = sets.own[take], w[take]
+                size = sets.n[own] << 32 | sets.n[own] - place[take]
+                salts = order.value.salts[w >> _LEVEL]
+                many = salts > 1
+                w[many] = w[many] & ~_SALT | mix(h1[own[many]].view(np.uint64)) % salts[many]
+                size[many] = -size[many]
+                yield batch_of(["shingle", "size", "set"], [w.view(np.int64), size, h1[own]])
 
     return run
 
 
-def _lists(part: int):
-    """Of rows sorted by shingle and set: lists of sets with a common shingle, with a key of the members.
+def _labels(link: np.ndarray) -> np.ndarray:
+    """Of each row of a symmetric matrix: the first one that it is connected with."""
+    n = len(link)
+    label = np.arange(n)
+    while True:
+        new = np.minimum(label, np.where(link, label[None], n).min(axis=1))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _edges(percent: int):
+    """Of rows sorted by shingle, size and set: pairs of sets that are not ruled out (low 1), or for a longer list pairs
+    that connect all those (low 0).
 
-    A shingle of more than ``part`` sets gives several rows, numbered from 0.
+    A salted shingle gives runs of sets of similar size instead: its key, their least and greatest size, and a set.
     """
-    schema = pa.schema([("key", pa.int64()), ("shingle", pa.int64()), ("part", pa.int64()), ("members", pa.list_(pa.int64()))])
+    names = ["a", "b", "key", "low", "high"]
+
+    def pairs(n: np.ndarray, reach: np.ndarray, at: np.ndarray, other: np.ndarray) -> np.ndarray:
+        ok = 100 * np.minimum(n[at], n[other]) >= percent * np.maximum(n[at], n[other])
+        return ok & (np.minimum(reach[at], reach[other]) >= least_overlap(n[at], n[other], percent))
+
+    def runs(n: np.ndarray) -> np.ndarray:
+        """Where sizes leap so far that what stands before cannot link with what comes."""
+        return np.flatnonzero(np.append(True, 100 * n[:-1] < percent * n[1:]))
+
+    def work(t: np.ndarray, size: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
+        new = starts_of(t, size, s)
+        t, size, s = t[new], size[new], s[new]
+        start = starts_of(t)
+        length = np.diff(np.append(start, len(t)))
+        salted = size[start] < 0
+        n, reach = np.abs(size) >> 32, np.abs(size) & 0xFFFFFFFF
+        found: list[np.ndarray] = []
+        stars: list[np.ndarray] = []
+        for l in np.unique(length[(length > 1) & (length <= SMALL_LIST) & ~salted]).tolist():
+            at = start[(length == l) & ~salted]
+            for i in range(l):
+                for j in range(i + 1, l):
+                    ok = pairs(n, reach, at + i, at + j)
+                    found.append(np.stack([s[at[ok] + i], s[at[ok] + j]]))
+        for a, l in zip(*(x[(length > SMALL_LIST) & ~salted].tolist() for x in (start, length)), strict=True):
+            if l <= PART:
+                i = np.arange(a, a + l)
+                link = pairs(n, reach, i[:, None], i[None])
+                label = a + _labels(link)
+            else:
+                first = runs(n[a : a + l])
+                label = a + np.repeat(first, np.diff(np.append(first, l)))
+            stars.append(np.stack([s[label], s[a : a + l]]))
+        for tested, some in ((1, found), (0, stars)):
+            if some:
+                e = np.sort(np.concatenate(some, axis=1), axis=0)
+                e = e[:, e[0] < e[1]]
+                e = e[:, np.lexsort(e)]
+                e = e[:, starts_of(*e)]
+                none = pa.nulls(e.shape[1], pa.int64())
+                yield pa.RecordBatch.from_arrays([longs(e[0]), longs(e[1]), none, longs(np.full(e.shape[1], tested)), none], names)
+        if salted.any():
+            for a, l in zip(start[salted].tolist(), length[salted].tolist(), strict=True):
+                order = np.argsort(n[a : a + l], kind="stable") + a
+                first = runs(n[order])
+                last = np.append(first[1:], l) - 1
+                rep = s[order[first]]
+                key, none = np.full(len(rep), t[a] >> 16), pa.nulls(len(rep), pa.int64())
+                yield pa.RecordBatch.from_arrays([longs(rep), none, longs(key), longs(n[order[first]]), longs(n[order[last]])], names)
+                e = np.stack([np.repeat(rep, last - first + 1), s[order]])
+                e = e[:, e[0] != e[1]]
+                none = pa.nulls(e.shape[1], pa.int64())
+                yield pa.RecordBatch.from_arrays([longs(e[0]), longs(e[1]), none, longs(np.zeros(e.shape[1])), none], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        seen: set[int] = set()
-        t, s = np.empty(0, np.int64), np.empty(0, np.int64)
-        number = 0  # of the part that the rest of t and s belongs to
-
-        def give(shingle: int, members: np.ndarray, number: int) -> None:
-            h = mix(members.view(np.uint64))
-            key = int(mix(np.array([h.sum(), len(h)], np.uint64)).sum(dtype=np.uint64).view(np.int64))
-            if number or len(members) == part or key not in seen:  # equal lists of several parts do not matter
-                if len(seen) >= EDGES:
-                    seen.clear()
-                seen.add(key)
-                rows.append((key, shingle, number, members))
-
-        def out() -> pa.RecordBatch:
-            cols = [pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)]
-            rows.clear()
-            return pa.RecordBatch.from_arrays(cols, schema=schema)
-
-        def work(t: np.ndarray, s: np.ndarray, number: int) -> None:
-            new = starts_of(t, s)
-            t, s = t[new], s[new]
-            start = starts_of(t)
-            size = np.diff(np.append(start, len(t)))
-            for a, n in zip(start[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-                for i, b in enumerate(range(a, a + n, part)):
-                    give(int(t[a]), s[b : min(b + part, a + n)], i + (number if a == 0 else 0))
-            if number and len(size) and size[0] == 1:
-                give(int(t[0]), s[:1], number)
-
+        held = [np.empty(0, np.int64)] * 3
         for batch in batches:
-            t, s = np.concatenate([t, column(batch, "shingle")]), np.concatenate([s, column(batch, "set")])
-            if not len(t):
-                continue
-            last = int(np.searchsorted(t, t[-1], "left"))
+            held = [np.concatenate([x, column(batch, c)]) for x, c in zip(held, ("shingle", "size", "set"), strict=True)]
+            last = int(np.searchsorted(held[0], held[0][-1], "left")) if len(held[0]) else 0  # may go on in the next batch
             if last:
-                work(t[:last], s[:last], number)
-                t, s, number = t[last:], s[last:], 0
-            new = starts_of(t, s)
-            t, s = t[new], s[new]
-            while len(t) > 2 * part:
-                give(int(t[0]), s[:part], number)
-                t, s, number = t[part:], s[part:], number + 1
-            if len(rows) >= 1000:
-                yield out()
-        if len(t):
-            work(t, s, number)
-        if rows:
-            yield out()
+                yield from work(*(x[:last] for x in held))
+                held = [x[last:] for x in held]
+        if len(held[0]):
+            yield from work(*held)
 
     return run
 
 
-def _all_lists(docs: DataFrame, rule: Rule, k: int, percent: int, part: int) -> DataFrame:
-    """key, lead (the first member), members: every list, and every pair of parts of a long one."""
-    rank = docs.sparkSession.sparkContext.broadcast(_rank(docs, rule, k))
-    parts = saved(
-        docs.mapInArrow(_prefixes(rule, k, percent, rank), "shingle long, set long")
-        .repartition("shingle")
-        .sortWithinPartitions("shingle", "set")
-        .mapInArrow(_lists(part), "key long, shingle long, part long, members array<long>")
-    )
-    later = parts.where("part > 0")
-    pairs = parts.alias("a").join(later.alias("b"), F.expr("a.shingle = b.shingle and a.part < b.part"))
-    pairs = pairs.select(F.xxhash64("a.key", "b.key").alias("key"), F.concat("a.members", "b.members").alias("members"))
-    every = parts.select("key", "members").unionByName(pairs).withColumn("lead", F.element_at("members", 1))
-    return every.dropDuplicates(["key", "lead"])
-
-
-# ---------------------------------------------------------------- signature trees
-
-
-def least_overlap(a, b, percent: int):
-    """Common shingles that sets of sizes a and b need to link."""
-    return -(-percent * (a + b) // (100 + percent))
-
-
-def _fold(bits: np.ndarray, width: int) -> np.ndarray:
-    return np.bitwise_or.reduce(bits.reshape(-1, width // 64), axis=0)
-
-
-def _ones(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
-
-
-class Node:
-    __slots__ = ("bits", "high", "items", "kids", "low", "shared")
-
-    def __init__(self, items: np.ndarray, kids: list[Node], bits: np.ndarray, low: int, high: int, shared: int):
-        self.items, self.kids, self.bits, self.low, self.high, self.shared = items, kids, bits, low, high, shared
 
-
-class Tree:
-    """Signature tree over documents in the order of their sizes."""
-
-    def __init__(self, sizes: np.ndarray, bitmaps: list[bytes], percent: int):
-        self.n, self.percent = sizes, percent
-        self.maps = [np.frombuffer(b, "<u8") for b in bitmaps]
-        small = np.stack([_fold(m, WIDTH) for m in self.maps])
-        shared = sizes - _ones(small)  # tokens beyond one a bit
-        order = np.lexsort((np.arange(len(sizes)), sizes))
-        level = [
-            Node(o, [], np.bitwise_or.reduce(small[o], axis=0), int(sizes[o].min()), int(sizes[o].max()), int(shared[o].max()))
-            for o in np.split(order, range(LEAF, len(order), LEAF))
-        ]
-        while len(level) > 1:
-            level = [
-                Node(
-                    np.concatenate([x.items for x in g]), g, reduce(np.bitwise_or, (x.bits for x in g)),
-                    min(x.low for x in g), max(x.high for x in g), max(x.shared for x in g),
-                )
-                for g in (level[i : i + FANOUT] for i in range(0, len(level), FANOUT))
-            ]
-        self.root = level[0]
-
-    def hopeless(self, x: Node, y: Node) -> bool:
-        if 100 * min(x.high, y.high) < self.percent * max(x.low, y.low):
-            return True
-        most = min(int(_ones(x.bits & y.bits)) + min(x.shared, y.shared), x.high, y.high)
-        return most < least_overlap(x.low, y.low, self.percent)
-
-    def near(self, x: Node, y: Node) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of two leaves that their own bitmaps do not rule out."""
-        width = min(len(self.maps[i]) for i in np.concatenate([x.items, y.items]).tolist()) * 64
-        a, b = (np.stack([_fold(self.maps[i], width) for i in z.items.tolist()]) for z in (x, y))
-        na, nb = self.n[x.items], self.n[y.items]
-        most = np.minimum(na[:, None] - _ones(a[:, None] & ~b[None]), nb[None] - _ones(b[None] & ~a[:, None]))
-        ok = most >= least_overlap(na[:, None], nb[None], self.percent)
-        if x is y:
-            ok &= np.tri(len(na), k=-1, dtype=bool)
-        i, j = np.nonzero(ok)
-        return x.items[i], y.items[j]
-
-    def pairs(self, group: np.ndarray, forest: bool) -> Iterator[tuple[int, int]]:
-        """Pairs across groups that may link.  ``forest``: only as many as connect all that can be connected."""
-        group = group.copy()
-        stack = [(self.root, self.root)]
-        while stack:
-            x, y = stack.pop()
-            g = group[np.concatenate([x.items, y.items])]
-            if (g == g[0]).all() or self.hopeless(x, y):
-                continue
-            if not x.kids and not y.kids:
-                for i, j in zip(*(z.tolist() for z in self.near(x, y)), strict=True):
-                    if group[i] != group[j]:
-                        if forest:
-                            group[group == group[j]] = group[i]
-                        yield i, j
-            elif x is y:
-                stack += [(a, b) for i, a in enumerate(x.kids) for b in x.kids[: i + 1]]
-            else:
-                stack += [(a, b) for a in x.kids or [x] for b in y.kids or [y]]
+# ---------------------------------------------------------------- components
 
 
 class Forest:
@@ -407,100 +354,6 @@ class Forest:
             self.parent[max(a, b)] = min(a, b)
 
 
-def _candidates(percent: int, forest: bool):
-    """a, b of rows sorted by list: key, doc, n, bitmap, component.
-
-    ``forest``: what one list has connected the worker's next lists take as connected, too; lists with the same first
-    member come to one worker, so lists of one group of near copies do.
-    """
-    joined = Forest()
-
-    def one(docs: np.ndarray, n: np.ndarray, maps: list[bytes], comp: np.ndarray) -> np.ndarray:
-        group = np.array([joined.find(x) for x in comp.tolist()]) if forest else comp
-        if (group == group[0]).all():
-            return np.empty((0, 2), np.int64)
-        found = list(Tree(n, maps, percent).pairs(group, forest))
-        if forest:
-            if len(joined.parent) > EDGES:
-                joined.parent.clear()
-            for i, j in found:
-                joined.join(int(comp[i]), int(comp[j]))
-        return np.sort(docs[np.array(found, np.int64).reshape(-1, 2)], axis=1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = pa.concat_tables([held, table]) if held is not None else table
-            key = held.column("key").to_numpy()
-            last = int(np.flatnonzero(key == key[-1])[0]) if len(key) else 0
-            if last:
-                yield from work(held.slice(0, last))
-                held = held.slice(last)
-        if held is not None and held.num_rows:
-            yield from work(held)
-
-    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, docs, n, comp = (table.column(c).to_numpy() for c in ("key", "doc", "n", "component"))
-        maps = table.column("bitmap").to_pylist()
-        start = starts_of(key)
-        out = [
-            one(docs[a:b], n[a:b], maps[a:b], comp[a:b])
-            for a, b in zip(start.tolist(), np.append(start[1:], len(key)).tolist(), strict=True)
-            if b > a + 1
-        ]
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-        if len(pairs):
-            yield batch_of(["a", "b"], [pairs[:, 0], pairs[:, 1]])
-
-    return run
-
-
-# ---------------------------------------------------------------- verification
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, rule: Rule, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link.  A document's text goes beside each of its pairs, and once for HOME of them."""
-    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / HOME).alias("homes"))
-    homes = pairs.join(degree, "a").select("a", F.expr("pmod(xxhash64(b), homes)").alias("home"), "b")
-    need = homes.withColumnRenamed("b", "doc").unionByName(homes.select("a", "home", F.col("a").alias("doc"))).distinct()
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home, sets_of_home = None, []
-        for batch in batches:
-            a, at, doc = (column(batch, c) for c in ("a", "home", "doc"))
-            found = []
-            for block in blocks(batch.column("text"), rule):
-                sets = Sets(block, k)
-                for i in range(len(sets.n)):
-                    row = block.rows.start + i
-                    mine = sets.value[sets.first[i] : sets.first[i + 1]]
-                    if home != (a[row], at[row]):
-                        home, sets_of_home = (a[row], at[row]), []
-                    if a[row] == doc[row]:
-                        sets_of_home.append(mine.copy())
-                        continue
-                    for other in sets_of_home:
-                        common = len(np.intersect1d(mine, other, assume_unique=True))
-                        if 100 * common >= percent * (len(mine) + len(other) - common):
-                            found.append((a[row], doc[row]))
-                            break
-            if found:
-                yield batch_of(["a", "b"], list(np.array(found, np.int64).T))
-
-    return (
-        _sieved(docs, need.select("doc"))
-        .join(need, F.col("doc_id") == F.col("doc"))
-        .select("a", "home", "doc", "text")
-        .repartition("a", "home")
-        .sortWithinPartitions("a", "home", (F.col("a") != F.col("doc")))
-        .mapInArrow(verify, "a long, b long")
-        .distinct()
-    )
-
-
-# ---------------------------------------------------------------- components
-
-
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of a worker as stars around the smallest member of what they connect, EDGES at a time."""
     joined = Forest()
@@ -519,7 +372,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from give()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, save: Callable[[DataFrame], DataFrame] = saved) -> DataFrame:
     """node, root (the smallest id connected with it) of every node but the roots; links: two columns of ids.
 
     Each round makes stars locally, then hangs every neighbour on the smallest one (large star for larger neighbours,
@@ -528,9 +381,9 @@ def components(links: DataFrame) -> DataFrame:
     a, b = links.columns
     schema = "node long, root long"
     edges = links.select(F.greatest(a, b).alias("node"), F.least(a, b).alias("root")).where("node > root").distinct()
-    edges = saved(edges.mapInArrow(_stars, schema).distinct())
+    edges = save(edges.mapInArrow(_stars, schema).distinct())
     if edges.count() < EDGES // 2:  # then one worker's union-find holds all of them
-        return saved(edges.coalesce(1).mapInArrow(_stars, schema))
+        return save(edges.coalesce(1).mapInArrow(_stars, schema))
     while True:
         least = edges.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("top"))
         hanging = edges.select(F.col("root").alias("node")).join(least, "node", "left_semi")
@@ -542,25 +395,145 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("node").agg(F.min("root").alias("low"))
         small = large.join(low, "node").select(F.col("root").alias("node"), F.col("low").alias("root")).where("node > root")
         small = small.unionByName(low.select("node", F.col("low").alias("root")))
-        edges = saved(small.distinct().mapInArrow(_stars, schema).distinct())
+        edges = save(small.distinct().mapInArrow(_stars, schema).distinct())
+
+
+def _possible(percent: int):
+    """The pairs a, b that their bitmaps do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = column(batch, "na"), column(batch, "nb")
+            need = least_overlap(na, nb, percent)
+            ok = np.zeros(len(na), bool)
+            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                width = min(len(x), len(y))
+                x, y = (np.bitwise_or.reduce(z.reshape(-1, width), axis=0) for z in (x, y))
+                ok[i] = min(na[i] - _ones(x & ~y), nb[i] - _ones(y & ~x)) >= need[i]
+            yield batch_of(["a", "b"], [column(batch, "a")[ok], column(batch, "b")[ok]])
+
+    return run
+
+
+def _blocks(docs: DataFrame, rows: DataFrame, order, rule: Rule, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """set, block: every set that shares a block with another one; a block goes by its smallest set."""
+    found = scratch.save(
+        docs.mapInArrow(_prefixes(rule, k, percent, order), "shingle long, size long, set long")
+        .repartition("shingle")
+        .sortWithinPartitions("shingle", "size", "set")
+        .mapInArrow(_edges(percent), "a long, b long, key long, low long, high long")
+    )
+    pairs = scratch.save(found.where("b is not null and low = 1").select("a", "b").distinct())
+    ends = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct()
+    maps = rows.where("chunk is null and data is not null").select("h1", "n", "data").join(ends, "h1", "left_semi").dropDuplicates(["h1"])
+    maps = scratch.save(maps)
+    near = pairs.join(maps.toDF("a", "na", "x"), "a").join(maps.toDF("b", "nb", "y"), "b").mapInArrow(_possible(percent), "a long, b long")
+    by_size = Window.partitionBy("key").orderBy("low", "high", "a")
+    before = F.max("high").over(by_size.rowsBetween(Window.unboundedPreceding, -1))
+    runs = found.where("b is null").withColumn("leap", F.coalesce(100 * before < percent * F.col("low"), F.lit(True)).cast("long"))
+    runs = runs.withColumn("run", F.sum("leap").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.first("a").over(Window.partitionBy("key", "run").orderBy("low", "high", "a"))
+    edges = found.where("b is not null and low = 0").select("a", "b").unionByName(runs.select("a", first.alias("b"))).unionByName(near)
+    roots = components(edges, scratch.save)
+    for x in (found, pairs, maps):
+        scratch.drop(x)
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).toDF("set", "block")
+
+
+# ---------------------------------------------------------------- signature trees
+
+
+def _ones(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
+
+
+def bitmaps(owner: np.ndarray, values: np.ndarray, n: int, width: int) -> np.ndarray:
+    bits = np.zeros((n, width), np.uint8)
+    bits[owner, (values & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8")
+
+
+class Node:
+    __slots__ = ("bits", "high", "items", "kids", "low", "shared")
+
+    def __init__(self, items: np.ndarray, kids: list[Node], bits: np.ndarray, low: int, high: int, shared: int):
+        self.items, self.kids, self.bits, self.low, self.high, self.shared = items, kids, bits, low, high, shared
+
+
+class Tree:
+    """Signature tree over some sets in the order of their sizes; sizes and maps are those of all sets of a worker's unit."""
+
+    def __init__(self, items: np.ndarray, sizes: np.ndarray, maps: np.ndarray, percent: int):
+        self.n, self.maps, self.percent = sizes, maps, percent
+        shared = sizes - _ones(maps)  # tokens beyond one a bit
+        order = items[np.lexsort((items, sizes[items]))]
+        level = [
+            Node(o, [], np.bitwise_or.reduce(maps[o], axis=0), int(sizes[o].min()), int(sizes[o].max()), int(shared[o].max()))
+            for o in np.split(order, range(LEAF, len(order), LEAF))
+        ]
+        while len(level) > 1:
+            level = [
+                Node(
+                    np.concatenate([x.items for x in g]), g, reduce(np.bitwise_or, (x.bits for x in g)),
+                    min(x.low for x in g), max(x.high for x in g), max(x.shared for x in g),
+                )
+                for g in (level[i : i + FANOUT] for i in range(0, len(level), FANOUT))
+            ]
+        self.root = level[0]
 
+    def hopeless(self, x: Node, y: Node) -> bool:
+        if 100 * min(x.high, y.high) < self.percent * max(x.low, y.low):
+            return True
+        most = min(int(_ones(x.bits & y.bits)) + min(x.shared, y.shared), x.high, y.high)
+        return most < least_overlap(x.low, y.low, self.percent)
 
-# ---------------------------------------------------------------- all links
+    def near(self, x: Node, y: Node) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of two leaves that their own bitmaps do not rule out."""
+        a, b = self.maps[x.items], self.maps[y.items]
+        na, nb = self.n[x.items], self.n[y.items]
+        most = np.minimum(na[:, None] - _ones(a[:, None] & ~b[None]), nb[None] - _ones(b[None] & ~a[:, None]))
+        ok = most >= least_overlap(na[:, None], nb[None], self.percent)
+        ok &= 100 * np.minimum(na[:, None], nb[None]) >= self.percent * np.maximum(na[:, None], nb[None])
+        if x is y:
+            ok &= np.tri(len(na), k=-1, dtype=bool)
+        i, j = np.nonzero(ok)
+        return x.items[i], y.items[j]
+
+    def pairs(self, other: Tree) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a set of this tree with one of the other (or this same) tree that may link."""
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        stack = [(self.root, other.root)]
+        while stack:
+            x, y = stack.pop()
+            if self.hopeless(x, y):
+                continue
+            if not x.kids and not y.kids:
+                found.append(self.near(x, y))
+            elif x is y:
+                stack += [(a, b) for i, a in enumerate(x.kids) for b in x.kids[: i + 1]]
+            else:
+                stack += [(a, b) for a in x.kids or [x] for b in y.kids or [y]]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-_UNIT = ("component", "band", "step", "i", "j")  # a pair of parts: i of a band, j of the same band or of the next one
+# ---------------------------------------------------------------- links
 
 
-def _units(kinds: DataFrame, percent: int) -> DataFrame:
-    """kinds (h1, h2, component, n and more) once for each pair of parts they belong to; side: which of the two."""
+_UNIT = ("block", "band", "step", "i", "j")  # a pair of parts: i of a band, j of the same band or of the next one
+
+
+def _units(sets: DataFrame, percent: int) -> DataFrame:
+    """sets (h1, h2, block, n and more) once for each pair of parts they belong to; side: which of the two."""
     step = -np.log(percent / 100) * 1.001 + 1e-9  # sets of sizes that can link are at most one band apart
-    sizes = kinds.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
-    band = F.when(F.col("size") <= UNIT, 0).otherwise(F.floor(F.log("n") / step)).cast("long")
-    kinds = kinds.join(sizes, "component").withColumn("band", band).drop("size")
-    parts = kinds.groupBy("component", "band").agg(F.ceil(F.count("*") / UNIT).alias("parts"))
+    parts_of = F.ceil(F.greatest(F.count("*") / UNIT, F.sum("n") / UNIT_SHINGLES))
+    sizes = sets.groupBy("block").agg(parts_of.alias("size"))
+    band = F.when(F.col("size") <= 1, 0).otherwise(F.floor(F.log("n") / step)).cast("long")
+    sets = sets.join(sizes, "block").withColumn("band", band).drop("size")
+    parts = sets.groupBy("block", "band").agg(parts_of.alias("parts"))
     for name, by in (("own", 0), ("after", -1), ("before", 1)):
-        kinds = kinds.join(parts.select("component", (F.col("band") + by).alias("band"), F.col("parts").alias(name)), ["component", "band"], "left")
-    kinds = kinds.withColumn("at", F.pmod(F.xxhash64("h1", "h2"), "own"))
+        sets = sets.join(parts.select("block", (F.col("band") + by).alias("band"), F.col("parts").alias(name)), ["block", "band"], "left")
+    sets = sets.withColumn("at", F.pmod(F.xxhash64("h1", "h2"), "own"))
 
     def each(n: str, unit: str) -> Column:
         return F.expr(f"transform(if({n} is null, array(), sequence(0L, {n} - 1)), p -> {unit})")
@@ -570,8 +543,8 @@ def _units(kinds: DataFrame, percent: int) -> DataFrame:
         each("after", "struct(band, 1 as step, at as i, p as j, false as side)"),
         each("before", "struct(band - 1 as band, 1 as step, p as i, at as j, true as side)"),
     )
-    kinds = kinds.withColumn("unit", F.explode(every)).drop("band", "own", "after", "before", "at")
-    return kinds.select("*", "unit.*").drop("unit")
+    sets = sets.withColumn("unit", F.explode(every)).drop("band", "own", "after", "before", "at")
+    return sets.select("*", "unit.*").drop("unit")
 
 
 def _common(owner: np.ndarray, values: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -589,92 +562,139 @@ def _common(owner: np.ndarray, values: np.ndarray, n: int, left: np.ndarray, rig
     return common
 
 
+def _overlaps(values: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Common values of the pairs of sets."""
+    if len(i) <= FEW:
+        each = [len(np.intersect1d(values[a], values[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+        return np.array(each, np.int64)
+    some, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    sizes = [len(values[x]) for x in some.tolist()]
+    left, a = np.unique(at[: len(i)], return_inverse=True)
+    right, b = np.unique(at[len(i) :], return_inverse=True)
+    owner = np.repeat(np.arange(len(some)), sizes)
+    return _common(owner, np.concatenate([values[x] for x in some.tolist()]), len(some), left, right)[a, b]
+
+
+def _links_of(values: list[np.ndarray], side: np.ndarray, percent: int, alone: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Linked pairs of a unit, with their common values: within one part (``alone``), or across the two sides."""
+    none = np.empty(0, np.int64)
+    sizes = np.array([len(v) for v in values], np.int64)
+    left, right = (np.arange(len(values)), None) if alone else (np.flatnonzero(~side), np.flatnonzero(side))
+    if len(values) < 2 or right is not None and not (len(left) and len(right)):
+        return none, none, none
+    width = min(MOST_WIDTH, max(LEAST_WIDTH, 1 << int(2 * sizes.max()).bit_length()))
+    maps = bitmaps(np.repeat(np.arange(len(values)), sizes), np.concatenate(values), len(values), width)
+    tree = Tree(left, sizes, maps, percent)
+    i, j = tree.pairs(tree if right is None else Tree(right, sizes, maps, percent))
+    if not len(i):
+        return none, none, none
+    common = _overlaps(values, i, j)
+    link = 100 * common >= percent * (sizes[i] + sizes[j] - common)
+    return i[link], j[link], common[link]
+
+
 def _linked(rule: Rule, k: int, percent: int, listed: bool):
-    """h1, h2, other, n of rows sorted by pair of parts: for each set the documents of the sets it links with, other
-    null; and for each of them that is marked its row with the doc in other.  ``listed``: h1 and h2 are the docs of a pair."""
-    names = ["h1", "h2", "other", "n"]
-
-    def pairs(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        side = np.array([r[2] for r in held])
-        size = np.array([len(r[6]) for r in held])
-        one = held[0][0][2] == 0 and held[0][0][3] == held[0][0][4]  # the part with itself
-        left, right = (np.arange(len(held)),) * 2 if one else (np.flatnonzero(~side), np.flatnonzero(side))
-        if not len(left) or not len(right):
+    """Of rows sorted by pair of parts: for each set that links the documents it links with, and a set that it is
+    connected with there, by their docs; and a row (o1, o2 not null) for each of its links with a marked set.
+    ``listed``: the links themselves, as two docs and their common shingles."""
+    names = ["h1", "h2", "doc", "root", "n", "o1", "o2"]
+
+    def unit(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        _, _, step, one, two = held[0][0]
+        keys, side, doc, weight, marked, values = zip(*(r[1:] for r in held), strict=True)
+        keys, doc, weight = np.array(keys, np.int64), np.array(doc, np.int64), np.array(weight, np.int64)
+        i, j, common = _links_of(list(values), np.array(side), percent, step == 0 and one == two)
+        if not len(i):
             return
-        common = _common(np.repeat(np.arange(len(held)), size), np.concatenate([r[6] for r in held]), len(held), left, right)
-        link = 100 * common >= percent * (size[left][:, None] + size[right][None] - common)
-        if one:
-            np.fill_diagonal(link, False)
-        keys = np.array([r[1] for r in held], np.int64)
-        doc, weight, marked = (np.array([r[c] for r in held]) for c in (3, 4, 5))
         if listed:
-            i, j = np.nonzero(np.tril(link) if one else link)
-            ends = np.sort(np.stack([doc[left[i]], doc[right[j]]]), axis=0)
-            if len(i):
-                yield pa.RecordBatch.from_arrays([longs(ends[0]), longs(ends[1]), pa.nulls(len(i), pa.int64()), longs(common[i, j])], names)
+            ends = np.sort(np.stack([doc[i], doc[j]]), axis=0)
+            none = pa.nulls(len(i), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, longs(ends[0]), longs(ends[1]), longs(common), none, none], names)
             return
-        for own, its, x in ((left, right, link),) if one else ((left, right, link), (right, left, link.T)):
-            n = x @ weight[its]
-            yield pa.RecordBatch.from_arrays([longs(keys[own, 0]), longs(keys[own, 1]), pa.nulls(len(own), pa.int64()), longs(n)], names)
-            i, j = np.nonzero(x & marked[its][None])
-            if len(i):
-                yield pa.RecordBatch.from_arrays([longs(keys[own[i], 0]), longs(keys[own[i], 1]), longs(keys[its[j], 0]), longs(keys[its[j], 1])], names)
+        label = np.arange(len(held))
+        while True:
+            least = np.minimum(label[i], label[j])
+            new = label.copy()
+            np.minimum.at(new, i, least)
+            np.minimum.at(new, j, least)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        n = np.zeros(len(held), np.int64)
+        np.add.at(n, i, weight[j])
+        np.add.at(n, j, weight[i])
+        some = np.unique(np.concatenate([i, j]))
+        none = pa.nulls(len(some), pa.int64())
+        yield pa.RecordBatch.from_arrays([*map(longs, (keys[some, 0], keys[some, 1], doc[some], doc[label[some]], n[some])), none, none], names)
+        mark = np.array(marked)
+        one, other = np.concatenate([i, j]), np.concatenate([j, i])
+        one, other = one[mark[other]], other[mark[other]]
+        if len(one):
+            none = pa.nulls(len(one), pa.int64())
+            yield pa.RecordBatch.from_arrays([longs(keys[one, 0]), longs(keys[one, 1]), none, none, none, longs(keys[other, 0]), longs(keys[other, 1])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         seen: set[tuple] = set()
         for batch in batches:
-            unit = list(zip(*(batch.column(c).to_pylist() for c in _UNIT), strict=True))
+            units = list(zip(*(batch.column(c).to_pylist() for c in _UNIT), strict=True))
             h1, h2, side, doc, n, marked = (batch.column(c).to_pylist() for c in ("h1", "h2", "side", "doc", "docs", "several"))
             for block in blocks(batch.column("text"), rule):
                 sets = Sets(block, k)
                 for i, key in enumerate(zip(*(x.tolist() for x in sets.keys()), strict=True)):
                     row = block.rows.start + i
-                    if held and held[0][0] != unit[row]:
-                        yield from pairs(held)
+                    if held and held[0][0] != units[row]:
+                        yield from unit(held)
                         held, seen = [], set()
                     # another text of the same id, or the same row again
                     if key != (h1[row], h2[row]) or key in seen:
                         continue
                     seen.add(key)
-                    held.append((unit[row], key, side[row], doc[row], n[row], marked[row], sets.value[sets.first[i] : sets.first[i + 1]].copy()))
+                    held.append((units[row], key, side[row], doc[row], n[row], marked[row], sets.of(i).copy()))
         if held:
-            yield from pairs(held)
+            yield from unit(held)
 
     return run
 
 
-def _links(docs: DataFrame, kinds: DataFrame, rule: Rule, k: int, percent: int, listed: bool = False) -> DataFrame:
-    """See ``_linked``; kinds: h1, h2, doc, n, component, docs (documents of one set only), several (are there others?)."""
-    units = saved(_units(kinds, percent))
-    return (
+def _links(docs: DataFrame, sets: DataFrame, rule: Rule, k: int, percent: int, scratch: Scratch, listed: bool = False) -> DataFrame:
+    """See ``_linked``; sets: h1, h2, doc, n, docs, several, block."""
+    units = scratch.save(_units(sets, percent))
+    return scratch.save(
         _sieved(docs, units.select("doc"))
         .join(units, F.col("doc_id") == F.col("doc"))
         .select(*_UNIT, "side", "h1", "h2", "doc", "docs", "several", "text")
         .repartition(*_UNIT)
         .sortWithinPartitions(*_UNIT)
-        .mapInArrow(_linked(rule, k, percent, listed), "h1 long, h2 long, other long, n long")
+        .mapInArrow(_linked(rule, k, percent, listed), "h1 long, h2 long, doc long, root long, n long, o1 long, o2 long")
     )
 
 
-def _counted(docs: DataFrame, known: DataFrame, found: DataFrame, several: DataFrame, rule: Rule, k: int, percent: int) -> DataFrame:
-    """h1, h2, n_links of every set: the other documents with a set that is equal or links with it."""
-    both = several.select("doc_id", "h1", "h2").distinct()  # documents with more than one set
-    alone = known.join(both.select("doc_id").distinct(), "doc_id", "left_anti").groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("docs"))
-    marked = both.select("h1", "h2").distinct().withColumn("several", F.lit(True))
-    kinds = found.join(alone, ["h1", "h2"], "left").join(marked, ["h1", "h2"], "left").fillna({"docs": 0, "several": False})
-    kinds = saved(kinds)
-    rows = saved(_links(docs, kinds, rule, k, percent))
-    sums = rows.where("other is null").groupBy("h1", "h2").agg(F.sum("n").alias("near"))
-    pairs = rows.where("other is not null").select("h1", "h2", F.col("other").alias("o1"), F.col("n").alias("o2"))
-    pairs = pairs.unionByName(marked.select("h1", "h2", F.col("h1").alias("o1"), F.col("h2").alias("o2")))
-    more = pairs.join(both.select("doc_id", F.col("h1").alias("o1"), F.col("h2").alias("o2")), ["o1", "o2"])
-    more = more.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("more"))
-    out = kinds.join(sums, ["h1", "h2"], "left").join(more, ["h1", "h2"], "left").fillna({"near": 0, "more": 0})
-    return out.select("h1", "h2", F.expr("docs + near + more - 1").alias("n_links"))
+# ---------------------------------------------------------------- join
 
 
-# ---------------------------------------------------------------- join
+def _described_sets(docs: DataFrame, k: int, percent: int, rule: Rule, part: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Every row (doc_id, n, h1, h2); the sets of ids with several ones; each set (h1, h2, n, doc: its smallest id,
+    docs: ids that have no other, several: whether others have it too); and the sets in blocks."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be between 1 and 100")
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, (size // SHINGLE_BYTES).bit_length()))
+    rows = scratch.save(docs.mapInArrow(_described(rule, k, bits), "doc_id long, n long, h1 long, h2 long, chunk long, data binary"))
+    every = rows.where("chunk is null").select("doc_id", "n", "h1", "h2")
+    counts = _folded(rows.where("chunk is not null").select("chunk", "data"), np.add, "<u4", 1 << bits)
+    order = docs.sparkSession.sparkContext.broadcast(Order(counts, float(counts.mean()), part))
+    known = every.where("doc_id is not null and n > 0")
+    key = F.struct("h1", "h2", "n")
+    ids = known.groupBy("doc_id").agg(F.min(key).alias("x"), F.max(key).alias("y"))
+    several = known.join(ids.where("x != y").select("doc_id"), "doc_id", "left_semi").distinct()
+    lines = ids.where("x = y").select("doc_id", "x.*", F.lit(1).alias("docs"), F.lit(False).alias("several"))
+    lines = lines.unionByName(several.withColumns({"docs": F.lit(0), "several": F.lit(True)}))
+    sums = [F.min("n").alias("n"), F.min("doc_id").alias("doc"), F.sum("docs").alias("docs"), F.max("several").alias("several")]
+    sets = scratch.save(lines.groupBy("h1", "h2").agg(*sums))
+    members = _blocks(docs.where("doc_id is not null"), rows, order, rule, k, percent, scratch)
+    return every, several, sets, sets.join(members, F.col("h1") == F.col("set")).drop("set")
 
 
 def similar_pairs(
@@ -682,10 +702,11 @@ def similar_pairs(
 ) -> DataFrame:
     """a, b, n_common of every link between different sets; a set goes by the smallest id that has it."""
     docs = texts(docs, id_col, text_col)
-    _, _, _, found = _grouped(docs, k, percent, rule, part)
-    kinds = saved(found.withColumns({"docs": F.lit(0), "several": F.lit(False)}))
-    pairs = _links(docs, kinds, rule, k, percent, listed=True)
-    return pairs.select(F.col("h1").alias("a"), F.col("h2").alias("b"), F.col("n").alias("n_common"))
+    prepared(docs.sparkSession)
+    with Scratch(docs.sparkSession, "pairs") as scratch:
+        *_, members = _described_sets(docs, k, percent, rule, part, scratch)
+        pairs = _links(docs, members, rule, k, percent, scratch, listed=True)
+        return saved(pairs.select(F.col("doc").alias("a"), F.col("root").alias("b"), F.col("n").alias("n_common")))
 
 
 def join_similar(
@@ -701,66 +722,28 @@ def join_similar(
     """doc_id, n_shingles, component_id and n_links of every row.
 
     n_links: the other documents that the row's text links with, copies of its set among them.  ``links`` False: without
-    n_links, for callers that want components alone.
+    n_links.  ``part``: sets of a frequent shingle that one salt takes.
     """
     docs = texts(docs, id_col, text_col)
-    every, known, several, found = _grouped(docs, k, percent, rule, part)
-    own = found.select("h1", "h2", F.col("component").alias("component_id"))
-    rest = every.where("doc_id is null or n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    names = ["doc_id", "n", "component_id"]
-    if links:
-        own = own.join(_counted(docs, known, found, several, rule, k, percent), ["h1", "h2"])
-        rest = rest.withColumn("n_links", F.when(F.col("doc_id").isNotNull(), 0).cast("long"))
-        names.append("n_links")
-    known = known.select("doc_id", "n", "h1", "h2").join(own, ["h1", "h2"])
-    return known.select(*names).unionByName(rest).withColumnRenamed("n", "n_shingles")
-
-
-def _grouped(docs: DataFrame, k: int, percent: int, rule: Rule, part: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Every row; those with an id and shingles; those of ids with several sets; and each set (h1, h2, n, doc: its
-    smallest id) with its component."""
-    if not 0 < percent <= 100:
-        raise ValueError("percent must be between 1 and 100")
     prepared(docs.sparkSession)
-    every = saved(docs.mapInArrow(_described(rule, k), "doc_id long, n long, h1 long, h2 long, bitmap binary"))
-    real = docs.where("doc_id is not null")
-    known = every.where("doc_id is not null and n > 0")
-    kinds = saved(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n")))
-    lists = _all_lists(real, rule, k, percent, part)
-    members = lists.select("key", "lead", F.explode("members").alias("h1")).join(kinds.select("h1", "doc"), "h1")
-    members = saved(members.select("key", "lead", "doc"))
-    # rows with one id count as one document
-    several = known.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y"))
-    several = known.join(several.where("x != y").select("doc_id"), "doc_id", "left_semi")
-    links = several.join(kinds.select("h1", "h2", "doc"), ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
-    tried = None
-    for forest, fine in ((True, False), (True, True), (False, True)):
-        rows = members.withColumn("component", F.col("doc"))
-        if tried is not None:  # only lists that are not connected yet
-            rows = members.join(components(links), F.col("doc") == F.col("node"), "left")
-            rows = rows.select("key", "lead", "doc", F.coalesce("root", "doc").alias("component"))
-            open_ = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-            rows = rows.join(open_.select("key"), "key", "left_semi")
-        if fine:
-            rows = saved(rows)
-            if rows.isEmpty():
-                break
-            maps = _fine(docs, rows.select("doc"), rule, k)
-        else:
-            maps = known.select(F.col("doc_id").alias("doc"), "n", "bitmap")
-        pairs = (
-            rows.join(maps, "doc")
-            .select("key", "lead", "doc", "component", "n", "bitmap")
-            .repartition("lead")
-            .sortWithinPartitions("lead", "key")
-            .mapInArrow(_candidates(percent, forest), "a long, b long")
-            .distinct()
-        )
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = saved(pairs)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = saved(links.unionByName(_verified(docs, pairs, rule, k, percent)))
-    roots = components(links)
-    found = kinds.join(roots, F.col("doc") == F.col("node"), "left")
-    return every, known, several, found.select("h1", "h2", "n", "doc", F.coalesce("root", "doc").alias("component"))
+    with Scratch(docs.sparkSession, "join") as scratch:
+        every, several, sets, members = _described_sets(docs, k, percent, rule, part, scratch)
+        found = _links(docs, members, rule, k, percent, scratch)
+        near = found.where("o1 is null")
+        edges = several.join(sets.select("h1", "h2", "doc"), ["h1", "h2"]).select("doc", F.col("doc_id").alias("root"))
+        roots = components(near.select("doc", "root").unionByName(edges), scratch.save)
+        near = near.groupBy("h1", "h2").agg(F.sum("n").alias("near"))
+        # documents with several texts count once, whichever of them links
+        marked = sets.where("several").select("h1", "h2", F.col("h1").alias("o1"), F.col("h2").alias("o2"))
+        marked = marked.unionByName(found.where("o1 is not null").select("h1", "h2", "o1", "o2"))
+        more = marked.join(several.select("doc_id", F.col("h1").alias("o1"), F.col("h2").alias("o2")), ["o1", "o2"])
+        more = more.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("more"))
+        own = sets.join(near, ["h1", "h2"], "left").join(more, ["h1", "h2"], "left").join(roots, F.col("doc") == F.col("node"), "left")
+        n_links = F.expr("docs + coalesce(near, 0) + coalesce(more, 0) - 1").alias("n_links")
+        own = own.select("h1", "h2", F.coalesce("root", "doc").alias("component_id"), n_links)
+        names = ["doc_id", "n", "component_id", *(["n_links"] if links else [])]
+        # an id of which another row has words is a node of that row's component
+        rest = every.where("doc_id is null or n = 0").join(roots, F.col("doc_id") == F.col("node"), "left")
+        rest = rest.withColumn("component_id", F.coalesce("root", "doc_id")).withColumn("n_links", F.expr("if(doc_id is null, null, 0L)"))
+        out = every.where("doc_id is not null and n > 0").join(own, ["h1", "h2"]).select(*names)
+        return saved(out.unionByName(rest.select(*names)).withColumnRenamed("n", "n_shingles"))

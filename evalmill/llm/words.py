@@ -107,8 +107,9 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).cast(pa.large_binary())
 
 
-def ranges(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``limit`` bytes each; one long text makes a range of its own."""
+def ranges(column: pa.Array, limit: int | None = None) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``limit`` (BLOCK_BYTES) bytes each; a longer text makes a range of its own."""
+    limit = limit or BLOCK_BYTES
     ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
     start, n, base = 0, len(column), 0
     while start < n:
@@ -117,6 +118,53 @@ def ranges(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
         base, start = int(ends[stop - 1]), stop
 
 
+def _parts(raw: np.ndarray, rule: Rule, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of some bytes: where each begins, sums of its bytes, its bytes, its code points.  at: where texts begin."""
+    word = rule.word[raw]
+    cut = np.zeros(len(raw) + 1, bool)
+    cut[at] = True
+    begin = word.copy()
+    begin[1:] &= ~word[:-1] | cut[1:-1]
+    begins = np.flatnonzero(begin)
+    if not len(begins):
+        return begins, np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    letters = rule.map[raw[word]]
+    starts = np.flatnonzero(begin[word])
+    lengths = np.diff(np.append(starts, len(letters)))
+    place = np.arange(len(letters)) - np.repeat(starts, lengths)
+    value = _BYTE[letters]
+    value *= _places(int(lengths.max()))[place]
+    chars = np.add.reduceat((letters & 0xC0 != 0x80).astype(np.int64), starts)
+    return begins, np.add.reduceat(value, starts), lengths, chars
+
+
+def _long(raw: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and code points of the words of one text of any length, BLOCK_BYTES at a time; a word may go over several."""
+    hashes: list[np.ndarray] = []
+    points: list[np.ndarray] = []
+    held = [0, 0, 0]  # sum, bytes and code points of the word at the end, which may go on
+    for i in range(0, len(raw), BLOCK_BYTES):
+        part = raw[i : i + BLOCK_BYTES]
+        begins, sums, lengths, chars = _parts(part, rule, np.zeros(1, np.int64))
+        if held[1] and len(begins) and begins[0] == 0:  # goes on
+            sums[0] = np.uint64((int(sums[0]) * pow(int(_BASE), held[1], 1 << 64) + held[0]) & ((1 << 64) - 1))
+            lengths[0] += held[1]
+            chars[0] += held[2]
+        elif held[1]:
+            hashes.append(mix(np.array([held[0]], np.uint64)))
+            points.append(np.array([held[2]], np.int64))
+        held = [0, 0, 0]
+        if len(begins) and rule.word[part[-1]]:
+            held = [int(sums[-1]), int(lengths[-1]), int(chars[-1])]
+            sums, chars = sums[:-1], chars[:-1]
+        hashes.append(mix(sums))
+        points.append(chars)
+    if held[1]:
+        hashes.append(mix(np.array([held[0]], np.uint64)))
+        points.append(np.array([held[2]], np.int64))
+    return np.concatenate(hashes), np.concatenate(points)
+
+
 def blocks(column: pa.Array, rule: Rule) -> Iterator[Block]:
     column = texts_of(column)
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
@@ -124,25 +172,12 @@ def blocks(column: pa.Array, rule: Rule) -> Iterator[Block]:
     for start, stop in ranges(column):
         at = offsets[start : stop + 1] - offsets[start]
         raw = data[offsets[start] : offsets[stop]]
-        word = rule.word[raw]
-        cut = np.zeros(len(raw) + 1, bool)  # a document begins here
-        cut[at] = True
-        begin = word.copy()
-        begin[1:] &= ~word[:-1] | cut[1:-1]
-        begins = np.flatnonzero(begin)
-        first = np.searchsorted(begins, at).astype(np.int64)
-        if not len(begins):
-            yield Block(slice(start, stop), first, np.empty(0, np.uint64), np.empty(0, np.int64))
+        if len(raw) > BLOCK_BYTES:  # one long text
+            hashes, chars = _long(raw, rule)
+            yield Block(slice(start, stop), np.array([0, len(hashes)]), hashes, chars)
             continue
-        letters = rule.map[raw[word]]
-        starts = np.flatnonzero(begin[word])
-        lengths = np.diff(np.append(starts, len(letters)))
-        place = np.arange(len(letters)) - np.repeat(starts, lengths)
-        value = _BYTE[letters]
-        value *= _places(int(lengths.max()))[place]
-        hashes = mix(np.add.reduceat(value, starts))
-        chars = np.add.reduceat((letters & 0xC0 != 0x80).astype(np.int64), starts)
-        yield Block(slice(start, stop), first, hashes, chars)
+        begins, sums, _, chars = _parts(raw, rule, at)
+        yield Block(slice(start, stop), np.searchsorted(begins, at).astype(np.int64), mix(sums), chars)
 
 
 def winnow(grams: np.ndarray, valid: np.ndarray, window: int) -> np.ndarray:

@@ -217,14 +217,10 @@ def test_signature_tree_loses_no_pair():
             keep = s[rng.random(len(s)) > share]
             sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 62, max(1, int(len(s) * share / 4))).astype(np.uint64)])))
 
-    def bitmap(s: np.ndarray) -> bytes:
-        width = max(jj.WIDTH, 1 << max(0, 2 * len(s) - 1).bit_length())
-        bits = np.zeros(width, np.uint8)
-        bits[s & np.uint64(width - 1)] = 1
-        return np.packbits(bits, bitorder="little").tobytes()
-
-    tree = jj.Tree(np.array([len(s) for s in sets]), [bitmap(s) for s in sets], 80)
-    found = {tuple(sorted(p)) for p in tree.pairs(np.arange(len(sets)), forest=False)}
+    sizes = np.array([len(s) for s in sets])
+    maps = jj.bitmaps(np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets), len(sets), 4096)
+    tree = jj.Tree(np.arange(len(sets)), sizes, maps, 80)
+    found = {tuple(sorted(p)) for p in np.stack(tree.pairs(tree), axis=1).tolist()}
     common = lambda a, b: len(np.intersect1d(a, b))
     true = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 180 * common(sets[i], sets[j]) >= 80 * (len(sets[i]) + len(sets[j]))}
     assert true and true <= found and len(found) < 3 * len(true)
