@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -14,6 +17,7 @@ from pyspark.sql import types as T
 
 # Rows of an Arrow batch: with texts of some 100 KB a batch still takes a few hundred MB at most.
 ARROW_ROWS = 2000
+FILTER_WORDS = 1 << 17
 _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -91,6 +95,37 @@ class Seen:
         return out
 
 
+def sieved(df: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose id may be among ``ids`` (one column), and the rows whose id is not, without dealing any row out.
+
+    A Bloom filter of FILTER_WORDS words goes to every worker: 1 MB, however many ids there are.  When it is too full, more
+    rows pass than need be.  Rows with a null id are not among the ids.
+    """
+    word = F.expr(f"pmod(xxhash64(_id), {FILTER_WORDS}L)")
+    own = ids.select(F.col(ids.columns[0]).cast("long").alias("_id")).where("_id is not null")
+    filled = own.select(word.alias("_word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(_id, 1), 64) as int))").alias("bits"))
+    filled = F.broadcast(filled.groupBy("_word").agg(F.bit_or("bits").alias("_bits")))
+    names = [f"`{c}`" for c in df.columns]
+    rows = df.withColumn("_id", F.col(id_col).cast("long")).withColumn("_word", word).join(filled, "_word", "left")
+    maybe = F.coalesce(F.expr("getbit(_bits, cast(pmod(xxhash64(_id, 1), 64) as int)) = 1 and _id is not null"), F.lit(False))
+    return rows.where(maybe).select(*names), rows.where(~maybe).select(*names)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, and then what the task has freed goes back to the system: workers live on and serve later stages."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return work
+
+
 def annotate(
     df: DataFrame, fields: list[T.StructField], make: Callable[[pa.RecordBatch], list[pa.Array]], need: list[str] | None = None
 ) -> DataFrame:
@@ -106,7 +141,7 @@ def annotate(
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + make(batch), kept + names)
 
-    return df.mapInArrow(run, T.StructType([*keep, *fields]))
+    return df.mapInArrow(tidied(run), T.StructType([*keep, *fields]))
 
 
 def longs(x: np.ndarray | Iterable[int]) -> pa.Array:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import annotate, longs, prepared
+from .base import annotate, longs, prepared, tidied
 from .words import ALNUM, Block, Rule, blocks, cover, kgrams, winnow
 
 WINDOW, K = 13, 7
@@ -187,8 +187,8 @@ def _joined(docs: DataFrame, items: DataFrame, text_col: str, window: int, k: in
 
     texts = keyed.select("_key", "_body").dropDuplicates(["_key"])
     schema = "key string, mark long"
-    ours = texts.mapInArrow(lambda b: marks(b, True), schema)
-    theirs = items.mapInArrow(lambda b: marks(b, False), schema).select(F.col("key").alias("id"), "mark")
+    ours = texts.mapInArrow(tidied(lambda b: marks(b, True)), schema)
+    theirs = items.mapInArrow(tidied(lambda b: marks(b, False)), schema).select(F.col("key").alias("id"), "mark")
     met = ours.join(theirs, "mark").select("key", "id").distinct()
     met = met.join(items, "id").groupBy("key").agg(F.collect_list(F.struct("id", "body")).alias("_items"))
 
@@ -202,7 +202,7 @@ def _joined(docs: DataFrame, items: DataFrame, text_col: str, window: int, k: in
             yield pa.RecordBatch.from_arrays([batch.column("_key"), *_arrays(tuple(out))], ["_key", *(f.name for f in FIELDS)])
 
     judged = texts.join(met, texts["_key"] == met["key"], "left").select("_key", "_body", "_items").mapInArrow(
-        judge, T.StructType([T.StructField("_key", T.StringType()), *FIELDS])
+        tidied(judge), T.StructType([T.StructField("_key", T.StringType()), *FIELDS])
     )
     names = [f.name for f in FIELDS]
     kept = [c for c in docs.columns if c not in names and (need is None or c in need)]
@@ -215,7 +215,7 @@ def _lengths(items: DataFrame, rule: Rule) -> DataFrame:
             for block in blocks(batch.column("body"), rule):
                 yield pa.RecordBatch.from_arrays([longs(block.sizes)], ["n"])
 
-    return items.mapInArrow(count, "n long")
+    return items.mapInArrow(tidied(count), "n long")
 
 
 def verdict(judged: DataFrame) -> DataFrame:

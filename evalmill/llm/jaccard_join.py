@@ -39,12 +39,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import Scratch, Seen, batch_of, column, longs, prepared, saved, starts_of, texts
+from .base import Scratch, Seen, batch_of, column, longs, prepared, saved, sieved, starts_of, texts, tidied
 from .words import LOWER, Block, Rule, blocks, kgrams, mix
 
 K, PERCENT = 5, 80
 LEAST_BITS, MOST_BITS, SHINGLE_BYTES, CHUNKS = 16, 24, 128, 256  # counters of the sketch: one for so many bytes of text
-FILTER_BITS = 1 << 23
 LEAF, FANOUT, LEAST_WIDTH, MOST_WIDTH = 16, 4, 256, 1 << 14
 SMALL_LIST, PART = 32, 2048  # sets of a shingle whose pairs are looked at one by one, or in one matrix
 EDGES = 1_000_000
@@ -124,7 +123,7 @@ def _described(rule: Rule, k: int, bits: int):
                 maps = pa.array([sets.bitmap(i) if new else None for i, new in enumerate(fresh.tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([ids[block.rows], longs(sets.n), longs(h1), longs(h2), pa.nulls(len(h1), pa.int64()), maps], names)
         none = pa.nulls(CHUNKS, pa.int64())
-        data = [zlib.compress(x.tobytes(), 1) for x in np.split(total, CHUNKS)]
+        data = [_squeezed(x) for x in np.split(total, CHUNKS)]
         yield pa.RecordBatch.from_arrays([none, none, none, none, longs(np.arange(CHUNKS)), pa.array(data, pa.binary())], names)
 
     return run
@@ -133,27 +132,32 @@ def _described(rule: Rule, k: int, bits: int):
 # ---------------------------------------------------------------- arrays of fixed size
 
 
-def _folded(pieces: DataFrame, how: np.ufunc, dtype: str, size: int, most: int | None = None) -> np.ndarray:
-    """One array of ``size`` from rows (chunk, data) of several workers; CHUNKS rows reach the driver.
+def _squeezed(x: np.ndarray) -> bytes:
+    """Counters as bytes: their width, and then the narrowest type that holds them, Huffman-coded (most are 0 or 1)."""
+    x = x.astype(np.min_scalar_type(x.max(initial=0)))
+    how = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    return bytes([x.itemsize]) + how.compress(x.tobytes()) + how.flush()
+
+
+def _counters(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:], -15), f"<u{data[0]}").astype(np.uint64)
 
-    most: larger values become this one, and take its type on their way.
-    """
-    to = np.min_scalar_type(most) if most else np.dtype(dtype)
+
+def _summed(pieces: DataFrame, size: int) -> np.ndarray:
+    """One array of ``size`` counters from rows (chunk, data) of several workers; CHUNKS rows reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
-                part = np.frombuffer(zlib.decompress(data.as_buffer()), dtype)
-                held[chunk] = how(held[chunk], part) if chunk in held else part
+            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                held[chunk] = held[chunk] + _counters(data) if chunk in held else _counters(data)
         if held:
-            data = [zlib.compress((np.minimum(x, most) if most else x).astype(to).tobytes(), 1) for x in held.values()]
-            yield pa.RecordBatch.from_arrays([longs(list(held)), pa.array(data, pa.binary())], ["chunk", "data"])
+            yield pa.RecordBatch.from_arrays([longs(list(held)), pa.array([_squeezed(x) for x in held.values()], pa.binary())], ["chunk", "data"])
 
-    out = np.zeros(size, to)
+    out = np.zeros(size, np.float32)
     step = size // CHUNKS
-    for r in pieces.repartition(F.col("chunk")).mapInArrow(run, "chunk long, data binary").toLocalIterator():
-        out[r.chunk * step : (r.chunk + 1) * step] = np.frombuffer(zlib.decompress(r.data), to)
+    for r in pieces.repartition(F.col("chunk")).mapInArrow(tidied(run), "chunk long, data binary").toLocalIterator():
+        out[r.chunk * step : (r.chunk + 1) * step] = _counters(r.data)
     return out
 
 
@@ -163,7 +167,7 @@ class Order:
 
     def __init__(self, counts: np.ndarray, mean: float, part: int):
         noise = 4 * np.sqrt(mean) + 4
-        above = counts.astype(np.float32) - np.float32(mean)
+        above = counts - np.float32(mean)
         self.level = np.minimum(63, np.maximum(0, 1 + np.floor(np.log2(np.maximum(above, 1) / noise)))).astype(np.uint8)
         self.shift = np.uint64(64 - int(len(counts)).bit_length() + 1)
         self.salts = np.minimum(1 << 16, np.maximum(1, noise * 2.0 ** np.arange(64) // (2 * part))).astype(np.uint64)
@@ -173,38 +177,6 @@ class Order:
         return self.level[(values >> self.shift).astype(np.int64)].astype(np.uint64) << _LEVEL | values & _REST
 
 
-def _filter_bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = mix(ids.view(np.uint64))
-    return h & np.uint64(FILTER_BITS - 1), (h >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)
-
-
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over the column doc; when it is too full it only lets more rows pass."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, np.uint8)
-        for batch in batches:
-            for at in _filter_bits(column(batch, "doc")):
-                bits[at] = 1
-        parts = [zlib.compress(x.tobytes(), 1) for x in np.split(np.packbits(bits, bitorder="little"), CHUNKS)]
-        yield pa.RecordBatch.from_arrays([longs(np.arange(CHUNKS)), pa.array(parts, pa.binary())], ["chunk", "data"])
-
-    return _folded(ids.mapInArrow(run, "chunk long, data binary"), np.bitwise_or, "u1", FILTER_BITS // 8)
-
-
-def _sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents that may be among the ids (column doc), found without dealing any text out."""
-    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(ids))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(bloom.value, bitorder="little")
-        for batch in batches:
-            one, two = _filter_bits(column(batch, "doc_id"))
-            yield batch.filter(pa.array((bits[one] & bits[two]).astype(bool)))
-
-    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, text string")
-
-
 # ---------------------------------------------------------------- blocks
 
 
@@ -381,9 +353,9 @@ def components(links: DataFrame, save: Callable[[DataFrame], DataFrame] = saved)
     a, b = links.columns
     schema = "node long, root long"
     edges = links.select(F.greatest(a, b).alias("node"), F.least(a, b).alias("root")).where("node > root").distinct()
-    edges = save(edges.mapInArrow(_stars, schema).distinct())
+    edges = save(edges.mapInArrow(tidied(_stars), schema).distinct())
     if edges.count() < EDGES // 2:  # then one worker's union-find holds all of them
-        return save(edges.coalesce(1).mapInArrow(_stars, schema))
+        return save(edges.coalesce(1).mapInArrow(tidied(_stars), schema))
     while True:
         least = edges.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("top"))
         hanging = edges.select(F.col("root").alias("node")).join(least, "node", "left_semi")
@@ -395,7 +367,7 @@ def components(links: DataFrame, save: Callable[[DataFrame], DataFrame] = saved)
         low = large.groupBy("node").agg(F.min("root").alias("low"))
         small = large.join(low, "node").select(F.col("root").alias("node"), F.col("low").alias("root")).where("node > root")
         small = small.unionByName(low.select("node", F.col("low").alias("root")))
-        edges = save(small.distinct().mapInArrow(_stars, schema).distinct())
+        edges = save(small.distinct().mapInArrow(tidied(_stars), schema).distinct())
 
 
 def _possible(percent: int):
@@ -419,16 +391,16 @@ def _possible(percent: int):
 def _blocks(docs: DataFrame, rows: DataFrame, order, rule: Rule, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """set, block: every set that shares a block with another one; a block goes by its smallest set."""
     found = scratch.save(
-        docs.mapInArrow(_prefixes(rule, k, percent, order), "shingle long, size long, set long")
+        docs.mapInArrow(tidied(_prefixes(rule, k, percent, order)), "shingle long, size long, set long")
         .repartition("shingle")
         .sortWithinPartitions("shingle", "size", "set")
-        .mapInArrow(_edges(percent), "a long, b long, key long, low long, high long")
+        .mapInArrow(tidied(_edges(percent)), "a long, b long, key long, low long, high long")
     )
     pairs = scratch.save(found.where("b is not null and low = 1").select("a", "b").distinct())
     ends = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct()
     maps = rows.where("chunk is null and data is not null").select("h1", "n", "data").join(ends, "h1", "left_semi").dropDuplicates(["h1"])
     maps = scratch.save(maps)
-    near = pairs.join(maps.toDF("a", "na", "x"), "a").join(maps.toDF("b", "nb", "y"), "b").mapInArrow(_possible(percent), "a long, b long")
+    near = pairs.join(maps.toDF("a", "na", "x"), "a").join(maps.toDF("b", "nb", "y"), "b").mapInArrow(tidied(_possible(percent)), "a long, b long")
     by_size = Window.partitionBy("key").orderBy("low", "high", "a")
     before = F.max("high").over(by_size.rowsBetween(Window.unboundedPreceding, -1))
     runs = found.where("b is null").withColumn("leap", F.coalesce(100 * before < percent * F.col("low"), F.lit(True)).cast("long"))
@@ -662,12 +634,12 @@ def _links(docs: DataFrame, sets: DataFrame, rule: Rule, k: int, percent: int, s
     """See ``_linked``; sets: h1, h2, doc, n, docs, several, block."""
     units = scratch.save(_units(sets, percent))
     return scratch.save(
-        _sieved(docs, units.select("doc"))
+        sieved(docs, "doc_id", units.select("doc"))[0]
         .join(units, F.col("doc_id") == F.col("doc"))
         .select(*_UNIT, "side", "h1", "h2", "doc", "docs", "several", "text")
         .repartition(*_UNIT)
         .sortWithinPartitions(*_UNIT)
-        .mapInArrow(_linked(rule, k, percent, listed), "h1 long, h2 long, doc long, root long, n long, o1 long, o2 long")
+        .mapInArrow(tidied(_linked(rule, k, percent, listed)), "h1 long, h2 long, doc long, root long, n long, o1 long, o2 long")
     )
 
 
@@ -681,10 +653,10 @@ def _described_sets(docs: DataFrame, k: int, percent: int, rule: Rule, part: int
         raise ValueError("percent must be between 1 and 100")
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, (size // SHINGLE_BYTES).bit_length()))
-    rows = scratch.save(docs.mapInArrow(_described(rule, k, bits), "doc_id long, n long, h1 long, h2 long, chunk long, data binary"))
+    rows = scratch.save(docs.mapInArrow(tidied(_described(rule, k, bits)), "doc_id long, n long, h1 long, h2 long, chunk long, data binary"))
     every = rows.where("chunk is null").select("doc_id", "n", "h1", "h2")
-    counts = _folded(rows.where("chunk is not null").select("chunk", "data"), np.add, "<u4", 1 << bits)
-    order = docs.sparkSession.sparkContext.broadcast(Order(counts, float(counts.mean()), part))
+    counts = _summed(rows.where("chunk is not null").select("chunk", "data"), 1 << bits)
+    order = docs.sparkSession.sparkContext.broadcast(Order(counts, float(counts.mean(dtype=np.float64)), part))
     known = every.where("doc_id is not null and n > 0")
     key = F.struct("h1", "h2", "n")
     ids = known.groupBy("doc_id").agg(F.min(key).alias("x"), F.max(key).alias("y"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import annotate, longs, prepared
+from .base import annotate, longs, prepared, tidied
 from .words import Rule, blocks, kgrams
 
 LETTERS = Rule(bytes(b for b in range(128) if not (65 <= b <= 90 or 97 <= b <= 122)), lower=True)
@@ -56,7 +56,7 @@ def _counts(docs: DataFrame, langs: list[str]) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([longs(at + x * BUCKETS), longs(n[at])], ["at", "n"])
 
     out = np.zeros(len(langs) * BUCKETS)
-    rows = docs.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    rows = docs.mapInArrow(tidied(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
     for r in rows.toLocalIterator():  # at most BUCKETS rows a language
         out[r.at] = r.n
     return out.reshape(len(langs), BUCKETS)

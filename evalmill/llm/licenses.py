@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .base import longs, prepared, texts
+from .base import longs, prepared, texts, tidied
 from .words import ALNUM, blocks, kgrams, texts_of
 
 K, GAP, LEAST, LONGEST = 3, 2, 0.6, 1.5
@@ -97,7 +97,7 @@ def scan_licenses(
     key = ["doc_id", "text_hash"]
     votes = (
         texts(docs, id_col, text_col)
-        .mapInArrow(_grams, schema)
+        .mapInArrow(tidied(_grams), schema)
         .join(_templates(spark, phrases, notices), "gram")
         .withColumn("diagonal", F.when(F.col("template") >= 0, F.col("place") - F.col("at")))
         .repartition(*key)

@@ -9,17 +9,20 @@ laid end to end and cut into full sequences; at the very end the remainder is cu
 powers of two, so nothing needs padding.  Memory: at most ``open_limit`` sequences of ids, and a block of texts.
 
 Sequence ids are the number of the input's partition and a count in it; work on a lost partition is done again with
-the same result.  Null texts count as empty: the end token alone.  Ids are those of ``tokenizers`` with that file.
+the same result.  Null texts count as empty: the end token alone.  A null id is packed like any other; rows that repeat
+an id are documents of their own.  Of levels with the same sum the fullest is taken.  Further columns play no part,
+whatever their names.  An empty table gives no piece.  Ids are those of ``tokenizers`` with that file.
+A text of any length is encoded LONG characters at a time; one unbroken word is encoded at once.
 Repeated words are encoded once: a text of letters, digits and signs below U+0180 in normal form is cut into the
 tokenizer's own pre-tokens, and only pre-tokens not seen before are encoded; any other text is encoded as it stands.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
-
 import unicodedata
 import zlib
 from array import array
@@ -32,10 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import longs, prepared
+from .base import longs, prepared, tidied
 from .words import ranges, texts_of
 
-SIZE, END, OPEN_LIMIT, CACHE = 4096, 2, 1024, 400_000
+SIZE, END, OPEN_LIMIT = 4096, 2, 1024
+CACHE = 200_000  # pre-tokens of a generation; two of them take some 80 MB, for as long as the task
+LONG = 1 << 20  # characters of a text that are encoded at once
 MAX_FILE = 64 << 20
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -73,16 +78,24 @@ class Encoder:
         self.old: dict[str, bytes] = {}
         self.plain = self._is_plain(definition)
 
-    @staticmethod
-    def _is_plain(definition: str) -> bool:
+    # What ``encode`` relies on, as the tokenizer file says it (fixed values).
+    NORMALIZER = {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    }
+    CUTS = {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    }
+
+    def _is_plain(self, definition: str) -> bool:
         """Does the file cut and lower-case texts as PIECES expects?  Otherwise every text is encoded as it stands."""
-        import json
-
         d = json.loads(definition)
-        steps = [x.get("type") for x in (d.get("normalizer") or {}).get("normalizers", [])]
-        cuts = (d.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-        rule = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-        return steps == ["NFC", "Replace", "Lowercase"] and cuts[0].get("pattern") == {"Regex": rule} and d.get("post_processor") is None
+        special = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"]) for t in d["added_tokens"])
+        return special and d["normalizer"] == self.NORMALIZER and d["pre_tokenizer"] == self.CUTS and d.get("post_processor") is None
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -90,6 +103,11 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.plain:
             return self._whole(texts)
+        if max(map(len, texts), default=0) <= LONG:
+            return self._cut(texts)
+        return [b"".join(self._cut([part])[0] for part in _parts(t)) for t in texts]
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
         cut: list[list[str] | None] = []
         odd: list[str] = []
         for t in texts:
@@ -113,6 +131,19 @@ class Encoder:
         return [next(whole) if x is None else b"".join(map(get, x)) for x in cut]
 
 
+def _parts(text: str) -> Iterator[str]:
+    """A text in parts of about LONG characters that end with a space or a line end, which no token spans."""
+    start = 0
+    while len(text) - start > LONG:
+        stop = max(text.rfind(c, start, start + LONG) for c in " \n") + 1
+        if not stop:  # a longer word
+            later = [i for c in " \n" if (i := text.find(c, start)) >= 0]
+            stop = min(later) + 1 if later else len(text)
+        yield text[start:stop]
+        start = stop
+    yield text[start:]
+
+
 class Packer:
     """Places documents one after another; ``put`` and ``finish`` give rows of finished sequences."""
 
@@ -216,7 +247,7 @@ def pack(
     tail = b"" if end is None else np.asarray([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(definition.value)
+        encoder = Encoder(definition.value)
         packer = Packer(size, open_limit, TaskContext.get().partitionId() << 40)
         for batch in batches:
             body, ids = texts_of(batch.column("text")).cast(pa.large_string()), batch.column("doc_id").to_pylist()
@@ -231,20 +262,8 @@ def pack(
             yield _rows(rows)
 
     columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return columns.mapInArrow(run, ", ".join(f"{n} long" for n in NAMES))
+    return columns.mapInArrow(tidied(run), ", ".join(f"{n} long" for n in NAMES))
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], NAMES)
-
-
-_made: dict[int, Encoder] = {}
-
-
-def _encoder(definition: str) -> Encoder:
-    """One for each worker process and file."""
-    key = hash(definition)
-    if key not in _made:
-        _made.clear()
-        _made[key] = Encoder(definition)
-    return _made[key]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import annotate, longs, prepared
+from .base import annotate, longs, prepared, tidied
 from .words import PLAIN, SPACES, LOWER, Block, blocks, cover, kgrams, mix, ranges, texts_of
 
 BUCKETS = 1 << 16
@@ -91,7 +91,7 @@ def ratios(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, trust
 
     counted = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        .mapInArrow(count, "bucket long, raw long, good long")
+        .mapInArrow(tidied(count), "bucket long, raw long, good long")
         .groupBy("bucket")
         .agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
         .collect()  # at most BUCKETS rows

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Buffer, batch_of, column, longs, prepared, starts_of, texts
+from .base import Buffer, batch_of, column, longs, prepared, starts_of, texts, tidied
 from .words import PLAIN, Rule, blocks, kgrams, texts_of, winnow
 
 WINDOW, K = 13, 7
@@ -206,10 +206,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = K, rule: Ru
     spread = F.when(F.col("known"), F.xxhash64("doc", "hash")).otherwise(F.col("hash"))
     seeds = (
         docs.where("doc_id is not null")
-        .mapInArrow(_anchors(rule, window, k), "hash long, doc long, known boolean")
+        .mapInArrow(tidied(_anchors(rule, window, k)), "hash long, doc long, known boolean")
         .repartition(spread)
         .sortWithinPartitions("hash")
-        .mapInArrow(_shared, "doc long, hash long")
+        .mapInArrow(tidied(_shared), "doc long, hash long")
         .groupBy("doc")
         .agg(F.collect_list("hash").alias("seeds"))
     )
@@ -217,10 +217,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = K, rule: Ru
     return (
         docs.join(seeds, docs["doc_id"] == seeds["doc"], "left")
         .select("doc_id", "text", "seeds")
-        .mapInArrow(_windows(rule, window, k), "hash long, at long, doc long, known boolean")
+        .mapInArrow(tidied(_windows(rule, window, k)), "hash long, at long, doc long, known boolean")
         .repartition(spread)
         .sortWithinPartitions("hash", F.shiftright("at", 32), "doc")
-        .mapInArrow(_repeated, "doc long, run long")
+        .mapInArrow(tidied(_repeated), "doc long, run long")
         .groupBy("doc")
         .agg(F.collect_list("run").alias("runs"))
     )
@@ -238,5 +238,5 @@ def dedup_substrings(
     return (
         docs.join(found, docs["doc_id"] == found["doc"], "left")
         .select("doc_id", "text", "runs")
-        .mapInArrow(_keep(rule, window), schema)
+        .mapInArrow(tidied(_keep(rule, window)), schema)
     )
