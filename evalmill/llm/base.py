@@ -48,6 +48,13 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Scratch:
     """Tables written to the shared folder while a job goes on; all of them go at its end."""
 
@@ -61,20 +68,15 @@ class Scratch:
         self.tables.append(self.spark.read.schema(df.schema).parquet(path))
         return self.tables[-1]
 
-    def _remove(self, path: str) -> None:
-        sc = self.spark.sparkContext
-        where = sc._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-
     def drop(self, df: DataFrame) -> None:
         """Removes a table that the job needs no more."""
-        self._remove(f"{self.folder}/{[x is df for x in self.tables].index(True)}")
+        removed(self.spark, f"{self.folder}/{[x is df for x in self.tables].index(True)}")
 
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_: object) -> None:
-        self._remove(self.folder)
+        removed(self.spark, self.folder)
 
 
 class Seen:
