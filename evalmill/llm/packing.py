@@ -40,6 +40,7 @@ from .words import ranges, texts_of
 
 SIZE, END, OPEN_LIMIT = 4096, 2, 1024
 CACHE = 200_000  # pre-tokens of a generation; two of them take some 80 MB, for as long as the task
+JOINED = 512  # pre-tokens that are encoded as one text
 LONG = 1 << 20  # characters of a text that are encoded at once
 MAX_FILE = 64 << 20
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -77,8 +78,12 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.plain = self._is_plain(definition)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(self.WORD_END)]] = True
 
     # What ``encode`` relies on, as the tokenizer file says it (fixed values).
+    WORD_END = "</w>"
     NORMALIZER = {
         "type": "Sequence",
         "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
@@ -94,12 +99,26 @@ class Encoder:
     def _is_plain(self, definition: str) -> bool:
         """Does the file cut and lower-case texts as PIECES expects?  Otherwise every text is encoded as it stands."""
         d = json.loads(definition)
-        special = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"]) for t in d["added_tokens"])
+        special = d["model"].get("end_of_word_suffix") == self.WORD_END and all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"]) for t in d["added_tokens"])
         return special and d["normalizer"] == self.NORMALIZER and d["pre_tokenizer"] == self.CUTS and d.get("post_processor") is None
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each pre-token, many to a text: the last id of each tells where it ends."""
+        out: list[bytes] = []
+        for i in range(0, len(pieces), JOINED):
+            some = pieces[i : i + JOINED]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(ends) != len(some) or len(ids) and ends[-1] != 4 * len(ids):
+                out += self._whole(some)
+                continue
+            data, stops = ids.tobytes(), ends.tolist()
+            out += [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.plain:
             return self._whole(texts)
@@ -125,7 +144,7 @@ class Encoder:
         self.known.update((p, self.old[p]) for p in moved)
         if len(moved) < len(new):
             new = [p for p in new if p not in self.old]
-            self.known.update(zip(new, self._whole(new), strict=True))
+            self.known.update(zip(new, self._words(new), strict=True))
         whole = iter(self._whole(odd) if odd else [])
         get = self.known.__getitem__
         return [next(whole) if x is None else b"".join(map(get, x)) for x in cut]
