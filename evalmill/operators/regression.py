@@ -1,56 +1,79 @@
-"""Logistic regression by Newton steps, with cluster-robust errors.
+"""Logistic regressions by Newton steps, with cluster-robust errors.
 
-Each step is one aggregation of the gradient and the curvature, a few numbers; the rows stay where they are.
+Several models over the same rows are fitted together: each step is one aggregation of all gradients and curvatures, a few
+numbers; the rows are kept by the executors while the steps go on, and stay where they are.
 """
 
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STEPS, TOLERANCE = 30, 1e-10
 
 
-def _linear(beta: np.ndarray, terms: list[str]) -> Column:
-    return sum((float(b) * F.col(t) for b, t in zip(beta[1:], terms, strict=True)), F.lit(float(beta[0])))
-
-
-def logit(rows: DataFrame, y: str, terms: list[str], cluster: str) -> list[tuple[str, float, float, float, float, float, int]]:
-    """(term, coefficient, clustered error, z, AIC, log-likelihood, n) of the constant and each term."""
-    k = len(terms) + 1
-    x = [F.lit(1.0), *(F.col(t) for t in terms)]
-    beta = np.zeros(k)
-    upper = [(i, j) for i in range(k) for j in range(i, k)]
-
-    def p() -> Column:
-        return 1 / (1 + F.exp(-_linear(beta, terms)))
-
-    for _ in range(STEPS):
-        q = rows.withColumn("_p", p())
-        e, v = F.col(y) - F.col("_p"), F.col("_p") * (1 - F.col("_p"))
-        got = q.agg(*(F.sum(e * a) for a in x), *(F.sum(v * x[i] * x[j]) for i, j in upper)).first()
-        gradient, curve = np.array(got[:k]), np.zeros((k, k))
-        for (i, j), value in zip(upper, got[k:], strict=True):
-            curve[i, j] = curve[j, i] = value
-        step = np.linalg.solve(curve, gradient)
-        beta = beta + step
-        if np.abs(step).max() < TOLERANCE:
-            break
-    q = rows.withColumn("_p", p())
-    e = F.col(y) - F.col("_p")
-    fit = F.col(y) * F.log("_p") + (1 - F.col(y)) * F.log(1 - F.col("_p"))
-    n, loglik = q.agg(F.count("*"), F.sum(fit)).first()
-    scores = q.groupBy(cluster).agg(*(F.sum(e * a).alias(f"s{i}") for i, a in enumerate(x)))
-    got = scores.agg(F.count("*"), *(F.sum(F.col(f"s{i}") * F.col(f"s{j}")) for i, j in upper)).first()
-    groups, meat = got[0], np.zeros((k, k))
-    for (i, j), value in zip(upper, got[1:], strict=True):
-        meat[i, j] = meat[j, i] = value
-    bread = np.linalg.inv(curve)
-    cover = bread @ meat @ bread * (groups / (groups - 1)) * ((n - 1) / (n - k))
-    errors = np.sqrt(np.diag(cover))
-    aic = 2 * k - 2 * loglik
-    return [
-        (t, round(float(b), 6), round(float(s), 6), round(float(b / s), 6), round(float(aic), 6), round(float(loglik), 6), int(n))
-        for t, b, s in zip(["const", *terms], beta, errors, strict=True)
-    ]
+class Fit:
+    def __init__(self, name: str, y: str, terms: list[str]):
+        self.name, self.y, self.terms = name, F.col(y), ["const", *terms]
+        self.x = [F.lit(1.0), *(F.col(t) for t in terms)]
+        self.k = len(self.x)
+        self.upper = [(i, j) for i in range(self.k) for j in range(i, self.k)]
+        self.beta, self.curve, self.done = np.zeros(self.k), np.eye(self.k), False
+
+    @property
+    def p(self) -> Column:
+        return 1 / (1 + F.exp(-sum((float(b) * x for b, x in zip(self.beta, self.x, strict=True)), F.lit(0.0))))
+
+    def sums(self) -> list[Column]:
+        e, v = self.y - self.p, self.p * (1 - self.p)
+        return [*(F.sum(e * a) for a in self.x), *(F.sum(v * self.x[i] * self.x[j]) for i, j in self.upper)]
+
+    def symmetric(self, values: list[float]) -> np.ndarray:
+        out = np.zeros((self.k, self.k))
+        for (i, j), value in zip(self.upper, values, strict=True):
+            out[i, j] = out[j, i] = value
+        return out
+
+    def step(self, got: list[float]) -> None:
+        self.curve = self.symmetric(got[self.k :])
+        change = np.linalg.lstsq(self.curve, np.array(got[: self.k]), rcond=None)[0]
+        self.beta = self.beta + change
+        self.done = bool(np.abs(change).max() < TOLERANCE)
+
+    def rows(self, n: int, loglik: float, groups: int, meat: np.ndarray) -> list[tuple]:
+        bread = np.linalg.pinv(self.curve)
+        cover = bread @ meat @ bread * (groups / max(1, groups - 1)) * ((n - 1) / max(1, n - self.k))
+        aic = 2 * self.k - 2 * loglik
+        rounded = lambda *v: tuple(round(float(x), 6) for x in v)
+        return [
+            (self.name, t, *rounded(b, s, b / s if s else float("nan"), aic, loglik), int(n))
+            for t, b, s in zip(self.terms, self.beta, np.sqrt(np.diag(cover)), strict=True)
+        ]
+
+
+def logits(rows: DataFrame, y: str, models: dict[str, list[str]], cluster: str) -> list[tuple]:
+    """(model, term, coefficient, clustered error, z, AIC, log-likelihood, n) of the constant and each term of each model."""
+    fits = [Fit(name, y, terms) for name, terms in models.items()]
+    kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for _ in range(STEPS):
+            going = [f for f in fits if not f.done]
+            if not going:
+                break
+            got = list(kept.agg(*(c for f in going for c in f.sums())).first())
+            for f in going:
+                f.step([got.pop(0) or 0.0 for _ in f.sums()])
+        likely = [F.sum(f.y * F.log(f.p) + (1 - f.y) * F.log(1 - f.p)) for f in fits]
+        n, *loglik = kept.agg(F.count("*"), *likely).first()
+        scores = {f"s{m}_{i}": F.sum((f.y - f.p) * a) for m, f in enumerate(fits) for i, a in enumerate(f.x)}
+        each = kept.groupBy(cluster).agg(*(c.alias(name) for name, c in scores.items()))
+        crossed = [F.sum(F.col(f"s{m}_{i}") * F.col(f"s{m}_{j}")) for m, f in enumerate(fits) for i, j in f.upper]
+        groups, *meat = each.agg(F.count("*"), *crossed).first()
+        out = []
+        for f, value in zip(fits, loglik, strict=True):
+            out += f.rows(n, value or 0.0, groups, f.symmetric([meat.pop(0) or 0.0 for _ in f.upper]))
+        return out
+    finally:
+        kept.unpersist()

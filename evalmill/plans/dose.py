@@ -44,6 +44,24 @@ def visibility_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    DOSE
+    + """, r AS (SELECT lang, bin, 100 * (avg(y::INT) - avg(y0::INT)) AS d FROM bn GROUP BY ALL), s AS (SELECT *, lag(d) OVER (PARTITION BY lang ORDER BY bin) AS before FROM r)
+SELECT lang, coalesce(bool_or(bin = 4 AND abs(d) <= 3), false) AS flat, coalesce(bool_or(bin = 0 AND d <= -8), false) AS deep, coalesce(bool_and(before <= d + 1e-9), true) AS monotone,
+CASE WHEN bool_or(bin = 4 AND abs(d) <= 3) AND bool_or(bin = 0 AND d <= -8) AND coalesce(bool_and(before <= d + 1e-9), true) THEN 'HOLD' ELSE 'MISS' END AS verdict FROM s GROUP BY lang"""
+)
+def bin_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full visibility is flat, the lowest quarter loses 8 points or more, and the bins between never fall."""
+    d = 100 * (F.avg(F.col("y").cast("int")) - F.avg(F.col("y0").cast("int")))
+    bins = doses(spark, sf_dir).groupBy("lang", "bin").agg(d.alias("d"))
+    before = F.lag("d").over(W.Window.partitionBy("lang").orderBy("bin"))  # five bins a language
+    no = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    got = bins.withColumn("before", before).groupBy("lang").agg(
+        no(F.expr("bin = 4 and abs(d) <= 3")).alias("flat"), no(F.expr("bin = 0 and d <= -8")).alias("deep"), F.coalesce(F.bool_and(F.expr("before <= d + 1e-9")), F.lit(True)).alias("monotone")
+    )
+    return got.withColumn("verdict", F.when(F.expr("flat and deep and monotone"), "HOLD").otherwise("MISS"))
+
+
 @query(DOSE + "SELECT lang, bin, count(*) AS items, round(100 * avg(m), 6) AS d FROM (SELECT lang, bin, item_id, avg(y::INT - y0::INT) AS m FROM bn GROUP BY ALL) GROUP BY ALL")
 def bin_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item once a bin: the mean over items of the mean over their rows."""
@@ -180,11 +198,14 @@ def above_below_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def logit_aic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logistic fits of the outcome on visibility, on slack, and on the window, with errors clustered by item."""
-    rows = doses(spark, sf_dir).select(
-        F.col("y").cast("double").alias("y"), "item_id", "v", (F.col("w") - F.col("c")).cast("double").alias("slack"), F.col("w").cast("double").alias("w"),
-        F.col("q_tokens").cast("double").alias("q"),
-    )
-    models = {"v": ["v"], "slack": ["slack"], "slack+q": ["slack", "q"], "w": ["w"]}
-    out = [(name, *r) for name, x in models.items() for r in regression.logit(rows, "y", x, "item_id")]
+    """Logistic fits of the outcome with errors clustered by item: on visibility, slack, slack and question, window, and
+    language over treated rows, and on compression and blindness over all rows.  Fitted together, over rows kept once."""
+    y, slack = F.col("y").cast("double").alias("y"), (F.col("w") - F.col("c")).cast("double").alias("slack")
+    treated = doses(spark, sf_dir).select(y, "item_id", "lang", "v", slack, F.col("w").cast("double").alias("w"), F.col("q_tokens").cast("double").alias("q"))
+    langs = sorted(r.lang for r in table(spark, sf_dir, "documents").select("lang").distinct().collect())  # a few
+    treated = treated.withColumns({f"is_{x}": (F.col("lang") == x).cast("double") for x in langs[1:]}).drop("lang")
+    models = {"v": ["v"], "slack": ["slack"], "slack+q": ["slack", "q"], "w": ["w"], "lang": [f"is_{x}" for x in langs[1:]]}
+    blind = F.coalesce(F.col("w") < F.col("c"), F.lit(False)).cast("double").alias("blind")
+    every = generations(spark, sf_dir).select(F.col("correct").cast("double").alias("y"), "item_id", F.col("w").isNotNull().cast("double").alias("compressed"), blind)
+    out = regression.logits(treated, "y", models, "item_id") + regression.logits(every, "y", {"compressed+blind": ["compressed", "blind"]}, "item_id")
     return spark.createDataFrame(out, "model string, term string, coef double, se double, z double, aic double, loglik double, n long")

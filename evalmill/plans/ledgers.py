@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from evalmill.operators import pairing
 from evalmill.sources.tables import table
 
 from .paired import P_SQL
@@ -50,47 +49,103 @@ def byte_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("lang").agg(F.count("*").alias("shared"), F.count_if(F.expr("a = b")).alias("identical"))
 
 
-@query(SQL + "SELECT config, count(*) AS n, count(*) FILTER (starts_with(output, text)) AS holds FROM gen GROUP BY config")
+# a second store of the same cells: outputs that were cut at 400 characters, and some that came out another way
+_CAPS = (
+    SQL
+    + """, sh AS (SELECT lang, config, item_id, answer, CASE WHEN doc_id % 16 = 5 THEN 'x' ELSE '' END || substr(output, 1, 400) AS short FROM gen WHERE config IN ('baseline', 'snapkv@r0.75')),
+ln AS (SELECT lang, config, item_id, output AS long FROM gen WHERE config IN ('baseline', 'snapkv@r0.75') AND doc_id % 20 <> 3), both_ AS (SELECT * FROM sh JOIN ln USING (lang, config, item_id))
+"""
+)
+
+
+def capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that a store of short outputs and one of long outputs share: lang, config, item_id, answer, short, long."""
+    rows = generations(spark, sf_dir).where("config in ('baseline', 'snapkv@r0.75')")
+    key = ["lang", "config", "item_id"]
+    odd = F.when(F.pmod("doc_id", F.lit(16)) == 5, "x").otherwise("")
+    short = rows.select(*key, "answer", F.concat(odd, F.substring("output", 1, 400)).alias("short"))
+    return short.join(rows.where("pmod(doc_id, 20) != 3").select(*key, F.col("output").alias("long")), key)
+
+
+@query(_CAPS + "SELECT config, count(*) AS n, count(*) FILTER (starts_with(long, short)) AS holds FROM both_ GROUP BY config")
 def prefix_property(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Is the shorter output (here the text alone) the beginning of the longer one?"""
-    return generations(spark, sf_dir).groupBy("config").agg(F.count("*").alias("n"), F.count_if(F.startswith("output", "text")).alias("holds"))
+    """Is the shorter output the beginning of the longer one of the same cell?"""
+    return capped(spark, sf_dir).groupBy("config").agg(F.count("*").alias("n"), F.count_if(F.startswith("long", "short")).alias("holds"))
+
+
+_LENIENT = "CASE WHEN contains({0}, '#### ') THEN regexp_extract({0}, '#### ([a-z]+)', 1) = answer ELSE contains(lower({0}), answer) END"
+
+
+def lenient(output: Column, answer: Column) -> Column:
+    """What stands behind the marker is the answer; without a marker the answer stands anywhere."""
+    return F.when(F.contains(output, F.lit("#### ")), F.regexp_extract(output, "#### ([a-z]+)", 1) == answer).otherwise(F.contains(F.lower(output), answer))
 
 
 @query(
-    SQL
-    + f""", p AS (SELECT item_id, bool_or(correct) FILTER (config = 'baseline') AS x, bool_or(correct) FILTER (config = 'snapkv@r0.75') AS y,
-bool_or(contains(output, '####')) FILTER (config = 'baseline') AS m0, bool_or(contains(output, '####')) FILTER (config = 'snapkv@r0.75') AS m1 FROM gen GROUP BY item_id),
-k AS (SELECT count(*) AS n, count(*) FILTER (y AND NOT x) AS fixed, count(*) FILTER (x AND NOT y) AS broken FROM p WHERE m0 AND NOT m1)
-SELECT n, fixed, broken, round({P_SQL}, 10) AS p FROM k"""
+    _CAPS
+    + f""", c AS (SELECT lang, {_LENIENT.format("short")} AS a, {_LENIENT.format("long")} AS b FROM both_ WHERE starts_with(long, short) AND contains(long, '####') AND NOT contains(short, '####')),
+k AS (SELECT coalesce(lang, 'all') AS lang, count(*) AS n, count(*) FILTER (a) AS sa, count(*) FILTER (b) AS sb, count(*) FILTER (b AND NOT a) AS fixed, count(*) FILTER (a AND NOT b) AS broken FROM c GROUP BY ROLLUP (lang))
+SELECT lang, n, round_even(100.0::DOUBLE * sa / n, 0)::BIGINT AS acc_short, round_even(100.0::DOUBLE * sb / n, 0)::BIGINT AS acc_long, round_even(100.0::DOUBLE * (fixed - broken) / n, 0)::BIGINT AS d,
+fixed, broken, round({P_SQL}, 10) AS p FROM k WHERE n > 0"""
 )
 def marker_destroyed_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paired score on items that have a marker in one store and none in the other."""
+    """What a cap costs where it cut the marker off and changed nothing else, by language and over all."""
     from evalmill.functions import stats
 
-    rows = generations(spark, sf_dir).where("config in ('baseline', 'snapkv@r0.75')")
-    marked = F.contains("output", F.lit("####"))
-    has = lambda c: F.bool_or(F.when(F.col("config") == c, marked))
-    lost = rows.groupBy("item_id").agg(has("baseline").alias("m0"), has("snapkv@r0.75").alias("m1")).where("m0 and not m1")
-    got = pairing.paired_counts(rows.join(lost.select("item_id"), "item_id", "left_semi"), [], "baseline", ["snapkv@r0.75"])
-    return got.select("n", "fixed", "broken", F.round(stats.mcnemar_p(F.col("fixed"), F.col("broken")), 10).alias("p"))
+    cells = capped(spark, sf_dir).where(F.startswith("long", "short") & F.contains("long", F.lit("####")) & ~F.contains("short", F.lit("####")))
+    cells = cells.select("lang", lenient(F.col("short"), F.col("answer")).alias("a"), lenient(F.col("long"), F.col("answer")).alias("b"))
+    sums = cells.rollup("lang").agg(
+        F.count("*").alias("n"), F.count_if("a").alias("sa"), F.count_if("b").alias("sb"), F.count_if(F.expr("b and not a")).alias("fixed"), F.count_if(F.expr("a and not b")).alias("broken")
+    ).where("n > 0")
+    pct = lambda c: F.bround(100.0 * c / F.col("n")).cast("long")
+    return sums.select(
+        F.coalesce("lang", F.lit("all")).alias("lang"), "n", pct(F.col("sa")).alias("acc_short"), pct(F.col("sb")).alias("acc_long"),
+        pct(F.col("fixed") - F.col("broken")).alias("d"), "fixed", "broken", F.round(stats.mcnemar_p(F.col("fixed"), F.col("broken")), 10).alias("p"),
+    )
+
+
+def license_to_pair(new: DataFrame, old: DataFrame, expected: list[str]) -> DataFrame:
+    """lang, branch, reason: A where a new store may be paired with an old one, else B and the first reason why not.
+
+    new, old: lang, item_id, output, stack_id.  The stacks of the new store have to be just the expected ones, both have to
+    hold the same items, and with the same outputs.  Hashes of outputs meet, not the outputs.
+    """
+    h = F.sha2("output", 256)
+    a = new.select("lang", "item_id", h.alias("a"), "stack_id", F.lit(True).alias("in_new"))
+    b = old.select("lang", "item_id", h.alias("b"), F.lit(True).alias("in_old"))
+    sums = a.join(b, ["lang", "item_id"], "full").groupBy("lang").agg(
+        F.array_sort(F.collect_set("stack_id")).alias("stacks"),
+        F.count("in_new").alias("n"),
+        F.count("in_old").alias("m"),
+        F.count_if(F.expr("in_new and in_old")).alias("shared"),
+        F.count_if(F.expr("a != b")).alias("differ"),
+    )
+    want = F.array(*map(F.lit, sorted(expected)))
+    reason = (
+        F.when(F.col("stacks") != want, F.concat(F.lit("stacks "), F.array_join("stacks", ",")))
+        .when(F.col("m") == 0, "old store absent")
+        .when((F.col("shared") < F.col("n")) | (F.col("shared") < F.col("m")), F.format_string("item sets differ (%d vs %d)", "n", "m"))
+        .when(F.col("differ") > 0, F.format_string("%d/%d outputs differ", "differ", "n"))
+    )
+    return sums.select("lang", F.when(reason.isNull(), "A").otherwise("B").alias("branch"), reason.alias("reason"))
 
 
 @query(
     SQL
-    + """, a AS (SELECT lang, count(*) AS n, count(DISTINCT stack_id) AS s FROM gen WHERE config = 'baseline' GROUP BY lang),
-b AS (SELECT lang, count(*) AS n FROM gen WHERE config = 'kv4' AND doc_id % 50 <> 1 OR config = 'kv4' AND lang = 'de' GROUP BY lang)
-SELECT coalesce(a.lang, b.lang) AS lang, CASE WHEN a.n IS NULL OR b.n IS NULL THEN 'no pair' WHEN a.n <> b.n THEN 'items differ' WHEN a.s > 2 THEN 'stacks differ' ELSE 'licensed' END AS reason
-FROM a FULL JOIN b ON a.lang = b.lang"""
+    + """, a AS (SELECT lang, item_id, output, CASE WHEN lang = 'es' AND doc_id % 11 = 0 THEN 's9' ELSE stack_id END AS stack FROM gen WHERE config = 'baseline'),
+b AS (SELECT lang, item_id, output || CASE WHEN lang = 'fr' AND doc_id % 7 = 3 THEN '!' ELSE '' END AS output FROM gen WHERE config = 'baseline' AND NOT (lang = 'en' AND doc_id % 50 = 1)),
+k AS (SELECT lang, string_agg(DISTINCT stack, ',' ORDER BY stack) AS stacks, count(a.output) AS n, count(b.output) AS m, count(*) FILTER (a.output IS NOT NULL AND b.output IS NOT NULL) AS shared,
+count(*) FILTER (a.output <> b.output) AS differ FROM a FULL JOIN b USING (lang, item_id) GROUP BY lang),
+r AS (SELECT lang, CASE WHEN stacks <> 's0,s1' THEN 'stacks ' || stacks WHEN m = 0 THEN 'old store absent' WHEN shared < n OR shared < m THEN 'item sets differ (' || n || ' vs ' || m || ')'
+WHEN differ > 0 THEN differ || '/' || n || ' outputs differ' END AS reason FROM k)
+SELECT lang, CASE WHEN reason IS NULL THEN 'A' ELSE 'B' END AS branch, reason FROM r"""
 )
 def pairing_license(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """May two stores be paired?  Only with the same items and the expected stacks; else the reason why not."""
-    rows = generations(spark, sf_dir)
-    a = rows.where("config = 'baseline'").groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("stack_id").alias("s"))
-    b = rows.where("config = 'kv4' and (pmod(doc_id, 50) != 1 or lang = 'de')").groupBy("lang").agg(F.count("*").alias("m"))
-    reason = (
-        F.when(F.col("n").isNull() | F.col("m").isNull(), "no pair").when(F.col("n") != F.col("m"), "items differ").when(F.col("s") > 2, "stacks differ").otherwise("licensed")
-    )
-    return a.join(b, "lang", "full").select("lang", reason.alias("reason"))
+    """May two stores be paired?  The second one lacks items of one language and has other outputs in another."""
+    rows = generations(spark, sf_dir).where("config = 'baseline'")
+    new = rows.withColumn("stack_id", F.expr("if(lang = 'es' and pmod(doc_id, 11) = 0, 's9', stack_id)"))
+    old = rows.where("not (lang = 'en' and pmod(doc_id, 50) = 1)").withColumn("output", F.expr("concat(output, if(lang = 'fr' and pmod(doc_id, 7) = 3, '!', ''))"))
+    return license_to_pair(new, old, ["s0", "s1"])
 
 
 @query("SELECT count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")

@@ -253,21 +253,14 @@ def series_delta_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     PAIRS
-    + """, d AS (SELECT lang, max(CASE WHEN config = 'snapkv@r0.75:w32' THEN 100.0::DOUBLE * (n_comp - n_base) / n END) AS small,
-max(CASE WHEN config = 'snapkv@r0.75:w128' THEN 100.0::DOUBLE * (n_comp - n_base) / n END) AS large FROM cnt GROUP BY lang)
-SELECT lang, CASE WHEN small <= -8 AND large >= -3 THEN 'closes' WHEN small <= -8 AND large <= -5 THEN 'stays' WHEN small >= -3 AND large >= -3 AND large <= 3 THEN 'no damage'
-ELSE 'not flat' END AS class FROM d"""
+    + """, d AS (SELECT lang, coalesce(max(CASE WHEN config = 'snapkv@r0.75' THEN 100.0::DOUBLE * (n_comp - n_base) / n END), 0) AS bd,
+max(CASE WHEN config = 'snapkv@r0.75:w128' THEN 100.0::DOUBLE * (n_comp - n_base) / n END) AS ba FROM cnt GROUP BY lang)
+SELECT lang, CASE WHEN lang = 'en' THEN CASE WHEN abs(ba) > 3 THEN 'not flat' END WHEN ba <= -8 OR bd <= -8 AND ba <= bd + 3 THEN 'kill-shaped'
+WHEN ba > -3 AND bd <= -5 THEN 'closes' WHEN abs(ba) <= 3 AND abs(bd) <= 3 THEN 'no damage' END AS class FROM d"""
 )
 def closure_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a larger window does to the damage of a small one."""
+    """What a larger window does to the damage of the default one; of the anchor language only whether it stays flat."""
     d = F.try_divide(100.0 * (F.col("n_comp") - F.col("n_base")), F.col("n"))
-    wide = counts(spark, sf_dir).groupBy("lang").agg(
-        F.max(F.when(F.col("config") == "snapkv@r0.75:w32", d)).alias("small"), F.max(F.when(F.col("config") == "snapkv@r0.75:w128", d)).alias("large")
-    )
-    kind = (
-        F.when(F.expr("small <= -8 and large >= -3"), "closes")
-        .when(F.expr("small <= -8 and large <= -5"), "stays")
-        .when(F.expr("small >= -3 and large >= -3 and large <= 3"), "no damage")
-        .otherwise("not flat")
-    )
-    return wide.select("lang", kind.alias("class"))
+    of = lambda c: F.max(F.when(F.col("config") == c, d))
+    wide = counts(spark, sf_dir).groupBy("lang").agg(of("snapkv@r0.75").alias("default"), of("snapkv@r0.75:w128").alias("treated"))
+    return wide.select("lang", stats.closure(F.col("default"), F.col("treated"), F.col("lang") == "en").alias("class"))

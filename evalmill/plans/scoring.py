@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -212,10 +214,11 @@ def drift_script(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drift_lid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drift by a language guess of every line with 30 letters or more, weighted by letters; null without such a line."""
     labels = spark.createDataFrame([(c, label) for c, _, _, label in pf.LANGUAGES], "lang string, label string")
-    docs = table(spark, sf_dir, "documents").join(F.broadcast(labels), "lang")
+    docs = table(spark, sf_dir, "documents").join(F.broadcast(labels), "lang", "left")  # null for languages that are not on the list
     lines = docs.select("doc_id", "label", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", pf.lid_text(F.col("line")))
     lines = lines.withColumn("n", pf.count(F.col("line"), r"\p{L}")).where(f"n >= {pf.MIN_LETTERS}")
     known = lines.withColumn("g", pf.guess_language("line")).where(f"g.confidence >= {pf.MIN_CONFIDENCE}")
+    known = known.where("label is not null")
     wrong = F.sum(F.when(F.col("g.label") != F.col("label"), F.col("n")).otherwise(0))
     scores = known.groupBy("doc_id").agg(F.round(wrong / F.sum("n"), 9).alias("drift"))
     return docs.select("doc_id").join(scores, "doc_id", "left")
@@ -248,22 +251,27 @@ def fertility_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("lang", F.round(F.col("m") / anchor, 9).alias("relative"))
 
 
-_LINT = ", ".join(f"('{label}', '(?i){p.replace(chr(39), chr(39) * 2)}')" for label, p, _ in pf.LINT)
+# word ends are those of all letters, as RE2 knows only the ASCII ones
+_OUT = r"[^\p{L}\p{N}_]"
+_ENDS = [(label, re.sub(r"\\b(?=[a-z(])", rf"(?:^|{_OUT})".replace("\\", r"\\"), p)) for label, p in pf.LINT]
+_LINT = ", ".join("('{}', '(?i){}')".format(label, p.replace(r"\b", rf"(?:$|{_OUT})").replace("'", "''")) for label, p in _ENDS)
 
 
 @query(
-    rf"""WITH s AS (SELECT item_id, unnest(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?]) ([A-Z(\\])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS sentence
-FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT -1, 'This is the best result. We cannot do more, and all of it is partial. One of the arms never ran.'))
-SELECT label, count(*) FILTER (regexp_matches(sentence, pattern)) AS n, count(*) AS n_sentences FROM s, (VALUES {_LINT}) v(label, pattern) GROUP BY label"""
+    rf"""WITH l AS (SELECT list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '(^|[^\\])%.*$', '\1'), '\s+', ' ', 'g'))) AS l FROM documents),
+p AS (SELECT unnest(string_split_regex(array_to_string(list_transform(l, lambda x, i: CASE WHEN x = '' THEN '' ELSE chr(1) || i || chr(2) || x END), chr(10)), '\n\n+')) AS p FROM l),
+t AS (SELECT regexp_extract(p, '\x01([0-9]+)\x02', 1)::BIGINT AS line, trim(replace(regexp_replace(p, '\x01[0-9]+\x02', '', 'g'), chr(10), ' ')) AS t FROM p WHERE contains(p, chr(2))),
+s AS (SELECT line, trim(unnest(string_split(regexp_replace(t, '([.!?]) ([A-Z(\\])', '\1' || chr(1) || '\2', 'g'), chr(1)))) AS sentence FROM t)
+SELECT label, count(*) FILTER (regexp_matches(sentence, pattern)) AS n, coalesce(sum(line) FILTER (regexp_matches(sentence, pattern)), 0)::BIGINT AS lines, count(*) AS n_sentences
+FROM s, (VALUES {_LINT}) v(label, pattern) WHERE sentence <> '' GROUP BY label"""
 )
 def claim_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences that each rule finds; the rules are seven and fixed."""
-    extra = "This is the best result. We cannot do more, and all of it is partial. One of the arms never ran."
-    texts = table(spark, sf_dir, "benchmark").select("text").unionAll(spark.createDataFrame([(extra,)], "text string"))
-    rows = texts.select(F.explode(pf.sentences(F.regexp_replace("text", "\n", " "))).alias("sentence"))
-    rules = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(f"(?i){p}").alias("pattern")) for label, p, _ in pf.LINT))
-    hits = rows.withColumn("r", F.explode(rules)).withColumn("hit", F.regexp_like("sentence", F.col("r.pattern")))
-    return hits.groupBy(F.col("r.label").alias("label")).agg(F.count_if("hit").alias("n"), F.count("*").alias("n_sentences"))
+    """Sentences of all documents that each rule finds, and the sum of their lines; the rules are seven and fixed."""
+    rows = table(spark, sf_dir, "documents").select(F.inline(pf.sentences(F.col("text"))))
+    found = [F.regexp_like("sentence", F.lit(f"(?i){p}")) for _, p in pf.LINT]
+    sums = rows.agg(F.count("*").alias("all"), *(x for i, f in enumerate(found) for x in (F.count_if(f).alias(f"n{i}"), F.sum(F.when(f, F.col("line"))).alias(f"s{i}"))))
+    each = [F.struct(F.lit(label).alias("label"), F.col(f"n{i}").alias("n"), F.coalesce(f"s{i}", F.lit(0)).alias("lines"), F.col("all").alias("n_sentences")) for i, (label, _) in enumerate(pf.LINT)]
+    return sums.select(F.inline(F.array(*each)))
 
 
 _GRAMS = "SELECT conv_id, turn, n, substr(t, i, n) AS g, count(*) AS k FROM (SELECT conv_id, turn, t, n, unnest(range(1, length(t) - n + 2)) AS i FROM {0}, range(1, 7) r(n) WHERE length(t) >= n) GROUP BY ALL"

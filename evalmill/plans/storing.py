@@ -139,7 +139,9 @@ def run_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generations(spark, sf_dir).select("item_id", "config", key.alias("run_key"))
 
 
-@query("SELECT DISTINCT source, lang, substr(sha256('dtype=bf16|lang=' || lang || '|source=' || source), 1, 12) AS stack_id FROM documents")
+@query(
+    """SELECT DISTINCT source, lang, substr(sha256('{"dtype": "bf16", "lang": ' || to_json(lang) || ', "source": ' || to_json(source) || '}'), 1, 12) AS stack_id FROM documents"""
+)
 def stack_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The id of a description does not depend on the order of its keys: here they come in reverse."""
     described = F.create_map(F.lit("source"), "source", F.lit("lang"), "lang", F.lit("dtype"), F.lit("bf16"))

@@ -13,11 +13,17 @@ def run_key(*parts: Column, version: str = PROMPT_VERSION) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts, F.lit(version)), 256), 1, 24)
 
 
+def canonical_json(description: Column) -> Column:
+    """A map of strings as one JSON object, its keys in order; characters beyond ASCII stay as they are."""
+    quoted = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    ordered = F.array_sort(F.map_entries(description))
+    pairs = F.transform(ordered, lambda e: F.concat(quoted(e["key"]), F.lit(": "), quoted(F.coalesce(e["value"], F.lit("")))))
+    return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
+
+
 def stack_id(description: Column) -> Column:
     """Of a map: the same whatever the order of its keys."""
-    ordered = F.array_sort(F.map_entries(description))
-    text = F.array_join(F.transform(ordered, lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
-    return F.substring(F.sha2(text, 256), 1, 12)
+    return F.substring(F.sha2(canonical_json(description), 256), 1, 12)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "run_key", order: str = "created_at") -> DataFrame:

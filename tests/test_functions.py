@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from fractions import Fraction
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -9,7 +13,9 @@ from pyspark.sql import functions as F
 from evalmill.functions import config as cf
 from evalmill.functions import profiles as pf
 from evalmill.functions import scoring as sc
+from evalmill.functions import stats
 from evalmill.operators import canary, items
+from evalmill.sources import store
 
 
 def value(spark, column):
@@ -95,6 +101,27 @@ def test_drift_of_greek_and_of_nothing(spark):
     assert drift("hello there", "vi", "Latin") == 1.0
 
 
+def test_sentences_have_the_line_of_their_paragraph(spark):
+    text = "% note\nFirst is 5\\% here. It\ngoes on. Then (so) it ends! % No.\n\n\\begin{table}\nBest. All.\n\\end{table}\n\nLast one."
+    got = [tuple(r) for r in value(spark, pf.sentences(F.lit(text)))]
+    assert got == [(2, "First is 5\\% here."), (2, "It goes on."), (2, "Then (so) it ends!"), (9, "Last one.")]
+
+
+@pytest.mark.parametrize(
+    ("default", "treated", "anchor", "want"),
+    [(-9, -9, False, "kill-shaped"), (-9, -5.5, False, None), (-9, -6, False, "kill-shaped"), (-5, -2.9, False, "closes"), (2, -3, False, "no damage"), (-4, -2, False, None),
+     (None, 1, False, "no damage"), (0, -8, False, "kill-shaped"), (0, 3.1, True, "not flat"), (0, -3, True, None), (-9, -9, True, "not flat")],
+)
+def test_closure(spark, default, treated, anchor, want):
+    assert value(spark, stats.closure(F.lit(default).cast("double"), F.lit(treated).cast("double"), F.lit(anchor))) == want
+
+
+def test_stack_ids_do_not_collide(spark):
+    of = lambda *kv: value(spark, store.stack_id(F.create_map(*map(F.lit, kv))))
+    assert of("a", "1|b=2") != of("a", "1", "b", "2") and of("b", "2", "a", "1") == of("a", "1", "b", "2")
+    assert of("b", 'x "y"', "a", "1") == hashlib.sha256(json.dumps({"a": "1", "b": 'x "y"'}, sort_keys=True).encode()).hexdigest()[:12]
+
+
 def test_fill_goes_on_after_what_does_not_fit(spark):
     pool = F.array(*map(F.lit, (5, 9, 3, 2)))
     got = value(spark, items.fill(pool, F.lit(10), lambda x: x))
@@ -119,7 +146,16 @@ def test_chain():
     assert not canary.holds("<<2**3=8>>", "8")
     old, new, was, now = canary.perturb("She has 16 eggs.", text, "18", "s")
     assert old == 16 and was == 18 and now == (new - 7) * 2
-    assert canary.replay(canary.chain("<<6/4=1.5>><<1.5*2=3>>"))[-1] == 3
+    assert canary.Chain("<<6/4=1.5>><<1.5*2=3>>").results()[-1] == 3
+
+
+def test_ambiguous_chains_are_errors():
+    # 6 is the number that changes and a result that changes another way
+    with pytest.raises(canary.ChainError):
+        canary.Chain("<<6*3=18>><<18-12=6>><<6+1=7>>").results(Fraction(6), Fraction(8))
+    assert canary.Chain("<<6*2=12>><<12+1=13>>").results(Fraction(6), Fraction(8)) == [16, 17]
+    assert canary.perturb("6 and 6 eggs", "<<6*2=12>>", "12", "s") is None and canary.perturb("12 eggs", "<<12*2=24>>", "24", "s") is None
+    assert canary.perturb("9 and 1,250 eggs", "<<1,250/2=625>>", "625", "s")[0] == 1250
 
 
 @pytest.mark.parametrize(
