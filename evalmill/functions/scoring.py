@@ -120,25 +120,33 @@ def _clean(region: Column) -> Column:
     return strip(F.regexp_replace(region, f"(?:#|{SPACE})+$", ""))
 
 
-def _regions(text: Column) -> Column:
-    """What follows each marker up to the end of the text, cleaned, from the last marker to the first."""
-    parts = F.split(text, MARKER)
-    tails = F.transform(F.sequence(F.size(parts), F.lit(1)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), MARKER))
-    return F.transform(F.filter(tails, lambda t, i: i < F.size(parts) - 1), _clean)
+_FULL = r"[\p{L}\p{N}_]"
 
 
-def _first_full(regions: Column) -> Column:
-    return F.try_element_at(F.filter(regions, lambda r: r.rlike(r"[\p{L}\p{N}_]")), F.lit(1))
+def _marked(text: Column) -> Column:
+    """What follows the last marker that has content behind it, up to the end of the text, cleaned; null without one.
+
+    Content is looked for between markers, so a text of many markers is read once.
+    """
+
+    def of(x: Column) -> Column:
+        n = F.size(x["parts"])
+        full = F.transform(x["parts"], lambda p, i: (i > 0) & _clean(p).rlike(_FULL))
+        back = F.array_position(F.reverse(full), True).cast("int")  # from the end
+        return F.when(back > 0, _clean(F.array_join(F.slice(x["parts"], n - back + 1, back), MARKER)))
+
+    return bound(of, parts=F.split(text, MARKER))
 
 
 def extract_span(text: Column) -> Column:
     """The last marked region with content; without one the whole text; empty when that has no content either."""
-    return F.coalesce(_first_full(_regions(text)), _first_full(F.array(_clean(text))), F.lit(""))
+    whole = _clean(text)
+    return F.coalesce(_marked(text), F.when(whole.rlike(_FULL), whole), F.lit(""))
 
 
 def marked_span(text: Column) -> Column:
     """The same without falling back to the whole text; null without a marked region."""
-    return _first_full(_regions(text))
+    return _marked(text)
 
 
 def first_sentence(text: Column) -> Column:
@@ -176,13 +184,16 @@ def normalize(text: Column, lang: Column) -> Column:
     return F.array_join(F.filter(got, lambda w: ~F.array_contains(drop, w)), " ")
 
 
-def tokenize(text: Column, lang: Column) -> Column:
-    """Characters for languages without spaces, else words."""
-    normal = normalize(text, lang)
+def tokens_of(normal: Column, lang: Column) -> Column:
+    """Tokens of a normal form: characters for languages without spaces, else words."""
     chars = F.filter(F.split(F.replace(normal, F.lit(" "), F.lit("")), ""), lambda c: c != "")
     return F.when(lang.isin(*CHAR_LANGS), chars).otherwise(F.filter(F.split(normal, " "), lambda w: w != ""))
 
 
+def tokenize(text: Column, lang: Column) -> Column:
+    return bound(lambda x: tokens_of(x["normal"], lang), normal=normalize(text, lang))
+
+
 def overlap(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two arrays."""
     count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
@@ -205,30 +216,40 @@ def token_f1(pred: Column, gold: Column) -> Column:
     )
 
 
+def _best_f1(normal: Column, golds: Column, lang: Column) -> Column:
+    """Of normal forms."""
+    tokens = F.transform(golds, lambda g: tokens_of(g, lang))
+    return bound(lambda x: F.array_max(F.transform(x["golds"], lambda g: token_f1(x["pred"], g))), pred=tokens_of(normal, lang), golds=tokens)
+
+
+def _contains(normal: Column, golds: Column, lang: Column) -> Column:
+    """Of normal forms."""
+    bare = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+
+    def inside(g: Column) -> Column:
+        whole = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), g, F.lit(r"\E(?![\p{L}\p{N}])"))
+        found = F.when(lang.isin(*CHAR_LANGS), F.instr(bare(normal), bare(g)) > 0).otherwise(F.regexp_like(normal, whole))
+        return (g != "") & found
+
+    return (normal != "") & F.exists(golds, inside)
+
+
+def _normals(golds: Column, lang: Column) -> Column:
+    return F.transform(golds, lambda g: normalize(g, lang))
+
+
 def f1(pred: Column, golds: Column, lang: Column) -> Column:
     """The best F1 over the golds; null without any."""
-    tokens = F.transform(golds, lambda g: tokenize(g, lang))
-    return bound(lambda x: F.array_max(F.transform(x["golds"], lambda g: token_f1(x["pred"], g))), pred=tokenize(pred, lang), golds=tokens)
+    return bound(lambda x: _best_f1(x["normal"], x["golds"], lang), normal=normalize(pred, lang), golds=_normals(golds, lang))
 
 
 def exact_match(pred: Column, golds: Column, lang: Column) -> Column:
-    return bound(lambda x: F.exists(golds, lambda g: normalize(g, lang) == x["normal"]), normal=normalize(pred, lang))
+    return bound(lambda x: F.array_contains(x["golds"], x["normal"]), normal=normalize(pred, lang), golds=_normals(golds, lang))
 
 
 def containment(pred: Column, golds: Column, lang: Column) -> Column:
     """Is a gold inside the prediction, not cut out of a longer word or number?"""
-    bare = lambda c: F.replace(c, F.lit(" "), F.lit(""))
-
-    def inside(normal: Column, g: Column) -> Column:
-        whole = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), g, F.lit(r"\E(?![\p{L}\p{N}])"))
-        found = F.when(lang.isin(*CHAR_LANGS), F.instr(bare(normal), bare(g)) > 0).otherwise(F.regexp_like(normal, whole))
-        return (g != "") & found
-
-    return bound(
-        lambda x: (x["normal"] != "") & F.exists(x["golds"], lambda g: inside(x["normal"], g)),
-        normal=normalize(pred, lang),
-        golds=F.transform(golds, lambda g: normalize(g, lang)),
-    )
+    return bound(lambda x: _contains(x["normal"], x["golds"], lang), normal=normalize(pred, lang), golds=_normals(golds, lang))
 
 
 def containment_lenient(output: Column, golds: Column, lang: Column) -> Column:
@@ -240,10 +261,13 @@ def containment_marker_only(output: Column, golds: Column, lang: Column) -> Colu
 
 
 def span_scores(output: Column, golds: Column, lang: Column) -> Column:
-    span = extract_span(output)
-    return F.struct(
-        containment(span, golds, lang).alias("em"), exact_match(span, golds, lang).alias("em_strict"), f1(span, golds, lang).alias("f1")
-    )
+    """em, em_strict and f1 of the span, which is found and brought to its normal form once."""
+
+    def of(x: Column) -> Column:
+        normal, own = x["normal"], x["golds"]
+        return F.struct(_contains(normal, own, lang).alias("em"), F.array_contains(own, normal).alias("em_strict"), _best_f1(normal, own, lang).alias("f1"))
+
+    return bound(of, normal=normalize(extract_span(output), lang), golds=_normals(golds, lang))
 
 
 def gold_recall(pred: Column, gold: Column) -> Column:

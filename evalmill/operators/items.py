@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from . import ranks
+
 POSITIONS = ("front", "middle", "back")
 JOINER = "\n\n"
 
@@ -96,6 +98,14 @@ def apply_patches(text: Column, patches: Column) -> Column:
     return F.aggregate(patches, text, step)
 
 
+def truncate_at(text: Column, marker: str) -> Column:
+    """What stands before the marker, without white space at its end; the marker has to occur just once."""
+    found = (F.length(text) - F.length(F.replace(text, F.lit(marker), F.lit("")))) / len(marker)
+    before = F.regexp_replace(F.substring_index(text, marker, 1), r"\s+$", "")
+    wrong = F.raise_error(F.concat(F.lit(f"marker {marker} occurs "), found.cast("int").cast("string"), F.lit(" times"))).cast("string")
+    return F.when(found == 1, before).otherwise(wrong)
+
+
 def annotations(text: Column) -> Column:
     """(expr, result) of every <<expr=result>>, without commas."""
     get = lambda i: F.transform(F.regexp_extract_all(text, F.lit("<<([^<>=]+)=([^<>=]+)>>"), i), lambda x: F.trim(F.replace(x, F.lit(","), F.lit(""))))
@@ -118,10 +128,23 @@ def new_tokens(ids: Column, pad_id: int) -> Column:
     return F.size(ids) - F.greatest(run - 1, F.lit(0))
 
 
+def misaligned(one: DataFrame, two: DataFrame, key: str) -> DataFrame:
+    """n, n_off and first_off (a place from 1) over the places that both tables have, each in the order of its integer key."""
+    place = lambda df, name: ranks.placed(df.select(F.col(key).alias(name)).withColumn("_v", F.floor(F.col(name) / ranks.SPAN)), [], "_v", name, "i").drop("_v")
+    off = F.expr("a != b")
+    return place(one, "a").join(place(two, "b"), "i").agg(F.count("*").alias("n"), F.count_if(off).alias("n_off"), F.min(F.when(off, F.col("i"))).alias("first_off"))
+
+
+def aligned(one: DataFrame, two: DataFrame, key: str) -> DataFrame:
+    """``misaligned``, where a difference is an error."""
+    got = misaligned(one, two, key)
+    return got.where(F.assert_true(F.col("n_off") == 0, F.lit("the tables are not aligned")).isNull())
+
+
 def batches(df: DataFrame, size: int, length: str, key: str, within: list[str]) -> DataFrame:
     """Batches of rows of similar length."""
-    line = W.Window.partitionBy(*within).orderBy(length, key)
-    return df.withColumn("batch", F.floor((F.row_number().over(line) - 1) / size).cast("long"))
+    placed = ranks.placed(df, within, length, key, "batch")
+    return placed.withColumn("batch", F.floor((F.col("batch") - 1) / size).cast("long"))
 
 
 def batch_size(kind: Column, size: int) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from evalmill.functions import stats
-from evalmill.operators import regression
+from evalmill.operators import ranks, regression
 from evalmill.sources.tables import table
 
 from .paired import P_SQL
@@ -149,21 +149,14 @@ def pct_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("lang").agg(at(0.5).alias("q50"), at(0.9).alias("q90"), F.max("n").alias("qmax"), F.count("*").alias("k")).withColumnRenamed("k", "n")
 
 
-def _by_rank(df: DataFrame, group: str, value: str, share: float) -> DataFrame:
-    """sorted[int(share * n)] of each group, by rank: no group is gathered into a list."""
-    part = W.Window.partitionBy(group)
-    ranked = df.select(group, value, F.row_number().over(part.orderBy(value)).alias("r"), F.count("*").over(part).alias("n"))
-    return ranked.where(F.col("r") == F.least(F.floor(F.col("n") * share) + 1, F.col("n"))).select(group, value, "n")
-
-
 @query("SELECT lang, list_sort(list(n_chars))[least(floor(0.9 * count(*))::BIGINT + 1, count(*))] AS p90, count(*) AS n FROM documents GROUP BY lang")
 def pct_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_rank(table(spark, sf_dir, "documents"), "lang", "n_chars", 0.9).withColumnRenamed("n_chars", "p90")
+    return ranks.at_share(table(spark, sf_dir, "documents"), "lang", "n_chars", {"p90": 0.9})
 
 
 @query("SELECT lang, list_sort(list(n_chars))[count(*) // 2 + 1] AS median, count(*) AS n FROM documents GROUP BY lang")
 def median_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_rank(table(spark, sf_dir, "documents"), "lang", "n_chars", 0.5).withColumnRenamed("n_chars", "median")
+    return ranks.at_share(table(spark, sf_dir, "documents"), "lang", "n_chars", {"median": 0.5})
 
 
 @query(rf"SELECT lang, 40 + round_even(quantile_cont({_LEN}, 0.9), 0)::BIGINT AS w_hat FROM documents GROUP BY lang")
@@ -175,7 +168,7 @@ def w_hat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(SQL + ", q AS (SELECT lang, list_sort(list(q_tokens))[least(floor(0.9 * count(*))::BIGINT + 1, count(*))] AS q90 FROM gen WHERE config = 'baseline' GROUP BY lang) SELECT g.lang, count(*) AS n, count(*) FILTER (q_tokens <= q90) AS covered, count(*) FILTER (NOT correct) AS n_wrong, count(*) FILTER (NOT correct AND q_tokens <= q90) AS covered_wrong FROM gen g JOIN q USING (lang) WHERE config = 'baseline' GROUP BY g.lang")
 def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = generations(spark, sf_dir).where("config = 'baseline'").select("lang", "q_tokens", "correct")
-    q90 = _by_rank(rows, "lang", "q_tokens", 0.9).select("lang", F.col("q_tokens").alias("q90"))  # a row for each language
+    q90 = ranks.at_share(rows, "lang", "q_tokens", {"q90": 0.9}).drop("n")  # a row for each language
     joined = rows.join(F.broadcast(q90), "lang")
     counts = {"covered": "q_tokens <= q90", "n_wrong": "not correct", "covered_wrong": "not correct and q_tokens <= q90"}
     return joined.groupBy("lang").agg(F.count("*").alias("n"), *(F.count_if(F.expr(e)).alias(n) for n, e in counts.items()))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from evalmill.operators import canary, items
+from evalmill.operators import building, canary, items
 from evalmill.sources.tables import table
 
 from .registry import query
@@ -57,7 +57,6 @@ def side_by_side_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.sample(table(spark, sf_dir, "documents").select("doc_id", "text").join(other, "doc_id"), 30, SEED, "doc_id")
 
 
-_POOL = rf"SELECT list(struct_pack(slot := item_id, cost := len(regexp_extract_all(text, '\S+')) + 2) ORDER BY {_ORDER.format('item_id')}, item_id) AS pool FROM benchmark"
 _FILL = """list_reduce(list_prepend({{slot: -1, cost: 0::BIGINT, used: 0::BIGINT, chosen: []::BIGINT[]}}, list_transform(pool, lambda x: {{slot: x.slot, cost: x.cost::BIGINT, used: 0::BIGINT, chosen: []::BIGINT[]}})),
 lambda s, x: CASE WHEN s.used + x.cost > {0} THEN s ELSE {{slot: -1, cost: 0::BIGINT, used: s.used + x.cost, chosen: list_append(s.chosen, x.slot)}} END)"""
 
@@ -69,22 +68,65 @@ def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").agg(F.array_sort(F.collect_list(row)).alias("pool"))
 
 
+# questions: the benchmark's items, each in a language of the corpus and with one of its documents as gold passage
+INSTRUCTIONS = {"en": "Answer in a few words.", "fr": "Répondez en quelques mots.", "de": "Antworte in wenigen Worten.", "es": "Responde en pocas palabras."}
+BUDGETS = [1024, 4096]
+_WORDS = r"len(regexp_extract_all({0}, '\S+'))"
+_INSTRUCTED = "CASE {0} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in INSTRUCTIONS.items()) + " END"
+
+
+def _built(instruction: str) -> str:
+    return rf"""WITH q AS (SELECT item_id AS item, d.lang, b.text AS question, d.text AS gold, {_INSTRUCTED.format(instruction)} AS instruction FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
+pool AS (SELECT lang, text, min(doc_id) AS slot FROM documents GROUP BY lang, text),
+j AS (SELECT q.*, budget, {_WORDS.format("gold")} + {_WORDS.format("question")} + {_WORDS.format("instruction")} + 6 AS used0 FROM q, (VALUES (1024), (4096)) v(budget)),
+l AS (SELECT item, j.lang, budget, used0, list(struct_pack(slot := slot, cost := {_WORDS.format("pool.text")} + 2) ORDER BY md5('{SEED}:' || j.lang || ':' || budget || ':' || item || ':' || slot), slot) AS pool
+FROM j JOIN pool ON pool.lang = j.lang AND pool.text <> j.gold GROUP BY ALL),
+f AS (SELECT item, lang, budget, used0, {_FILL.format("(budget - used0)")} AS f FROM l)
+"""
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("question"))
+    questions = bench.join(docs.select(F.col("doc_id").alias("item"), "lang", F.col("text").alias("gold")), "item")
+    pool = docs.groupBy("lang", F.sha2("text", 256).alias("h")).agg(F.min(F.struct("doc_id", "text")).alias("x")).select("lang", F.col("x.doc_id").alias("slot"), F.col("x.text").alias("text"))
+    return questions, pool
+
+
+@query(_built("d.lang") + "SELECT item, lang, budget, (used0 + f.used)::BIGINT AS used, len(f.chosen)::BIGINT AS n, array_to_string(f.chosen, ',') AS slots, used0 + f.used < 0.8 * budget AS underfull FROM f")
+def pack_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the same language beside each question and its gold passage, in two budgets."""
+    got = building.choose(*_questions(spark, sf_dir), BUDGETS, INSTRUCTIONS, seed=SEED)
+    return got.select("item", "lang", "budget", "used", F.size("slots").cast("long").alias("n"), F.array_join(F.col("slots").cast("array<string>"), ",").alias("slots"), "underfull")
+
+
 @query(
-    rf"""WITH p AS ({_POOL}), d AS (SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS own FROM documents),
-f AS (SELECT doc_id, own, {_FILL.format('1024 - own')} AS f FROM d, p)
-SELECT doc_id, f.used::BIGINT AS used, len(f.chosen)::BIGINT AS n, coalesce(array_to_string(f.chosen, ','), '') AS slots, f.used < 0.8 * (1024 - own) AS underfull FROM f"""
+    _built("'de'")
+    + rf""", s AS (SELECT item, lang, budget, unnest(f.chosen) AS slot, unnest(range(len(f.chosen))) AS i FROM f),
+t AS (SELECT item, budget, list(text ORDER BY i) AS l FROM s JOIN pool USING (lang, slot) GROUP BY ALL),
+p AS (SELECT f.item, f.lang, f.budget, coalesce(l, []) AS l, ['front', 'middle', 'back'][(f.item % 3 + 1)::INT] AS position FROM f LEFT JOIN t ON t.item = f.item AND t.budget = f.budget),
+c AS (SELECT *, CASE position WHEN 'front' THEN 0 WHEN 'middle' THEN len(l) // 2 ELSE len(l) END AS cut FROM p)
+SELECT c.item, c.budget, position, md5(array_to_string(list_concat(list_concat(list_slice(l, 1, cut), [gold]), list_slice(l, cut + 1, len(l))), chr(10) || chr(10)) || chr(10) || chr(10) || question
+|| chr(10) || chr(10) || instruction) AS prompt_md5 FROM c JOIN q ON q.item = c.item"""
 )
-def pack_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distractors beside each document, up to 1,024 words with the document's own."""
-    own = F.regexp_count("text", F.lit(r"\S+"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", own.alias("own")).join(F.broadcast(_pool(spark, sf_dir)))
-    budget = F.lit(1024) - F.col("own")
-    light = F.transform("pool", lambda x: F.struct(x["slot"].alias("slot"), x["cost"].alias("cost")))
-    full = rows.withColumn("f", items.fill(light, budget, lambda x: x["cost"]))
-    chosen = F.transform("f.chosen", lambda x: x["slot"].cast("string"))
-    return full.select(
-        "doc_id", "f.used", F.size(chosen).cast("long").alias("n"), F.array_join(chosen, ",").alias("slots"), (F.col("f.used") < 0.8 * budget).alias("underfull")
-    )
+def cross_instruction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts whose instruction is in another language than their passages and question."""
+    questions, pool = _questions(spark, sf_dir)
+    layout = building.Layout(instruction_lang="de")
+    chosen = building.choose(questions, pool, BUDGETS, INSTRUCTIONS, layout, SEED)
+    made = building.prompts(chosen, questions, pool, INSTRUCTIONS, layout)
+    return made.select("item", "budget", "position", F.md5("prompt").alias("prompt_md5"))
+
+
+@query(
+    """WITH r AS (SELECT lang, doc_id, doc_id % 7 <> 0 AS a, n_chars >= 200 AS b FROM documents), k AS (SELECT *, a AND b AS ok, count(*) FILTER (a AND b) OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM r)
+SELECT lang, count(*) FILTER (ok) AS n, count(*) FILTER (NOT a) AS no_change, count(*) FILTER (a AND NOT b) AS too_short, max(doc_id) FILTER (ok) AS last FROM k WHERE n < 20 OR n = 20 AND ok GROUP BY lang"""
+)
+def first_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty documents of a language that pass two checks, and what each check dropped until then."""
+    checks = {"no_change": F.pmod("doc_id", F.lit(7)) != 0, "too_short": F.col("n_chars") >= 200}
+    kept, counts = building.first_valid(table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars"), "lang", "doc_id", 20, checks)
+    return counts.join(kept.groupBy("lang").agg(F.max("doc_id").alias("last")), "lang", "left")
 
 
 _BYTES = rf"SELECT list(struct_pack(slot := item_id, cost := octet_length(encode(text)) + 2) ORDER BY {_ORDER.format('item_id')}, item_id) AS pool FROM benchmark"
@@ -171,6 +213,13 @@ def apply_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(items.apply_patches(F.col("text"), patches)).alias("patched_md5"))
 
 
+@query("SELECT doc_id, md5(replace(regexp_replace(text, '[ \t\n\v\f\r]+$', ''), 'the', 'THE')) AS patched_md5 FROM documents")
+def truncate_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with a tail behind a marker: cut there first, then patched."""
+    marked = F.concat("text", F.lit("  <<cut>> what follows"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.replace(items.truncate_at(marked, "<<cut>>"), F.lit("the"), F.lit("THE"))).alias("patched_md5"))
+
+
 # a problem with numbers that depend on the row, and its solution in annotated steps
 _QUESTION = "printf('A box of %d pens and a crate of 1,%03d nails.', {0} % 40 + 8, {0} % 900 + 100)"
 _RATIONALE = "printf('First <<%d*3=%d>> then <<%d+1,%03d=%d>>.', {0} % 40 + 8, ({0} % 40 + 8) * 3, ({0} % 40 + 8) * 3, {0} % 900 + 100, ({0} % 40 + 8) * 3 + 1000 + {0} % 900 + 100)"
@@ -269,12 +318,15 @@ def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.withColumn("what", what)
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (b.item_id <> c.item_id) AS n_off FROM benchmark b JOIN (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS i FROM benchmark) c ON b.item_id = c.i")
+@query(
+    """WITH o AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) AS i FROM (SELECT DISTINCT conv_id FROM conversations)), d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM documents WHERE doc_id <> 5)
+SELECT count(*) AS n, count(*) FILTER (conv_id <> doc_id) AS n_off, min(i) FILTER (conv_id <> doc_id) AS first_off FROM o JOIN d USING (i)"""
+)
 def alignment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two tables in the same order have the same key in each place; a difference is counted."""
-    one = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("a"))
-    two = one.select(F.col("a").alias("b"), (F.row_number().over(W.Window.orderBy("a")) - 1).alias("i"))
-    return one.join(two, F.col("a") == F.col("i")).agg(F.count("*").alias("n"), F.count_if(F.expr("a != b")).alias("n_off"))
+    """Two tables by their places in order: do the keys at each place agree?  Here they part where one lacks a row."""
+    one = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("key")).distinct()
+    two = table(spark, sf_dir, "documents").where("doc_id != 5").select(F.col("doc_id").alias("key"))
+    return items.misaligned(one, two, "key")
 
 
 @query("SELECT d.doc_id, l.doc_id IS NOT NULL AS audited, l.quality = 0 IS TRUE AS flagged FROM documents d LEFT JOIN labels l USING (doc_id)")

@@ -10,6 +10,7 @@ from pyspark.sql import window as W
 
 from evalmill.functions import profiles as pf
 from evalmill.functions import scoring as sc
+from evalmill.operators import ranks
 from evalmill.sources.tables import table
 
 from .registry import query
@@ -298,8 +299,8 @@ row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) <= 10 AS flagged
 )
 def rank_and_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank by a score, and the lowest ten of each language flagged."""
-    rank = F.row_number().over(W.Window.partitionBy("lang").orderBy("n_chars", "doc_id")).cast("long")
-    return table(spark, sf_dir, "documents").select("doc_id", "n_chars", rank.alias("rank"), (rank <= 10).alias("flagged"))
+    ranked = ranks.placed(table(spark, sf_dir, "documents").select("lang", "n_chars", "doc_id"), ["lang"], "n_chars", "doc_id", "rank")
+    return ranked.select("doc_id", "n_chars", "rank", (F.col("rank") <= 10).alias("flagged"))
 
 
 @query(
@@ -308,12 +309,9 @@ max(n_chars) AS hi FROM documents GROUP BY lang"""
 )
 def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least, lower quartile, median and largest by place in the order; ranks instead of gathered lists."""
-    part = W.Window.partitionBy("lang")
-    ranked = table(spark, sf_dir, "documents").select(
-        "lang", "n_chars", F.row_number().over(part.orderBy("n_chars")).alias("r"), F.count("*").over(part).alias("n")
-    )
-    at = lambda d: F.max(F.when(F.col("r") == F.floor(F.col("n") / d) + 1, F.col("n_chars")))
-    return ranked.groupBy("lang").agg(F.min("n_chars").alias("lo"), at(4).alias("p25"), at(2).alias("median"), F.max("n_chars").alias("hi"))
+    rows = table(spark, sf_dir, "documents").select("lang", "n_chars")
+    ends = rows.groupBy("lang").agg(F.min("n_chars").alias("lo"), F.max("n_chars").alias("hi"))
+    return ranks.at_share(rows, "lang", "n_chars", {"p25": 0.25, "median": 0.5}).drop("n").join(ends, "lang")
 
 
 @query(

@@ -30,17 +30,17 @@ def share(text: Column) -> Column:
 
 
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    first = F.regexp_extract("text", "[A-Za-z]{5,}", 0)
+    answer = F.when(first == "", "answer").otherwise(F.lower(first))
+    of_item = 0.7 * share(F.concat(F.lit("item:"), F.col("doc_id").cast("string")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", answer.alias("answer"), of_item.alias("of_item"))
     each = F.array(*(F.struct(F.lit(c).alias("config"), F.lit(t).alias("thr"), F.lit(w).cast("int").alias("w")) for c, t, w in CONFIGS))
     rows = docs.withColumn("c", F.explode(each)).select("*", "c.*").drop("c")
     of_cell = lambda tag: share(F.concat_ws(":", F.lit(tag), "config", F.col("doc_id").cast("string")))
-    score = 0.7 * share(F.concat(F.lit("item:"), F.col("doc_id").cast("string"))) + 0.3 * of_cell("cell")
-    first = F.regexp_extract("text", "[A-Za-z]{5,}", 0)
-    answer = F.when(first == "", "answer").otherwise(F.lower(first))
+    score = F.col("of_item") + 0.3 * of_cell("cell")
     said = F.when(F.col("correct"), F.col("answer")).otherwise(F.lit("zzz"))
     return (
         rows.withColumn("correct", score < F.col("thr"))
-        .withColumn("answer", answer)
         .withColumn("output", F.concat("text", F.when(of_cell("mark") < 0.15, " ").otherwise("\n#### "), said))
         .select(
             "doc_id",

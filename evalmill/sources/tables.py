@@ -2,33 +2,53 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import logging
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+log = logging.getLogger(__name__)
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def split(spark: SparkSession, folder: str, name: str, part: str) -> DataFrame:
+    """One split of a dataset: every file folder/name/part-*.parquet, or the file folder/name.parquet where there are none."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}").getFileSystem(spark._jsc.hadoopConfiguration())
+    pattern = f"{folder}/{name}/{part}-*.parquet"
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(pattern))
+    return spark.read.parquet(pattern) if found else table(spark, folder, name)
+
+
 def json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A file that holds one JSON array of records."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_json(df: DataFrame, path: str, most: int = 100_000) -> None:
+    """A folder with one file that holds one JSON array of the records, for small results: more than ``most`` are an error
+    (larger ones belong into JSON lines or Parquet, which executors write side by side)."""
+    records = df.select(F.to_json(F.struct("*"))).limit(most + 1).collect()
+    if len(records) > most:
+        raise ValueError(f"more than {most} records")
+    array = "[" + ",".join(f"\n{r[0]}" for r in records) + "\n]"
+    df.sparkSession.createDataFrame([(array,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_lines(df: DataFrame, path: str, order: str, line: str = "line") -> None:
-    """A text file in the given order."""
-    df.orderBy(order).select(line).coalesce(1).write.mode("overwrite").text(path)
+    """A folder of text files; read one after another, by name, they are in the given order."""
+    df.orderBy(order).select(line).write.mode("overwrite").text(path)
 
 
-def union_stores(stores: dict[str, DataFrame | None]) -> DataFrame:
-    """All stores with their name in ``store``; those that are missing (None) are left out."""
+def union_stores(stores: dict[str, DataFrame | None], notice: Callable[[str], None] = log.warning) -> DataFrame:
+    """All stores with their name in ``store``; those that are missing (None) are left out, with a notice."""
+    for name, df in stores.items():
+        if df is None:
+            notice(f"store {name} is missing")
     found = [df.withColumn("store", F.lit(name)) for name, df in stores.items() if df is not None]
     if not found:
         raise ValueError("no store is there")
@@ -39,21 +59,41 @@ def union_stores(stores: dict[str, DataFrame | None]) -> DataFrame:
 
 
 def snapshot(df: DataFrame, path: str, least: int) -> int:
-    """Writes the rows, reads them again and counts them; fewer than ``least`` is an error and leaves nothing behind."""
+    """Writes the rows, reads them again and counts them; fewer than ``least`` is an error and leaves nothing behind.
+
+    The snapshot that is there stands aside until the new one is in its place.
+    """
     spark = df.sparkSession
     fs = spark._jvm.org.apache.hadoop.fs
-    target, draft = fs.Path(path), fs.Path(f"{path.rstrip('/')}.draft")
+    target, draft, aside = (fs.Path(f"{path.rstrip('/')}{end}") for end in ("", ".draft", ".before"))
     system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(aside) and not system.exists(target):  # an earlier call broke off between its two renames
+        system.rename(aside, target)
     df.write.mode("overwrite").parquet(draft.toString())
     n = spark.read.parquet(draft.toString()).count()
     if n < least:
         system.delete(draft, True)
         raise ValueError(f"{n} rows, {least} expected")
-    system.delete(target, True)
+    system.delete(aside, True)
+    if system.exists(target):
+        system.rename(target, aside)
     system.rename(draft, target)
+    system.delete(aside, True)
     return n
 
 
+def show_table(df: DataFrame, limit: int = 200) -> str:
+    """The first rows as an aligned text table, numbers to the right; printed and returned."""
+    rows = [tuple(r) for r in df.limit(limit).collect()]  # what a console takes
+    cells = [df.columns, *(["" if x is None else f"{x:.3f}" if isinstance(x, float) else str(x) for x in r] for r in rows)]
+    widths = [max(len(r[i]) for r in cells) for i in range(len(df.columns))]
+    right = [kind in ("int", "bigint", "double", "float", "smallint") for _, kind in df.dtypes]
+    lines = ["  ".join(x.rjust(w) if r else x.ljust(w) for x, w, r in zip(row, widths, right, strict=True)).rstrip() for row in cells]
+    text = "\n".join([lines[0], "  ".join("-" * w for w in widths), *lines[1:]])
+    print(text)
+    return text
+
+
 def missing_columns(df: DataFrame, wanted: Iterable[str]) -> list[str]:
     return [c for c in wanted if c not in df.columns]
 

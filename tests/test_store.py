@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from evalmill.operators import building, items, scorers
 from evalmill.sources import store, tables
 
 
@@ -57,3 +60,67 @@ def test_require(spark):
     assert store.require(spark.range(3), "id >= 0", "no").count() == 3
     with pytest.raises(Exception, match="negative"):
         store.require(spark.range(3), "id < 2", "negative").collect()
+
+
+def test_scorers_by_task(spark):
+    df = spark.createDataFrame([("so 5\n#### Paris", ["Paris"], "en")], "output string, golds array<string>, lang string")
+    assert scorers.score(df, "mrag").first().score.correct is True
+    assert scorers.score(df.withColumn("golds", F.array(F.lit("5"))), "mgsm").first().score.correct is True
+    own = {"length": lambda o, g, x: F.struct((F.length(o) > 3).alias("correct"))}
+    assert scorers.score(df, "length", own).first().score.correct is True
+    with pytest.raises(ValueError):
+        scorers.scorer_of("nope")
+
+
+def test_layout_options_exclude_each_other():
+    for bad in ({"name": "sideways"}, {"instruction_lang": "de", "pad": 9}, {"instruction_lang": "de", "name": "instr-first"}, {"name": "refine", "pad": 5}, {"name": "refine", "instruction_lang": "de"}):
+        with pytest.raises(ValueError):
+            building.Layout(**bad)
+
+
+def test_budget_counts_all_parts_and_leaves_the_gold_out(spark):
+    questions = spark.createDataFrame([(0, "en", "q q", "gold gold gold"), (1, "xx", "q", "g")], "item long, lang string, question string, gold string")
+    pool = spark.createDataFrame([("en", i, " ".join(["w"] * i)) for i in range(1, 40)] + [("en", 99, "gold gold gold")], "lang string, slot long, text string")
+    told = {"en": "do it", "xx": "x"}
+    rows = {at: {r.item: r for r in building.choose(questions, pool, [60], told, at_once=at).collect()} for at in (2, 64)}
+    assert rows[2] == rows[64]
+    r = rows[64][0]
+    left, want = 60 - (3 + 2 + 2 + 6), []
+    for _, slot in sorted((hashlib.md5(f"evalmill:en:60:0:{i}".encode()).hexdigest(), i) for i in range(1, 40)):
+        if slot + 2 <= left:
+            left -= slot + 2
+            want.append(slot)
+    assert r.slots == want and r.used == 60 - left and rows[64][1].underfull and rows[64][1].slots == []
+    doubled = building.choose(questions, pool, [60], told, tokens=lambda c: 2 * building.word_count(c)).where("item = 0").first()
+    assert doubled.used > 2 * (3 + 2 + 2) and 99 not in doubled.slots
+
+
+def test_truncation_wants_one_marker(spark):
+    cut = lambda t: spark.range(1).select(items.truncate_at(F.lit(t), "##")).first()[0]
+    assert cut("a b \n ## c") == "a b"
+    for bad in ("a", "a ## b ## c"):
+        with pytest.raises(PySparkException):
+            cut(bad)
+
+
+def test_alignment(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "key long")
+    assert tuple(items.misaligned(ids(1, 70000, 3), ids(3, 1, 70000), "key").first()) == (3, 0, None)
+    assert tuple(items.misaligned(ids(1, 2, 3), ids(1, 3, 4), "key").first()) == (3, 2, 2)
+    with pytest.raises(PySparkException):
+        items.aligned(ids(1, 2, 3), ids(1, 3, 4), "key").collect()
+
+
+def test_array_sink_and_console(spark, tmp_path, capsys):
+    df = spark.createDataFrame([(1, "a\n"), (2, None)], "x long, y string")
+    tables.write_json(df, str(tmp_path / "a"))
+    part = next((tmp_path / "a").glob("part-*")).read_text()
+    assert json.loads(part) == [{"x": 1, "y": "a\n"}, {"x": 2}]
+    assert sorted(map(tuple, tables.json_array(spark, str(tmp_path / "a"), df.schema).collect())) == [(1, "a\n"), (2, None)]
+    with pytest.raises(ValueError):
+        tables.write_json(df, str(tmp_path / "b"), most=1)
+    assert tables.show_table(df.select("x")).split("\n") == ["x", "-", "1", "2"]
+    told = []
+    assert tables.union_stores({"a": df, "b": None}, told.append).count() == 2 and told == ["store b is missing"]
+    df.write.parquet(str(tmp_path / "m" / "test-0.parquet"))
+    assert tables.split(spark, str(tmp_path), "m", "test").count() == 2
