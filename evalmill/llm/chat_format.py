@@ -8,10 +8,10 @@ In the plain mode a text stands as it is.  Each turn is rendered plainly and par
 comes back is not the turn, its role and text are escaped ("~" becomes "~0", "<" becomes "~1", "[" becomes "~2"), which
 leaves no control string in them, and parsed once more.  A turn that would not come back even then raises an error.
 The conversation is the turns in order, rendered one after another; every figure of ``read_back`` comes from parsing
-that text again, not from the source.
+that text again, not from the source.  The whole conversation is parsed and compared with its source, too.
 
 Turns are ordered by turn, then role, then text, so ties and repeated rows have a fixed order; null turns come first.
-Null roles and texts count as empty.  Rows of a null conversation id make one conversation.  Rendering needs no shuffle;
+An empty table gives no conversation; further columns play no part.  Null roles and texts count as empty.  Rows of a null conversation id make one conversation.  Rendering needs no shuffle;
 only rendered turns meet by conversation, and a conversation has to fit one row, as it is one text.
 """
 
@@ -40,7 +40,7 @@ def render(role: Column, text: Column, escaped: bool) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """Turns (role, text) of a formatted conversation, and what of it is no turn as ``rest``."""
+    """Turns (role, text) of a formatted conversation."""
     part = [F.regexp_extract_all(formatted, F.lit(TURN), F.lit(i)) for i in (1, 2, 3)]
     plain = lambda mode, c: F.when(mode == "~", unescape(c)).otherwise(c)
     return F.transform(
@@ -49,6 +49,11 @@ def parse(formatted: Column) -> Column:
     )
 
 
+def rest(formatted: Column) -> Column:
+    """What of a formatted conversation is no turn."""
+    return F.regexp_replace(formatted, TURN, "")
+
+
 def _comes_back(rendered: Column, role: Column, text: Column) -> Column:
     """Does the grammar read the rendered turn as just this turn, up to its last character?"""
     group = lambda i: F.regexp_extract(rendered, TURN, i)
@@ -75,10 +80,14 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id and formatted, a row for each conversation."""
+    """conv_id and formatted, a row for each conversation; the grammar has to read it as just its turns, to the last character."""
     rows = format_turns(turns, conv_col, turn_col, role_col, text_col)
     ordered = F.array_sort(F.collect_list(F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 63))).alias("turn"), "role", "text", "rendered")))
-    return rows.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda t: t["rendered"]), "").alias("formatted"))
+    whole = rows.groupBy("conv_id").agg(ordered.alias("_turns")).withColumn("formatted", F.array_join(F.transform("_turns", lambda t: t["rendered"]), ""))
+    source = F.transform("_turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    good = (parse(F.col("formatted")) == source) & (rest(F.col("formatted")) == "")
+    kept = F.when(good, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation does not come back from its rendering")))
+    return whole.select("conv_id", kept.cast("string").alias("formatted"))
 
 
 def read_back(chats: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ A benchmark of up to ``broadcast_bytes`` of text goes to every worker, and docum
 shuffle.  A larger one is joined with the documents on their fingerprints; each document then meets only the items
 it shares a fingerprint with, in the same matching code.
 
-Null and empty texts have no words: nothing is hit.  Items without words match nothing.  Repeated item ids count
-once.  Words are compared by 64-bit hashes; a wrong hit needs ``window`` neighbouring collisions.
+Null and empty texts have no words: nothing is hit.  Items without words match nothing; without any item nothing is
+hit, and without documents there are no rows.  Repeated item ids count once.  Every row of documents is judged alone.  Words are compared by 64-bit hashes; a wrong hit needs ``window`` neighbouring collisions.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ FIELDS = [
 class Index:
     """Benchmark items by fingerprint."""
 
-    def __init__(self, ids: list[str], texts: pa.Array, rule: Rule = ALNUM, window: int = WINDOW, k: int = K):
+    def __init__(self, ids: list[str | None], texts: pa.Array, rule: Rule = ALNUM, window: int = WINDOW, k: int = K):
         self.ids, self.window, self.k, self.rule = ids, window, k, rule
         parts = list(blocks(texts, rule))
         self.words = np.concatenate([b.hashes for b in parts] or [np.empty(0, np.uint64)])
@@ -112,7 +112,8 @@ class Index:
                 hit |= cover(np.unique(start[width == n]), n, len(hit))
             found: list[set[str]] = [set() for _ in range(len(block.sizes))]
             for pair in np.unique(doc * len(self.ids) + item).tolist():
-                found[pair // len(self.ids)].add(self.ids[pair % len(self.ids)])
+                if (name := self.ids[pair % len(self.ids)]) is not None:
+                    found[pair // len(self.ids)].add(name)
             sums = np.concatenate([[0], np.cumsum(hit)])
             n_words += block.sizes.tolist()
             n_hit += (sums[block.first[1:]] - sums[block.first[:-1]]).tolist()
@@ -138,15 +139,16 @@ def decontaminate(
 ) -> DataFrame:
     """``docs`` with n_words, n_hit and items (ids of the items that have a window in the text).
 
-    Columns of ``docs`` with these names are replaced.  Items with a null id are left out.
+    Columns of ``docs`` with these names are replaced.  Words of items with a null id are hit as others are; only the list of
+    items lacks them.
     """
     if not 0 < k <= window:
         raise ValueError("k must be between 1 and window")
     spark = prepared(docs.sparkSession)
     items = benchmark.select(
         F.col(item_col).cast("string").alias("id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("body")
-    ).where("id is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("body") + F.octet_length("id") + 16), F.lit(0))).first()[0]
+    )
+    total = items.agg(F.coalesce(F.sum(F.octet_length("body") + F.coalesce(F.octet_length("id"), F.lit(0)) + 16), F.lit(0))).first()[0]
     if total <= broadcast_bytes:
         rows = items.collect()  # at most broadcast_bytes
         sent = spark.sparkContext.broadcast(
@@ -190,7 +192,7 @@ def _joined(docs: DataFrame, items: DataFrame, text_col: str, window: int, k: in
     ours = texts.mapInArrow(tidied(lambda b: marks(b, True)), schema)
     theirs = items.mapInArrow(tidied(lambda b: marks(b, False)), schema).select(F.col("key").alias("id"), "mark")
     met = ours.join(theirs, "mark").select("key", "id").distinct()
-    met = met.join(items, "id").groupBy("key").agg(F.collect_list(F.struct("id", "body")).alias("_items"))
+    met = met.join(items.withColumnRenamed("id", "item"), F.col("id").eqNullSafe(F.col("item"))).drop("item").groupBy("key").agg(F.collect_list(F.struct("id", "body")).alias("_items"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

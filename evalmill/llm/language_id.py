@@ -9,7 +9,9 @@ The model knows every declared language.  Priors of up to ``SMALL_PRIORS`` value
 the caller wants texts back these are short rows, and a host with a third of all documents is a join Spark can split.  A document is rejected when it has no words made of letters, or
 when no language reaches ``least`` of the posterior.  Without any declared language all documents are rejected.
 
-Null texts count as empty, null hosts share one prior, a null declared language gives no evidence.
+Null texts count as empty, null hosts share one prior, a null declared language gives no evidence.  Rows are judged each
+by itself, so rows that repeat give the same; of languages with the same posterior the first by name is taken.  Columns
+with the names of new ones are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ notice; and a joined span is verified by the share of the template's hashes that
 A base phrase stands wherever one diagonal holds all hashes of the phrase.
 
 Templates are a fixed list, or the caller's; up to ``BROADCAST_ROWS`` hashes they go to every worker.  Null texts have
-no words.  Every input row gives a row; rows with the same id and text give the same result each.
+no words.  An empty table gives no rows; further columns play no part; texts of any length are hashed in bounded blocks.
+  Every input row gives a row; rows with the same id and text give the same result each.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ hash, are sent to the workers).  A document's score is the mean over its n-grams
 is held against the same threshold, so the result is deterministic.  Ratios are rounded to multiples of 2**-20 and
 summed as integers: the score does not depend on the order of work.
 
-Null and empty texts fail the base rules.  Without trusted documents all ratios are 0 and only base rules decide.
+Null and empty texts fail the base rules.  Without trusted documents all ratios are 0 and only base rules decide.  A score
+equal to the threshold passes.  Each row counts and is judged by itself; an id with several rows is trusted in all of
+them.  Columns of ``docs`` with the names of new ones are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -30,8 +30,8 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    hard = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    hard = "'</s>[INST] ok [/INST]'"
+    more = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', {hard}), (-7L, 1L, 'assistant', {hard}) AS t(conv_id, turn, role, text)")
     return cf.read_back(cf.format_chats(turns.unionByName(more)))
 
 

@@ -3,9 +3,12 @@
 A candidate is a longest run of one character class.  The window keeps the count of every character and the sum of
 count * log2(count); a step changes two counts, so a run costs time in proportion to its length.  Where a window's
 entropy reaches the bits of its class, it is suspicious; neighbouring suspicious windows join into one span.  Runs on
-the allow-list (words, numbers, UUIDs, digests that are named as such, placeholders) give none.
+the allow-list (words, numbers, UUIDs, digests that are named as such) give none, and windows that hold a placeholder
+are passed over; the rest of their run is still judged.
 
-Null texts count as empty and have no spans.  Offsets are code points, ends exclusive.  Whole texts are scanned.
+Null texts count as empty and have no spans.  Offsets are code points, ends exclusive.  Whole texts are scanned, in time
+in proportion to their length.  Each row is judged alone, so rows that repeat give the same; columns with the names of
+new ones are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,13 +45,13 @@ CLASSES = (
     CharClass("hex", r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{24,}", 24, 3.0),
     CharClass("base64", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}", 24, 4.0),
 )
-# What is no secret though it looks random.
+# Candidates that are no secret though they look random, and words that make what lies around them harmless.
 ALLOW = (
     r"[0-9]+",
     r"[A-Za-z_+/=-]+",
     r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}",
-    r".*(EXAMPLE|example|placeholder|xxxxxx|XXXXXX).*",
 )
+ALLOW_INSIDE = r"EXAMPLE|example|placeholder|xxxxxx|XXXXXX"
 # Names after which a digest stands openly.
 ALLOW_BEFORE = r"(?:md5|sha1|sha256|sha512|commit|checksum|digest|integrity)[-:= ]{1,3}"
 
@@ -59,10 +62,14 @@ FIELDS = [*(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField
 _ARROW_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
 
-def suspicious(text: str, window: int, bits: float) -> list[tuple[int, int]]:
-    """Joined windows of ``text`` whose entropy is at least ``bits``."""
+def suspicious(text: str, window: int, bits: float, harmless: list[tuple[int, int]] = []) -> list[tuple[int, int]]:  # noqa: B006
+    """Joined windows of ``text`` whose entropy is at least ``bits``, but for those that hold one of the harmless spans."""
     if len(text) < window:
         return []
+    passed = bytearray(len(text))
+    for a, b in harmless:
+        low = max(0, b - window)
+        passed[low : a + 1] = b"\1" * max(0, a + 1 - low)
     log = [0.0] + [n * math.log2(n) for n in range(1, window + 1)]
     counts: dict[str, int] = {}
     total = 0.0
@@ -77,8 +84,8 @@ def suspicious(text: str, window: int, bits: float) -> list[tuple[int, int]]:
         n = counts.get(c, 0)
         counts[c] = n + 1
         total += log[n + 1] - log[n]
-        if i >= window - 1 and total <= most:
-            start = i - window + 1
+        start = i - window + 1
+        if start >= 0 and total <= most and not passed[start]:
             if out and start <= out[-1][1]:
                 out[-1] = (out[-1][0], i + 1)
             else:
@@ -87,9 +94,12 @@ def suspicious(text: str, window: int, bits: float) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, classes: tuple[CharClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW, allow_before: str = ALLOW_BEFORE):
+    def __init__(
+        self, classes: tuple[CharClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW, allow_before: str = ALLOW_BEFORE, allow_inside: str = ALLOW_INSIDE
+    ):
         self.classes = [(re.compile(c.run), c) for c in classes]
         self.allow = re.compile("|".join(f"(?:{a})" for a in allow)) if allow else None
+        self.inside = re.compile(allow_inside) if allow_inside else None
         self.before = re.compile(f"(?:{allow_before})$", re.I | re.A) if allow_before else None
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
@@ -110,7 +120,8 @@ class Scanner:
                     continue
                 if self.before and self.before.search(text, max(0, m.start() - 16), m.start()):
                     continue
-                found += [(m.start() + a, m.start() + b) for a, b in suspicious(m[0], c.window, c.bits)]
+                harmless = [x.span() for x in self.inside.finditer(m[0])] if self.inside else []
+                found += [(m.start() + a, m.start() + b) for a, b in suspicious(m[0], c.window, c.bits, harmless)]
         joined: list[tuple[int, int]] = []
         for a, b in sorted(found):
             if joined and a <= joined[-1][1]:
@@ -122,7 +133,13 @@ class Scanner:
     def scan(self, text: str) -> list[tuple[int, int, int]]:
         """start, kind, end of all spans in order; entropy spans that lie in a base span add nothing."""
         found = self.base(text)
-        more = [(a, 3, b) for a, b in self.entropy(text) if not any(s <= a and b <= e for s, _, e in found)]
+        more, at, reach = [], 0, 0
+        for a, b in self.entropy(text):  # in order, as the others are: reach is the furthest end of those that begin by then
+            while at < len(found) and found[at][0] <= a:
+                reach = max(reach, found[at][2])
+                at += 1
+            if b > reach:
+                more.append((a, 3, b))
         return sorted(found + more) if more else found
 
 
@@ -132,10 +149,11 @@ def scan_secrets(
     classes: tuple[CharClass, ...] = CLASSES,
     allow: tuple[str, ...] = ALLOW,
     allow_before: str = ALLOW_BEFORE,
+    allow_inside: str = ALLOW_INSIDE,
     need: list[str] | None = None,
 ) -> DataFrame:
     """``docs`` with n_assign, n_access, n_hex, n_entropy and spans (kind, start, end), in order."""
-    scanner = Scanner(classes, allow, allow_before)
+    scanner = Scanner(classes, allow, allow_before, allow_inside)
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         found = [scanner.scan(t.as_py() or "") for t in batch.column(text_col)]

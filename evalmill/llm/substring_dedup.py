@@ -11,7 +11,9 @@ block, not one a document.  The same holds for the windows, where only the small
 
 A word goes when a window over it also begins in a document with a smaller id; all windows are judged on the input.
 Null and empty texts have no words.  A document with a null id is neither judged nor a reason to remove words.
-Rows with the same id do not count as smaller than each other.
+Rows that repeat an id and its text are judged alike and do not count as smaller than each other; of an id with several
+texts the one with the least hash is the document, and the others count as documents without an id.  An empty table gives
+no rows; further columns play no part.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Buffer, batch_of, column, longs, prepared, starts_of, texts, tidied
+from .base import Buffer, batch_of, column, longs, prepared, saved, sieved, starts_of, texts, tidied
 from .words import PLAIN, Rule, blocks, kgrams, texts_of, winnow
 
 WINDOW, K = 13, 7
@@ -97,7 +99,7 @@ def _windows(rule: Rule, window: int, k: int):
     Those that a smaller document of the same block has are known to go; they are sent as runs, with the length of the
     run in place of the further bits.
     """
-    names = ["hash", "at", "doc", "known"]
+    names = ["hash", "at", "doc", "known", "more"]
 
     def flush(buffer: Buffer) -> Iterator[pa.RecordBatch]:
         h, at, d = buffer.take()
@@ -105,13 +107,25 @@ def _windows(rule: Rule, window: int, k: int):
         h, at, d = h[order], at[order], d[order]
         start = starts_of(h, at >> 32)
         known = d > np.repeat(d[start], np.diff(np.append(start, len(d))))
-        yield from _cut(names, [h[~known], at[~known], d[~known], np.zeros(int((~known).sum()), bool)])
+        # a document that holds a window many times sends one row, with its further places
+        ah, aa, ad = h[~known], at[~known], d[~known]
+        first = starts_of(ah, aa >> 32, ad)
+        times = np.diff(np.append(first, len(ah)))
+        rest = np.ones(len(ah), bool)
+        rest[first] = False
+        places, ends = aa[rest] & LOW, np.concatenate([[0], np.cumsum(times - 1)])
+        for i in range(0, len(first), OUT_ROWS):
+            j = min(i + OUT_ROWS, len(first))
+            some = first[i:j]
+            more = pa.ListArray.from_arrays(pa.array(ends[i : j + 1] - ends[i], pa.int32()), pa.array(places[ends[i] : ends[j]]))
+            yield pa.RecordBatch.from_arrays([longs(ah[some]), longs(aa[some]), longs(ad[some]), pa.array(np.zeros(j - i, bool)), more], names)
         d, at = d[known], at[known] & LOW
         order = np.lexsort((at, d))
         d, at = d[order], at[order]
         start = starts_of(d, at - np.arange(len(at)))
         runs = np.diff(np.append(start, len(at)))
-        yield from _cut(names, [d[start], runs << 32 | at[start], d[start], np.ones(len(start), bool)])
+        for cut in _cut(names[:4], [d[start], runs << 32 | at[start], d[start], np.ones(len(start), bool)]):
+            yield cut.append_column("more", pa.nulls(cut.num_rows, pa.list_(pa.int64())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffer = Buffer(3, ROWS)
@@ -146,6 +160,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = batch.column("known").to_numpy(zero_copy_only=False)
         h, at, d = (column(batch, c) for c in ("hash", "at", "doc"))
         yield from _cut(["doc", "run"], [d[known], at[known]])
+        more = batch.column("more").filter(pa.array(~known))
         h, at, d = h[~known], at[~known], d[~known]
         if len(h):
             start = starts_of(h, at >> 32)
@@ -155,6 +170,11 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone = d > np.repeat(least, np.diff(np.append(start, len(d))))
             last = (int(h[-1]), int(at[-1] >> 32), int(least[-1]))
             yield from _cut(["doc", "run"], [d[gone], 1 << 32 | at[gone] & LOW])
+            also = more.filter(pa.array(gone))
+            places = also.flatten().to_numpy(zero_copy_only=False)
+            if len(places):
+                times = np.diff(also.offsets.to_numpy())
+                yield from _cut(["doc", "run"], [np.repeat(d[gone], times), 1 << 32 | places])
 
 
 def _staying(runs: np.ndarray, window: int, n: int) -> np.ndarray:
@@ -217,7 +237,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = K, rule: Ru
     return (
         docs.join(seeds, docs["doc_id"] == seeds["doc"], "left")
         .select("doc_id", "text", "seeds")
-        .mapInArrow(tidied(_windows(rule, window, k)), "hash long, at long, doc long, known boolean")
+        .mapInArrow(tidied(_windows(rule, window, k)), "hash long, at long, doc long, known boolean, more array<long>")
         .repartition(spread)
         .sortWithinPartitions("hash", F.shiftright("at", 32), "doc")
         .mapInArrow(tidied(_repeated), "doc long, run long")
@@ -233,10 +253,20 @@ def dedup_substrings(
     if not 0 < k <= window:
         raise ValueError("k must be between 1 and window")
     docs = texts(docs, id_col, text_col)
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(h).alias("least"), F.max(h).alias("most")).where("least < most")
+    several = saved(several.select(F.col("doc_id").alias("of"), "least"))
+    others = None
+    if not several.isEmpty():
+        some, rest = sieved(docs, "doc_id", several.select("of"))
+        some = some.join(several, F.col("doc_id") == F.col("of"), "left").withColumn("first", F.coalesce(h == F.col("least"), F.lit(True)))
+        others = some.where("not first").select(*docs.columns)
+        docs = rest.unionByName(some.where("first").select(*docs.columns))
     found = repeated_windows(docs, window, k, rule)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    return (
-        docs.join(found, docs["doc_id"] == found["doc"], "left")
-        .select("doc_id", "text", "runs")
-        .mapInArrow(tidied(_keep(rule, window)), schema)
-    )
+    rows = docs.join(found, docs["doc_id"] == found["doc"], "left").select("doc_id", "text", "runs")
+    out = rows.mapInArrow(tidied(_keep(rule, window)), schema)
+    if others is None:
+        return out
+    alone = others.withColumn("runs", F.lit(None).cast("array<bigint>"))
+    return out.unionByName(alone.mapInArrow(tidied(_keep(rule, window)), schema))

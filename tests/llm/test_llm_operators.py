@@ -6,11 +6,15 @@ import hashlib
 import math
 import random
 import re
+import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from evalmill.llm import chat_format as cf
@@ -102,6 +106,16 @@ def test_words():
         assert len(set(zip(flat, hashes, strict=True))) == len(set(flat)) == len(set(hashes))
 
 
+@pytest.mark.parametrize("text", ["ab cde fghi " * 1_700_000, "é" * 10_000_000], ids=["words", "one word"])
+def test_a_text_of_20_mb_takes_bounded_memory(text):
+    tracemalloc.start()
+    (block,) = blocks(pa.array([text]), LOWER)
+    jj.Sets(block, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(block.hashes) == len(text.split()) and peak < 25 * len(text.encode())
+
+
 # ---------------------------------------------------------------- 1
 
 SECRETS = [
@@ -130,6 +144,35 @@ def test_secret_scan(spark, none):
     assert se.scan_secrets(none).count() == 0
 
 
+def test_planted_tokens_are_found(spark):
+    """Random tokens among prose, digests with a name, numbers and identifiers: what share is found, and what else is."""
+    rng = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    prose = lambda n: " ".join(rng.choice(["the", "house", "of", "many", "winters", "and_some_long_identifier_name", "1234567890123456789012345678901"]) for _ in range(n))
+    rows, planted = [], {}
+    for i in range(400):
+        token = "".join(rng.choice(letters if i % 2 else "0123456789ABCDEF") for _ in range(40))
+        front = prose(20) + " "
+        rows.append((i, front + token + " " + prose(10)))
+        planted[i] = (len(front), len(front) + 40)
+    rows += [(1000 + i, prose(60) + " sha256: " + "".join(rng.choice("0123456789ABCDEF") for _ in range(64))) for i in range(200)]
+    got = {r.doc_id: r.spans for r in se.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(any(x["start"] <= a + 4 and x["end"] >= b - 4 for x in got[i]) for i, (a, b) in planted.items())
+    false = sum(len(got[i]) for i in got if i >= 1000)
+    assert found >= 0.9 * len(planted) and false == 0
+    assert all(len(got[i]) <= 1 for i in planted)
+
+
+def test_a_placeholder_hides_only_what_is_around_it():
+    token = "zQ3k9fLm2Xp8RvTn5WcYb7HdJs4GaU6eB1iO"
+    scan = se.Scanner().scan
+    assert scan(f"example-repo/blob/{token}")[-1][2] == 18 + len(token)
+    assert scan("AbCdEf1xxxxxx9GhIjKl2") == [] and scan(f"my-example-{token[:8]}") == []
+    many = " ".join([f"token=abcdefgh{i}" for i in range(4000)] + [token] * 4000)
+    start = time.perf_counter()
+    assert len(scan(many)) == 8000 and time.perf_counter() - start < 5
+
+
 def test_entropy_windows_are_those_of_the_definition():
     rng = random.Random(1)
     for _ in range(200):
@@ -226,6 +269,57 @@ def test_signature_tree_loses_no_pair():
     assert true and true <= found and len(found) < 3 * len(true)
 
 
+class _Sent:
+    def __init__(self, value):
+        self.value = value
+
+
+@pytest.mark.parametrize(("small", "part", "salt"), [(32, 2048, 2048), (2, 2048, 2048), (2, 3, 2048), (32, 2048, 1), (1, 1, 1)])
+def test_blocks_hold_all_links(small, part, salt, monkeypatch):
+    """Whatever the way in which lists are connected, linked sets are in one block."""
+    monkeypatch.setattr(jj, "SMALL_LIST", small)
+    monkeypatch.setattr(jj, "PART", part)
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(400)}" for _ in range(rng.choice([6, 30, 150]))] for _ in range(12)]
+    texts = []
+    for _ in range(160):
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(900)}"
+        texts.append(" ".join(w))
+    (block,) = blocks(pa.array(texts), LOWER)
+    sets = jj.Sets(block, 5)
+    counts = np.zeros(1 << 16, np.float32)
+    np.add.at(counts, (sets.value >> np.uint64(48)).astype(np.int64), 1)
+    order = _Sent(jj.Order(counts, float(counts.mean()), salt))
+    assert (order.value.salts > 1).any() or salt > 1
+    (rows,) = jj._prefixes(LOWER, 5, 80, order)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))
+    rows = pa.Table.from_batches([rows]).sort_by([("shingle", "ascending"), ("size", "ascending"), ("set", "ascending")])
+    forest, runs = jj.Forest(), defaultdict(list)
+    for out in jj._edges(80)(iter(rows.to_batches(max_chunksize=97))):
+        for r in out.to_pylist():
+            if r["b"] is None:
+                runs[r["key"]].append((r["low"], r["high"], r["a"]))
+            else:
+                forest.join(r["a"], r["b"])
+    for of_key in runs.values():
+        top = None
+        for low, high, a in sorted(of_key):
+            if top is not None and 100 * top[0] >= 80 * low:
+                forest.join(top[1], a)
+            top = (max(high, top[0]) if top else high, a)
+    h1 = sets.keys()[0].tolist()
+    linked = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = sets.of(i), sets.of(j)
+            common = len(np.intersect1d(a, b))
+            if 100 * common >= 80 * (len(a) + len(b) - common):
+                linked += 1
+                assert forest.find(h1[i]) == forest.find(h1[j])
+    assert linked > 200
+
+
 @pytest.mark.parametrize("edges_at_once", [1_000_000, 20])
 def test_components(spark, edges_at_once, monkeypatch):
     monkeypatch.setattr(jj, "EDGES", edges_at_once)
@@ -289,6 +383,56 @@ def test_license_scan(spark, none):
     assert lc.scan_licenses(none).count() == 0
 
 
+def voted(text: str | None) -> tuple[str, float, list[tuple]]:
+    """Labels, score and spans by counting votes one by one."""
+    w = alnum_words(text)
+    grams = [tuple(w[i : i + lc.K]) for i in range(len(w) - lc.K + 1)]
+    labels, score, spans = set(), 0.0, []
+    for base, templates in ((True, lc.PHRASES), (False, lc.NOTICES)):
+        for body, label in templates.items():
+            t = body.split()
+            places = [tuple(t[i : i + lc.K]) for i in range(len(t) - lc.K + 1)]
+            votes = defaultdict(list)
+            for p, g in enumerate(grams):
+                for q, x in enumerate(places):
+                    if g == x:
+                        votes[p - q].append((p, q))
+            runs: list[list[int]] = []
+            for d in sorted(votes):
+                if runs and d - runs[-1][-1] <= lc.GAP:
+                    runs[-1].append(d)
+                else:
+                    runs.append([d])
+            for run in runs:
+                if base:
+                    if any(len({q for _, q in votes[d]}) == len(places) for d in run):
+                        labels.add(label)
+                        score = 1.0
+                    continue
+                met = [x for d in run for x in votes[d]]
+                share = min(1.0, len({q for _, q in met}) / len(places))
+                first, end = min(p for p, _ in met), max(p for p, _ in met) + lc.K
+                if share >= lc.LEAST and end - first <= lc.LONGEST * len(t) + lc.GAP:
+                    labels.add(label)
+                    score = max(score, share)
+                    spans.append((label, first, end, round(share, 9)))
+    return ",".join(sorted(labels)), round(score, 9), sorted(spans)
+
+
+def test_license_votes(spark):
+    rng = random.Random(2)
+    notices = list(lc.NOTICES)
+    texts = []
+    for _ in range(150):
+        w = rng.choice(notices).split()
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(2)] = ["odd"] * rng.randrange(3)
+        texts.append(" ".join(["some", "words", "here"] * rng.randrange(3) + w + rng.choice([[], rng.choice(notices).split(), ["under", "the", "mit", "license"]])))
+    got = lc.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.labels, round(r.score, 9), sorted((x["label"], x["first"], x["end"], round(x["share"], 9)) for x in r.spans)) for r in got} == dict(enumerate(map(voted, texts)))
+
+
 # ---------------------------------------------------------------- 5
 
 
@@ -392,21 +536,25 @@ def test_encoder_is_the_tokenizer():
 def test_substring_dedup(docs, none, rows_at_once, monkeypatch):
     monkeypatch.setattr(sd, "ROWS", rows_at_once)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    first: dict[tuple, int] = {}
+    signed = lambda t: xxhash.xxh64_intdigest((t or "").encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest((t or "").encode(), 42) >> 63)
+    least: dict[int, int] = {}
     for i, t in rows:
+        if i is not None:
+            least[i] = min(signed(t), least.get(i, 1 << 63))
+    known = [i if i is not None and signed(t) == least[i] else None for i, t in rows]  # of an id with several texts, one counts
+    first: dict[tuple, int] = {}
+    for i, (_, t) in zip(known, rows, strict=True):
         w = plain_words(t)
         for j in range(len(w) - 12):
             if i is not None:
                 first[tuple(w[j : j + 13])] = min(i, first.get(tuple(w[j : j + 13]), i))
     want = Counter()
-    for i, t in rows:
+    for i, (own, t) in zip(known, rows, strict=True):
         w = plain_words(t)
         gone = {x for j in range(len(w) - 12) if i is not None and first[tuple(w[j : j + 13])] < i for x in range(j, j + 13)}
-        want[i, len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))] += 1
+        want[own, len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))] += 1
     got = sd.dedup_substrings(docs).collect()
-    same_id = {i for i, n in Counter(i for i, _ in rows).items() if n > 1}
-    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got if r.doc_id not in same_id) == Counter({k: v for k, v in want.items() if k[0] not in same_id})
-    assert len(got) == len(rows)
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
     assert sd.dedup_substrings(none).count() == 0
 
 
@@ -427,6 +575,44 @@ def test_language_id(spark, none):
     assert all(r.rejected for r in li.identify(df, declared_col=None).collect())
 
 
+def bucket_of(word: str) -> int:
+    (block,) = blocks(pa.array([word]), li.LETTERS)
+    return int(li.kgrams(block.hashes, 1)[0] % np.uint64(li.BUCKETS))
+
+
+def test_posterior_is_the_product_of_its_evidence(spark):
+    rng = random.Random(6)
+    words = {"en": "the of and to in common".split(), "de": "der die und das common mit".split()}
+    rows = [(i, " ".join(rng.choice(words[x]) for _ in range(rng.randint(1, 80))), x if i % 7 else None, f"h{i % 5}.{x}" if i % 3 else "plain9") for i, x in enumerate(rng.choice(["en", "de"]) for _ in range(120))]
+    got = {r.doc_id: r for r in li.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), keys=["doc_id"]).collect()}
+    langs = ["de", "en"]
+    counts = {x: Counter(bucket_of(w) for _, t, lang, _ in rows if lang == x for w in t.split()) for x in langs}
+    logs = {x: lambda b, x=x: math.log((counts[x][b] + 0.5) / (counts[x].total() + 0.5 * li.BUCKETS)) for x in langs}
+    suffix = lambda h: h.rsplit(".", 1)[-1] if "." in h else re.sub("[0-9]+$", "", h)
+    of = lambda pick: Counter(lang for _, _, lang, h in rows if lang and pick(h))
+    overall = of(lambda h: True)
+    for i, text, lang, host in rows:
+        by_suffix, by_host, scores = of(lambda h: suffix(h) == suffix(host)), of(lambda h: h == host), {}  # noqa: B023
+        w = text.split()
+        for x in langs:
+            share = overall[x] / overall.total()
+            share = (by_suffix[x] + li.SUFFIX_WEIGHT * share) / (by_suffix.total() + li.SUFFIX_WEIGHT)
+            share = (by_host[x] + li.HOST_WEIGHT * share) / (by_host.total() + li.HOST_WEIGHT)
+            told = 0.0 if lang is None else math.log(li.DECLARED_RIGHT if lang == x else 1 - li.DECLARED_RIGHT)
+            scores[x] = sum(logs[x](bucket_of(y)) for y in w) * min(1, li.EVIDENCE_WORDS / len(w)) + math.log(share) + told
+        best = max(scores, key=scores.get)
+        posterior = 1 / sum(math.exp(v - scores[best]) for v in scores.values())
+        assert got[i].posterior == pytest.approx(posterior, abs=2e-4) and (got[i].language == best or abs(posterior - 0.5) < 1e-3)
+
+
+def test_text_and_host_tell_the_language_of_held_out_documents(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0)
+    hidden = docs.withColumn("truth", F.col("lang")).withColumn("lang", F.when(~F.col("held"), F.col("lang")))
+    for host in ("source", None):
+        got = li.identify(hidden, host_col=host, keys=["truth", "held"]).where("held").collect()
+        assert len(got) > 20 and sum(r.language == r.truth for r in got) >= 0.95 * len(got)
+
+
 def test_host_prior_decides_when_words_do_not(spark):
     rows = [(i, "aa bb", "xx", "one.host") for i in range(30)] + [(100 + i, "aa bb", "yy", "two.host") for i in range(30)]
     df = spark.createDataFrame([*rows, (500, "aa bb", None, "one.host"), (501, "aa bb", None, "two.host")], "doc_id long, text string, lang string, source string")
@@ -465,6 +651,31 @@ def test_quality_rules(spark, docs, none):
     assert qu.judge_quality(none, labels).count() == 0
 
 
+def test_quality_ratio_is_that_of_its_counts(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice("ab cd ef gh ij kl".split()) + str(rng.randrange(4)) for _ in range(rng.randint(1, 70)))) for i in range(60)] + [(90, None), (91, "")]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(40)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in qu.judge_quality(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+
+    def features(text: str | None) -> list[int]:
+        if not (text or "").split():
+            return []
+        (block,) = blocks(pa.array([text]), LOWER)
+        return [int(b) for n in (1, 2) for b in qu.kgrams(block.hashes, n) % np.uint64(qu.BUCKETS)]
+
+    raw, good = Counter(), Counter()
+    for i, t in rows:
+        raw.update(features(t))
+        if i < 40 and i % 3 == 0:
+            good.update(features(t))
+    n_raw, n_good = raw.total() + qu.BUCKETS, good.total() + qu.BUCKETS
+    for i, t in rows:
+        f = features(t)
+        want = sum(math.log((good[b] + 1) / n_good) - math.log((raw[b] + 1) / n_raw) for b in f) / max(1, len(f))
+        assert got[i].score == pytest.approx(want, abs=1e-5)
+        assert got[i].kept == (len((t or "").split()) >= 50 and not got[i].base_failed and got[i].score >= qu.THRESHOLD)
+
+
 def test_quality_tells_trusted_from_the_rest(spark):
     rng = random.Random(3)
     text = lambda good: " ".join(rng.choice(["fine", "clear", "sound", "true"] if good else ["zz", "qq", "xx", "ww"]) + str(rng.randrange(9)) for _ in range(80))
@@ -524,3 +735,43 @@ def test_boosted_trees_learn(spark):
     assert right >= 0.95 * 200
     plan = got._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_split_is_the_best_of_all(spark):
+    rng = random.Random(13)
+    rows = []
+    for _ in range(300):
+        x = {f: float(rng.randrange(6)) for f in uf.FEATURES}
+        bad = float(rng.random() < (0.9 if x["digits"] > 2 else 0.2))
+        rows.append((bad, 1.0, *(x[f] for f in uf.FEATURES)))
+    sample = spark.createDataFrame(rows, "bad double, weight double, " + ", ".join(f"{f} double" for f in uf.FEATURES))
+    cuts = {f: [0.5, 1.5, 2.5, 3.5, 4.5] for f in uf.FEATURES}
+    tree = uf._tree(sample, F.lit(0.0), cuts, 1, 1.0)
+    best, found = 0.0, None
+    for n, f in enumerate(uf.FEATURES):
+        for c in cuts[f]:
+            sides = [[r[0] - 0.5 for r in rows if (r[2 + n] <= c) == left] for left in (True, False)]
+            gain = sum(sum(x) ** 2 / (0.25 * len(x) + 1) for x in sides)
+            if gain > best + 1e-6:
+                best, found = gain, (f, c, [sum(x) / (0.25 * len(x) + 1) for x in sides])
+    f, c, leaves = found
+    assert tree == f"case when {f} <= {c!r}D then {round(leaves[0], 6)!r}D when {f} > {c!r}D then {round(leaves[1], 6)!r}D end"
+
+
+def test_held_out_urls_are_ranked(spark):
+    """Noisy labels on hosts that do not come again: the ranking by the trees has an area under its curve of 0.9 or more."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(600):
+        bad = i % 2
+        if rng.random() < 0.05:
+            host = rng.choice(["win", "free", "site"]) + ("-" if bad else "") + str(i)
+        else:
+            host = (f"cheap-{rng.choice(['pills', 'bets'])}{i}" if bad else f"{rng.choice(['news', 'blog', 'wiki'])}{i}")
+        rows.append((f"http://{host}.{rng.choice(['com', 'net'])}/{rng.randrange(10 ** rng.randint(1, 6))}" + rng.choice(["", "?a=1", "?a=1&b=2"]), bad))
+    labelled = spark.createDataFrame(rows[:400], "url string, bad int")
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows[400:])], "page_id long, url string")
+    got = uf.judge_urls(pages, labelled=labelled, rules=()).collect()
+    good, bad = ([r.score for r in got if rows[400 + r.page_id][1] == y] for y in (0, 1))
+    area = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(good) * len(bad))
+    assert area >= 0.9

@@ -40,3 +40,27 @@ def test_pipeline(spark, data):
     want = {i for i in clean if i == groups[i]}
     got = cp.run(spark, data).select("doc_id").distinct().collect()
     assert {r.doc_id for r in got} <= want and len(got) > 0.9 * len(want)
+
+
+def test_pipeline_keeps_one_row_a_group_and_all_columns(spark, data):
+    import corpus_pipeline as cp
+
+    prose = [" ".join(f"word{(i * 7 + j * j) % 91} letter" for j in range(60)) for i in range(4)]
+    rows = [(1, prose[0], "en"), (1, prose[0], "en"), (2, prose[0] + " end", "en"), (3, prose[1], "en"), (None, prose[1], "en"), (None, prose[2], "en"), (None, prose[2], "en"), (5, None, "en"), (6, "", None), (7, prose[3], "en")]
+    docs = spark.createDataFrame([(*r, "s", len(r[1] or ""), "clash", "clash") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, language string, items string")
+    kept = cp.near_dups(spark, docs, data).collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id is not None and r.text) == [(1, prose[0]), (3, prose[1]), (7, prose[3])]
+    assert [r.text for r in kept if r.doc_id is None] == [prose[2]] and {r.doc_id for r in kept if not r.text} == {5, 6}
+    for stage in (cp.language, cp.near_dups, cp.benchmark, cp.clean_secrets):
+        out = stage(spark, docs, data)
+        assert out.schema.simpleString() == docs.schema.simpleString() and {r.language for r in out.collect()} <= {"clash"}
+        assert stage(spark, docs.limit(0), data).count() == 0
+    assert {r.doc_id for r in cp.language(spark, docs, data).collect()} == {1, 2, 3, 7, None}
+    packed = cp.pack(spark, docs, data)
+    assert packed.agg({"doc_tokens": "max"}).first()[0] > 100 and cp.pack(spark, docs.limit(0), data).count() == 0
+
+
+def test_native_plans_have_no_python(spark, data):
+    for name in ("op3_chat_format", "op10_url_filter"):
+        plan = queries.queries()[name](spark, data)._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "ExternalRDD" not in plan
