@@ -13,8 +13,9 @@ the same result.  Null texts count as empty: the end token alone.  A null id is
 an id are documents of their own.  Of levels with the same sum the fullest is taken.  Further columns play no part,
 whatever their names.  An empty table gives no piece.  Ids are those of ``tokenizers`` with that file.
 A text of any length is encoded LONG characters at a time; one unbroken word is encoded at once.
-Repeated words are encoded once: a text of letters, digits and signs below U+0180 in normal form is cut into the
-tokenizer's own pre-tokens, and only pre-tokens not seen before are encoded; any other text is encoded as it stands.
+Repeated words are encoded once: a text of letters, digits and signs below U+0180 in normal form is cut at white space, and
+only words not seen before are cut into the tokenizer's own pre-tokens and encoded; any other text is encoded as it stands.
+Words are looked up by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,10 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import longs, prepared, tidied
-from .words import ranges, texts_of
+from .words import LOWER, mix, parts, ranges, texts_of
 
 SIZE, END, OPEN_LIMIT = 4096, 2, 1024
-CACHE = 200_000  # pre-tokens of a generation; two of them take some 80 MB, for as long as the task
+CACHE = 800_000  # words whose ids are kept; they take some 80 MB, for as long as the task
 JOINED = 512  # pre-tokens that are encoded as one text
 LONG = 1 << 20  # characters of a text that are encoded at once
 MAX_FILE = 64 << 20
@@ -64,24 +65,11 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class Encoder:
-    """Token ids as little-endian 32-bit bytes, with a cache of pre-tokens for plain texts."""
+    """Token ids as little-endian 32-bit bytes, with a table of words for plain texts."""
 
     # The rule of this tokenizer file, for characters below U+0180 (fixed value).
     PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_letters('L')}]+|[{_letters('N')}]|[^\s{_letters('L')}{_letters('N')}]+")
     ODD = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u017f]")  # also separators that not all libraries call space, and İ
-
-    def __init__(self, definition: str):
-        from tokenizers import Tokenizer
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.plain = self._is_plain(definition)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith(self.WORD_END)]] = True
-
     # What ``encode`` relies on, as the tokenizer file says it (fixed values).
     WORD_END = "</w>"
     NORMALIZER = {
@@ -96,28 +84,35 @@ class Encoder:
         ],
     }
 
-    def _is_plain(self, definition: str) -> bool:
-        """Does the file cut and lower-case texts as PIECES expects?  Otherwise every text is encoded as it stands."""
+    def __init__(self, definition: str):
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.tokenizer = Tokenizer.from_str(definition)
         d = json.loads(definition)
+        self.plain = self._is_plain(d)
+        if self.plain:
+            # the same model for what is normal and cut already
+            lean = d | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, self.CUTS["pretokenizers"][1]]}}
+            self.lean = Tokenizer.from_str(json.dumps(lean))
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(self.WORD_END)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes = np.empty(0, np.uint64)  # of the words, sorted; and where the ids of each begin, and how many there are
+        self.start, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids = np.empty(0, "<u4")
+        self.pieces: dict[str, bytes] = {}
+
+    def _is_plain(self, d: dict) -> bool:
+        """Does the file cut and lower-case texts as PIECES expects?  Otherwise every text is encoded as it stands."""
         special = d["model"].get("end_of_word_suffix") == self.WORD_END and all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"]) for t in d["added_tokens"])
         return special and d["normalizer"] == self.NORMALIZER and d["pre_tokenizer"] == self.CUTS and d.get("post_processor") is None
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each pre-token, many to a text: the last id of each tells where it ends."""
-        out: list[bytes] = []
-        for i in range(0, len(pieces), JOINED):
-            some = pieces[i : i + JOINED]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-            if len(ends) != len(some) or len(ids) and ends[-1] != 4 * len(ids):
-                out += self._whole(some)
-                continue
-            data, stops = ids.tobytes(), ends.tolist()
-            out += [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
-        return out
+    def _whole(self, texts: list[str], tokenizer=None) -> list[bytes]:
+        return [_packed(e.ids) for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.plain:
@@ -127,27 +122,55 @@ class Encoder:
         return [b"".join(self._cut([part])[0] for part in _parts(t)) for t in texts]
 
     def _cut(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        odd: list[str] = []
-        for t in texts:
-            if not t.isascii() and not unicodedata.is_normalized("NFC", t) or self.ODD.search(t) or "<|" in t:
-                odd.append(t)
-                cut.append(None)
-            else:
-                cut.append(self.PIECES.findall(t.lower()))
-        seen = set().union(*(x for x in cut if x))
-        new = list(seen.difference(self.known))
-        if len(self.known) + len(new) > CACHE:  # two generations: what is still used comes over from the old one
-            self.old, self.known = self.known, {}
-            new = list(seen)
-        moved = [p for p in new if p in self.old]
-        self.known.update((p, self.old[p]) for p in moved)
-        if len(moved) < len(new):
-            new = [p for p in new if p not in self.old]
-            self.known.update(zip(new, self._words(new), strict=True))
-        whole = iter(self._whole(odd) if odd else [])
-        get = self.known.__getitem__
-        return [next(whole) if x is None else b"".join(map(get, x)) for x in cut]
+        """Texts are cut at white space, which no token spans; a word's ids are looked up by its hash."""
+        odd = [i for i, t in enumerate(texts) if not t.isascii() and not unicodedata.is_normalized("NFC", t) or self.ODD.search(t) or "<|" in t]
+        out: dict[int, bytes] = dict(zip(odd, self._whole([texts[i] for i in odd]), strict=True)) if odd else {}
+        body = [b"" if i in out else t.encode() for i, t in enumerate(texts)]
+        raw = np.frombuffer(b"".join(body), np.uint8)
+        at = np.concatenate([[0], np.cumsum([len(x) for x in body])])
+        begins, sums, sizes, _ = parts(raw, LOWER, at)
+        each, first, which = np.unique(mix(sums), return_index=True, return_inverse=True)
+        if len(self.hashes) + len(each) > CACHE:
+            self._forget()
+        place = np.searchsorted(self.hashes, each)
+        new = place == len(self.hashes)
+        new[~new] = self.hashes[place[~new]] != each[~new]
+        if new.any():
+            some, n = begins[first[new]], sizes[first[new]] + 1
+            letters = np.repeat(some - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            letters = raw[np.minimum(letters, len(raw) - 1)]
+            letters[np.cumsum(n) - 1] = 32
+            self._learn(each[new], letters[:-1].tobytes().decode().lower().split(" "))
+            place = np.searchsorted(self.hashes, each)
+        start, count = self.start[place][which], self.count[place][which]
+        upto = np.concatenate([[0], np.cumsum(count)])
+        ids = self.ids[np.repeat(start - upto[:-1], count) + np.arange(upto[-1])].tobytes()
+        edges = (4 * upto[np.searchsorted(begins, at)]).tolist()
+        return [out[i] if i in out else ids[edges[i] : edges[i + 1]] for i in range(len(texts))]
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        cut = [(w,) if w.isalpha() else self.PIECES.findall(w) for w in words]  # letters alone are one pre-token
+        new = list(dict.fromkeys(p for x in cut for p in x if p not in self.pieces))
+        self.pieces.update(zip(new, self._piece_ids(new), strict=True))
+        ids = [b"".join([self.pieces[p] for p in x]) for x in cut]
+        count = np.array([len(x) // 4 for x in ids], np.int64)
+        start = len(self.ids) + np.cumsum(count) - count
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4")])
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.start, self.count = (np.insert(x, place, y) for x, y in ((self.hashes, hashes), (self.start, start), (self.count, count)))
+
+    def _piece_ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each pre-token, many to a text: the last id of each tells where it ends."""
+        out: list[bytes] = []
+        groups = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
+        for some, data in zip(groups, self._whole([" ".join(g) for g in groups], self.lean), strict=True):
+            ends = 4 * (np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) + 1)
+            if len(ends) != len(some) or len(data) and ends[-1] != len(data):
+                out += self._whole(some)
+                continue
+            stops = ends.tolist()
+            out += [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+        return out
 
 
 def _parts(text: str) -> Iterator[str]:

@@ -118,7 +118,7 @@ def ranges(column: pa.Array, limit: int | None = None) -> Iterator[tuple[int, in
         base, start = int(ends[stop - 1]), stop
 
 
-def _parts(raw: np.ndarray, rule: Rule, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def parts(raw: np.ndarray, rule: Rule, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the words of some bytes: where each begins, sums of its bytes, its bytes, its code points.  at: where texts begin."""
     word = rule.word[raw]
     cut = np.zeros(len(raw) + 1, bool)
@@ -145,7 +145,7 @@ def _long(raw: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     held = [0, 0, 0]  # sum, bytes and code points of the word at the end, which may go on
     for i in range(0, len(raw), BLOCK_BYTES):
         part = raw[i : i + BLOCK_BYTES]
-        begins, sums, lengths, chars = _parts(part, rule, np.zeros(1, np.int64))
+        begins, sums, lengths, chars = parts(part, rule, np.zeros(1, np.int64))
         if held[1] and len(begins) and begins[0] == 0:  # goes on
             sums[0] = np.uint64((int(sums[0]) * pow(int(_BASE), held[1], 1 << 64) + held[0]) & ((1 << 64) - 1))
             lengths[0] += held[1]
@@ -176,7 +176,7 @@ def blocks(column: pa.Array, rule: Rule) -> Iterator[Block]:
             hashes, chars = _long(raw, rule)
             yield Block(slice(start, stop), np.array([0, len(hashes)]), hashes, chars)
             continue
-        begins, sums, _, chars = _parts(raw, rule, at)
+        begins, sums, _, chars = parts(raw, rule, at)
         yield Block(slice(start, stop), np.searchsorted(begins, at).astype(np.int64), mix(sums), chars)
 
 
