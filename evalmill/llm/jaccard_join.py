@@ -712,7 +712,8 @@ def join_similar(
         more = more.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("more"))
         own = sets.join(near, ["h1", "h2"], "left").join(more, ["h1", "h2"], "left").join(roots, F.col("doc") == F.col("node"), "left")
         n_links = F.expr("docs + coalesce(near, 0) + coalesce(more, 0) - 1").alias("n_links")
-        own = own.select("h1", "h2", F.coalesce("root", "doc").alias("component_id"), n_links)
+        # written, so that the join below has two plain sides, which Spark can split where one set has very many rows
+        own = scratch.save(own.select("h1", "h2", F.coalesce("root", "doc").alias("component_id"), n_links))
         names = ["doc_id", "n", "component_id", *(["n_links"] if links else [])]
         # an id of which another row has words is a node of that row's component
         rest = every.where("doc_id is null or n = 0").join(roots, F.col("doc_id") == F.col("node"), "left")
