@@ -140,8 +140,8 @@ def _marked(text: Column) -> Column:
 
 def extract_span(text: Column) -> Column:
     """The last marked region with content; without one the whole text; empty when that has no content either."""
-    whole = _clean(text)
-    return F.coalesce(_marked(text), F.when(whole.rlike(_FULL), whole), F.lit(""))
+    whole = bound(lambda x: F.when(x["whole"].rlike(_FULL), x["whole"]), whole=_clean(text))
+    return F.coalesce(_marked(text), whole, F.lit(""))
 
 
 def marked_span(text: Column) -> Column:
@@ -151,9 +151,13 @@ def marked_span(text: Column) -> Column:
 
 def first_sentence(text: Column) -> Column:
     """The first sentence before the first marker, or else the first line's first 160 characters."""
-    prose = strip(F.substring_index(text, MARKER, 1))
-    sentence = F.regexp_extract(prose, rf"(?s)^(.*?[.!?。！？؟।॥])(?:{SPACE}|\x{{200B}})", 1)
-    return F.when(sentence != "", sentence).otherwise(F.substring(F.element_at(F.split(prose, _BREAK), 1), 1, 160))
+    pattern = rf"(?s)^(.*?[.!?。！？؟।॥])(?:{SPACE}|\x{{200B}})"
+
+    def of(x: Column) -> Column:
+        line = F.substring(F.element_at(F.split(x["prose"], _BREAK, 2), 1), 1, 160)
+        return bound(lambda y: F.when(y["sentence"] != "", y["sentence"]).otherwise(line), sentence=F.regexp_extract(x["prose"], pattern, 1))
+
+    return bound(of, prose=strip(F.substring_index(text, MARKER, 1)))
 
 
 # ---------------------------------------------------------------- normal forms and matches
