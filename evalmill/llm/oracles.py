@@ -72,5 +72,61 @@ FROM o LEFT JOIN kept USING (doc_id)
 """
 
 
+_LETTERS = "(SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS {0}) {0}"
+
+OP11 = rf"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {_PLAIN} AS w,
+    coalesce(min(doc_id) OVER (PARTITION BY coalesce(text, '')) < doc_id, false) AS copy FROM documents),
+g AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, concat(
+    CASE WHEN len(w) < 100 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' END,
+    CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' END,
+    CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN copy THEN 'E' END) AS fails FROM t LEFT JOIN g USING (doc_id)),
+f AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM d GROUP BY ALL),
+o AS (SELECT a || b || c || d || e AS filter_order FROM {", ".join(_LETTERS.format(x) for x in "abcde")}
+  WHERE list_unique([a, b, c, d, e]) = 5),
+s AS (SELECT filter_order, step, filter_order[step] AS letter, filter_order[1:step - 1] AS before,
+  translate(fails, filter_order[1:step - 1], '') != fails AS earlier, contains(fails, filter_order[step]) AS own, f.*
+  FROM o, (SELECT unnest(range(1, 6)) AS step) n, f)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, letter AS filter,
+  CAST(sum(CASE WHEN NOT earlier AND NOT own THEN n ELSE 0 END) AS BIGINT) AS kept,
+  CAST(sum(CASE WHEN NOT earlier AND own THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN earlier AND own THEN n ELSE 0 END) AS BIGINT) AS redundant,
+  CAST(sum(CASE WHEN fails = letter THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN NOT earlier AND own THEN n_good ELSE 0 END) AS BIGINT) AS good_lost,
+  CAST(sum(CASE WHEN NOT earlier AND own THEN n_toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+  CAST(sum(sum(CASE WHEN NOT earlier AND own THEN n ELSE 0 END)) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM s GROUP BY part, filter_order, step, letter
+"""
+
+# CRC-32 of a short decimal text, bit by bit
+_CRC = """xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT)),
+  lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"""
+
+OP12 = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, length(text) AS chars, md5(concat(length(role), ':', role, text)) AS k, turn FROM t),
+p AS (SELECT conv_id, chars, k, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS i FROM k),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, i) AS d, k, chars FROM (
+  SELECT c.conv_id, 0 AS own, i, k, chars FROM c JOIN p ON p.conv_id = c.base AND i <= h
+  UNION ALL SELECT c.conv_id, 1, i, k, chars FROM c JOIN p ON p.conv_id = c.conv_id AND i > h)),
+x AS (SELECT conv_id, d, chars, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY d) AS key FROM r
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+n AS (SELECT key, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars FROM x GROUP BY key, d),
+e AS (SELECT key, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends FROM (
+  SELECT conv_id, max_by(key, d) AS key FROM x GROUP BY conv_id) GROUP BY key),
+a AS (SELECT n.*, p.conv_id AS parent FROM n LEFT JOIN n p ON p.d = n.d - 1 AND p.key = substr(n.key, 1, 32 * (n.d - 1))),
+q AS (SELECT parent, d - 1 AS d, count(*) AS n_children FROM a WHERE d > 0 GROUP BY ALL),
+b AS (SELECT a.*, coalesce(n_children, 0) AS n_children FROM a LEFT JOIN q ON q.parent = a.conv_id AND q.d = a.d),
+s AS (SELECT u.key, u.d, sum(CASE WHEN b.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((b.n_convs - 1) * b.chars) AS saved
+  FROM (SELECT key AS below, d AS dd, unnest(range(0, d + 1)) AS d FROM n) v
+  JOIN b ON b.key = v.below AND b.d = v.dd JOIN n u ON u.d = v.d AND u.key = substr(v.below, 1, 32 * v.d) GROUP BY ALL)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(b.d AS BIGINT) AS depth, CAST(parent AS BIGINT) AS parent_conv_id, CAST(n_convs AS BIGINT) AS n_convs,
+  CAST(n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+  coalesce(ends, sha256('')) AS ends_sha256
+FROM b JOIN s ON s.key = b.key AND s.d = b.d LEFT JOIN e ON e.key = b.key
+"""
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": OP2, "op3_chat_format": OP3, "op5_decontaminate": OP5, "op7_substring_dedup": OP7}
+    return {"op2_jaccard_join": OP2, "op3_chat_format": OP3, "op5_decontaminate": OP5, "op7_substring_dedup": OP7, "op11_filter_audit": OP11, "op12_prefix_trie": OP12}

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat_format as cf
 from . import decontaminate as dc
+from . import filter_audit as fa
 from . import jaccard_join as jj
 from . import language_id as li
 from . import licenses as lc
 from . import packing as pk
+from . import prefix_trie as pt
 from . import quality as qu
 from . import secrets as se
 from . import substring_dedup as sd
@@ -65,9 +67,17 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uf.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fa.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pt.prefix_trie(table(spark, sf_dir, "conversations"), shared_heads=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_secret_scan, op2_jaccard_join, op3_chat_format, op4_license_scan, op5_decontaminate, op6_packing, op7_substring_dedup, op8_language_id, op9_quality_rules,
-        op10_url_filter,
+        op10_url_filter, op11_filter_audit, op12_prefix_trie,
     )
     return {f.__name__: f for f in every}
