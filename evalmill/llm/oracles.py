@@ -128,5 +128,18 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(b.d AS BIGINT) AS depth, CAST(pa
 FROM b JOIN s ON s.key = b.key AND s.d = b.d LEFT JOIN e ON e.key = b.key
 """
 
+OP13 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_LOWER} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, s, s + least(len(w), 3) - 1), ' ') AS sh
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS s FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 85 * (nx.n + ny.n - i)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id)
+SELECT d.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, CAST(min(c) AS BIGINT) AS component_id, d.doc_id = min(c) AS kept
+FROM d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": OP2, "op3_chat_format": OP3, "op5_decontaminate": OP5, "op7_substring_dedup": OP7, "op11_filter_audit": OP11, "op12_prefix_trie": OP12}
+    return {"op2_jaccard_join": OP2, "op3_chat_format": OP3, "op5_decontaminate": OP5, "op7_substring_dedup": OP7, "op11_filter_audit": OP11, "op12_prefix_trie": OP12, "op13_near_dedup": OP13}

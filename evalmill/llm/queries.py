@@ -12,6 +12,7 @@ from . import filter_audit as fa
 from . import jaccard_join as jj
 from . import language_id as li
 from . import licenses as lc
+from . import odd_sketch as od
 from . import packing as pk
 from . import prefix_trie as pt
 from . import quality as qu
@@ -75,9 +76,13 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pt.prefix_trie(table(spark, sf_dir, "conversations"), shared_heads=True)
 
 
+def op13_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return od.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_secret_scan, op2_jaccard_join, op3_chat_format, op4_license_scan, op5_decontaminate, op6_packing, op7_substring_dedup, op8_language_id, op9_quality_rules,
-        op10_url_filter, op11_filter_audit, op12_prefix_trie,
+        op10_url_filter, op11_filter_audit, op12_prefix_trie, op13_near_dedup,
     )
     return {f.__name__: f for f in every}
