@@ -57,18 +57,16 @@ FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 OP7 = rf"""
-WITH d AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
-g AS (SELECT doc_id, s, md5(array_to_string(list_slice(w, s, s + 12), ' ')) AS win
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d WHERE len(w) >= 13)),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_PLAIN} AS w FROM documents),
+g AS (SELECT r, doc_id, s, md5(array_to_string(list_slice(w, s, s + 12), ' ')) AS win
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d WHERE len(w) >= 13)),
 m AS (SELECT win, min(doc_id) AS lo FROM g GROUP BY win),
-gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(s, s + 13)) AS p FROM g JOIN m USING (win) WHERE doc_id > lo)),
-per AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
-o AS (SELECT d.doc_id, w, coalesce(ps, []) AS ps FROM d LEFT JOIN per USING (doc_id)),
-kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM (
-    SELECT o.doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM o) u
-  ANTI JOIN gone ON gone.doc_id = u.doc_id AND gone.p = u.i GROUP BY doc_id)
-SELECT o.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(ps) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
-FROM o LEFT JOIN kept USING (doc_id)
+gone AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(range(s, s + 13)) AS p FROM g JOIN m USING (win) WHERE doc_id > lo)),
+per AS (SELECT r, count(*) AS n FROM gone GROUP BY r),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS t FROM (
+    SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d) u ANTI JOIN gone ON gone.r = u.r AND gone.p = u.i GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN per ON per.r = d.r LEFT JOIN kept ON kept.r = d.r
 """
 
 

@@ -11,9 +11,10 @@ block, not one a document.  The same holds for the windows, where only the small
 
 A word goes when a window over it also begins in a document with a smaller id; all windows are judged on the input.
 Null and empty texts have no words.  A document with a null id is neither judged nor a reason to remove words.
-Rows that repeat an id and its text are judged alike and do not count as smaller than each other; of an id with several
-texts the one with the least hash is the document, and the others count as documents without an id.  An empty table gives
-no rows; further columns play no part.
+Rows that repeat an id are judged each by its own text, and do not count as smaller than each other, whether their texts
+agree or not; windows of all of them count for larger ids.  Where an id has several texts, documents go by a key of the id
+and, in its last bits, the number of the text.  A text of any length is hashed in blocks of 1 MB; its words are a list when
+they are put together again.  An empty table gives no rows; further columns play no part.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Buffer, batch_of, column, longs, prepared, saved, sieved, starts_of, texts, tidied
+from .base import Buffer, Scratch, batch_of, column, longs, prepared, saved, sieved, starts_of, texts, tidied
+from .running import running
 from .words import PLAIN, Rule, blocks, kgrams, texts_of, winnow
 
 WINDOW, K = 13, 7
@@ -55,7 +57,7 @@ def _anchors(rule: Rule, window: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffer = Buffer(2, ROWS)
         for batch in batches:
-            ids = column(batch, "doc_id")
+            ids = column(batch, "key")
             for block in blocks(batch.column("text"), rule):
                 grams = kgrams(block.hashes, k)
                 at = winnow(grams, block.inside(k), window - k + 1)
@@ -93,7 +95,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 LOW = (1 << 32) - 1
 
 
-def _windows(rule: Rule, window: int, k: int):
+def _windows(rule: Rule, window: int, k: int, shift: int):
     """Windows whose anchor is shared: hash, and 32 more bits of hash beside the first word.
 
     Those that a smaller document of the same block has are known to go; they are sent as runs, with the length of the
@@ -106,7 +108,7 @@ def _windows(rule: Rule, window: int, k: int):
         order = np.lexsort((d, at >> 32, h))
         h, at, d = h[order], at[order], d[order]
         start = starts_of(h, at >> 32)
-        known = d > np.repeat(d[start], np.diff(np.append(start, len(d))))
+        known = d >> shift > np.repeat(d[start] >> shift, np.diff(np.append(start, len(d))))
         # a document that holds a window many times sends one row, with its further places
         ah, aa, ad = h[~known], at[~known], d[~known]
         first = starts_of(ah, aa >> 32, ad)
@@ -131,7 +133,7 @@ def _windows(rule: Rule, window: int, k: int):
         buffer = Buffer(3, ROWS)
         for batch in batches:
             batch = batch.filter(batch.column("seeds").is_valid())
-            ids, seeds = column(batch, "doc_id"), batch.column("seeds")
+            ids, seeds = column(batch, "key"), batch.column("seeds")
             for block in blocks(batch.column("text"), rule):
                 h = block.hashes
                 grams = kgrams(h, k)
@@ -153,28 +155,32 @@ def _windows(rule: Rule, window: int, k: int):
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by window and document: runs of windows that are not of the window's smallest document."""
-    last: tuple[int, int, int] | None = None
-    for batch in batches:
-        known = batch.column("known").to_numpy(zero_copy_only=False)
-        h, at, d = (column(batch, c) for c in ("hash", "at", "doc"))
-        yield from _cut(["doc", "run"], [d[known], at[known]])
-        more = batch.column("more").filter(pa.array(~known))
-        h, at, d = h[~known], at[~known], d[~known]
-        if len(h):
-            start = starts_of(h, at >> 32)
-            least = d[start]
-            if last is not None and (h[0], at[0] >> 32) == last[:2]:
-                least[0] = last[2]
-            gone = d > np.repeat(least, np.diff(np.append(start, len(d))))
-            last = (int(h[-1]), int(at[-1] >> 32), int(least[-1]))
-            yield from _cut(["doc", "run"], [d[gone], 1 << 32 | at[gone] & LOW])
-            also = more.filter(pa.array(gone))
-            places = also.flatten().to_numpy(zero_copy_only=False)
-            if len(places):
-                times = np.diff(also.offsets.to_numpy())
-                yield from _cut(["doc", "run"], [np.repeat(d[gone], times), 1 << 32 | places])
+def _repeated(shift: int):
+    """Rows sorted by window and document: runs of windows that are not of the window's smallest id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, int, int] | None = None
+        for batch in batches:
+            known = batch.column("known").to_numpy(zero_copy_only=False)
+            h, at, d = (column(batch, c) for c in ("hash", "at", "doc"))
+            yield from _cut(["doc", "run"], [d[known], at[known]])
+            more = batch.column("more").filter(pa.array(~known))
+            h, at, d = h[~known], at[~known], d[~known]
+            if len(h):
+                start = starts_of(h, at >> 32)
+                least = d[start]
+                if last is not None and (h[0], at[0] >> 32) == last[:2]:
+                    least[0] = last[2]
+                gone = d >> shift > np.repeat(least >> shift, np.diff(np.append(start, len(d))))
+                last = (int(h[-1]), int(at[-1] >> 32), int(least[-1]))
+                yield from _cut(["doc", "run"], [d[gone], 1 << 32 | at[gone] & LOW])
+                also = more.filter(pa.array(gone))
+                places = also.flatten().to_numpy(zero_copy_only=False)
+                if len(places):
+                    times = np.diff(also.offsets.to_numpy())
+                    yield from _cut(["doc", "run"], [np.repeat(d[gone], times), 1 << 32 | places])
+
+    return run
 
 
 def _staying(runs: np.ndarray, window: int, n: int) -> np.ndarray:
@@ -216,16 +222,17 @@ def _keep(rule: Rule, window: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = K, rule: Rule = PLAIN) -> DataFrame:
-    """doc, runs: windows that a document with a smaller id has too, as length << 32 | first word; docs: doc_id, text.
+def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = K, rule: Rule = PLAIN, shift: int = 0) -> DataFrame:
+    """doc, runs: windows that a document with a smaller id has too, as length << 32 | first word; docs: key, text.
 
-    Texts are dealt out by id once: this join and the one of ``dedup_substrings`` have the same left side, which is
-    why it keeps all rows here and rows without seeds are left out by the worker.
+    The id is what stands above the last ``shift`` bits of the key.  Texts are dealt out by key once: this join and the one
+    of ``dedup_substrings`` have the same left side, which is why it keeps all rows here and rows without seeds are left
+    out by the worker.
     """
     prepared(docs.sparkSession)
     spread = F.when(F.col("known"), F.xxhash64("doc", "hash")).otherwise(F.col("hash"))
     seeds = (
-        docs.where("doc_id is not null")
+        docs.where("key is not null")
         .mapInArrow(tidied(_anchors(rule, window, k)), "hash long, doc long, known boolean")
         .repartition(spread)
         .sortWithinPartitions("hash")
@@ -235,38 +242,57 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = K, rule: Ru
     )
     spread = F.when(F.col("known"), F.xxhash64("doc", "at")).otherwise(F.col("hash"))
     return (
-        docs.join(seeds, docs["doc_id"] == seeds["doc"], "left")
-        .select("doc_id", "text", "seeds")
-        .mapInArrow(tidied(_windows(rule, window, k)), "hash long, at long, doc long, known boolean, more array<long>")
+        docs.join(seeds, docs["key"] == seeds["doc"], "left")
+        .select("key", "text", "seeds")
+        .mapInArrow(tidied(_windows(rule, window, k, shift)), "hash long, at long, doc long, known boolean, more array<long>")
         .repartition(spread)
         .sortWithinPartitions("hash", F.shiftright("at", 32), "doc")
-        .mapInArrow(tidied(_repeated), "doc long, run long")
+        .mapInArrow(tidied(_repeated(shift)), "doc long, run long")
         .groupBy("doc")
         .agg(F.collect_list("run").alias("runs"))
     )
 
 
+def keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """doc_id, text and key of every row, and the bits by which a key is longer than an id.
+
+    Without an id of several texts the key is the id.  Else each text of such an id has a number, given by ranges of hashes
+    so that an id of very many texts does not meet in one task; ids that leave too few bits go by their place among all.
+    """
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(h).alias("least"), F.max(h).alias("most")).where("least < most")
+    several = scratch.save(several.select(F.col("doc_id").alias("of")))
+    if several.isEmpty():
+        return docs.withColumn("key", F.col("doc_id")), 0
+    some, rest = sieved(docs, "doc_id", several)
+    lines = some.select(F.col("doc_id").alias("of"), h.alias("h")).join(several, "of", "left_semi").distinct()
+    numbers = running(lines, "of", ["h"], scratch)
+    shift = (numbers.agg(F.max("place")).first()[0] - 1).bit_length()
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    numbers = numbers.withColumnRenamed("h", "h_of")
+    some = some.withColumn("h", h).join(numbers, F.expr("doc_id = of and h = h_of"), "left")
+    some = some.select("doc_id", "text", F.coalesce(F.col("place") - 1, F.lit(0)).alias("number"))
+    every = rest.withColumn("number", F.lit(0).cast("long")).unionByName(some)
+    at = F.col("doc_id")
+    if max(high, -low - 1) >> (63 - shift):
+        ids = docs.where("doc_id is not null").select("doc_id", F.lit(0).cast("long").alias("all")).distinct()
+        places = running(ids, "all", ["doc_id"], scratch).select(F.col("doc_id").alias("of"), F.col("place").alias("at"))
+        every, at = every.join(places, F.col("doc_id") == F.col("of"), "left"), F.col("at")
+    return every.select("doc_id", "text", F.shiftleft(at, shift).bitwiseOR(F.col("number")).alias("key")), shift
+
+
 def dedup_substrings(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K, rule: Rule = PLAIN
 ) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text (kept words joined by one space) of every row."""
     if not 0 < k <= window:
         raise ValueError("k must be between 1 and window")
-    docs = texts(docs, id_col, text_col)
-    h = F.xxhash64(F.coalesce("text", F.lit("")))
-    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(h).alias("least"), F.max(h).alias("most")).where("least < most")
-    several = saved(several.select(F.col("doc_id").alias("of"), "least"))
-    others = None
-    if not several.isEmpty():
-        some, rest = sieved(docs, "doc_id", several.select("of"))
-        some = some.join(several, F.col("doc_id") == F.col("of"), "left").withColumn("first", F.coalesce(h == F.col("least"), F.lit(True)))
-        others = some.where("not first").select(*docs.columns)
-        docs = rest.unionByName(some.where("first").select(*docs.columns))
-    found = repeated_windows(docs, window, k, rule)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    rows = docs.join(found, docs["doc_id"] == found["doc"], "left").select("doc_id", "text", "runs")
-    out = rows.mapInArrow(tidied(_keep(rule, window)), schema)
-    if others is None:
-        return out
-    alone = others.withColumn("runs", F.lit(None).cast("array<bigint>"))
-    return out.unionByName(alone.mapInArrow(tidied(_keep(rule, window)), schema))
+    prepared(docs.sparkSession)
+    with Scratch(docs.sparkSession, "repeats") as scratch:
+        docs, shift = keyed(texts(docs, id_col, text_col), scratch)
+        if shift:
+            docs = saved(docs)  # the numbers go with the scratch tables
+    found = repeated_windows(docs.select("key", "text"), window, k, rule, shift)
+    rows = docs.join(found, docs["key"] == found["doc"], "left").select("doc_id", "text", "runs")
+    return rows.mapInArrow(tidied(_keep(rule, window)), schema)

@@ -532,32 +532,58 @@ def test_encoder_is_the_tokenizer():
 # ---------------------------------------------------------------- 7
 
 
-@pytest.mark.parametrize("rows_at_once", [1_000_000, 50])
-def test_substring_dedup(docs, none, rows_at_once, monkeypatch):
-    monkeypatch.setattr(sd, "ROWS", rows_at_once)
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    signed = lambda t: xxhash.xxh64_intdigest((t or "").encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest((t or "").encode(), 42) >> 63)
-    least: dict[int, int] = {}
-    for i, t in rows:
-        if i is not None:
-            least[i] = min(signed(t), least.get(i, 1 << 63))
-    known = [i if i is not None and signed(t) == least[i] else None for i, t in rows]  # of an id with several texts, one counts
+def without_repeats(rows: list[tuple[int | None, str | None]]) -> Counter:
     first: dict[tuple, int] = {}
-    for i, (_, t) in zip(known, rows, strict=True):
+    for i, t in rows:
         w = plain_words(t)
         for j in range(len(w) - 12):
             if i is not None:
                 first[tuple(w[j : j + 13])] = min(i, first.get(tuple(w[j : j + 13]), i))
     want = Counter()
-    for i, (own, t) in zip(known, rows, strict=True):
+    for i, t in rows:
         w = plain_words(t)
         gone = {x for j in range(len(w) - 12) if i is not None and first[tuple(w[j : j + 13])] < i for x in range(j, j + 13)}
-        want[own, len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))] += 1
-    got = sd.dedup_substrings(docs).collect()
-    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
+        want[i, len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))] += 1
+    return want
+
+
+def judged(df) -> Counter:
+    return Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in sd.dedup_substrings(df).collect())
+
+
+@pytest.mark.parametrize("rows_at_once", [1_000_000, 50])
+def test_substring_dedup(docs, none, rows_at_once, monkeypatch):
+    monkeypatch.setattr(sd, "ROWS", rows_at_once)
+    assert judged(docs) == without_repeats([(r.doc_id, r.text) for r in docs.collect()])
     assert sd.dedup_substrings(none).count() == 0
 
 
+@pytest.mark.parametrize("far", [0, (1 << 63) - 20, -(1 << 63)], ids=["near 0", "largest", "smallest"])
+def test_repeats_among_the_texts_of_one_id(spark, far):
+    """All texts of an id count for larger ids, none for each other, and each row is judged by its own text."""
+    rng = random.Random(8)
+    a, b, c = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(20)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (3, c), (3, c), (3, a + " " + c), (4, "own " + c), (5, a), (5, None), (0, None), (0, "short"), (5, a)]
+    rows += [(6, f"only here {i} " + b) for i in range(7)]
+    rows = [(i + far, t) for i, t in rows] + [(None, a), (None, b)]
+    got = judged(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert got == without_repeats(rows)
+    assert got[2 + far, 21, 20, sha("x")] == got[3 + far, 21, 20, sha("y")] == 1
+
+
+def test_registered_sql_of_repeats(spark):
+    import duckdb
+
+    from evalmill.llm import oracles
+
+    rows = [(1, "a " * 20), (1, "b " * 20), (2, "a " * 20 + "x"), (3, "b " * 20 + "y"), (3, "a " * 5)]
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    got = con.execute(f"select doc_id, n_words, n_removed, kept_sha256 from ({oracles.OP7})").fetchall()
+    assert Counter(got) == without_repeats(rows) == judged(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
 # ---------------------------------------------------------------- 8
 
 
