@@ -178,10 +178,10 @@ def multi_store_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union_stores(stores | {"not there": None}).select("store", "id", "text")
 
 
-_NEW = """(SELECT doc_id, lang, n_chars, 1 AS v FROM documents UNION ALL SELECT doc_id, upper(lang), n_chars + 1, 2 FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))"""
+NEW_ROWS = """(SELECT doc_id, lang, n_chars, 1 AS v FROM documents UNION ALL SELECT doc_id, upper(lang), n_chars + 1, 2 FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))"""
 
 
-@query(f"SELECT doc_id, lang, n_chars, v FROM {_NEW} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY v DESC) = 1")
+@query(f"SELECT doc_id, lang, n_chars, v FROM {NEW_ROWS} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY v DESC) = 1")
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", F.lit(1).alias("v"))
     labelled = table(spark, sf_dir, "labels").select("doc_id")

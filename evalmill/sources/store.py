@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 PROMPT_VERSION = "v1"
 
@@ -26,11 +25,16 @@ def stack_id(description: Column) -> Column:
     return F.substring(F.sha2(canonical_json(description), 256), 1, 12)
 
 
+def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """The newest row of each key (null is oldest); each worker goes down to a row a key before rows are dealt out."""
+    every = F.struct(*rows.columns)
+    return rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(every, F.struct(*order)).alias("_row")).select("_row.*")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "run_key", order: str = "created_at") -> DataFrame:
     """Old and new rows, the newest of each key; of rows with one key and time, a new one."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    line = W.Window.partitionBy(key).orderBy(F.desc(order), F.desc("_new"))
-    return both.withColumn("_n", F.row_number().over(line)).where("_n = 1").drop("_n", "_new")
+    return latest(both, key, order, "_new").drop("_new")
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -38,6 +42,12 @@ def insert_ignore(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.unionByName(new.dropDuplicates([key]).join(old.select(key), key, "left_anti").select(*old.columns))
 
 
+def matrix_plan(questions: DataFrame, model: str, task: str, configs: list[str]) -> DataFrame:
+    """Every configuration on every item (item_id and lang among its columns), with model, task and the key of the row."""
+    every = questions.withColumns({"model": F.lit(model), "task": F.lit(task), "config": F.explode(F.array(*map(F.lit, configs)))})
+    return every.withColumn("run_key", run_key(*map(F.col, ("model", "task", "lang", "config", "item_id"))))
+
+
 def pending(plan: DataFrame, done: DataFrame, key: str = "run_key") -> DataFrame:
     """Planned work that has no row yet."""
     return plan.join(done.select(key), key, "left_anti")

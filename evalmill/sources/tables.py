@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,10 +58,28 @@ def union_stores(stores: dict[str, DataFrame | None], notice: Callable[[str], No
     return out
 
 
+def checksum(columns: dict[str, T.DataType]) -> list[Column]:
+    """Aggregates that tell whether two tables hold the same rows, in whatever order: their number, and the sum and the
+    exclusive or of two hashes of each row.  Maps count by their sorted entries, and a null is unlike an absent value."""
+
+    def values(name: str, kind: T.DataType) -> list[Column]:
+        c = F.col(f"`{name}`")
+        if isinstance(kind, T.MapType):
+            c = F.array_sort(F.map_entries(c))
+        elif "map<" in kind.simpleString():
+            c = F.to_json(c) if isinstance(kind, (T.StructType, T.ArrayType)) else c
+        return [c.isNull(), c]
+
+    row = [x for name in sorted(columns) for x in values(name, columns[name])]
+    one, two = F.xxhash64(*row), F.xxhash64(F.lit(1), *row)
+    return [F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(one), F.lit(0)).alias("x"), F.coalesce(F.sum(two.cast("decimal(20,0)")), F.lit(0)).alias("s")]
+
+
 def snapshot(df: DataFrame, path: str, least: int) -> int:
-    """Writes the rows, reads them again and counts them; fewer than ``least`` is an error and leaves nothing behind.
+    """Writes the rows, reads them again and compares rows and content; the number of rows.
 
-    The snapshot that is there stands aside until the new one is in its place.
+    Fewer than ``least`` rows, or others than were written, are an error and leave nothing behind.  The checksum of what is
+    written is taken while it is written.  The snapshot that is there stands aside until the new one is in its place.
     """
     spark = df.sparkSession
     fs = spark._jvm.org.apache.hadoop.fs
@@ -69,17 +87,20 @@ def snapshot(df: DataFrame, path: str, least: int) -> int:
     system = target.getFileSystem(spark._jsc.hadoopConfiguration())
     if system.exists(aside) and not system.exists(target):  # an earlier call broke off between its two renames
         system.rename(aside, target)
-    df.write.mode("overwrite").parquet(draft.toString())
-    n = spark.read.parquet(draft.toString()).count()
-    if n < least:
+    sums = checksum({f.name: f.dataType for f in df.schema})
+    written = Observation()
+    df.observe(written, *sums).write.mode("overwrite").parquet(draft.toString())
+    found = spark.read.schema(df.schema).parquet(draft.toString()).agg(*sums).first().asDict()
+    wrong = f"{found['n']} rows, {least} expected" if found["n"] < least else "" if found == written.get else "the copy differs from what was written"
+    if wrong:
         system.delete(draft, True)
-        raise ValueError(f"{n} rows, {least} expected")
+        raise ValueError(wrong)
     system.delete(aside, True)
     if system.exists(target):
         system.rename(target, aside)
     system.rename(draft, target)
     system.delete(aside, True)
-    return n
+    return found["n"]
 
 
 def show_table(df: DataFrame, limit: int = 200) -> str:
