@@ -6,12 +6,10 @@ general categories L and N.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .unicode import ascii_digits, nfkc
 
 MARKER = "####"
 TOLERANCE = 1e-6
@@ -55,12 +53,6 @@ def words(text: Column) -> Column:
 # ---------------------------------------------------------------- numbers
 
 
-def ascii_digits(text: Column) -> Column:
-    """Decimal digits of other scripts as 0-9: Bengali, Devanagari, Thai, Arabic, Telugu and full-width ones."""
-    zeros = (0x0660, 0x06F0, 0x0966, 0x09E6, 0x0C66, 0x0E50, 0xFF10)
-    return F.translate(text, "".join(chr(z + d) for z in zeros for d in range(10)), "0123456789" * len(zeros))
-
-
 def number_interpretations(token: Column) -> Column:
     """All readings of a number: with both separators the right one is decimal; a single kind may group, or divide."""
     t = F.regexp_replace(strip(ascii_digits(token)), "[.,]+$", "")
@@ -163,25 +155,9 @@ def first_sentence(text: Column) -> Column:
 # ---------------------------------------------------------------- normal forms and matches
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    import unicodedata
-
-    for s in batches:
-        yield s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
-
-
-@F.pandas_udf(T.StringType())
-def nfd(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    import unicodedata
-
-    for s in batches:
-        yield s.map(lambda x: None if x is None else unicodedata.normalize("NFD", x))
-
-
 def normalize(text: Column, lang: Column) -> Column:
-    """Small letters, punctuation and symbols as spaces, no articles, single spaces.  Expects text in NFKC."""
-    got = words(F.regexp_replace(F.lower(text), r"[\p{P}\p{S}]", " "))
+    """NFKC, small letters, punctuation and symbols as spaces, no articles, single spaces."""
+    got = words(F.regexp_replace(F.lower(nfkc(text)), r"[\p{P}\p{S}]", " "))
     drop = F.array().cast("array<string>")
     for code, articles in ARTICLES.items():
         drop = F.when(lang == code, F.array(*map(F.lit, articles))).otherwise(drop)
@@ -199,9 +175,27 @@ def tokenize(text: Column, lang: Column) -> Column:
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
+    """Size of the multiset intersection of two arrays: both are sorted together, and runs of one token are counted."""
+    tagged = lambda arr, side: F.transform(arr, lambda x: F.struct(x.alias("t"), F.lit(side).alias("s")))
+
+    def runs(x: Column) -> Column:
+        line = x["line"]
+        begins = F.transform(line, lambda e, i: F.when((i == 0) | (F.get(line, i - 1) != e), i))
+
+        def common(y: Column) -> Column:
+            starts, n = y["starts"], F.size(line)
+
+            def least(start: Column, j: Column) -> Column:
+                """Of a run of the first array and the run behind it, if that is of the same token in the second one."""
+                following, end = F.get(starts, j + 1), F.coalesce(F.get(starts, j + 2), n)
+                both = (F.get(line, start)["s"] == 0) & (F.get(line, following)["t"] == F.get(line, start)["t"])
+                return F.when(both, F.least(following - start, end - following)).otherwise(0)
+
+            return F.aggregate(F.transform(starts, least), F.lit(0), lambda s, k: s + k)
+
+        return bound(common, starts=F.filter(begins, lambda i: i.isNotNull()))
+
+    return bound(runs, line=F.sort_array(F.concat(tagged(a, 0), tagged(b, 1))))
 
 
 def bound(make, **columns: Column) -> Column:
@@ -257,7 +251,13 @@ def containment(pred: Column, golds: Column, lang: Column) -> Column:
 
 
 def containment_lenient(output: Column, golds: Column, lang: Column) -> Column:
-    return containment(extract_span(output), golds, lang) | containment(first_sentence(output), golds, lang)
+    """Is a gold inside the span, or inside the first sentence?  Normal forms of the golds are made once."""
+
+    def of(x: Column) -> Column:
+        inside = lambda text: bound(lambda y: _contains(y["normal"], x["golds"], lang), normal=normalize(text, lang))
+        return inside(extract_span(output)) | inside(first_sentence(output))
+
+    return bound(of, golds=_normals(golds, lang))
 
 
 def containment_marker_only(output: Column, golds: Column, lang: Column) -> Column:

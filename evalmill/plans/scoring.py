@@ -10,7 +10,8 @@ from pyspark.sql import window as W
 
 from evalmill.functions import profiles as pf
 from evalmill.functions import scoring as sc
-from evalmill.operators import ranks
+from evalmill.functions import unicode
+from evalmill.operators import langmodel, ranks
 from evalmill.sources.tables import table
 
 from .registry import query
@@ -81,8 +82,7 @@ _NORMAL = r"array_to_string(list_filter(regexp_split_to_array(regexp_replace(low
 @query(f"SELECT doc_id, md5({_NORMAL.replace('{0}', 'text')}) AS normal_md5 FROM documents")
 def normalize_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normal form of every text; texts beyond ASCII go through NFKC first."""
-    docs = table(spark, sf_dir, "documents").withColumn("body", sc.nfkc("text"))
-    return docs.select("doc_id", F.md5(sc.normalize(F.col("body"), F.col("lang"))).alias("normal_md5"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(sc.normalize(F.col("text"), F.col("lang"))).alias("normal_md5"))
 
 
 @query(
@@ -171,18 +171,60 @@ def gold_token_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, "recall", recall)
 
 
-_SCRIPTS = {"Latin": r"\p{Latin}", "Cyrillic": r"\p{Cyrillic}", "Greek": r"\p{Greek}", "Han": r"[\p{Han}\p{Hiragana}\p{Katakana}]"}
+# full-width letters and digits, accents as characters of their own, ligatures: forms that NFKC makes one
+_PLAIN_FORM = "".join(chr(c) for c in range(0x30, 0x7B) if chr(c).isalnum())
+_WIDE_FORM = "".join(chr(ord(c) + 0xFEE0) for c in _PLAIN_FORM)
+_CASES = (("#### ２４ apples", "24 apples", True), ("#### ﬁnal", "final", True), ("#### café", "café", True), ("#### ½ of it", "1⁄2", True), ("#### ①", "1", True), ("#### ２４５", "24", False), ("#### ｶﾞ", "ガ", True))
+_CASE_ROWS = ", ".join(f"('{o}', '{g}', {ok})" for o, g, ok in _CASES)
+_MANY = rf"""WITH w AS (SELECT doc_id, lang, regexp_extract_all(text, '\S+') AS w FROM documents),
+n AS (SELECT doc_id, {_NORMAL.replace('{0}', "array_to_string(w[1:60], ' ')")} AS p, {_NORMAL.replace('{0}', "array_to_string(w[21:110], ' ')")} AS g FROM w),
+t AS (SELECT doc_id, p, g, CASE WHEN p = '' THEN [] ELSE string_split(p, ' ') END AS a, CASE WHEN g = '' THEN [] ELSE string_split(g, ' ') END AS b FROM n),
+c AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(b), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))), 0) AS k FROM t)
+"""
 
 
-@query(
-    "SELECT doc_id, "
-    + ", ".join(f"len(regexp_extract_all(text, '{p}'))::BIGINT AS \"{n}\"" for n, p in _SCRIPTS.items())
-    + r", len(regexp_extract_all(text, '\p{L}'))::BIGINT AS letters FROM documents"
-)
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, an output whose words are written full-width, and a gold of many words that overlaps it."""
+    words = F.regexp_extract_all("text", F.lit(r"(\S+)"), 1)
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", words.alias("w"))
+    output = F.translate(F.array_join(F.slice("w", 1, 60), " "), _PLAIN_FORM, _WIDE_FORM)
+    return rows.select("doc_id", "lang", output.alias("output"), F.array_join(F.slice("w", 21, 90), " ").alias("gold"))
+
+
+@query(_MANY + "SELECT doc_id, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN k = 0 THEN 0.0 ELSE 2.0 * k / (len(a) + len(b)) END::DOUBLE, 9) AS f1 FROM c")
+def token_f1_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 against golds of up to ninety words, repeats among them; outputs are full-width and go through NFKC."""
+    return _wide(spark, sf_dir).select("doc_id", F.round(sc.f1(F.col("output"), F.array("gold"), F.col("lang")), 9).alias("f1"))
+
+
+@query(_MANY + "SELECT doc_id, CASE WHEN len(b) > 0 THEN round(k::DOUBLE / len(b), 9) END AS recall FROM c")
+def gold_recall_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recall = sc.gold_recall(sc.tokenize(F.col("output"), F.col("lang")), sc.tokenize(F.col("gold"), F.col("lang")))
+    return _wide(spark, sf_dir).select("doc_id", F.round(recall, 9).alias("recall"))
+
+
+@query(f"SELECT doc_id, c.output, c.gold, ok AS em, ok AS lenient FROM documents, (VALUES {_CASE_ROWS}) c(output, gold, ok)")
+def unicode_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs that are a gold in another Unicode form, behind the text of every document."""
+    cases = F.explode(F.array(*(F.struct(F.lit(o).alias("output"), F.lit(g).alias("gold")) for o, g, _ in _CASES)))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", cases.alias("c")).select("doc_id", "text", "c.*")
+    args = F.concat(F.col("text"), F.lit("\n"), F.col("output")), F.array("gold"), F.lit("fr")
+    return rows.select("doc_id", "output", "gold", sc.span_scores(*args)["em"].alias("em"), sc.containment_lenient(*args).alias("lenient"))
+
+
+_SCRIPTS = {c: rf"\p{{{c}}}" for c in pf.CLASSES if c not in ("Han", "Other")} | {"Han": r"[\p{Han}\p{Hiragana}\p{Katakana}]"}
+# words that are added to texts, so that every class occurs
+_WORDS_OF = ("", "Привет мир", "สวัสดี", "নমস্কার ১২", "నమస్తే", "안녕", "مرحبا", "नमस्ते", "Καλημέρα", "漢字 ひらがな カタカナ", "Ա ա ა")
+_WRITTEN = "SELECT doc_id, regexp_replace(text || CASE doc_id % 11 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_WORDS_OF)) + r" END, '[^\p{L}]+', '', 'g') AS t FROM documents"
+_OF_SCRIPT = ", ".join(f"len(regexp_extract_all(t, '{p}'))::BIGINT AS \"{n}\"" for n, p in _SCRIPTS.items())
+
+
+@query(f"""SELECT *, letters - {' - '.join(f'"{n}"' for n in _SCRIPTS)} AS "Other" FROM (SELECT doc_id, {_OF_SCRIPT}, length(t)::BIGINT AS letters FROM ({_WRITTEN}))""")
 def script_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = pf.script_counts(F.col("text"))
-    letters = pf.count(F.col("text"), r"\p{L}").cast("long").alias("letters")
-    return table(spark, sf_dir, "documents").select("doc_id", *(counts[n].cast("long").alias(n) for n in _SCRIPTS), letters)
+    """Letters of every script, in texts to which words of all scripts are added."""
+    word = F.element_at(F.array(*map(F.lit, _WORDS_OF)), (F.pmod("doc_id", F.lit(len(_WORDS_OF))) + 1).cast("int"))
+    counts = table(spark, sf_dir, "documents").select("doc_id", pf.letters(F.concat("text", word)).alias("n"))
+    return counts.select("doc_id", *(F.col(f"n.{c}") for c in (*pf.CLASSES, "letters")))
 
 
 @query(
@@ -207,22 +249,20 @@ def drift_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.pmod("doc_id", F.lit(3))
     code = F.when(kind == 0, "vi").when(kind == 1, "el").otherwise(F.col("lang"))
     script = F.when(F.col("code") == "el", "Greek").otherwise(F.lit("Latin"))
-    rows = table(spark, sf_dir, "documents").withColumn("code", code)
-    return rows.select("doc_id", "code", F.round(pf.drift_by_script(F.col("text"), F.col("code"), script), 9).alias("drift"))
+    rows = table(spark, sf_dir, "documents").withColumn("code", code).withColumn("n", pf.canonical_letters("text"))
+    return rows.select("doc_id", "code", F.round(pf.drift_by_script(F.col("n"), F.col("code"), script), 9).alias("drift"))
 
 
 @query()
 def drift_lid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drift by a language guess of every line with 30 letters or more, weighted by letters; null without such a line."""
+    """Drift by a language model of every line with 30 letters or more, weighted by letters; null without such a line.
+
+    The model is counted from all documents by their declared language.
+    """
     labels = spark.createDataFrame([(c, label) for c, _, _, label in pf.LANGUAGES], "lang string, label string")
     docs = table(spark, sf_dir, "documents").join(F.broadcast(labels), "lang", "left")  # null for languages that are not on the list
-    lines = docs.select("doc_id", "label", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", pf.lid_text(F.col("line")))
-    lines = lines.withColumn("n", pf.count(F.col("line"), r"\p{L}")).where(f"n >= {pf.MIN_LETTERS}")
-    known = lines.withColumn("g", pf.guess_language("line")).where(f"g.confidence >= {pf.MIN_CONFIDENCE}")
-    known = known.where("label is not null")
-    wrong = F.sum(F.when(F.col("g.label") != F.col("label"), F.col("n")).otherwise(0))
-    scores = known.groupBy("doc_id").agg(F.round(wrong / F.sum("n"), 9).alias("drift"))
-    return docs.select("doc_id").join(scores, "doc_id", "left")
+    judge = langmodel.scorer(langmodel.train(docs.select("label", pf.lid_text(F.col("text")).alias("text"))))
+    return langmodel.drift(docs, "doc_id", "text", "label", judge).select("doc_id", F.round("drift", 9).alias("drift"))
 
 
 _FERT = r"""SELECT lang, sum(len(regexp_extract_all(text, '\S+'))) AS tokens, sum(octet_length(encode(text))) AS bytes, sum(length(text)) AS chars, count(*) AS n FROM documents GROUP BY lang"""
@@ -410,6 +450,6 @@ def template_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def nfd_inflation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much longer texts are with their accents as characters of their own."""
-    docs = table(spark, sf_dir, "documents").withColumn("apart", sc.nfd("text"))
+    docs = table(spark, sf_dir, "documents").withColumn("apart", unicode.nfd(F.col("text")))
     grown = F.sum(F.length("apart")) / F.sum(F.length("text"))
     return docs.groupBy("lang").agg(F.round(grown, 9).alias("chars"), F.round(F.sum(F.octet_length("apart")) / F.sum(F.octet_length("text")), 9).alias("bytes"))
