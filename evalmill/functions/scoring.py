@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .unicode import ascii_digits, nfkc
+from .unicode import ascii_digits, bound, nfkc
 
 MARKER = "####"
 TOLERANCE = 1e-6
@@ -42,8 +42,12 @@ SPACE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202
 _BREAK = r"(?:\r\n|[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}])"
 
 
+#: The characters of SPACE, for functions that look at the ends of a text only.
+SPACES = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def words(text: Column) -> Column:
@@ -106,10 +110,14 @@ def numeric_match(text: Column, gold: Column) -> Column:
 
 
 def _clean(region: Column) -> Column:
+    # a fixed pattern: a placeholder in angle brackets, with blanks and a slash at most beside it
     quoted = "|".join(PLACEHOLDERS)
-    region = F.regexp_replace(region, rf"<{SPACE}*/?{SPACE}*(?:{quoted}){SPACE}*>", " ")
-    region = F.regexp_replace(region, "[<>]", " ")
-    return strip(F.regexp_replace(region, f"(?:#|{SPACE})+$", ""))
+
+    def unbracketed(x: Column) -> Column:
+        bare = F.translate(F.regexp_replace(x["t"], rf"<{SPACE}*/?{SPACE}*(?:{quoted}){SPACE}*>", " "), "<>", "  ")
+        return F.when(x["t"].rlike("[<>]"), bare).otherwise(x["t"])
+
+    return strip(F.rtrim(bound(unbracketed, t=region), F.lit("#" + SPACES)))
 
 
 _FULL = r"[\p{L}\p{N}_]"
@@ -143,13 +151,16 @@ def marked_span(text: Column) -> Column:
 
 def first_sentence(text: Column) -> Column:
     """The first sentence before the first marker, or else the first line's first 160 characters."""
-    pattern = rf"(?s)^(.*?[.!?。！？؟।॥])(?:{SPACE}|\x{{200B}})"
+    # white space around the prose does not count: neither what stands before it, nor as what ends its last sentence
+    blank = SPACE[1:-1]
+    sentence = rf"(?s)^{SPACE}*(.*?[.!?。！？؟।॥])(?:\x{{200B}}|{SPACE}(?={SPACE}*[^{blank}]))"
+    first_line = rf"(?s)^{SPACE}*(.*?)(?:{SPACE}*\z|{_BREAK})"
 
     def of(x: Column) -> Column:
-        line = F.substring(F.element_at(F.split(x["prose"], _BREAK, 2), 1), 1, 160)
-        return bound(lambda y: F.when(y["sentence"] != "", y["sentence"]).otherwise(line), sentence=F.regexp_extract(x["prose"], pattern, 1))
+        line = F.substring(F.regexp_extract(x["prose"], first_line, 1), 1, 160)
+        return bound(lambda y: F.when(y["sentence"] != "", y["sentence"]).otherwise(line), sentence=F.regexp_extract(x["prose"], sentence, 1))
 
-    return bound(of, prose=strip(F.substring_index(text, MARKER, 1)))
+    return bound(of, prose=F.substring_index(text, MARKER, 1))
 
 
 # ---------------------------------------------------------------- normal forms and matches
@@ -157,11 +168,15 @@ def first_sentence(text: Column) -> Column:
 
 def normalize(text: Column, lang: Column) -> Column:
     """NFKC, small letters, punctuation and symbols as spaces, no articles, single spaces."""
-    got = words(F.regexp_replace(F.lower(nfkc(text)), r"[\p{P}\p{S}]", " "))
-    drop = F.array().cast("array<string>")
-    for code, articles in ARTICLES.items():
-        drop = F.when(lang == code, F.array(*map(F.lit, articles))).otherwise(drop)
-    return F.array_join(F.filter(got, lambda w: ~F.array_contains(drop, w)), " ")
+    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(nfkc(text)), rf"[\p{{P}}\p{{S}}{SPACE[1:-1]}]+", " "), F.lit(" "))
+
+    def bare(x: Column) -> Column:
+        out = x["t"]
+        for code, articles in ARTICLES.items():
+            out = F.when(lang == code, F.regexp_replace(x["t"], f"(?<= )(?:{'|'.join(articles)}) ", "")).otherwise(out)
+        return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
+
+    return bound(bare, t=spaced)
 
 
 def tokens_of(normal: Column, lang: Column) -> Column:
@@ -177,6 +192,7 @@ def tokenize(text: Column, lang: Column) -> Column:
 def overlap(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two arrays: both are sorted together, and runs of one token are counted."""
     tagged = lambda arr, side: F.transform(arr, lambda x: F.struct(x.alias("t"), F.lit(side).alias("s")))
+    b = F.when(F.size(a) <= 8, F.filter(b, lambda x: F.array_contains(a, x))).otherwise(b)  # few tokens are looked for one by one
 
     def runs(x: Column) -> Column:
         line = x["line"]
@@ -198,12 +214,6 @@ def overlap(a: Column, b: Column) -> Column:
     return bound(runs, line=F.sort_array(F.concat(tagged(a, 0), tagged(b, 1))))
 
 
-def bound(make, **columns: Column) -> Column:
-    """``make`` of a struct of the columns: each is computed once, however often the result names it."""
-    one = F.array(F.struct(*(c.alias(n) for n, c in columns.items())))
-    return F.element_at(F.transform(one, make), 1)
-
-
 def token_f1(pred: Column, gold: Column) -> Column:
     """F1 of two token arrays; both empty is 1, one empty is 0."""
     common = overlap(gold, pred)

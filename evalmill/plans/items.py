@@ -75,11 +75,14 @@ _WORDS = r"len(regexp_extract_all({0}, '\S+'))"
 _INSTRUCTED = "CASE {0} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in INSTRUCTIONS.items()) + " END"
 
 
+_HASHED = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
+
+
 def _built(instruction: str) -> str:
     return rf"""WITH q AS (SELECT item_id AS item, d.lang, b.text AS question, d.text AS gold, {_INSTRUCTED.format(instruction)} AS instruction FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
 pool AS (SELECT lang, text, min(doc_id) AS slot FROM documents GROUP BY lang, text),
 j AS (SELECT q.*, budget, {_WORDS.format("gold")} + {_WORDS.format("question")} + {_WORDS.format("instruction")} + 6 AS used0 FROM q, (VALUES (1024), (4096)) v(budget)),
-l AS (SELECT item, j.lang, budget, used0, list(struct_pack(slot := slot, cost := {_WORDS.format("pool.text")} + 2) ORDER BY md5('{SEED}:' || j.lang || ':' || budget || ':' || item || ':' || slot), slot) AS pool
+l AS (SELECT item, j.lang, budget, used0, list(struct_pack(slot := slot, cost := {_WORDS.format("pool.text")} + 2) ORDER BY xor({_HASHED.format(f"'{SEED}:' || slot")}, {_HASHED.format(f"'{SEED}:' || j.lang || ':' || budget || ':' || item")}), slot) AS pool
 FROM j JOIN pool ON pool.lang = j.lang AND pool.text <> j.gold GROUP BY ALL),
 f AS (SELECT item, lang, budget, used0, {_FILL.format("(budget - used0)")} AS f FROM l)
 """

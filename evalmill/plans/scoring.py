@@ -261,7 +261,7 @@ def drift_lid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     labels = spark.createDataFrame([(c, label) for c, _, _, label in pf.LANGUAGES], "lang string, label string")
     docs = table(spark, sf_dir, "documents").join(F.broadcast(labels), "lang", "left")  # null for languages that are not on the list
-    judge = langmodel.scorer(langmodel.train(docs.select("label", pf.lid_text(F.col("text")).alias("text"))))
+    judge = langmodel.judge_of(langmodel.train(docs.select("label", "text")))
     return langmodel.drift(docs, "doc_id", "text", "label", judge).select("doc_id", F.round("drift", 9).alias("drift"))
 
 

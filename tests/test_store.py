@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.errors import PySparkException
@@ -86,13 +87,37 @@ def test_budget_counts_all_parts_and_leaves_the_gold_out(spark):
     assert rows[2] == rows[64]
     r = rows[64][0]
     left, want = 60 - (3 + 2 + 2 + 6), []
-    for _, slot in sorted((hashlib.md5(f"evalmill:en:60:0:{i}".encode()).hexdigest(), i) for i in range(1, 40)):
+    hashed = lambda text: int(hashlib.md5(f"evalmill:{text}".encode()).hexdigest()[:8], 16)
+    for _, slot in sorted((hashed(i) ^ hashed("en:60:0"), i) for i in range(1, 40)):
         if slot + 2 <= left:
             left -= slot + 2
             want.append(slot)
     assert r.slots == want and r.used == 60 - left and rows[64][1].underfull and rows[64][1].slots == []
     doubled = building.choose(questions, pool, [60], told, tokens=lambda c: 2 * building.word_count(c)).where("item = 0").first()
     assert doubled.used > 2 * (3 + 2 + 2) and 99 not in doubled.slots
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def test_a_round_meets_a_bucket_a_question(spark, monkeypatch):
+    """Greedy filling over a pool of many buckets, by brute force, and with a join in place of a broadcast."""
+    rng = random.Random(4)
+    questions = spark.createDataFrame([(i, "en", "q", "g") for i in range(12)], "item long, lang string, question string, gold string")
+    costs = {i: rng.choice([1, 2, 3, 7, 30, 31, 60, 200]) for i in range(900)}
+    pool = spark.createDataFrame([("en", i, " ".join([f"w{i}"] * n)) for i, n in costs.items()], "lang string, slot long, text string")
+    hashed = lambda text: int(hashlib.md5(f"evalmill:{text}".encode()).hexdigest()[:8], 16)
+    want = {}
+    for item in range(12):
+        for budget in (20, 700):
+            left, slots = budget - (1 + 1 + 1 + 6), []
+            for _, slot in sorted((hashed(i) ^ hashed(f"en:{budget}:{item}"), i) for i in costs):
+                if costs[slot] + 2 <= left:
+                    left -= costs[slot] + 2
+                    slots.append(slot)
+            want[item, budget] = (budget - left, slots)
+    for few in (building.FEW_STEPS, 0):
+        monkeypatch.setattr(building, "FEW_STEPS", few)
+        got = building.choose(questions, pool, [20, 700], {"en": "x"}, at_once=8).collect()
+        assert {(r.item, r.budget): (r.used, r.slots) for r in got} == want
 
 
 def test_truncation_wants_one_marker(spark):
