@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from evalmill.operators import building, canary, items
+from evalmill.sources import aligned
 from evalmill.sources.tables import table
 
 from .registry import query
@@ -314,6 +315,28 @@ def align_drop_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _aligned(spark, sf_dir).groupBy("what").agg(F.count("*").alias("n"))
 
 
+_PLACED = """FROM (SELECT *, row_number() OVER () - 1 AS position FROM documents) d LEFT JOIN (SELECT *, row_number() OVER () - 1 AS position FROM pages) p USING (position)"""
+_PLACED_WHAT = """CASE WHEN p.page_id IS NULL THEN 'unmatched' WHEN length(p.url) % 5 = 0 THEN 'no gold' WHEN length(p.url) % 2 = d.n_chars % 2 THEN 'kept' ELSE 'mismatched' END"""
+
+
+def _by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the page at the same place of its file: neither table brings an index that the other knows."""
+    docs = aligned.numbered(spark, f"{sf_dir}/documents.parquet").select("position", "doc_id", "n_chars")
+    pages = aligned.numbered(spark, f"{sf_dir}/pages.parquet").select("position", "page_id", F.length("url").alias("size"))
+    gold = F.when(F.pmod("size", F.lit(5)) != 0, F.pmod("size", F.lit(2)))
+    return aligned.align(docs, pages, F.pmod("n_chars", F.lit(2)), gold)
+
+
+@query(f"SELECT position, doc_id, page_id {_PLACED} WHERE {_PLACED_WHAT} = 'kept'")
+def align_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_place(spark, sf_dir).where("what = 'kept'").select("position", "doc_id", "page_id")
+
+
+@query(f"SELECT {_PLACED_WHAT} AS what, count(*) AS n {_PLACED} GROUP BY 1")
+def align_position_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_place(spark, sf_dir).groupBy("what").agg(F.count("*").alias("n"))
+
+
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     want = F.when(F.col("n_chars") > 300, 1).otherwise(0)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from evalmill.functions import config
 from evalmill.sources.tables import table
 
 from .paired import P_SQL
@@ -40,6 +41,50 @@ def determinism_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# half of the rows name the default window, half leave it out: folded, they are one treatment
+_SPELLED = REPEATS.replace("source FROM documents", "source, CASE doc_id % 4 // 2 WHEN 0 THEN 'snapkv@r0.75' ELSE 'snapkv@r0.75:w64' END AS cfg FROM documents").replace(
+    "first(source) OVER w AS source0", "first(source) OVER w AS source0, first(cfg) OVER w AS cfg0"
+)
+
+
+@query(
+    _SPELLED
+    + """, r2 AS (SELECT store0, store, stack0 <> stack AS cross_stack, cfg0 <> cfg AS renamed, source = source0 AS same FROM f WHERE n > 1)
+SELECT CASE grouping_id(store0, store, cross_stack, renamed) WHEN 1 THEN 'pair' WHEN 13 THEN 'stack' WHEN 14 THEN 'spelling' ELSE 'all' END AS total, store0, store, cross_stack, renamed,
+count(*) AS shared, count(*) FILTER (same) AS identical FROM r2 GROUP BY GROUPING SETS ((store0, store, cross_stack), (cross_stack), (renamed), ())"""
+)
+def determinism_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats of a key by pair of stores, by same or other stack, by same or other spelling of the configuration, and all.
+
+    The key has the folded configuration, so that both spellings of the default window are one treatment.
+    """
+    spelling = F.when(F.pmod(F.floor(F.col("doc_id") / 2), F.lit(2)) == 0, "snapkv@r0.75").otherwise("snapkv@r0.75:w64")
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.sha2(F.concat(F.md5("text"), F.lit("|"), config.norm_config(spelling)), 256).alias("k"),
+        F.concat(F.lit("store"), F.pmod("doc_id", F.lit(3)).cast("string")).alias("store"),
+        F.pmod("doc_id", F.lit(2)).alias("stack"),
+        spelling.alias("cfg"),
+        "source",
+    )
+    return ledger_totals(rows, "k", "doc_id", "source")
+
+
+def ledger_totals(rows: DataFrame, key: str, order: str, output: str) -> DataFrame:
+    """rows: key, order, store, stack, cfg and output.  The earliest row of a key is the original, the others are repeats."""
+    first = rows.groupBy(key).agg(F.min(F.struct(order, "store", "stack", "cfg", output)).alias("o"))
+    later = rows.join(first, key).where(F.col(order) != F.col(f"o.{order}")).select(
+        F.col("o.store").alias("store0"), "store", (F.col("o.stack") != F.col("stack")).alias("cross_stack"),
+        (F.col("o.cfg") != F.col("cfg")).alias("renamed"), (F.col(f"o.{output}") == F.col(output)).alias("same"),
+    )
+    columns = ["store0", "store", "cross_stack", "renamed"]
+    sets = [[F.col(c) for c in columns[:3]], [F.col("cross_stack")], [F.col("renamed")], []]
+    level = F.grouping_id(*columns)
+    counted = later.groupingSets(sets, *columns).agg(level.alias("_level"), F.count("*").alias("shared"), F.count_if("same").alias("identical"))
+    total = F.when(F.col("_level") == 1, "pair").when(F.col("_level") == 13, "stack").when(F.col("_level") == 14, "spelling").otherwise("all")
+    return counted.select(total.alias("total"), *columns, "shared", "identical")
+
+
 @query(SQL + "SELECT a.lang, count(*) AS shared, count(*) FILTER (a.output = b.output) AS identical FROM gen a JOIN gen b ON a.item_id = b.item_id WHERE a.config = 'baseline' AND b.config = 'kv4' GROUP BY a.lang")
 def byte_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outputs of two stores for the same items; hashes of outputs meet, not the outputs."""

@@ -12,19 +12,28 @@ from evalmill.functions import profiles as pf
 from evalmill.functions import scoring as sc
 from evalmill.functions import unicode
 from evalmill.operators import langmodel, ranks
-from evalmill.sources.tables import table
+from evalmill.sources.shared import shared_folder
+from evalmill.sources.tables import table, write_lines
 
 from .registry import query
 from .surrogate import SQL, generations
 
-# numbers in several writings, with and without a marker
-TOKENS = ("1,234", "1.234", "1,234.5", "1.234,5", "12,5", "12.5", "-7", "18.", "1,234,567", "1.234.567", "0,123", "12,34,56", "1234", ",", "3.", "1.2.3", "-1,000")
-ANSWERS = (
-    ("so 12 apples\n#### 1,234", "1234"), ("#### 12\nno, #### 1.234", "1234"), ("the answer is 12,5.", "12.5"), ("no number", "3"),
-    ("#### none 7", "7"), ("24 and #### ", "24"), ("##### 42", "42"), ("-3 #### -3", "-3"), ("#### ২৪", "24"), ("1 2 3", "2"),
-)
-_TOKENS = ", ".join(f"('{t}')" for t in TOKENS)
-_ANSWERS = ", ".join(f"('{t}', '{g}')" for t, g in ANSWERS).replace("\n", "' || chr(10) || '")
+# a number of every document in several writings
+_THOUSANDS = "(n_chars // 1000) || '{0}' || lpad((n_chars % 1000)::VARCHAR, 3, '0')"
+_TOKEN = (
+    "CASE doc_id % 9 WHEN 0 THEN n_chars::VARCHAR WHEN 1 THEN " + _THOUSANDS.format(",") + " WHEN 2 THEN " + _THOUSANDS.format(".") + " WHEN 3 THEN " + _THOUSANDS.format(",") + " || '.5'"
+    " WHEN 4 THEN " + _THOUSANDS.format(".") + " || ',25' WHEN 5 THEN '-' || " + _THOUSANDS.format(",") + " || '.' WHEN 6 THEN n_chars || '.2,3,' WHEN 7 THEN n_chars || ',75' ELSE ',' END"
+)
+
+
+def _token() -> Column:
+    n, rest = F.col("n_chars").cast("string"), F.lpad(F.pmod("n_chars", F.lit(1000)).cast("string"), 3, "0")
+    head = F.floor(F.col("n_chars") / 1000).cast("string")
+    grouped = lambda mark, after="", before="": F.concat(F.lit(before), head, F.lit(mark), rest, F.lit(after))
+    writings = [n, grouped(","), grouped("."), grouped(",", ".5"), grouped(".", ",25"), grouped(",", ".", "-"), F.concat(n, F.lit(".2,3,")), F.concat(n, F.lit(",75")), F.lit(",")]
+    return F.element_at(F.array(*writings), (F.pmod("doc_id", F.lit(9)) + 1).cast("int"))
+
+
 # readings of a number token t, as a list of doubles, in order
 _READ = r"""CASE WHEN NOT regexp_matches(t, '[0-9]') THEN []::DOUBLE[] WHEN contains(t, '.') AND contains(t, ',') THEN
   CASE WHEN length(t) - instr(reverse(t), '.') > length(t) - instr(reverse(t), ',') THEN list_filter([try_cast(replace(t, ',', '') AS DOUBLE)], lambda x: x IS NOT NULL)
@@ -41,10 +50,10 @@ def _joined(numbers: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(numbers), lambda x: F.format_string("%.4f", x)), " ")
 
 
-@query(f"SELECT token, {_JOINED.replace('{0}', _READ)} AS readings FROM (SELECT token, rtrim(trim(token), '.,') AS t FROM (VALUES {_TOKENS}) v(token))")
+@query(f"SELECT doc_id, token, {_JOINED.replace('{0}', _READ)} AS readings FROM (SELECT doc_id, token, rtrim(trim(token), '.,') AS t FROM (SELECT doc_id, {_TOKEN} AS token FROM documents))")
 def number_interpretations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = spark.createDataFrame([(t,) for t in TOKENS], "token string")
-    return tokens.select("token", _joined(sc.number_interpretations(F.col("token"))).alias("readings"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", _token().alias("token"))
+    return rows.select("doc_id", "token", _joined(sc.number_interpretations(F.col("token"))).alias("readings"))
 
 
 _CANDIDATES = f"SELECT *, coalesce({_READ}, []::DOUBLE[]) AS cand FROM (SELECT *, rtrim({_LAST.replace('{0}', 'body')}, '.,') AS t FROM {{0}})"
@@ -55,14 +64,20 @@ def extract_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", _joined(sc.extract_candidates(F.col("text"))).alias("candidates"))
 
 
+_SAID = f"text || chr(10) || CASE doc_id % 4 WHEN 0 THEN '#### ' || {_TOKEN} WHEN 1 THEN 'in all ' || {_TOKEN} WHEN 2 THEN {_TOKEN} || ' #### none' ELSE '#### ' || doc_id END"
+
+
 @query(
-    "SELECT text, gold, len(list_filter(cand, lambda x: abs(x - gold::DOUBLE) <= 1e-6)) > 0 AS ok FROM ("
-    + _CANDIDATES.replace("{0}", f"(SELECT *, translate(text, '২৪', '24') AS body FROM (VALUES {_ANSWERS}) v(text, gold))")
+    "SELECT doc_id, len(list_filter(cand, lambda x: abs(x - gold::DOUBLE) <= 1e-6)) > 0 AS ok FROM ("
+    + _CANDIDATES.replace("{0}", f"(SELECT doc_id, n_chars AS gold, {_SAID} AS body FROM documents)")
     + ")"
 )
 def numeric_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(ANSWERS), "text string, gold string")
-    return rows.select("text", "gold", sc.numeric_match(F.col("text"), sc.parse_gold(F.col("gold"))).alias("ok"))
+    """Is the last number behind the marker, or else of all, the number of characters?  Digits are those of Bengali."""
+    behind = [F.concat(F.lit("#### "), _token()), F.concat(F.lit("in all "), _token()), F.concat(_token(), F.lit(" #### none")), F.concat(F.lit("#### "), F.col("doc_id").cast("string"))]
+    last = F.translate(F.element_at(F.array(*behind), (F.pmod("doc_id", F.lit(4)) + 1).cast("int")), "0123456789", "০১২৩৪৫৬৭৮৯")
+    gold = sc.parse_gold(F.format_number("n_chars", 0))
+    return table(spark, sf_dir, "documents").select("doc_id", sc.numeric_match(F.concat("text", F.lit("\n"), last), gold).alias("ok"))
 
 
 @query(
@@ -369,75 +384,84 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("lang", "k", line.alias("line"))
 
 
-@query("SELECT doc_id FROM documents ORDER BY doc_id")
+@query("SELECT doc_id FROM documents")
 def report_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids read back from rendered headings."""
-    line = F.format_string("## F%d. doc-%s-%d  (x)", F.lit(1), "lang", "doc_id")
-    return table(spark, sf_dir, "documents").select(F.regexp_extract(line, r"^## F[0-9]+\. doc-[a-z]+-([0-9]+)", 1).cast("long").alias("doc_id"))
+    """Ids read back from the headings of a report that was written as text."""
+    folder = shared_folder(spark, "report")
+    head = F.format_string("## F%d. doc-%s-%d  (x)", F.col("doc_id") + 1, "lang", "doc_id")
+    body = F.concat(head, F.lit("\n\n"), F.regexp_replace("text", "(?m)^## ", ""))
+    write_lines(table(spark, sf_dir, "documents").select("doc_id", body.alias("line")), folder, "doc_id")
+    lines = spark.read.text(folder).where(F.col("value").startswith("## F"))
+    return lines.select(F.regexp_extract("value", r"^## F[0-9]+\. doc-[a-z]+-([0-9]+)", 1).cast("long").alias("doc_id"))
 
 
-STAMPS = ("D:20260819203045+02'00'", "D:20260101003000+05'30' and D:20251231233000-01'00'", "D:20260819203045+00'00'", "no stamp")
+@query("SELECT source, count(*) AS n_lines, bool_or(contains(l, 'token')) AS seen FROM (SELECT source, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY source")
+def marker_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Has any line of a source's log the marker?  Logs are text files, one folder a source."""
+    folder = shared_folder(spark, "logs")
+    table(spark, sf_dir, "documents").select("source", "text").write.partitionBy("source").text(folder)
+    lines = spark.read.option("lineSep", "\n").text(folder)
+    return lines.groupBy("source").agg(F.count("*").alias("n_lines"), F.bool_or(F.contains("value", F.lit("token"))).alias("seen"))
 
 
-@query(
-    "SELECT * FROM (VALUES "
-    + ", ".join(
-        "('{}', '{}')".format(a.replace("'", "''"), b.replace("'", "''"))
-        for a, b in zip(
-            STAMPS,
-            ("D:20260819183045+00'00'", "D:20251231190000+00'00' and D:20260101003000+00'00'", "D:20260819203045+00'00'", "no stamp"),
-            strict=True,
-        )
-    )
-    + ") v(stamp, utc)"
-)
-def utc_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in STAMPS], "stamp string").select("stamp", pf.utc_stamps(F.col("stamp")).alias("utc"))
+_OFFSET = "to_minutes((CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END * (event_id % 13 * 60 + event_id % 4 * 15))::INT)"
+_MARK = "chr(39)"
 
 
-PAGES = ("1 first\nbody\f2 head\n  3 a line\n\n another\nETHICS STATEMENT\nrest", "no such page", "1 x\n E THICS  STATEMENT")
+@query(f"SELECT event_id, 'at ' || strftime(date_trunc('second', ts) - {_OFFSET}, 'D:%Y%m%d%H%M%S') || '+00' || {_MARK} || '00' || {_MARK} || ' ok' AS utc FROM events")
+def utc_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of events with offsets of all kinds, as UTC."""
+    two = lambda c: F.lpad(c.cast("int").cast("string"), 2, "0")
+    sign = F.when(F.pmod("event_id", F.lit(2)) == 0, "+").otherwise("-")
+    local = F.concat(F.lit("at D:"), F.date_format("ts", "yyyyMMddHHmmss"), sign, two(F.pmod("event_id", F.lit(13))), F.lit("'"), two(F.pmod("event_id", F.lit(4)) * 15), F.lit("' ok"))
+    return table(spark, sf_dir, "events").select("event_id", pf.utc_stamps(local).alias("utc"))
 
 
 @query(
-    """SELECT * FROM (VALUES ('1 first' || chr(10) || 'body' || chr(12) || '2 head' || chr(10) || '  3 a line' || chr(10) || chr(10) || ' another' || chr(10) || 'ETHICS STATEMENT'
-|| chr(10) || 'rest', 2::INT), ('no such page', NULL), ('1 x' || chr(10) || ' E THICS  STATEMENT', 0)) v(pages, n)"""
+    r"""SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN len(list_filter(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '^\s*[0-9]+\s*', '')) <> '')) END::INT AS n FROM documents"""
 )
 def page_spill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(p,) for p in PAGES], "pages string")
-    return rows.select("pages", pf.spill_lines(F.col("pages"), r"E\s*THICS\s+STATEMENT").alias("n"))
-
-
-VERDICTS = ('{"verdict": "OK", "issues": []}', '{"verdict": "SUSPECT", "issues": [{"type": "number", "en_quote": "a", "vi_quote": "b", "detail": "c"}]}', "not json", '{"issues": []}')
+    """Lines of each text that stand before a heading on the second page; a fifth of the texts has no such heading."""
+    heading = F.when(F.pmod("doc_id", F.lit(5)) != 0, F.lit("\n E THICS  STATEMENT\nrest")).otherwise("\nrest")
+    pages = F.concat(F.lit("1 first\nbody\f2 head\n"), "text", heading)
+    return table(spark, sf_dir, "documents").select("doc_id", pf.spill_lines(pages, r"E\s*THICS\s+STATEMENT").alias("n"))
 
 
 @query(
-    "SELECT reply, verdict, n::INT AS n_issues FROM (VALUES "
-    + ", ".join(f"('{r}', '{v}', {n})" for r, v, n in zip(VERDICTS, ("OK", "SUSPECT", "ERROR", "ERROR"), (0, 1, 0, 0), strict=True))
-    + ") v(reply, verdict, n)"
+    """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'OK' WHEN 1 THEN 'SUSPECT' WHEN 2 THEN 'SUSPECT' ELSE 'ERROR' END AS verdict,
+CASE WHEN doc_id % 5 IN (1, 2, 3) THEN doc_id % 5 ELSE 0 END::INT AS n_issues, CASE WHEN doc_id % 5 IN (1, 2, 3) THEN text END AS quoted FROM documents"""
 )
 def parse_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict of a reply in JSON; anything that cannot be read is an error."""
-    shape = "verdict string, issues array<struct<type: string, en_quote: string, vi_quote: string, detail: string>>"
-    rows = spark.createDataFrame([(v,) for v in VERDICTS], "reply string").withColumn("r", F.from_json("reply", shape))
-    return rows.select("reply", F.coalesce("r.verdict", F.lit("ERROR")).alias("verdict"), F.coalesce(F.size("r.issues"), F.lit(0)).alias("n_issues"))
+    """Verdicts of replies in JSON that quote whole texts; what cannot be read, or names no verdict, is an error."""
+    kind = F.pmod("doc_id", F.lit(5)).cast("int")
+    issue = F.struct(F.lit("number").alias("type"), F.col("text").alias("en_quote"), F.lit('"x"').alias("vi_quote"), F.lit("\\").alias("detail"))
+    verdict = F.when(kind == 0, "OK").when(kind <= 2, "SUSPECT")
+    made = F.to_json(F.struct(verdict.alias("verdict"), F.array_repeat(issue, F.when(kind <= 3, kind).otherwise(0)).alias("issues")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(kind == 4, F.concat(F.lit("Sure! "), made)).otherwise(made).alias("reply"))
+    rows = rows.withColumn("r", pf.verdict_of(F.col("reply")))
+    return rows.select("doc_id", "r.verdict", F.size("r.issues").alias("n_issues"), F.get("r.issues", F.lit(0))["en_quote"].alias("quoted"))
 
 
-@query("SELECT source, bool_or(contains(text, 'token')) AS seen FROM documents GROUP BY source")
-def marker_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Has any text of a log the marker?"""
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.bool_or(F.contains("text", F.lit("token"))).alias("seen"))
+_ASK = "Compare. Reply in JSON.\n\nA: {en}\n\nB: {vi}"
 
 
-TEMPLATES = ("Answer the question. End with '#### <x>'.", "No separable end #### x", "One. Two! Three #### y", "nothing here")
+@query("SELECT a.doc_id, md5('Compare. Reply in JSON.' || chr(10) || chr(10) || 'A: ' || a.text || chr(10) || chr(10) || 'B: ' || b.text) AS prompt_md5 FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1")
+def audit_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts that ask for a comparison of each document with the next one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pairs = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")
+    return pairs.select("doc_id", F.md5(pf.audit_prompt(_ASK, F.col("text"), F.col("other"))).alias("prompt_md5"))
 
 
 @query(
-    """SELECT * FROM (VALUES ('Answer the question. End with ''#### <x>''.', 'Answer the question.'), ('No separable end #### x', NULL), ('One. Two! Three #### y', 'One. Two!'),
-('nothing here', 'nothing here')) v(template, rest)"""
+    rf"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN trim(t) ELSE nullif(trim(regexp_extract(before, '(?s)^(.*[.!?。！？।])', 1)), '') END AS rest FROM (SELECT doc_id, text AS t,
+CASE doc_id % 3 WHEN 1 THEN text || ' End with ' || {_MARK} ELSE replace(replace(replace(text, '.', ','), '!', ','), '?', ',') END AS before FROM documents)"""
 )
 def strip_marker_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(t,) for t in TEMPLATES], "template string")
-    return rows.select("template", pf.strip_marker_sentence(F.col("template")).alias("rest"))
+    """Texts without the sentence that asks for a marker: without any, with one at the end, and with no sentence before it."""
+    kind = F.pmod("doc_id", F.lit(3))
+    asked = F.when(kind == 0, F.col("text")).when(kind == 1, F.concat("text", F.lit(" End with '#### <x>'."))).otherwise(F.concat(F.translate("text", ".!?", ",,,"), F.lit("#### x")))
+    return table(spark, sf_dir, "documents").select("doc_id", pf.strip_marker_sentence(asked).alias("rest"))
 
 
 @query(r"SELECT page_id, len(regexp_extract_all(regexp_replace(url, '[0-9]+|[?#].*', '', 'g'), '[A-Za-z]+'))::BIGINT AS n FROM pages")

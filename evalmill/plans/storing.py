@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from evalmill.functions import config as cf
-from evalmill.functions import profiles
+from evalmill.functions import golds, profiles
 from evalmill.sources import store
 from evalmill.sources.tables import table, union_stores
 
@@ -21,26 +21,43 @@ SPECS = (
     "snapkv@b0", "snapkv", "", "KV4", "snapkv@r0.75:w32 ",
 )
 _SPEC_ROWS = ", ".join(f"('{s}')" for s in SPECS)
+# a specification for every document: one of the list, some of them with numbers of the document's own
+_SPEC_LIST = "[" + ", ".join(f"'{s}'" for s in SPECS) + "]"
+_SPEC_OF = f"""CASE doc_id % 4 WHEN 0 THEN {_SPEC_LIST}[(doc_id // 4 % {len(SPECS)} + 1)::INT] WHEN 1 THEN 'snapkv@r0.' || (n_chars % 98 + 1) || CASE WHEN doc_id % 8 < 4 THEN ':w' || doc_id ELSE '' END
+  WHEN 2 THEN 'h2o@b' || n_chars ELSE 'tova@bb' || doc_id END"""
 _NAMES = "|".join(cf.PRESSES)
-PARSED = rf"""WITH RECURSIVE s AS (SELECT * FROM (VALUES {_SPEC_ROWS}) v(config)),
-m AS (SELECT config, regexp_extract(config, '^({_NAMES})@r(0\.[0-9]+)(?::w([1-9][0-9]*)|:wq([1-9][0-9]*))?$', ['press', 'ratio', 'win', 'wq']) AS r,
+_FROM_LIST = f"s AS (SELECT * FROM (VALUES {_SPEC_ROWS}) v(config))"
+_FROM_DOCS = f"s AS (SELECT doc_id, {_SPEC_OF} AS config FROM documents)"
+_PARSE = rf"""WITH RECURSIVE %ROWS%,
+m AS (SELECT *, regexp_extract(config, '^({_NAMES})@r(0\.[0-9]+)(?::w([1-9][0-9]*)|:wq([1-9][0-9]*))?$', ['press', 'ratio', 'win', 'wq']) AS r,
   regexp_extract(config, '^({_NAMES})@b([1-9][0-9]*)$', ['press', 'n']) AS b, regexp_extract(config, '^({_NAMES})@bb([1-9][0-9]*)$', ['press', 'n']) AS bb FROM s),
-p AS (SELECT config, CASE WHEN config = 'baseline' THEN 'baseline' WHEN config IN ('kv2', 'kv4', 'kv8', 'kv2h', 'kv4h') THEN 'kvquant'
+p AS (SELECT * EXCLUDE (r, b, bb), CASE WHEN config = 'baseline' THEN 'baseline' WHEN config IN ('kv2', 'kv4', 'kv8', 'kv2h', 'kv4h') THEN 'kvquant'
   WHEN config IN ('gptq4', 'awq4', 'int8') THEN 'weight' WHEN r.press || b.press || bb.press <> '' THEN 'press' END AS kind,
   nullif(r.press || b.press || bb.press, '') AS press, nullif(r.ratio, '')::DOUBLE AS ratio, nullif(r.win, '')::INT AS "window", nullif(r.wq, '')::INT AS wq_c,
   nullif(b.n, '')::INT AS budget, nullif(bb.n, '')::BIGINT AS bytes,
   CASE WHEN config IN ('kv2', 'kv4', 'kv8', 'kv2h', 'kv4h') THEN config[3]::INT END AS nbits,
   CASE WHEN config IN ('kv2h', 'kv4h') THEN 'hqq' WHEN config IN ('kv2', 'kv4', 'kv8') THEN 'quanto' END AS backend FROM m)
 """
+PARSED, PARSED_DOCS = (_PARSE.replace("%ROWS%", rows) for rows in (_FROM_LIST, _FROM_DOCS))
+
+
+def _specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and a configuration string for every document."""
+    listed = F.element_at(F.array(*map(F.lit, SPECS)), (F.pmod(F.floor(F.col("doc_id") / 4), F.lit(len(SPECS))) + 1).cast("int"))
+    window = F.when(F.pmod("doc_id", F.lit(8)) < 4, F.concat(F.lit(":w"), F.col("doc_id").cast("string"))).otherwise("")
+    kind = F.pmod("doc_id", F.lit(4))
+    spec = (
+        F.when(kind == 0, listed)
+        .when(kind == 1, F.concat(F.lit("snapkv@r0."), (F.pmod("n_chars", F.lit(98)) + 1).cast("string"), window))
+        .when(kind == 2, F.concat(F.lit("h2o@b"), F.col("n_chars").cast("string")))
+        .otherwise(F.concat(F.lit("tova@bb"), F.col("doc_id").cast("string")))
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", spec.alias("config"))
 
 
-def _specs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in SPECS], "config string")
-
-
-@query(PARSED + "SELECT * FROM p")
+@query(PARSED_DOCS + "SELECT * FROM p")
 def parse_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _specs(spark).select("config", cf.parse(F.col("config")).alias("c")).select("config", "c.*")
+    return _specs(spark, sf_dir).select("doc_id", "config", cf.parse(F.col("config")).alias("c")).select("doc_id", "config", "c.*")
 
 
 _ITEMS = """, it AS (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS prefill, octet_length(encode(text)) AS nbytes, 10 + doc_id % 25 AS q FROM documents),
@@ -82,24 +99,26 @@ def resolved_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT config, CASE WHEN regexp_full_match(config, '({_NAMES})@r0\\.[0-9]+') THEN config || ':w64' ELSE config END AS norm,
+    f"""WITH {_FROM_DOCS} SELECT doc_id, config, CASE WHEN regexp_full_match(config, '({_NAMES})@r0\\.[0-9]+') THEN config || ':w64' ELSE config END AS norm,
 CASE WHEN regexp_full_match(config, '({_NAMES})@r0\\.[0-9]+(:w[1-9][0-9]*|:wq[1-9][0-9]*)?')
-THEN coalesce(nullif(regexp_extract(config, ':w([0-9]+)$', 1), '')::INT, 64) END AS w FROM (VALUES {_SPEC_ROWS}) v(config)"""
+THEN coalesce(nullif(regexp_extract(config, ':w([0-9]+)$', 1), '')::INT, 64) END AS w FROM s"""
 )
 def norm_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _specs(spark).select("config", cf.norm_config(F.col("config")).alias("norm"), cf.window_value(F.col("config")).alias("w"))
+    return _specs(spark, sf_dir).select("doc_id", "config", cf.norm_config(F.col("config")).alias("norm"), cf.window_value(F.col("config")).alias("w"))
 
 
-SIZES = ("8k,32k", "4096", "12k, 100 ,1k", "", "16k,,2")
+_SIZES = "' ' || doc_id || 'k, ' || n_chars || CASE doc_id % 3 WHEN 0 THEN ',,2k ' WHEN 1 THEN '' ELSE ', ' END"
 
 
 @query(
-    f"""SELECT spec, array_to_string(list_transform(list_filter(list_transform(string_split(spec, ','), lambda x: trim(x)), lambda x: x <> ''),
-lambda x: CASE WHEN x LIKE '%k' THEN rtrim(x, 'k')::BIGINT * 1024 ELSE x::BIGINT END), ',') AS sizes FROM (VALUES {', '.join(f"('{s}')" for s in SIZES)}) v(spec)"""
+    f"""SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(string_split(spec, ','), lambda x: trim(x)), lambda x: x <> ''),
+lambda x: CASE WHEN x LIKE '%k' THEN rtrim(x, 'k')::BIGINT * 1024 ELSE x::BIGINT END), ',') AS sizes FROM (SELECT doc_id, {_SIZES} AS spec FROM documents)"""
 )
 def parse_ctx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    specs = spark.createDataFrame([(s,) for s in SIZES], "spec string")
-    return specs.select("spec", F.array_join(cf.parse_sizes(F.col("spec")).cast("array<string>"), ",").alias("sizes"))
+    """Lists of sizes, one for every document."""
+    rest = F.element_at(F.array(F.lit(",,2k "), F.lit(""), F.lit(", ")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
+    spec = F.concat(F.lit(" "), F.col("doc_id").cast("string"), F.lit("k, "), F.col("n_chars").cast("string"), rest)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(cf.parse_sizes(spec).cast("array<string>"), ",").alias("sizes"))
 
 
 _IDS = "('mrag' || ['', 'PAD96', 'JSON120', 'TOOL60', 'IF', 'RF', 'Xen'][(doc_id % 7 + 1)::INT] || '-' || lang || '-8k-' || doc_id)"
@@ -118,19 +137,23 @@ def parse_item_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LANGS = ", ".join(f"('{c}', '{n}', '{s}')" for c, n, s, _ in profiles.LANGUAGES)
-WANTED = " te, en,,vi "
+_CODES = [c for c, *_ in profiles.LANGUAGES]
+_ASKED = "' ' || lang || ', ' || " + str(_CODES) + f"[(doc_id % {len(_CODES)} + 1)::INT] || ',, ' || " + str(_CODES) + f"[(doc_id // 7 % {len(_CODES)} + 1)::INT]"
 
 
 @query(
-    f"""SELECT row_number() OVER (ORDER BY i) AS "rank", code, l.name, l.script FROM (SELECT trim(unnest(string_split('{WANTED}', ','))) AS code,
-unnest(range(4)) AS i) w JOIN (VALUES {_LANGS}) l(c, name, script) ON l.c = w.code"""
+    f"""SELECT doc_id, "rank", code, l.name, l.script FROM (SELECT doc_id, code, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS "rank" FROM
+(SELECT doc_id, trim(unnest(string_split({_ASKED}, ','))) AS code, unnest(range(4)) AS i FROM documents) WHERE code <> '') w JOIN (VALUES {_LANGS}) l(c, name, script) ON l.c = w.code"""
 )
 def resolve_langs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Languages of a list in the order of the request, blanks left out; the table has 14 rows."""
+    """A list of languages for every document, in the order of the request, blanks left out; the table has 14 rows."""
     dim = spark.createDataFrame([x[:3] for x in profiles.LANGUAGES], "code string, name string, script string")
-    asked = spark.range(1).select(F.posexplode(F.split(F.lit(WANTED), ",")).alias("i", "code")).withColumn("code", F.trim("code")).where("code != ''")
-    rank = F.row_number().over(W.Window.orderBy("i")).cast("long")
-    return asked.join(F.broadcast(dim), "code").select(rank.alias("rank"), "code", "name", "script")
+    codes = F.array(*map(F.lit, _CODES))
+    one, two = (F.element_at(codes, (F.pmod(i, F.lit(len(_CODES))) + 1).cast("int")) for i in (F.col("doc_id"), F.floor(F.col("doc_id") / 7)))
+    wanted = F.concat(F.lit(" "), "lang", F.lit(", "), one, F.lit(",, "), two)
+    listed = F.filter(F.transform(F.split(wanted, ","), lambda c: F.trim(c)), lambda c: c != "")
+    asked = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(listed).alias("i", "code"))
+    return asked.join(F.broadcast(dim), "code").select("doc_id", (F.col("i") + 1).cast("long").alias("rank"), "code", "name", "script")
 
 
 @query(SQL + "SELECT item_id, config, substr(sha256(concat_ws('|', model, task, lang, config, item_id, 'v1')), 1, 24) AS run_key FROM gen")
@@ -299,12 +322,25 @@ def meta_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", parsed).select("item_id", "m.*")
 
 
-@query("SELECT doc_id, [lang, source] AS golds FROM documents")
+# stored golds by the rest of an id: a JSON array, a Python list with escapes, a scalar, blanks, a broken list, numbers
+@query(
+    """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN [lang, source] WHEN 1 THEN [left(text, 60), source] WHEN 2 THEN [lang] WHEN 3 THEN []
+WHEN 4 THEN ['[' || lang || ', broken'] ELSE [doc_id::VARCHAR, 'it' || chr(39) || 's é', 'None', '2.5'] END AS golds FROM documents"""
+)
 def decode_golds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Golds stored as a JSON array, or a scalar, or nothing, as arrays."""
-    raw = F.to_json(F.array("lang", "source"))
-    golds = F.coalesce(F.from_json(raw, "array<string>"), F.array(raw))
-    return table(spark, sf_dir, "documents").select("doc_id", golds.alias("golds"))
+    """Golds stored as a JSON array, a Python list, a scalar, or nothing, as arrays."""
+    quoted = F.replace(F.substring("text", 1, 60), F.lit("\\"), F.lit("\\\\"))
+    quoted = F.replace(F.replace(quoted, F.lit("'"), F.lit("\\'")), F.lit("\n"), F.lit("\\n"))
+    kind = F.pmod("doc_id", F.lit(6))
+    stored = (
+        F.when(kind == 0, F.to_json(F.array("lang", "source")))
+        .when(kind == 1, F.concat(F.lit("['"), quoted, F.lit("', \""), "source", F.lit('", ]')))
+        .when(kind == 2, F.concat(F.lit(" \n"), "lang", F.lit("  ")))
+        .when(kind == 3, " \n ")
+        .when(kind == 4, F.concat(F.lit("["), "lang", F.lit(", broken")))
+        .otherwise(F.concat(F.lit("[ "), F.col("doc_id").cast("string"), F.lit(", 'it\\'s \\xe9', None, 2.50]")))
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", golds.decode_golds(stored).alias("golds"))
 
 
 _MIXED = SQL + """, e AS (SELECT lang, config, max(n_output_tokens) OVER () AS cap, n_output_tokens, output FROM gen)
