@@ -3,8 +3,9 @@
 A candidate is a longest run of one character class.  The window keeps the count of every character and the sum of
 count * log2(count); a step changes two counts, so a run costs time in proportion to its length.  Where a window's
 entropy reaches the bits of its class, it is suspicious; neighbouring suspicious windows join into one span.  Runs on
-the allow-list (words, numbers, UUIDs, digests that are named as such) give none, and windows that hold a placeholder
-are passed over; the rest of their run is still judged.
+the allow-list (words, numbers, UUIDs, digests that are named as such) give none, and windows that hold a placeholder, or
+a whole word between hyphens, slashes or underscores as addresses and paths have them, are passed over; the rest of their
+run is still judged.
 
 Null texts count as empty and have no spans.  Offsets are code points, ends exclusive.  Whole texts are scanned, in time
 in proportion to their length.  Each row is judged alone, so rows that repeat give the same; columns with the names of
@@ -50,8 +51,9 @@ ALLOW = (
     r"[0-9]+",
     r"[A-Za-z_+/=-]+",
     r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}",
+    r"(?i:md5|sha1|sha256|sha384|sha512|commit|checksum|digest|integrity)[-=]+[A-Za-z0-9+/]+=*",
 )
-ALLOW_INSIDE = r"EXAMPLE|example|placeholder|xxxxxx|XXXXXX"
+ALLOW_INSIDE = r"EXAMPLE|example|placeholder|xxxxxx|XXXXXX|(?:^|(?<=[-/_]))(?:[a-z]{2,}|[A-Z][a-z]+)(?=[-/_])"
 # Names after which a digest stands openly.
 ALLOW_BEFORE = r"(?:md5|sha1|sha256|sha512|commit|checksum|digest|integrity)[-:= ]{1,3}"
 
