@@ -192,6 +192,35 @@ def test_redact(spark):
     assert [r.text for r in se.redact(df).orderBy("doc_id").collect()] == ["a [secret] z", None]
 
 
+HARMLESS = [
+    "integrity sha256-47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU= done", "sha512=z4PhNX7vuL3xVChQ1m2AB9Yg5AULVxXcg/SpIdNs6c5H0NE8XYXysP+DGNKHfuwvY7kxvUdBeoGlODJ6+SfaPg==",
+    "https://example.net/blog/2024/10-best-ways-to-quickly-fix-your-broken-windows-update-kb5034441", "/usr/lib/python3/dist-packages/some_module_name/subpackage/__init__/file_name_v2",
+    "see https://news.site.org/2024/05/17/how-The-Quick-Brown-Fox-jumped-over-13-lazy-dogs-again today",
+]
+
+
+@pytest.mark.parametrize("text", HARMLESS)
+def test_addresses_paths_and_named_digests_are_no_secrets(text):
+    assert se.Scanner().entropy(text) == []
+
+
+def test_tokens_in_addresses_are_found():
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+    found = 0
+    for _ in range(300):
+        token = "".join(rng.choice(letters) for _ in range(43))
+        text = f"https://site.org/reset-your-password/{token} x"
+        at = text.index(token)
+        found += any(a < at + 30 and b > at + 13 for a, b in se.Scanner().entropy(text))
+    assert found >= 0.9 * 300
+
+
+def test_addresses_of_the_table_give_few_spans(spark, data):
+    urls = [r.url for r in spark.read.parquet(f"{data}/pages.parquet").select("url").where("url is not null").collect()]
+    assert sum(bool(se.Scanner().entropy(u)) for u in urls) <= 0.01 * len(urls)
+
+
 # ---------------------------------------------------------------- 2
 
 
@@ -741,13 +770,82 @@ def test_url_rules(spark):
 def test_suffix_shares_count_all_labelled_rows(spark):
     urls = [(f"http://s{i}.net/p", 1.0 if i % 2 else 0.0) for i in range(300)] + [("http://many.net/p", 0.0)] * 400
     model = uf.train(spark.createDataFrame(urls, "url string, bad double"), sample_rows=50)
-    shares = {r.of_suffix: r.share for r in model.suffixes.collect()}
     overall = 150 / 700
+    shares = {r.of_suffix: (r.of_bad + 10 * overall) / (r.of_n + 10) for r in model.suffixes.collect()}
     assert len(shares) == 301 and len(model.trees) > 1
     assert all(shares[f"s{i}.net"] == pytest.approx((i % 2 + 10 * overall) / 11) for i in range(300))
     assert shares["many.net"] == pytest.approx(10 * overall / 410)
 
 
+def test_a_label_does_not_teach_itself(spark):
+    """Where trees are trained, a URL's own rows are left out of its suffix's share."""
+    urls = [("http://one.a.net/p", 1.0)] * 3 + [("http://two.a.net/p", 0.0)] + [("http://x.b.net/p", 0.0)]
+    model = uf.train(spark.createDataFrame(urls, "url string, bad double"))
+    host, path = uf.split_url(F.col("url"))
+    rows = spark.createDataFrame([(urls[0][0], 3, 3.0), (urls[3][0], 1, 0.0), (urls[4][0], 1, 0.0)], "url string, n long, bad double").withColumns({"host": host, "path": path})
+    full = [r.suffix_bad for r in model.with_suffix(uf._features(rows)).orderBy("url").collect()]
+    left = [r.suffix_bad for r in model.with_suffix(uf._features(rows), F.col("n"), F.col("bad")).orderBy("url").collect()]
+    assert full == pytest.approx([(3 + 6) / 14, (3 + 6) / 14, 6 / 11]) and left == pytest.approx([6 / 11, (3 + 6) / 13, 6 / 10])
+
+
+def grown(rows: list[tuple], margins: list[float], cuts: dict[str, list[float]], depth: int, rate: float) -> str:
+    """A tree by looking at all splits of all nodes; rows: bad, and the features in their order."""
+    parts: list[str] = []
+
+    def node(at: list[int], conditions: list[str], left: int) -> None:
+        p = {i: 1 / (1 + math.exp(-margins[i])) for i in at}
+        sums = lambda some: (sum(rows[i][0] - p[i] for i in some), sum(p[i] * (1 - p[i]) for i in some))
+        g, h = sums(at)
+        best, found = 1e-6, None
+        for n, f in enumerate(uf.FEATURES if left else ()):
+            for c in cuts[f]:
+                one = [i for i in at if rows[i][1 + n] <= c]
+                (a, b), (x, y) = sums(one), sums([i for i in at if rows[i][1 + n] > c])
+                gain = round(a * a / (b + 1) + x * x / (y + 1) - g * g / (h + 1), 6)
+                if min(b, y) >= 1.0 and gain > best:
+                    best, found = gain, (n, f, c, one)
+        if found is None:
+            parts.append(f"when {' and '.join(conditions) or 'true'} then {round(rate * g / (h + 1.0), 6)!r}D")
+            return
+        _, f, c, one = found
+        node(one, [*conditions, f"{f} <= {c!r}D"], left - 1)
+        node([i for i in at if i not in set(one)], [*conditions, f"{f} > {c!r}D"], left - 1)
+
+    node(list(range(len(rows))), [], depth)
+    return "case " + " ".join(parts) + " end"
+
+
+def test_two_rounds_of_depth_three_by_brute_force(spark):
+    rng = random.Random(17)
+    rows = []
+    for _ in range(160):
+        x = [float(rng.randrange(5)) for _ in uf.FEATURES]
+        rows.append((float(rng.random() < (0.85 if x[4] + x[6] > 4 else 0.3 if x[1] > 2 else 0.1)), *x))
+    sample = spark.createDataFrame([(r[0], 1.0, *r[1:]) for r in rows], "bad double, weight double, " + ", ".join(f"{f} double" for f in uf.FEATURES)).cache()
+    cuts = {f: [0.5, 1.5, 2.5, 3.5] for f in uf.FEATURES}
+    trees, margins = ["-0.5D"], [-0.5] * len(rows)
+    for _ in range(2):
+        tree = uf._tree(sample, F.expr(" + ".join(f"({t})" for t in trees)), cuts, 3, 0.4)
+        assert tree == grown(rows, margins, cuts, 3, 0.4) and tree.count("when") > 4
+        trees.append(tree)
+        margins = [r[0] for r in sample.select(F.expr(" + ".join(f"({t})" for t in trees))).collect()]
+
+
+def test_trees_change_verdicts_on_pages(spark, data):
+    """Labels that follow the addresses of the table, a tenth of them wrong: half of the hosts teach, the others are judged."""
+    pages = spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url").where("url is not null")
+    noise = F.pmod(F.xxhash64("url"), F.lit(10)) == 0
+    truth = (F.length("url") - F.length(F.replace("url", F.lit("&"), F.lit(""))) > 0) | F.col("url").contains("utm")
+    half = F.pmod(F.xxhash64(uf.split_url(F.col("url"))[0]), F.lit(2)) == 0
+    labelled = pages.where(half).select("url", F.when(noise, ~truth).otherwise(truth).cast("int").alias("bad"))
+    rest = pages.where(~half)
+    got = uf.judge_urls(rest, labelled=labelled, rules=()).join(rest.select("page_id", truth.alias("bad")), "page_id").collect()
+    good, bad = ([r.score for r in got if r.bad == y] for y in (False, True))
+    area = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(good) * len(bad))
+    assert len(good) >= 5 and len(bad) >= 5 and area >= 0.8
+    assert sum((r.verdict == "block") == r.bad for r in got) > 0.7 * len(got) and {r.verdict for r in got} == {"allow", "block"}
+
+
 def test_boosted_trees_learn(spark):
     rng = random.Random(9)
     good = [f"https://site{rng.randrange(50)}.net/a{rng.randrange(9)}" for _ in range(300)]
