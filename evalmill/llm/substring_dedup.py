@@ -253,8 +253,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = K, rule: Ru
     )
 
 
-def keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
-    """doc_id, text and key of every row, and the bits by which a key is longer than an id.
+def keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, DataFrame | None]:
+    """key and text of every row; the bits by which a key is longer than an id; and the ids (of) by their places (at) where
+    keys are made of places.  A null id has a null key.
 
     Without an id of several texts the key is the id.  Else each text of such an id has a number, given by ranges of hashes
     so that an id of very many texts does not meet in one task; ids that leave too few bits go by their place among all.
@@ -263,7 +264,7 @@ def keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(h).alias("least"), F.max(h).alias("most")).where("least < most")
     several = scratch.save(several.select(F.col("doc_id").alias("of")))
     if several.isEmpty():
-        return docs.withColumn("key", F.col("doc_id")), 0
+        return docs.select(F.col("doc_id").alias("key"), "text"), 0, None
     some, rest = sieved(docs, "doc_id", several)
     lines = some.select(F.col("doc_id").alias("of"), h.alias("h")).join(several, "of", "left_semi").distinct()
     numbers = running(lines, "of", ["h"], scratch)
@@ -273,12 +274,12 @@ def keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     some = some.withColumn("h", h).join(numbers, F.expr("doc_id = of and h = h_of"), "left")
     some = some.select("doc_id", "text", F.coalesce(F.col("place") - 1, F.lit(0)).alias("number"))
     every = rest.withColumn("number", F.lit(0).cast("long")).unionByName(some)
-    at = F.col("doc_id")
+    at, places = F.col("doc_id"), None
     if max(high, -low - 1) >> (63 - shift):
         ids = docs.where("doc_id is not null").select("doc_id", F.lit(0).cast("long").alias("all")).distinct()
-        places = running(ids, "all", ["doc_id"], scratch).select(F.col("doc_id").alias("of"), F.col("place").alias("at"))
+        places = saved(running(ids, "all", ["doc_id"], scratch).select(F.col("doc_id").alias("of"), F.col("place").alias("at")))
         every, at = every.join(places, F.col("doc_id") == F.col("of"), "left"), F.col("at")
-    return every.select("doc_id", "text", F.shiftleft(at, shift).bitwiseOR(F.col("number")).alias("key")), shift
+    return saved(every.select(F.shiftleft(at, shift).bitwiseOR(F.col("number")).alias("key"), "text")), shift, places
 
 
 def dedup_substrings(
@@ -290,9 +291,14 @@ def dedup_substrings(
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     prepared(docs.sparkSession)
     with Scratch(docs.sparkSession, "repeats") as scratch:
-        docs, shift = keyed(texts(docs, id_col, text_col), scratch)
-        if shift:
-            docs = saved(docs)  # the numbers go with the scratch tables
-    found = repeated_windows(docs.select("key", "text"), window, k, rule, shift)
-    rows = docs.join(found, docs["key"] == found["doc"], "left").select("doc_id", "text", "runs")
-    return rows.mapInArrow(tidied(_keep(rule, window)), schema)
+        docs, shift, places = keyed(texts(docs, id_col, text_col), scratch)
+    found = repeated_windows(docs, window, k, rule, shift)
+    # the same two columns as in the join for windows, so that texts are dealt out once for both
+    rows = docs.join(found, docs["key"] == found["doc"], "left").select(F.col("key").alias("doc_id"), "text", "runs")
+    out = rows.mapInArrow(tidied(_keep(rule, window)), schema)
+    if not shift:
+        return out
+    out = out.withColumn("doc_id", F.shiftright("doc_id", shift))
+    if places is not None:
+        out = out.join(places, F.col("doc_id") == F.col("at"), "left").withColumn("doc_id", F.col("of")).drop("of", "at")
+    return out
