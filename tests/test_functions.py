@@ -193,7 +193,7 @@ def test_drift_by_any_judge(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
     got = sorted((r.doc_id, r.drift if r.drift is None else round(r.drift, 3)) for r in langmodel.drift(docs, "doc_id", "text", "lang", judge).collect() if r.doc_id != 8)
     away, here = (sum(map(str.isalpha, x)) for x in ("der schnelle braune fuchs springt ueber hunde", line))
-    assert got == [(1, round(away / (away + here), 3)), (2, None), (3, None), (4, None), (5, None), (6, None), (7, None)]
+    assert got == [(1, round(away / (away + here), 3)), (2, None), (3, None), (4, None), (5, None), (6, None), (7, 1.0)]
     assert sorted(r.drift for r in langmodel.drift(docs.where("doc_id = 8"), "doc_id", "text", "lang", judge).collect()) == [0.0, 1.0]
 
 
