@@ -4,8 +4,8 @@ A document is the set of its ``K``-word shingles; two documents link when 100 *
 The join is exact:
 
 1. Equal sets collapse into one (128 bits of hash), so copies cost nothing further.
-2. Shingles get one order for all documents: rare ones first, as far as a counter sketch over all documents tells, then
-   by hash.  Two linked sets share a shingle among the first n - ceil(t * n) + 1 of each; their sizes, and what follows
+2. Shingles get one order for all documents: rare ones first, by finely divided counters of a sketch over all documents,
+   then by hash.  Two linked sets share a shingle among the first n - ceil(t * n) + 1 of each; their sizes, and what follows
    the first common shingle in that order, bound their overlap.  Sets that share a shingle and are not ruled out by that
    are in one block; blocks are the components of these pairs.  The pairs of a shingle that few sets have are first
    tested as the leaves of a tree are (3), so that chance does not join blocks; a shingle of more sets connects those
@@ -44,6 +44,7 @@ from .words import LOWER, Block, Rule, blocks, kgrams, mix
 
 K, PERCENT = 5, 80
 LEAST_BITS, MOST_BITS, SHINGLE_BYTES, CHUNKS = 16, 24, 128, 256  # counters of the sketch: one for so many bytes of text
+FINE = 32  # levels of counters that chance may fill, of 64
 LEAF, FANOUT, LEAST_WIDTH, MOST_WIDTH = 16, 4, 256, 1 << 14
 SMALL_LIST, PART = 32, 2048  # sets of a shingle whose pairs are looked at one by one, or in one matrix
 EDGES = 1_000_000
@@ -162,15 +163,24 @@ def _summed(pieces: DataFrame, size: int) -> np.ndarray:
 
 
 class Order:
-    """How common the shingles of each counter are: 0 as far as chance fills a counter, then a step a doubling of what
-    lies above the mean; and into how many parts a shingle of each level is dealt."""
+    """How common the shingles of each counter are: FINE even steps as far as chance fills a counter, then a step a
+    doubling of what lies above the mean; and into how many parts a shingle of each level is dealt.
+
+    Chance alone spreads a counter over all the fine steps, but a shingle of some tens of sets lifts its own by several.
+    So it stands behind the first shingles of its sets even where the sketch is too full to call it frequent; otherwise
+    such shingles would join unlike sets to ever larger blocks as the table grows.
+    """
 
     def __init__(self, counts: np.ndarray, mean: float, part: int):
         noise = 4 * np.sqrt(mean) + 4
+        least = max(-noise, -mean)
         above = counts - np.float32(mean)
-        self.level = np.minimum(63, np.maximum(0, 1 + np.floor(np.log2(np.maximum(above, 1) / noise)))).astype(np.uint8)
+        fine = np.clip(np.floor((above - least) * (FINE / (noise - least))), 0, FINE - 1)
+        coarse = FINE + np.floor(np.log2(np.maximum(above, noise) / noise))
+        self.level = np.where(above < noise, fine, np.minimum(63, coarse)).astype(np.uint8)
         self.shift = np.uint64(64 - int(len(counts)).bit_length() + 1)
-        self.salts = np.minimum(1 << 16, np.maximum(1, noise * 2.0 ** np.arange(64) // (2 * part))).astype(np.uint64)
+        doublings = np.maximum(0, np.arange(64) - FINE + 1)
+        self.salts = np.minimum(1 << 16, np.maximum(1, noise * 2.0**doublings // (2 * part))).astype(np.uint64)
 
     def of(self, values: np.ndarray) -> np.ndarray:
         """The values with the level in place of the topmost bits: sorted, they stand in the order."""

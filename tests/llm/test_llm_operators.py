@@ -899,3 +899,14 @@ def test_held_out_urls_are_ranked(spark):
     good, bad = ([r.score for r in got if rows[400 + r.page_id][1] == y] for y in (0, 1))
     area = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(good) * len(bad))
     assert area >= 0.9
+
+
+def test_shared_shingles_stand_behind_rare_ones_in_a_full_sketch():
+    """A hundred shingles a counter: what 40 sets share by chance is not among the first fifth, and only frequent shingles get salts."""
+    counts = np.random.default_rng(1).poisson(100, 1 << 16).astype(np.float32)
+    counts[:1000] += 40
+    counts[-1] = 1 << 20
+    order = jj.Order(counts, 100.0, jj.PART)
+    first = np.quantile(order.level[1000:], 0.2)
+    assert (order.level[:1000] <= first).mean() < 0.01
+    assert order.salts[order.level[:-1]].max() == 1 and order.salts[order.level[-1]] >= (1 << 20) // (2 * jj.PART)
