@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from evalmill.functions import profiles as pf
@@ -46,8 +48,14 @@ _JOINED = "array_to_string(list_transform({0}, lambda x: printf('%.4f', x)), ' '
 _LAST = r"""coalesce(CASE WHEN contains({0}, '####') THEN regexp_extract_all(string_split({0}, '####')[-1], '-?[0-9][0-9.,]*')[-1] END, regexp_extract_all({0}, '-?[0-9][0-9.,]*')[-1])"""
 
 
+@F.pandas_udf(T.StringType())
+def _printed(numbers: pd.Series) -> pd.Series:
+    """Four decimals of each double's exact value, as C prints it; the JVM pads the shortest digits with zeros."""
+    return numbers.map(lambda row: None if row is None else " ".join(f"{x:.4f}" for x in row))
+
+
 def _joined(numbers: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(numbers), lambda x: F.format_string("%.4f", x)), " ")
+    return _printed(F.array_sort(numbers))
 
 
 @query(f"SELECT doc_id, token, {_JOINED.replace('{0}', _READ)} AS readings FROM (SELECT doc_id, token, rtrim(trim(token), '.,') AS t FROM (SELECT doc_id, {_TOKEN} AS token FROM documents))")

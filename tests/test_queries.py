@@ -24,3 +24,19 @@ def test_entry(spark, data):
     assert set(QUERIES) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).columns
+
+
+def _documents(folder, texts, lang="en"):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n = len(texts)
+    rows = {"doc_id": range(n), "text": texts, "lang": [lang] * n, "source": ["s"] * n, "n_chars": [len(t or "") for t in texts]}
+    pq.write_table(pa.table({k: pa.array(list(v), None if k != "text" else pa.string()) for k, v in rows.items()}), f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_candidates_are_printed_exactly(spark, tmp_path):
+    """Numbers beyond 2 ** 53 and beyond doubles, halves that are none in binary, signed zeros, and no text."""
+    texts = ["in all 356772239703934000123", "9" * 400, "-" + "9" * 400, "1.00005", "2.00005", "#### -0.000", "-0", "1e23 100000000000000000000000", "none", None]
+    assert_same(QUERIES["extract_candidates"](spark, _documents(tmp_path, texts)), ORACLES["extract_candidates"], str(tmp_path))
