@@ -90,8 +90,10 @@ def gap_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(PAIRS + f"SELECT lang, config, fixed, broken, round({P_SQL}, 10) AS p, round(log10({P_SQL}), 6) AS log10_p FROM cnt")
 def mcnemar_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = stats.mcnemar_p(F.col("fixed"), F.col("broken"))
-    return counts(spark, sf_dir).select("lang", "config", "fixed", "broken", F.round(p, 10).alias("p"), F.round(F.log10(p), 6).alias("log10_p"))
+    """A p below what a double holds is 0, and its logarithm minus infinity."""
+    rows = counts(spark, sf_dir).withColumn("p", stats.mcnemar_p(F.col("fixed"), F.col("broken")))
+    log = F.when(F.col("p") == 0, F.lit(float("-inf"))).otherwise(F.round(F.log10("p"), 6))
+    return rows.select("lang", "config", "fixed", "broken", F.round("p", 10).alias("p"), log.alias("log10_p"))
 
 
 _TAIL = """list_sum(list_transform(range({0}, {1} + 1), lambda i: exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1)

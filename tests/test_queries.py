@@ -40,3 +40,10 @@ def test_candidates_are_printed_exactly(spark, tmp_path):
     """Numbers beyond 2 ** 53 and beyond doubles, halves that are none in binary, signed zeros, and no text."""
     texts = ["in all 356772239703934000123", "9" * 400, "-" + "9" * 400, "1.00005", "2.00005", "#### -0.000", "-0", "1e23 100000000000000000000000", "none", None]
     assert_same(QUERIES["extract_candidates"](spark, _documents(tmp_path, texts)), ORACLES["extract_candidates"], str(tmp_path))
+
+
+def test_mcnemar_below_doubles(spark, tmp_path):
+    folder = _documents(tmp_path, ["some text"] * 9000)
+    got = QUERIES["mcnemar_exact"](spark, folder)
+    assert_same(got, ORACLES["mcnemar_exact"], folder)
+    assert got.where("log10_p = double('-infinity')").count() > 0
