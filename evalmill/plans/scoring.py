@@ -228,10 +228,14 @@ def gold_recall_many(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, c.output, c.gold, ok AS em, ok AS lenient FROM documents, (VALUES {_CASE_ROWS}) c(output, gold, ok)")
 def unicode_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outputs that are a gold in another Unicode form, behind the text of every document."""
+    """Outputs that are a gold in another Unicode form, behind an earlier marked region with the text of every document.
+
+    The text is no prose before the first marker: its own words would count there.
+    """
     cases = F.explode(F.array(*(F.struct(F.lit(o).alias("output"), F.lit(g).alias("gold")) for o, g, _ in _CASES)))
     rows = table(spark, sf_dir, "documents").select("doc_id", "text", cases.alias("c")).select("doc_id", "text", "c.*")
-    args = F.concat(F.col("text"), F.lit("\n"), F.col("output")), F.array("gold"), F.lit("fr")
+    before = F.concat(F.lit("What was found follows. \n#### "), F.coalesce("text", F.lit("")), F.lit("\n"))
+    args = F.concat(before, F.col("output")), F.array("gold"), F.lit("fr")
     return rows.select("doc_id", "output", "gold", sc.span_scores(*args)["em"].alias("em"), sc.containment_lenient(*args).alias("lenient"))
 
 

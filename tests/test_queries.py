@@ -47,3 +47,8 @@ def test_mcnemar_below_doubles(spark, tmp_path):
     got = QUERIES["mcnemar_exact"](spark, folder)
     assert_same(got, ORACLES["mcnemar_exact"], folder)
     assert got.where("log10_p = double('-infinity')").count() > 0
+
+
+def test_unicode_forms_behind_texts_that_hold_golds(spark, tmp_path):
+    texts = ["So 24 and 1 final café. And more", "#### 24", "1⁄2 <> ガ ####", "24 apples", "", None]
+    assert_same(QUERIES["unicode_forms"](spark, _documents(tmp_path, texts)), ORACLES["unicode_forms"], str(tmp_path))
