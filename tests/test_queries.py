@@ -52,3 +52,20 @@ def test_mcnemar_below_doubles(spark, tmp_path):
 def test_unicode_forms_behind_texts_that_hold_golds(spark, tmp_path):
     texts = ["So 24 and 1 final café. And more", "#### 24", "1⁄2 <> ガ ####", "24 apples", "", None]
     assert_same(QUERIES["unicode_forms"](spark, _documents(tmp_path, texts)), ORACLES["unicode_forms"], str(tmp_path))
+
+
+def test_every_document_gets_its_budgets_filled(spark, data, tmp_path):
+    """Rows for documents without a benchmark item too, and for ids and texts that are null, come twice or fit nowhere."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    assert QUERIES["pack_token_budget"](spark, data).count() == 2 * spark.read.parquet(f"{data}/documents.parquet").count()
+    rows = [(i, " ".join([f"w{i}"] * (7 * i % 90)), ("en", "de")[i % 2]) for i in range(150)]
+    rows += [(3, "another text", "en"), (3, "another text", "en"), (3, rows[3][1], "en"), (200, None, "en"), (None, "no id", "en"), (None, "no id", None)]
+    rows += [(201, "no language", None), (202, "x " * 300, None), (203, "a\x0bb\xa0c", ""), (204, "alone", "it"), (205, "too long " * 3000, "de")]
+    pq.write_table(pa.table(dict(zip(("doc_id", "text", "lang"), map(list, zip(*rows, strict=True)), strict=True))), f"{tmp_path}/documents.parquet")
+    asked = {"item_id": [3, 4, 4, 204, 999], "text": ["a question", "one", "two or three", None, "of none"]}
+    pq.write_table(pa.table(asked), f"{tmp_path}/benchmark.parquet")
+    got = QUERIES["pack_token_budget"](spark, str(tmp_path))
+    assert_same(got, ORACLES["pack_token_budget"], str(tmp_path))
+    assert got.count() == 2 * (len(rows) + 1)  # two items ask about document 4
