@@ -40,8 +40,11 @@ def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = jaccard_join.join_similar(keyed, id_col="_key", links=False)
     gone = groups.where("doc_id != component_id").select("doc_id").distinct()
     again = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    # few documents have to be dealt out: the rest cannot be among those that go or come again
+    # few documents have to be dealt out: the rest cannot be among those that go or come again, and of those that may be
+    # among them, however many, only the ones that may stay are needed
     some, rest = sieved(keyed, "_key", gone.unionByName(again))
+    stay = groups.where("doc_id = component_id").select("doc_id")
+    some = sieved(some, "_key", sieved(stay, "doc_id", gone.unionByName(again))[0])[0]
     own = [c for c in keyed.columns if c != "_key"]
     first = F.struct(F.xxhash64("text"), F.to_json(F.struct(*own)))
     some = some.join(gone.toDF("_gone"), F.col("_key") == F.col("_gone"), "left_anti")

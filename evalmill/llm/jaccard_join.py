@@ -8,7 +8,8 @@ The join is exact:
    then by hash.  Two linked sets share a shingle among the first n - ceil(t * n) + 1 of each; their sizes, and what follows
    the first common shingle in that order, bound their overlap.  Sets that share a shingle and are not ruled out by that
    are in one block; blocks are the components of these pairs.  The pairs of a shingle that few sets have are first
-   tested as the leaves of a tree are (3), so that chance does not join blocks; a shingle of more sets connects those
+   tested as the leaves of a tree are (3), so that chance does not join blocks; copies share many shingles, so such sets
+   travel as one list a shingle, and become pairs where equal lists have met.  A shingle of more sets connects those
    not ruled out without listing their pairs.  Shingles that the sketch calls frequent are dealt out with a salt, and
    connect all sets of similar size.
 3. A block of more than ``UNIT`` sets is dealt into parts by size and hash, and only parts of sizes that can link meet.
@@ -21,7 +22,8 @@ The join is exact:
 5. Components of the links: local union-find; where a worker cannot hold what is left, large-star and small-star steps
    until nothing changes.
 
-Texts are read three times: for sets and the sketch, for the first shingles, and those of blocks for the links.
+Texts are read three times: for sets and the sketch, for the first shingles, and those of blocks for the links.  The last
+are dealt out twice, compressed: by document and by pair of parts.
 
 Null, empty and blank texts have no shingles and link with nothing.  Fewer than K words make one shingle.  Rows with
 one id count as one document.  A null id gets its n_shingles and a null component, and no n_links.  Further columns play
@@ -39,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import Scratch, Seen, batch_of, column, longs, prepared, saved, sieved, starts_of, texts, tidied
+from .base import Scratch, Seen, batch_of, column, longs, packed, prepared, saved, sieved, starts_of, texts, tidied, unpacked
 from .words import LOWER, Block, Rule, blocks, kgrams, mix
 
 K, PERCENT = 5, 80
@@ -226,24 +228,27 @@ def _prefixes(rule: Rule, k: int, percent: int, order):
 
 
 def _labels(link: np.ndarray) -> np.ndarray:
-    """Of each row of a symmetric matrix: the first one that it is connected with."""
-    n = len(link)
-    label = np.arange(n)
+    """Of each row of a symmetric matrix, or of each of several matrices: the first one that it is connected with."""
+    n = link.shape[-1]
+    label = np.broadcast_to(np.arange(n), link.shape[:-1])
     while True:
-        new = np.minimum(label, np.where(link, label[None], n).min(axis=1))
-        new = new[new]
+        new = np.minimum(label, np.where(link, label[..., None, :], n).min(axis=-1))
+        new = np.take_along_axis(new, new, axis=-1)
         if (new == label).all():
             return label
         label = new
 
 
-def _edges(percent: int):
+def _edges(percent: int, whole: bool = False):
     """Of rows sorted by shingle, size and set: pairs of sets that are not ruled out (low 1), or for a longer list pairs
     that connect all those (low 0).
 
+    ``whole``: three sets or more that the pairs of a shingle connect are one row, their keys in order (list) and the
+    smallest of them (a), so that a shingle never gives more than its sets.
+
     A salted shingle gives runs of sets of similar size instead: its key, their least and greatest size, and a set.
     """
-    names = ["a", "b", "key", "low", "high"]
+    names = ["a", "b", "key", "low", "high", "list"]
 
     def pairs(n: np.ndarray, reach: np.ndarray, at: np.ndarray, other: np.ndarray) -> np.ndarray:
         ok = 100 * np.minimum(n[at], n[other]) >= percent * np.maximum(n[at], n[other])
@@ -262,8 +267,20 @@ def _edges(percent: int):
         n, reach = np.abs(size) >> 32, np.abs(size) & 0xFFFFFFFF
         found: list[np.ndarray] = []
         stars: list[np.ndarray] = []
+        lists: set[bytes] = set()
         for l in np.unique(length[(length > 1) & (length <= SMALL_LIST) & ~salted]).tolist():
             at = start[(length == l) & ~salted]
+            if whole and l > 2:
+                i = at[:, None] + np.arange(l)
+                group = at[:, None] + _labels(pairs(n, reach, i[:, :, None], i[:, None]))
+                members = np.stack([s[i].ravel(), group.ravel()])
+                members = members[:, np.lexsort(members)]
+                first = starts_of(members[1])
+                number = np.diff(np.append(first, members.shape[1]))
+                two = first[number == 2]
+                found.append(np.stack([members[0, two], members[0, two + 1]]))
+                lists.update(members[0, x : x + y].tobytes() for x, y in zip(first[number > 2].tolist(), number[number > 2].tolist(), strict=True))
+                continue
             for i in range(l):
                 for j in range(i + 1, l):
                     ok = pairs(n, reach, at + i, at + j)
@@ -283,8 +300,12 @@ def _edges(percent: int):
                 e = e[:, e[0] < e[1]]
                 e = e[:, np.lexsort(e)]
                 e = e[:, starts_of(*e)]
-                none = pa.nulls(e.shape[1], pa.int64())
-                yield pa.RecordBatch.from_arrays([longs(e[0]), longs(e[1]), none, longs(np.full(e.shape[1], tested)), none], names)
+                none, no_list = pa.nulls(e.shape[1], pa.int64()), pa.nulls(e.shape[1], pa.binary())
+                yield pa.RecordBatch.from_arrays([longs(e[0]), longs(e[1]), none, longs(np.full(e.shape[1], tested)), none, no_list], names)
+        if lists:
+            none = pa.nulls(len(lists), pa.int64())
+            heads = longs([np.frombuffer(x, np.int64, 1)[0] for x in lists])
+            yield pa.RecordBatch.from_arrays([heads, none, none, none, none, pa.array(list(lists), pa.binary())], names)
         if salted.any():
             for a, l in zip(start[salted].tolist(), length[salted].tolist(), strict=True):
                 order = np.argsort(n[a : a + l], kind="stable") + a
@@ -292,11 +313,12 @@ def _edges(percent: int):
                 last = np.append(first[1:], l) - 1
                 rep = s[order[first]]
                 key, none = np.full(len(rep), t[a] >> 16), pa.nulls(len(rep), pa.int64())
-                yield pa.RecordBatch.from_arrays([longs(rep), none, longs(key), longs(n[order[first]]), longs(n[order[last]])], names)
+                ends = longs(n[order[first]]), longs(n[order[last]])
+                yield pa.RecordBatch.from_arrays([longs(rep), none, longs(key), *ends, pa.nulls(len(rep), pa.binary())], names)
                 e = np.stack([np.repeat(rep, last - first + 1), s[order]])
                 e = e[:, e[0] != e[1]]
                 none = pa.nulls(e.shape[1], pa.int64())
-                yield pa.RecordBatch.from_arrays([longs(e[0]), longs(e[1]), none, longs(np.zeros(e.shape[1])), none], names)
+                yield pa.RecordBatch.from_arrays([longs(e[0]), longs(e[1]), none, longs(np.zeros(e.shape[1])), none, pa.nulls(e.shape[1], pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64)] * 3
@@ -312,6 +334,33 @@ def _edges(percent: int):
     return run
 
 
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of each list, those of lists with one head once; rows sorted by head."""
+    head, lists = None, set()
+
+    def give() -> Iterator[pa.RecordBatch]:
+        each: dict[int, list[np.ndarray]] = {}
+        for x in lists:
+            x = np.frombuffer(x, np.int64)
+            each.setdefault(len(x), []).append(x)
+        e = []
+        for l, same in each.items():
+            i, j = np.triu_indices(l, 1)
+            same = np.stack(same)
+            e.append(np.stack([same[:, i].ravel(), same[:, j].ravel()]))
+        if e:
+            e = np.concatenate(e, axis=1)
+            e = e[:, np.lexsort(e)]
+            yield batch_of(["a", "b"], list(e[:, starts_of(*e)]))
+
+    for batch in batches:
+        for h, x in zip(batch.column("head").to_pylist(), batch.column("list").to_pylist(), strict=True):
+            if h != head:
+                yield from give()
+                head, lists = h, set()
+            lists.add(x)
+    yield from give()
+
 
 # ---------------------------------------------------------------- components
 
@@ -404,16 +453,18 @@ def _blocks(docs: DataFrame, rows: DataFrame, order, rule: Rule, k: int, percent
         docs.mapInArrow(tidied(_prefixes(rule, k, percent, order)), "shingle long, size long, set long")
         .repartition("shingle")
         .sortWithinPartitions("shingle", "size", "set")
-        .mapInArrow(tidied(_edges(percent)), "a long, b long, key long, low long, high long")
+        .mapInArrow(tidied(_edges(percent, whole=True)), "a long, b long, key long, low long, high long, list binary")
     )
-    pairs = scratch.save(found.where("b is not null and low = 1").select("a", "b").distinct())
+    lists = found.where("list is not null").select(F.col("a").alias("head"), "list")
+    pairs = lists.repartition("head").sortWithinPartitions("head").mapInArrow(tidied(_paired), "a long, b long")
+    pairs = scratch.save(found.where("b is not null and low = 1").select("a", "b").unionByName(pairs).distinct())
     ends = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct()
     maps = rows.where("chunk is null and data is not null").select("h1", "n", "data").join(ends, "h1", "left_semi").dropDuplicates(["h1"])
     maps = scratch.save(maps)
     near = pairs.join(maps.toDF("a", "na", "x"), "a").join(maps.toDF("b", "nb", "y"), "b").mapInArrow(tidied(_possible(percent)), "a long, b long")
     by_size = Window.partitionBy("key").orderBy("low", "high", "a")
     before = F.max("high").over(by_size.rowsBetween(Window.unboundedPreceding, -1))
-    runs = found.where("b is null").withColumn("leap", F.coalesce(100 * before < percent * F.col("low"), F.lit(True)).cast("long"))
+    runs = found.where("key is not null").withColumn("leap", F.coalesce(100 * before < percent * F.col("low"), F.lit(True)).cast("long"))
     runs = runs.withColumn("run", F.sum("leap").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
     first = F.first("a").over(Window.partitionBy("key", "run").orderBy("low", "high", "a"))
     edges = found.where("b is not null and low = 0").select("a", "b").unionByName(runs.select("a", first.alias("b"))).unionByName(near)
@@ -622,7 +673,7 @@ def _linked(rule: Rule, k: int, percent: int, listed: bool):
         for batch in batches:
             units = list(zip(*(batch.column(c).to_pylist() for c in _UNIT), strict=True))
             h1, h2, side, doc, n, marked = (batch.column(c).to_pylist() for c in ("h1", "h2", "side", "doc", "docs", "several"))
-            for block in blocks(batch.column("text"), rule):
+            for block in blocks(unpacked(batch), rule):
                 sets = Sets(block, k)
                 for i, key in enumerate(zip(*(x.tolist() for x in sets.keys()), strict=True)):
                     row = block.rows.start + i
@@ -644,9 +695,9 @@ def _links(docs: DataFrame, sets: DataFrame, rule: Rule, k: int, percent: int, s
     """See ``_linked``; sets: h1, h2, doc, n, docs, several, block."""
     units = scratch.save(_units(sets, percent))
     return scratch.save(
-        sieved(docs, "doc_id", units.select("doc"))[0]
+        packed(sieved(docs, "doc_id", units.select("doc"))[0])
         .join(units, F.col("doc_id") == F.col("doc"))
-        .select(*_UNIT, "side", "h1", "h2", "doc", "docs", "several", "text")
+        .select(*_UNIT, "side", "h1", "h2", "doc", "docs", "several", "n_bytes", "packed")
         .repartition(*_UNIT)
         .sortWithinPartitions(*_UNIT)
         .mapInArrow(tidied(_linked(rule, k, percent, listed)), "h1 long, h2 long, doc long, root long, n long, o1 long, o2 long")

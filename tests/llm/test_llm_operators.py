@@ -349,6 +349,54 @@ def test_blocks_hold_all_links(small, part, salt, monkeypatch):
     assert linked > 200
 
 
+@pytest.mark.parametrize("small", [32, 5])
+def test_copies_send_lists_not_pairs(small, monkeypatch):
+    """Near copies share nearly all shingles: what their lists send grows with the sets, and no linked pair is lost."""
+    monkeypatch.setattr(jj, "SMALL_LIST", small)
+    rng = random.Random(4)
+    texts = []
+    for n in (2, 3, 12, 30):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        texts += [" ".join([*w, f"copy{i}", f"copy{i}"]) for i in range(n)]
+    (block,) = blocks(pa.array(texts), LOWER)
+    sets = jj.Sets(block, 5)
+    counts = np.zeros(1 << 16, np.float32)
+    order = _Sent(jj.Order(counts, 0.0, 2048))
+    (rows,) = jj._prefixes(LOWER, 5, 80, order)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))
+    rows = pa.Table.from_batches([rows]).sort_by([("shingle", "ascending"), ("size", "ascending"), ("set", "ascending")])
+    out = [r for b in jj._edges(80, whole=True)(iter(rows.to_batches(max_chunksize=97))) for r in b.to_pylist()]
+    lists = sorted((r["a"], r["list"]) for r in out if r["list"] is not None)
+    assert all(np.frombuffer(x, np.int64)[0] == a and len(x) >= 24 for a, x in lists)
+    sent = sum(len(r["list"]) // 8 if r["list"] else 2 for r in out)
+    assert 0 < sent <= 2 * rows.num_rows
+    by_head = pa.RecordBatch.from_arrays([pa.array([a for a, _ in lists], pa.int64()), pa.array([x for _, x in lists], pa.binary())], ["head", "list"])
+    paired = [(r["a"], r["b"]) for b in jj._paired(iter([by_head.slice(0, 3), by_head.slice(3)])) for r in b.to_pylist()]
+    assert len(paired) == len(set(paired)) or small == 5
+    forest, tested = jj.Forest(), set(paired) | {(r["a"], r["b"]) for r in out if r["low"] == 1}
+    for r in out:
+        if r["low"] == 0:
+            forest.join(r["a"], r["b"])
+    h1 = sets.keys()[0].tolist()
+    linked = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(np.intersect1d(sets.of(i), sets.of(j)))
+            if 100 * common >= 80 * (sets.n[i] + sets.n[j] - common):
+                linked += 1
+                assert tuple(sorted((h1[i], h1[j]))) in tested or forest.find(h1[i]) == forest.find(h1[j])
+    assert linked >= 1 + 3 + 66 + 435
+
+
+def test_texts_come_back_from_packed(spark):
+    from evalmill.llm.base import packed, unpacked
+
+    rows = [(1, "Ünï cöde \x00 " * 50), (2, ""), (None, None), (4, "a" * 300_000)]
+    got = packed(spark.createDataFrame(rows, "doc_id long, text string")).toArrow()
+    assert set(got.column_names) == {"doc_id", "packed", "n_bytes"} and sum(len(x) for x in got["packed"].to_pylist() if x) < 2000
+    texts = {i: t for b in got.to_batches() for i, t in zip(b.column("doc_id").to_pylist(), unpacked(b).to_pylist(), strict=True)}
+    assert texts == dict(rows)
+
+
 @pytest.mark.parametrize("edges_at_once", [1_000_000, 20])
 def test_components(spark, edges_at_once, monkeypatch):
     monkeypatch.setattr(jj, "EDGES", edges_at_once)

@@ -60,6 +60,26 @@ def test_pipeline_keeps_one_row_a_group_and_all_columns(spark, data):
     assert packed.agg({"doc_tokens": "max"}).first()[0] > 100 and cp.pack(spark, docs.limit(0), data).count() == 0
 
 
+def test_near_dups_deals_out_only_what_may_stay(spark, data, monkeypatch):
+    """Where most documents go, their texts are not dealt out: all but a few are told from those that stay by two filters."""
+    import corpus_pipeline as cp
+
+    rows = [(i, f"group {i % 40} " + " ".join(f"w{i % 40}x{j}" for j in range(60)) + f" {i // 40}", "en") for i in range(2000)]
+    docs = spark.createDataFrame([(*r, "s", len(r[1])) for r in [*rows, rows[3]]], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    dealt = []
+
+    def counted(*args):
+        some, rest = sieve(*args)
+        dealt.append(some.count() if "_key" in some.columns else None)
+        return some, rest
+
+    sieve = cp.sieved
+    monkeypatch.setattr(cp, "sieved", counted)
+    kept = cp.near_dups(spark, docs, data)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [r[:2] for r in rows[:40]]
+    assert [n for n in dealt if n is not None][-1] < 100
+
+
 def test_native_plans_have_no_python(spark, data):
     for name in ("op3_chat_format", "op10_url_filter"):
         plan = queries.queries()[name](spark, data)._jdf.queryExecution().toString()
